@@ -14,12 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.shipping import ship
+
 #: A word, by the contracts: a run of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +40,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a
     lost executor costs a re-read, not a re-computation.  Removed when Python ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))

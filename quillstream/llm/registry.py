@@ -1,10 +1,15 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from quillstream.llm import exact_dedup, mixing, sharding
+from quillstream.llm import exact_dedup, fingerprints, html_extraction, language_id, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op5_packing": packing.op5_packing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_quality": quality.op9_quality,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
