@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from quillstream.llm import exact_dedup, fingerprints, html_extraction, language_id, mixing, ngram_join, packing, quality, sharding
+from quillstream.llm import exact_dedup, fingerprints, html_extraction, language_id, lm_scoring, mixing, ngram_join, packing, quality, sharding
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_packing": packing.op5_packing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_sharding": sharding.op7_sharding,
