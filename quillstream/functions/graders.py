@@ -14,6 +14,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"(-?[$0-9.,]{2,}|-?[0-9]+)"
 
@@ -64,7 +65,7 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def boxed(t: pd.Series) -> pd.Series:
     return t.map(last_boxed)
 
@@ -184,7 +185,7 @@ def parse_calls(text: str | None, tag: str = "tool_call") -> list[dict]:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tool_score(answer: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([tool_similarity(parse_calls(t), parse_calls(a)) for a, t in zip(answer, truth)], dtype="float64")
 
@@ -222,7 +223,7 @@ def same_answer(a: str | None, b: str | None, tolerance: float = 1e-4) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def equal_answers(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_answer(x, y) for x, y in zip(a, b)])
 

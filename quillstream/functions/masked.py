@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-8
-ZERO = F.lit(0.0)
 
 
 def col(c: Column | str) -> Column:

@@ -121,4 +121,4 @@ def share_prefixes(df: DataFrame) -> DataFrame:
     from quillstream.operators.frame import consecutive_runs
 
     runs = consecutive_runs(df, "uid")
-    return runs.groupBy("run", "uid").agg(F.min_by("prompt", "row_id").alias("prompt"), F.transform(F.array_sort(F.collect_list(F.struct("row_id", "response"))), lambda x: x["response"]).alias("responses"))
+    return runs.groupBy("run", "uid").agg(F.min_by("prompt", "row_id").alias("prompt"), F.transform(F.sort_array(F.collect_list(F.struct("row_id", "response"))), lambda x: x["response"]).alias("responses"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstream.operators.metrics import md5_draw
 
@@ -27,15 +31,23 @@ def script_ratios(text: str) -> dict[str, Column]:
     return out
 
 
-def loops(text: Column, least: int = 50) -> Column:
+def is_loop(text: str | None, least: int = 50) -> bool:
     """At least ``least`` words, with few distinct ones or one 8-gram in over half the places."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    distinct = F.size(F.array_distinct(words)) / n
-    grams = F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.array_join(F.slice(words, i, 8), " "))
-    ordered = F.array_sort(grams)
-    longest = F.aggregate(ordered, F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.lit(0).alias("best")), lambda a, g: F.struct(g.alias("g"), F.when(a["g"] == g, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(a["g"] == g, a["n"] + 1).otherwise(1)).alias("best")))["best"]
-    return F.when(n < least, False).otherwise((distinct < 0.15) | (longest / (n - 7) > 0.5))
+    w = (text or "").split()
+    if len(w) < least:
+        return False
+    grams = Counter(zip(*[w[i:] for i in range(8)]))
+    return len(set(w)) / len(w) < 0.15 or max(grams.values()) / (len(w) - 7) > 0.5
+
+
+def loops(text: Column) -> Column:
+    """Arrow-batched: array expressions would build the words anew for each 8-gram."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(is_loop)
+
+    return run(text)
 
 
 def availability(flags: list[str]) -> Column:
@@ -53,7 +65,7 @@ def item_difficulty(df: DataFrame, items: str, score: str) -> DataFrame:
 
 def id_pairs(df: DataFrame, items: str) -> DataFrame:
     """(a, b, n): rows that have both items, a < b.  Pairs are of a row's own few items."""
-    ids = F.array_sort(F.array_distinct(F.col(items)))
+    ids = F.sort_array(F.array_distinct(F.col(items)))
     pairs = F.flatten(F.transform(ids, lambda a: F.transform(F.filter(ids, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
@@ -188,7 +200,7 @@ def acceptance(limits: dict[str, float]) -> Column:
 
 def keyset_fingerprint(df: DataFrame, key: str) -> DataFrame:
     """SHA-256 of the ids, ordered by number, each with a line feed after it."""
-    return df.agg(F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda i: i.cast("string")), "\n"), F.lit("\n")).cast("binary"), 256).alias("sha256"))
+    return df.agg(F.sha2(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda i: i.cast("string")), "\n"), F.lit("\n")).cast("binary"), 256).alias("sha256"))
 
 
 def override(base: DataFrame, over: DataFrame, key: str) -> DataFrame:

@@ -74,7 +74,7 @@ def unfold(df: DataFrame, column: str, n: int) -> DataFrame:
 def fold(df: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
     """k consecutive rows become one, their values arrays."""
     at = with_position(df).withColumn("batch", F.floor(F.col("rn") / k))
-    rows = F.array_sort(F.collect_list(F.struct("rn", *columns)))
+    rows = F.sort_array(F.collect_list(F.struct("rn", *columns)))
     return at.groupBy("batch").agg(rows.alias("_r")).select("batch", *[F.transform("_r", lambda x: x[c]).alias(c) for c in columns])
 
 

@@ -105,7 +105,7 @@ def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, se
 
     A group is gathered once as an array, resamples are rows, and draws are array lookups, so
     nothing is joined and a group's values are held once."""
-    groups = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("_v"))
+    groups = df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("_v"))
     rows = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     n = F.size("_v")
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
@@ -116,7 +116,7 @@ def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, se
 
 def sizes_ladder(n: Column) -> Column:
     """2, 4, 8, ... below n, and n."""
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.shiftleft(F.lit(1).cast("long"), i.cast("int"))), lambda p: p < n)
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda p: p < n)
     return F.array_distinct(F.concat(powers, F.array(n.cast("long"))))
 
 
@@ -124,7 +124,7 @@ def validation_metrics(df: DataFrame, resamples: int = 1000, seed: int = 42) ->
     """(data_source, var_name, metric, value): mean@N and std@N of each prompt, and for sizes of the
     ladder best, worst and majority by bootstrap; then the mean over prompts."""
     by = ["data_source", "uid", "var_name"]
-    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "value", "pred"))).alias("_v"))
+    groups = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "value", "pred"))).alias("_v"))
     n = F.size("_v")
     values = F.transform("_v", lambda x: x["value"])
     base = groups.withColumns({"mean": M.array_sum(values) / n})

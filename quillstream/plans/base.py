@@ -71,7 +71,7 @@ ARRAYS = {"token_level_rewards": "r", "response_mask": "m", "values": "v", "log_
 def rollouts(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """row_id, uid and the named arrays, one row for each order; one exchange on the order key."""
     names = names or tuple(ARRAYS)
-    x = tokens(spark, sf).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("t", *{ARRAYS[n] for n in names}))).alias("_x"))
+    x = tokens(spark, sf).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("t", *{ARRAYS[n] for n in names}))).alias("_x"))
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"))
     out = o.join(x, "row_id", "left")
     return out.select("row_id", "uid", *[F.coalesce(F.transform("_x", lambda e: e[ARRAYS[n]]), F.array().cast("array<int>" if n == "response_mask" else "array<double>")).alias(n) for n in names])

@@ -19,8 +19,8 @@ def write_canonical(df: DataFrame, path: str, order: str) -> str:
     hashed where it lies, so the file is never gathered in one task."""
     lines = df.select(F.col(order).alias("_o"), canonical_json(df).alias("value"))
     lines.orderBy("_o").select("value").write.mode("overwrite").text(path)
-    parts = lines.withColumn("_r", F.floor(F.col("_o") / 65536)).groupBy("_r").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)).first()[0]
+    parts = lines.withColumn("_r", F.floor(F.col("_o") / 65536)).groupBy("_r").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256).alias("h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)).first()[0]
 
 
 def dump_rollouts(df: DataFrame, path: str, step: int) -> None:
@@ -40,12 +40,12 @@ def dump_or_replay(spark: SparkSession, path: str, step: int, make) -> DataFrame
 
 def gather_responses(df: DataFrame, key: str = "row_id") -> DataFrame:
     """responses: array<string> of each prompt, by sample."""
-    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "response"))), lambda x: x["response"]).alias("responses"))
+    return df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "response"))), lambda x: x["response"]).alias("responses"))
 
 
 def console_line(metrics: Column, step: Column) -> Column:
     """``step:N - name:value - ...`` of a map of metrics."""
-    pairs = F.transform(F.array_sort(F.map_entries(metrics)), lambda e: F.concat_ws(":", e["key"], F.round(e["value"], 3).cast("string")))
+    pairs = F.transform(F.sort_array(F.map_entries(metrics)), lambda e: F.concat_ws(":", e["key"], F.round(e["value"], 3).cast("string")))
     return F.concat_ws(" - ", F.concat(F.lit("step:"), step.cast("string")), F.array_join(pairs, " - "))
 
 
