@@ -8,8 +8,12 @@ through prefix sums of the blocks' token counts, across blocks and partitions.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; set before the library starts
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -22,18 +26,35 @@ from tokenizers import Tokenizer
 from quillstream.llm.core import Interner, blocks, ranges, staged, table, utf8
 
 LENGTH, END, WINDOW = 2048, 1, 32
-BLOCK_BYTES, CACHED_WORDS = 6_000_000, 300_000
+BLOCK_BYTES, CACHED_WORDS = 2_500_000, 300_000
+#: Marks at the end of a word, which the tokenizer takes apart from its letters.
+MARKS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \n]|$)")
 BLOCK = "pid int, block long, doc_ids binary, lengths binary, source_of binary, ids binary, sources array<string>, tokens array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Words that the tokenizer's normaliser and splitter leave as they are: lower-case Latin letters.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """For each non-ASCII Latin letter, the letters that byte-level tokenizers write its UTF-8
+    bytes with: a visible byte is its own, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
 class WordIds:
     """Ids of white-space separated words.  The tokenizer drops ASCII white space and joins
-    nothing across it, so a text's ids are its words' ids, and a word is encoded once."""
+    nothing across it, so a text's ids are its words' ids, and a word is encoded once.  It also
+    lower-cases, and cuts letters from marks, so that this may be done before."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+        self.letters = byte_letters()
         self.reset()
 
     def reset(self) -> None:
@@ -45,7 +66,7 @@ class WordIds:
             self.reset()
         word_of, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words = self.known.ids(text.split())
+            words = self.known.ids(MARKS.sub(rb" \1", text.lower()).split())
             counts[i] = len(words)
             word_of.append(words)
         self._encode_new()
@@ -65,7 +86,18 @@ class WordIds:
         new = self.known.words[len(self.first) - 1 :]
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        words = [w.decode() for w in new]
+        found: list = [None] * len(words)
+        rest, merge, letters = [], self.tokenizer.model.tokenize, self.letters
+        for i, w in enumerate(words):
+            if PLAIN.fullmatch(w):
+                found[i] = [t.id for t in merge(w if w.isascii() else w.translate(letters))]
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 1000):
+            part = rest[k : k + 1000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint16, int(sizes.sum()))])
