@@ -10,7 +10,7 @@ from quillstream.registry import TOOL_PARSERS
 
 def constraint_parts(constraint: Column) -> Column:
     """Tab-separated constraints, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(constraint, "\t"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(constraint, "\t"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_constraints(text: Column, constraint: Column) -> Column:

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from quillstream.functions import masked as M
 from quillstream.registry import ADVANTAGES
 
-GROUP = W.partitionBy("uid")
-S = F.col("_s")
+
+# windows and columns can't be made before there is a session, so these are functions
+def group():
+    return W.partitionBy("uid")
+
+
+def score() -> Column:
+    return F.col("_s")
 
 
 def with_score(df: DataFrame) -> DataFrame:
@@ -30,8 +36,9 @@ def spread(df: DataFrame, scalar: Column) -> DataFrame:
     return df.withColumn("advantages", out).withColumn("returns", out).drop("_a", "_s")
 
 
-def group_mean_std(x: Column, eps: float = 0.0, w=GROUP) -> tuple[Column, Column]:
+def group_mean_std(x: Column, eps: float = 0.0, w=None) -> tuple[Column, Column]:
     """Mean and sample deviation over the group; a single row has mean 0 and deviation 1."""
+    w = w or group()
     n = F.count(F.lit(1)).over(w)
     return F.when(n > 1, F.avg(x).over(w)).otherwise(0.0), F.when(n > 1, F.greatest(F.stddev_samp(x).over(w), F.lit(eps))).otherwise(1.0)
 
@@ -52,8 +59,8 @@ def whiten(df: DataFrame, column: str, mask: str = "response_mask", shift_mean:
 @ADVANTAGES.register("grpo")
 def grpo(df: DataFrame, norm_by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     df = with_score(df)
-    mean, std = group_mean_std(S)
-    return spread(df, (S - mean) / (std + eps) if norm_by_std else S - mean)
+    mean, std = group_mean_std(score())
+    return spread(df, (score() - mean) / (std + eps) if norm_by_std else score() - mean)
 
 
 @ADVANTAGES.register("grpo_vectorized")
@@ -76,31 +83,31 @@ def gdpo(df: DataFrame, components: list[str], weights: list[float] | None = Non
 def grpo_passk(df: DataFrame, norm_by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """Only a group's best row, the earliest of equals, has an advantage: its lead over the next."""
     df = with_score(df)
-    by = GROUP.orderBy(F.desc("_s"), "row_id")
-    gap = S - F.lead("_s").over(by)
+    by = group().orderBy(F.desc("_s"), "row_id")
+    gap = score() - F.lead("_s").over(by)
     if norm_by_std:
-        gap = gap / (F.stddev_samp("_s").over(GROUP) + eps)
-    guard = F.when(F.count(F.lit(1)).over(GROUP) < 2, F.raise_error(F.lit("a group has fewer than two rows")))
+        gap = gap / (F.stddev_samp("_s").over(group()) + eps)
+    guard = F.when(F.count(F.lit(1)).over(group()) < 2, F.raise_error(F.lit("a group has fewer than two rows")))
     return spread(df, F.when(guard.isNotNull(), F.lit(None).cast("double")).when(F.row_number().over(by) == 1, gap).otherwise(0.0))
 
 
 @ADVANTAGES.register("reinforce_plus_plus_baseline")
 def reinforce_plus_plus_baseline(df: DataFrame) -> DataFrame:
     df = with_score(df)
-    mean, _ = group_mean_std(S)
-    out = whiten(spread(df, S - mean), "advantages")
+    mean, _ = group_mean_std(score())
+    out = whiten(spread(df, score() - mean), "advantages")
     return out.withColumn("returns", F.col("advantages"))
 
 
 def _leave_one_out(single: Column) -> Column:
-    n = F.count(F.lit(1)).over(GROUP)
-    return F.when(n > 1, (n * S - F.sum(S).over(GROUP)) / (n - 1)).otherwise(single)
+    n = F.count(F.lit(1)).over(group())
+    return F.when(n > 1, (n * score() - F.sum(score()).over(group())) / (n - 1)).otherwise(single)
 
 
 @ADVANTAGES.register("rloo")
 def rloo(df: DataFrame) -> DataFrame:
     """A group of one keeps its score."""
-    return spread(with_score(df), _leave_one_out(S))
+    return spread(with_score(df), _leave_one_out(score()))
 
 
 @ADVANTAGES.register("rloo_vectorized")
@@ -113,9 +120,9 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 def opo(df: DataFrame) -> DataFrame:
     """Score less the length-weighted mean of the group; a group of one keeps its score."""
     df = with_score(df).withColumn("_len", M.mask_count("response_mask"))
-    n = F.count(F.lit(1)).over(GROUP)
-    base = F.try_divide(F.sum(F.col("_len") * S).over(GROUP), F.sum("_len").over(GROUP).cast("double"))
-    return spread(df, F.when(n > 1, S - base).otherwise(S)).drop("_len")
+    n = F.count(F.lit(1)).over(group())
+    base = F.try_divide(F.sum(F.col("_len") * score()).over(group()), F.sum("_len").over(group()).cast("double"))
+    return spread(df, F.when(n > 1, score() - base).otherwise(score())).drop("_len")
 
 
 @ADVANTAGES.register("reinforce_plus_plus")
@@ -135,9 +142,9 @@ def remax(df: DataFrame) -> DataFrame:
 def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
     """alpha (s - mean) / f_norm; alpha is rows over rows with a score, of the whole table."""
     df = with_score(df)
-    one = df.agg((F.count("*") / F.greatest(F.lit(1), F.count_if(S != 0))).alias("_alpha"))
-    mean, _ = group_mean_std(S)
-    return spread(df.join(F.broadcast(one)), F.col("_alpha") * (S - mean) / f_norm).drop("_alpha")
+    one = df.agg((F.count("*") / F.greatest(F.lit(1), F.count_if(score() != 0))).alias("_alpha"))
+    mean, _ = group_mean_std(score())
+    return spread(df.join(F.broadcast(one)), F.col("_alpha") * (score() - mean) / f_norm).drop("_alpha")
 
 
 @ADVANTAGES.register("gae")
@@ -196,8 +203,8 @@ def last_turn_advantage(df: DataFrame, eps: float = 1e-6) -> DataFrame:
     session = W.partitionBy("uid", "session")
     last = F.col("turn") == F.max("turn").over(session)
     df = df.withColumn("_x", F.when(last, F.col("score").cast("double")))
-    n = F.count("_x").over(GROUP)
-    mean, std = F.when(n > 1, F.avg("_x").over(GROUP)).otherwise(0.0), F.when(n > 1, F.stddev_samp("_x").over(GROUP)).otherwise(1.0)
+    n = F.count("_x").over(group())
+    mean, std = F.when(n > 1, F.avg("_x").over(group())).otherwise(0.0), F.when(n > 1, F.stddev_samp("_x").over(group())).otherwise(1.0)
     df = df.withColumn("_a", (F.col("_x") - mean) / (std + eps))
     return df.withColumn("advantage", F.max("_a").over(session)).drop("_x", "_a")
 

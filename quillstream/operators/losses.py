@@ -13,23 +13,34 @@ from pyspark.sql import functions as F
 from quillstream.functions.masked import EPS, kl
 from quillstream.registry import LOSSES
 
-ROW = W.partitionBy("row_id")
-
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-LOGR = clamp(F.col("logp") - F.col("old_logp"), -20.0, 20.0)
-RATIO, A, MASK = F.exp(LOGR), F.col("adv"), F.col("mask")
+# columns can't be made before there is a session, so these are functions
+def logr() -> Column:
+    return clamp(F.col("logp") - F.col("old_logp"), -20.0, 20.0)
+
+
+def ratio() -> Column:
+    return F.exp(logr())
+
+
+def adv() -> Column:
+    return F.col("adv")
+
+
+def mask() -> Column:
+    return F.col("mask")
 
 
 def agg_loss(df: DataFrame, loss: Column | str = "loss", mode: str = "token-mean", factor: float | None = None) -> DataFrame:
     """One row, ``loss``: over masked tokens, or over rows that have any."""
     x = F.col(loss) if isinstance(loss, str) else loss
     if mode == "token-mean":
-        return df.agg((F.sum(x * MASK) / F.sum(MASK)).alias("loss"))
-    rows = df.groupBy("row_id").agg(F.sum(x * MASK).alias("s"), F.sum(MASK).alias("n")).where("n > 0")
+        return df.agg((F.sum(x * mask()) / F.sum(mask())).alias("loss"))
+    rows = df.groupBy("row_id").agg(F.sum(x * mask()).alias("s"), F.sum(mask()).alias("n")).where("n > 0")
     if mode == "seq-mean-token-sum":
         return rows.agg(F.avg("s").alias("loss"))
     if mode == "seq-mean-token-sum-norm":
@@ -44,17 +55,17 @@ def agg_loss(df: DataFrame, loss: Column | str = "loss", mode: str = "token-mean
 @LOSSES.register("vanilla")
 def vanilla(df: DataFrame, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> DataFrame:
     """Clipped surrogate with a dual clip where the advantage is negative; with clip indicators."""
-    plain, clipped = -A * RATIO, -A * clamp(RATIO, 1 - low, 1 + high)
+    plain, clipped = -adv() * ratio(), -adv() * clamp(ratio(), 1 - low, 1 + high)
     worse = F.greatest(plain, clipped)
-    out = F.when(A < 0, F.least(-A * dual, worse)).otherwise(worse)
-    return df.withColumns({"loss": out, "clipped": (clipped > plain).cast("double"), "clipped_low": F.when((A < 0) & (worse > -A * dual), 1.0).otherwise(0.0), "kl": -LOGR})
+    out = F.when(adv() < 0, F.least(-adv() * dual, worse)).otherwise(worse)
+    return df.withColumns({"loss": out, "clipped": (clipped > plain).cast("double"), "clipped_low": F.when((adv() < 0) & (worse > -adv() * dual), 1.0).otherwise(0.0), "kl": -logr()})
 
 
 @LOSSES.register("dppo_tv")
 def dppo_tv(df: DataFrame, low: float = 0.2, high: float = 0.2, cap: float = 20.0) -> DataFrame:
     d = F.exp("logp") - F.exp("old_logp")
-    keep = F.when(A > 0, d <= high).otherwise(d >= -low)
-    return df.withColumn("loss", F.when(keep, -A * F.least(RATIO, F.lit(cap))).otherwise(0.0))
+    keep = F.when(adv() > 0, d <= high).otherwise(d >= -low)
+    return df.withColumn("loss", F.when(keep, -adv() * F.least(ratio(), F.lit(cap))).otherwise(0.0))
 
 
 @LOSSES.register("dppo_kl")
@@ -62,33 +73,33 @@ def dppo_kl(df: DataFrame, bound: float = 0.05, cap: float = 20.0) -> DataFrame:
     p, q = F.exp("old_logp"), F.exp("logp")
     tiny = F.lit(1e-12)
     d = p * (F.col("old_logp") - F.col("logp")) + (1 - p) * (F.log(F.greatest(1 - p, tiny)) - F.log(F.greatest(1 - q, tiny)))
-    keep = F.when(A > 0, (q <= p) | (d <= bound)).otherwise((q >= p) | (d <= bound))
-    return df.withColumn("loss", F.when(keep, -A * F.least(RATIO, F.lit(cap))).otherwise(0.0))
+    keep = F.when(adv() > 0, (q <= p) | (d <= bound)).otherwise((q >= p) | (d <= bound))
+    return df.withColumn("loss", F.when(keep, -adv() * F.least(ratio(), F.lit(cap))).otherwise(0.0))
 
 
 @LOSSES.register("gspo")
 def gspo(df: DataFrame, low: float = 3e-4, high: float = 4e-4) -> DataFrame:
     """One ratio for a row: exp of its masked mean log ratio, whose log is at most 10."""
-    mean = F.sum((F.col("logp") - F.col("old_logp")) * MASK).over(ROW) / F.greatest(F.sum(MASK).over(ROW), F.lit(1))
+    mean = F.sum((F.col("logp") - F.col("old_logp")) * mask()).over(W.partitionBy("row_id")) / F.greatest(F.sum(mask()).over(W.partitionBy("row_id")), F.lit(1))
     r = F.exp(F.least(mean, F.lit(10.0)))
-    return df.withColumn("loss", F.greatest(-A * r, -A * clamp(r, 1 - low, 1 + high)))
+    return df.withColumn("loss", F.greatest(-adv() * r, -adv() * clamp(r, 1 - low, 1 + high)))
 
 
 @LOSSES.register("sapo")
 def sapo(df: DataFrame, tau_pos: float = 1.0, tau_neg: float = 1.05) -> DataFrame:
-    tau = F.when(A > 0, F.lit(tau_pos)).otherwise(F.lit(tau_neg))
-    return df.withColumn("loss", -A * 4 / tau / (1 + F.exp(-tau * (RATIO - 1))))
+    tau = F.when(adv() > 0, F.lit(tau_pos)).otherwise(F.lit(tau_neg))
+    return df.withColumn("loss", -adv() * 4 / tau / (1 + F.exp(-tau * (ratio() - 1))))
 
 
 @LOSSES.register("gpg")
 def gpg(df: DataFrame) -> DataFrame:
-    return df.withColumn("loss", -F.col("logp") * A)
+    return df.withColumn("loss", -F.col("logp") * adv())
 
 
 def covariance(df: DataFrame) -> DataFrame:
-    """Add ``cov``: (A - mean A)(logp - mean logp), the means over masked tokens."""
-    means = df.agg((F.sum(A * MASK) / F.sum(MASK)).alias("_a"), (F.sum(F.col("logp") * MASK) / F.sum(MASK)).alias("_l"))
-    return df.join(F.broadcast(means)).withColumn("cov", (A - F.col("_a")) * (F.col("logp") - F.col("_l"))).drop("_a", "_l")
+    """Add ``cov``: (adv() - mean adv())(logp - mean logp), the means over masked tokens."""
+    means = df.agg((F.sum(adv() * mask()) / F.sum(mask())).alias("_a"), (F.sum(F.col("logp") * mask()) / F.sum(mask())).alias("_l"))
+    return df.join(F.broadcast(means)).withColumn("cov", (adv() - F.col("_a")) * (F.col("logp") - F.col("_l"))).drop("_a", "_l")
 
 
 @LOSSES.register("clip_cov")
@@ -96,9 +107,9 @@ def clip_cov(df: DataFrame, share: float = 2e-4, low: float = 1.0, high: float =
     """Of tokens whose covariance is within (low, high), a seeded few give no loss."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    inside = df.where((MASK == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.xxhash64(F.lit(seed), "row_id", "t")).limit(k).select("row_id", "t", F.lit(True).alias("_off"))
+    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.xxhash64(F.lit(seed), "row_id", "t")).limit(k).select("row_id", "t", F.lit(True).alias("_off"))
     out = df.join(inside, ["row_id", "t"], "left")
-    worse = F.greatest(-A * RATIO, -A * clamp(RATIO, 1 - clip, 1 + clip))
+    worse = F.greatest(-adv() * ratio(), -adv() * clamp(ratio(), 1 - clip, 1 + clip))
     return out.withColumn("loss", F.when(F.col("_off"), 0.0).otherwise(worse)).drop("_off")
 
 
@@ -107,29 +118,29 @@ def kl_cov(df: DataFrame, share: float = 2e-4, beta: float = 1.0) -> DataFrame:
     """The tokens of the largest covariance pay beta times the absolute KL."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    top = df.where(MASK == 1).orderBy(F.desc("cov"), "row_id", "t").limit(k).select("row_id", "t", F.lit(True).alias("_top"))
+    top = df.where(mask() == 1).orderBy(F.desc("cov"), "row_id", "t").limit(k).select("row_id", "t", F.lit(True).alias("_top"))
     out = df.join(top, ["row_id", "t"], "left")
-    return out.withColumn("loss", -A * RATIO + F.when(F.col("_top"), beta * F.abs(LOGR)).otherwise(0.0)).drop("_top")
+    return out.withColumn("loss", -adv() * ratio() + F.when(F.col("_top"), beta * F.abs(logr())).otherwise(0.0)).drop("_top")
 
 
 @LOSSES.register("geo_mean")
 def geo_mean(df: DataFrame, low: float = 0.4, high: float = 0.4) -> DataFrame:
     """One row for each sequence: exp of its masked mean clipped log ratio, times its mean advantage."""
-    sign = F.signum(A)
+    sign = F.signum(adv())
     d = F.col("logp") - F.col("old_logp")
     clipped = F.when(sign > 0, F.least(d, F.lit(high))).otherwise(F.greatest(d, F.lit(-low)))
-    rows = df.groupBy("row_id").agg(F.sum(clipped * MASK).alias("d"), F.sum(A * MASK).alias("a"), F.sum(MASK).alias("n"))
+    rows = df.groupBy("row_id").agg(F.sum(clipped * mask()).alias("d"), F.sum(adv() * mask()).alias("a"), F.sum(mask()).alias("n"))
     return rows.select("row_id", F.lit(1).alias("mask"), (-F.exp(F.col("d") / (F.col("n") + EPS)) * F.col("a") / (F.col("n") + EPS)).alias("loss"))
 
 
 @LOSSES.register("cispo")
 def cispo(df: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:
-    return df.withColumn("loss", -clamp(RATIO, 1 - low, 1 + high) * A * F.col("logp"))
+    return df.withColumn("loss", -clamp(ratio(), 1 - low, 1 + high) * adv() * F.col("logp"))
 
 
 @LOSSES.register("reinforce")
 def reinforce(df: DataFrame, weight: str | None = None) -> DataFrame:
-    return df.withColumn("loss", -A * F.col("logp") * (F.col(weight) if weight else F.lit(1.0)))
+    return df.withColumn("loss", -adv() * F.col("logp") * (F.col(weight) if weight else F.lit(1.0)))
 
 
 @LOSSES.register("bypass_mode")
@@ -153,7 +164,7 @@ def kl_loss(df: DataFrame, kind: str = "low_var_kl") -> DataFrame:
 
 
 def sft_loss(df: DataFrame, ranks: int = 1) -> DataFrame:
-    return df.agg((-F.sum(F.col("logp") * MASK) / F.sum(MASK) * ranks).alias("loss"))
+    return df.agg((-F.sum(F.col("logp") * mask()) / F.sum(mask()) * ranks).alias("loss"))
 
 
 def ppo_composite(df: DataFrame, policy: str = "vanilla", entropy_coef: float = 0.0, kl_coef: float = 0.0, kind: str = "low_var_kl", mode: str = "token-mean") -> DataFrame:

@@ -64,7 +64,7 @@ def opo(spark, sf):
   SELECT row_id, round(a * n, 4) + 0.0 AS adv FROM e"""
 )
 def passk(spark, sf):
-    df = _basic(spark, sf).withColumn("k", F.count("*").over(A.GROUP)).where("k > 1").drop("k")
+    df = _basic(spark, sf).withColumn("k", F.count("*").over(A.group())).where("k > 1").drop("k")
     return _scalar(A.grpo_passk(df))
 
 
