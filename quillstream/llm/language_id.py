@@ -71,11 +71,16 @@ def _document_frequency(batches):
 
 
 def _sample_counts(batches):
-    for batch in batches:
-        found = [counts(t) for t in batch.column("text").to_pylist()]
-        keep = [i for i, c in enumerate(found) if c is not None]
-        at = [np.flatnonzero(found[i]) for i in keep]
-        yield arrays(place=batch.column("place").take(pa.array(keep, pa.int64())), lang=batch.column("lang").take(pa.array(keep, pa.int64())), dims=pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), counts=pa.array([found[i][x].astype("<u4").tobytes() for i, x in zip(keep, at)], pa.binary()))
+    for batch in blocks(batches, "text", BLOCK_BYTES):
+        keep, dims, found = [], [], []
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            if (c := counts(t)) is not None:
+                at = np.flatnonzero(c)
+                keep.append(i)
+                dims.append(at.astype("<u2").tobytes())
+                found.append(c[at].astype("<u4").tobytes())
+        keep = pa.array(keep, pa.int64())
+        yield arrays(place=batch.column("place").take(keep), lang=batch.column("lang").take(keep), dims=pa.array(dims, pa.binary()), counts=pa.array(found, pa.binary()))
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,34 +143,59 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> dict:
     return {"names": names, "idf": idf.astype(np.float32), "w": w.astype(np.float32), "b": b, "t": t}
 
 
+def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text, some texts at a time: a text's counts are a dense vector."""
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    for k in range(0, len(texts) if model["names"] else 0, 64):
+        found = [(i, c) for i, t in enumerate(texts[k : k + 64], k) if t and (c := counts(t)) is not None]
+        if found:
+            s = (np.stack([vector(c, model["idf"]) for _, c in found]) @ model["w"] + model["b"]) / model["t"]
+            p = np.exp(s - s.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for (i, _), y, best in zip(found, p.argmax(1), p.max(1)):
+                names[i], scores[i] = model["names"][y], best
+    return names, scores
+
+
 def _predict(model: dict):
     def run(batches):
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            found = [counts(t) if t else None for t in batch.column("text").to_pylist()]
-            names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-            have = [i for i, c in enumerate(found) if c is not None]
-            for k in range(0, len(have) if model["names"] else 0, 64):
-                some = have[k : k + 64]
-                s = (np.stack([vector(found[i], model["idf"]) for i in some]) @ model["w"] + model["b"]) / model["t"]
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                scores[some] = p.max(1)
-                for i, y in zip(some, p.argmax(1)):
-                    names[i] = model["names"][y]
+            names, scores = predict(batch.column("text").to_pylist(), model)
             yield arrays(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=pa.array(names, pa.string()), score=scores)
 
     return run
 
 
+def _keep(model: dict, text: str, least: float):
+    """The batches without rows whose language can't be told."""
+
+    def run(batches):
+        for batch in blocks(batches, text, BLOCK_BYTES):
+            names, scores = predict(batch.column(text).to_pylist(), model)
+            yield batch.filter(pa.array([n != UNKNOWN and s > least for n, s in zip(names, scores)]))
+
+    return run
+
+
+def training_rows(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(doc_id, held_out, text, lang) of all rows."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    return rows.withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS), F.lit(1)) == HELD_OUT)
+
+
+def fit_rows(rows: DataFrame, sample: int = SAMPLE) -> dict:
+    """A model of the rows outside the held-out fold that have a text and a language."""
+    train = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return fit(train.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")), sample)
+
+
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row, learned from rows outside the held-out
     fold.  Texts that are null or have no letter, and all texts where nothing can be learned,
     are ``und`` with score 0; a null id is in the training fold of the text ``null``'s hash;
     repeated rows get equal results; an empty table stays empty; other columns are ignored."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS), F.lit(1)) == HELD_OUT)
-    train = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = fit(train.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")), sample)
+    rows = training_rows(df, key, text, lang)
+    model = fit_rows(rows, sample)
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -176,6 +206,5 @@ def op10_language_id(spark, sf_dir):
 def stage_language_id(spark, docs, sf_dir):
     """Pipeline stage: rows whose language can't be told (no letter, or a score of half or
     less) go; the others keep their columns."""
-    names = docs.columns
-    rejected = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") <= 0.5)).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti").select(*names)
+    model = fit_rows(training_rows(docs, "doc_id", "text", "lang"))
+    return docs.mapInArrow(_keep(model, "text", 0.5), docs.schema)
