@@ -74,3 +74,20 @@ def log_batch(backends: list[str], path: str):
             sink(df.withColumn("epoch", F.lit(epoch)), path)
 
     return run
+
+
+def makespan(df: DataFrame, by: str = "endpoint") -> DataFrame:
+    """Last end less first start of each endpoint, and its requests."""
+    return df.groupBy(by).agg((F.max("end") - F.min("start")).alias("seconds"), F.count("*").alias("requests"))
+
+
+def write_report(spark: SparkSession, paths: list[str], columns: list[str], out: str) -> str:
+    """Several metrics files (one JSON object each) as JSON and CSV tables, and as markdown text,
+    which is returned: a row for each run, in the order of the first column.  Runs are few."""
+    rows = spark.read.option("multiLine", "true").json(paths)
+    table = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).orderBy(columns[0])
+    table.coalesce(1).write.mode("overwrite").json(f"{out}/json")
+    table.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/csv")
+    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in table.collect()]
+    return "\n".join(lines) + "\n"

@@ -58,3 +58,16 @@ def test_sinks(spark, tmp_path):
     assert sinks.flatten_params({"a": {"b": 1}, "c": [1]}) == {"a/b": 1, "c": "[1]"}
     line = spark.range(1).select(sinks.console_line(F.create_map(F.lit("a"), F.lit(1.0)), F.lit(3)).alias("x")).first()["x"]
     assert line == "step:3 - a:1.0"
+
+
+def test_report(spark, tmp_path):
+    for i in (2, 1):
+        (tmp_path / f"m{i}.json").write_text(json.dumps({"run": f"r{i}", "rate": i / 2}))
+    text = sinks.write_report(spark, [str(tmp_path / f"m{i}.json") for i in (1, 2)], ["run", "rate", "absent"], str(tmp_path / "out"))
+    assert text.splitlines()[2:] == ["| r1 | 0.5 |  |", "| r2 | 1.0 |  |"]
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out/csv")).count() == 2
+
+
+def test_makespan(spark):
+    df = spark.createDataFrame([("a", 0.0, 2.0), ("a", 1.0, 5.0), ("b", 3.0, 4.0)], "endpoint string, start double, end double")
+    assert {r["endpoint"]: (r["seconds"], r["requests"]) for r in sinks.makespan(df).collect()} == {"a": (5.0, 2), "b": (1.0, 1)}
