@@ -1,41 +1,45 @@
 """N-gram Jaccard join of all documents, with links reported as components.
 
-A document is the set of its word shingles; equal sets are one set from the start.  Shingles
-have a global order, rare ones first (by a sketch of fixed size), and the index lists hold the
-sets under the shingles of their prefix, as two sets that link share one there.
-
-Index skipping: an entry is in its list's near or far block by its position.  If a set has its
-first common shingle at position i and the other at j, they differ in i + j shingles at least;
-so two far entries never link, and a block of far entries is skipped unless a near one meets it.
-Lists give edges from an entry to one near entry, not pairs: their components bound which sets
-can link at all.
-
-Answer skipping: within such a component a set's overlaps with all others are counted from the
-lists once; those of a similar set follow from them by adding the lists of shingles it has more
-and subtracting those it has less.  Sets are taken in the order they are reached, and only sets
-not reached yet are looked at, so what is found is exactly the components of the links.
+A document is the set of its word shingles; equal sets are one set from the start.
+
+Candidates.  The hash space is cut into segments, and a set's segments are hashed.  Sets that
+link differ in D shingles at most, so a set with more than D filled segments has one that is
+equal in the other: equal segments give edges (each set to the least one with that segment, not
+pairs), and their components hold all links.  As a segment has several shingles, documents that
+only share a passage, or frequent phrases, have no edge.
+
+Within a component sets are joined exactly.  Index skipping: lists hold a set under the shingles
+of its prefix, ordered by the position there; if two sets have their first common shingle at
+positions i and j they differ in i + j at least, so a list is read only up to a position and the
+block after it is skipped.  A set whose lists hold no open set is done.  Answer skipping: a
+set's overlaps with all others are counted from full lists once; those of a similar set follow
+from them by adding the lists of shingles it has more and subtracting those it has less.  Sets
+are taken as they are reached, and only sets not reached yet are looked at, so what is found is
+exactly the components of the links.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
 from quillstream.llm.core import Interner, arrays, blocks, mix64, ranges, staged, table, utf8
 
 WORDS, PERCENT = 3, 90
-#: Buckets of the frequency sketch, in bits, and of a chunk of it.
-SKETCH_BITS, CHUNK_BITS = 20, 14
 BLOCK_BYTES, CACHED_WORDS = 4_000_000, 300_000
-#: Shingles joined by one task, about, and of a component that is joined as one piece, at most.
-TASK_SHINGLES, PIECE_SHINGLES = 500_000, 2_000_000
+#: Segment hashes sorted by one task, about; shingles joined by one task, about, and of a
+#: component that is joined as one piece, at most.
+TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 500_000, 2_000_000
+#: Sets with so many copies, at most so many of them, are told to all tasks, which then leave
+#: the copies out; other copies only repeat edges.
+COPIES, HOT_SETS = 16, 65_536
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -64,88 +68,162 @@ class Shingler:
         return np.unique(mix64(s))
 
 
-def _sketch(words: int):
-    def run(batches):
-        shingler, count = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in blocks(batches, "text", BLOCK_BYTES):
-            for s in shingler.sets(utf8(batch.column("text"))):
-                count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
-        parts = count.reshape(-1, 1 << CHUNK_BITS)
-        for c in np.flatnonzero(parts.any(1)):
-            yield arrays(chunk=np.array([c], np.int32), counts=pa.array([parts[c].astype("<u4").tobytes()], pa.binary()))
+def signature(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
-    return run
 
+def node_of(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
 
-def _add_chunks(data: pa.Table) -> pa.Table:
-    total = np.zeros(1 << CHUNK_BITS, np.int64)
-    for x in data.column("counts").to_pylist():
-        total += np.frombuffer(x, "<u4")
-    # four steps to an octave: only the order matters
-    return pa.table({"chunk": data.column("chunk").slice(0, 1).cast(pa.int32()), "level": pa.array([np.minimum(255, 4 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())})
 
+def _sign(words: int):
+    def run(batches):
+        shingler = Shingler(words)
+        for batch in blocks(batches, "text", BLOCK_BYTES):
+            sets = shingler.sets(utf8(batch.column("text")))
+            sigs = [signature(s) for s in sets]
+            yield arrays(doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), sig=pa.array(sigs, pa.binary()), node=pa.array(map(node_of, sigs), pa.int64()))
 
-def frequency_levels(df: DataFrame, words: int) -> np.ndarray:
-    """A byte for each bucket: about how many documents have its shingles.  1 MB, whatever the input."""
-    out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
-    for r in df.mapInArrow(_sketch(words), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, level binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
-    return out.ravel()
+    return run
 
 
-def signature(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+class Segments:
+    """How sets are cut at a threshold.
 
+    Sizes are classed so that sets that link are in the same or adjacent classes; scheme k is for
+    pairs within class k and of class k with k + 1, so a set is cut by two schemes.  Segments have
+    so many shingles on average that more than D of them hold ``least`` or more for most sets.
+    """
 
-def _prefixes(words: int, percent: int, spread):
+    def __init__(self, percent: int):
+        t = percent / 100
+        self.percent, self.base = percent, math.log(1 / t) * 1.0001
+        self.share = (1 - t) / t  # D over the size of the smaller set
+
+        def filled(x: float, least: int) -> float:
+            return (1 - sum(math.exp(-x) * x**i / math.factorial(i) for i in range(least))) / x
+
+        self.least, self.mean = 1, 0.5
+        for least in range(8, 1, -1):
+            good = [x / 20 for x in range(2, 400) if filled(x / 20, least) >= 1.08 * self.share]
+            if good and good[0] <= good[-1] * t * t:
+                self.least, self.mean = least, good[-1]
+                break
+
+    @functools.lru_cache(4096)  # noqa: B019  one object for each task
+    def count(self, k: int) -> int:
+        """Segments of scheme k, from the largest set that it cuts."""
+        return max(1, math.ceil(math.exp((k + 2) * self.base) / self.mean))
+
+    def differences(self, n: int) -> int:
+        """The most shingles in which a set of n can differ from a linked one of n or more."""
+        return n * (100 - self.percent) // self.percent
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of the segments of a sorted set, under both of its schemes.
+
+        Segments of fewer than ``least`` shingles are left out where the others are more than D.
+        Else all filled ones are given; and if even those are D or fewer, one key more, which all
+        such sets of a scheme share.  Of two sets that link either has more than D, or both have
+        the shared key, so one equal key is always given by both.
+        """
+        n, out = len(s), []
+        d, own = self.differences(n), int(math.log(n) / self.base)
+        mixed = mix64(s + np.uint64(0x9E3779B97F4A7C15))
+        for k in (own - 1, own):
+            m = self.count(k)
+            segment = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+            size = np.diff(np.append(first, n))
+            h = mix64(np.add.reduceat(mixed, first) ^ mix64(segment[first].astype(np.uint64) + np.uint64((k + 2) * 0x100000001)))
+            large = size >= self.least
+            if large.sum() > d:
+                h = h[large]
+            elif len(h) <= d:
+                h = np.append(h, mix64(np.array([(k + 2) * 0x9E3779B1 + 7], np.uint64)))
+            out.append(h)
+        return np.concatenate(out)
+
+
+def _segments(words: int, percent: int, buckets: int, hot):
     def run(batches):
-        shingler, levels = Shingler(words), spread.value
+        shingler, cut, leads = Shingler(words), Segments(percent), hot.value
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            sets = shingler.sets(utf8(batch.column("text")))
-            sigs, prefixes = [], []
-            for s in sets:
-                p = len(s) - -(-percent * len(s) // 100) + 1
-                rare = np.argsort(levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]
-                sigs.append(signature(s))
-                prefixes.append(s[rare].tobytes())
-            yield arrays(doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), sig=pa.array(sigs, pa.binary()), prefix=pa.array(prefixes, pa.binary()))
+            keys, nodes = [], []
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingler.sets(utf8(batch.column("text")))):
+                if len(s) and leads.get(sig := signature(s), i) == i:
+                    h = cut.keys(s)
+                    keys.append(h)
+                    nodes.append(np.full(len(h), node_of(sig)))
+            if not keys:
+                continue
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edge))
+            part = lambda x: pa.array([x[order[edge[b] : edge[b + 1]]].tobytes() for b in some], pa.binary())
+            yield arrays(bucket=some.astype(np.int32), keys=part(key), nodes=part(node))
 
     return run
 
 
-def _postings(percent: int):
-    t = percent / 100
-    base, reach = math.log(1 / t) * 1.0001, (1 - t) / (1 + t) * (1 + 1 / t)
+def _edges(data: pa.Table) -> pa.Table:
+    """Each set to the least one with the same segment."""
+    key = np.frombuffer(b"".join(data.column("keys").to_pylist()), "<u8")
+    node = np.frombuffer(b"".join(data.column("nodes").to_pylist()), "<i8")
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    lead = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+    e = np.unique(np.stack([node, lead], 1)[node != lead], axis=0)
+    return pa.table({"u": e[:, 0], "v": e[:, 1]})
 
+
+#: Bits of the filter of wanted ids: for each id, at least, and in all, from and to.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST, FILTER_CHUNK = 16, 1 << 20, 1 << 29, 1 << 17
+
+
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _chunks(bits: int):
     def run(batches):
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            prefix = batch.column("prefix").to_pylist()
-            size = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
-            k = np.floor(np.log(np.maximum(n, 1)) / base).astype(np.int32)
-            near = 2 * ranges(size) <= np.repeat(reach * n, size)
-            yield arrays(shingle=np.frombuffer(b"".join(prefix), "<i8"), k=np.repeat(k, size), lead=np.repeat(batch.column("lead").to_numpy(), size), near=pa.array(near))
+            at = np.unique(_bit(batch.column("lead").to_numpy(), bits))
+            yield arrays(chunk=at // FILTER_CHUNK, place=at % FILTER_CHUNK)
 
     return run
 
 
-def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) such that sets that may link are in one component of them: at most three for
-    each entry of the lists."""
-    lists = sets.where("n > 0").select("lead", "n", "prefix").mapInArrow(_postings(percent), "shingle long, k int, lead long, near boolean")
-    # classes of sizes are so wide that sets that link are in the same or in adjacent ones
-    at = lambda d: F.min(F.when(F.col("near"), F.col("lead"))).over(W.partitionBy("shingle").orderBy("k").rangeBetween(d, d))
-    lists = lists.withColumns({"same": at(0), "less": at(-1), "more": at(1)})
-    to = F.when(F.col("same").isNull(), F.array("less", "more")).when(F.col("same") == F.col("lead"), F.array("more")).otherwise(F.array("same"))
-    return lists.where("same <> lead OR less IS NOT NULL OR more IS NOT NULL").select(F.col("lead").alias("u"), F.explode(to).alias("v")).where("v IS NOT NULL AND u <> v").distinct()
+def _chunk(data: pa.Table) -> pa.Table:
+    on = np.zeros(FILTER_CHUNK, bool)
+    on[data.column("place").to_numpy()] = True
+    return pa.table({"chunk": data.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
 
-def _pack_texts(batches):
-    import zstandard
+def id_filter(wanted: DataFrame, count: int) -> np.ndarray:
+    """A bit for each hash of a wanted id: at most 64 MB, whatever the input.  Beyond that more
+    unwanted rows pass, and the join behind it drops them."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_SHARE * count).bit_length()))
+    out = np.zeros((bits // FILTER_CHUNK, FILTER_CHUNK // 8), np.uint8)
+    for r in wanted.mapInArrow(_chunks(bits), "chunk long, place long").groupBy("chunk").applyInArrow(_chunk, "chunk long, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        yield arrays(doc_id=batch.column("doc_id"), packed=pa.array([pack.compress(x) for x in utf8(batch.column("text"))], pa.binary()))
+
+def _pack_texts(spread):
+    def run(batches):
+        import zstandard
+
+        pack, bits = zstandard.ZstdCompressor(level=1), spread.value
+        for batch in batches:
+            at = _bit(batch.column("doc_id").to_numpy(), 8 * len(bits))
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield arrays(doc_id=batch.column("doc_id"), packed=pa.array([pack.compress(x) for x in utf8(batch.column("text"))], pa.binary()))
+
+    return run
 
 
 def _unpack_sets(words: int):
@@ -165,31 +243,56 @@ def _unpack_sets(words: int):
 def link_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set, the first set of the component of links that it is in."""
     m = len(sets)
-    order = np.argsort([len(s) for s in sets], kind="stable")  # lists and sets by size
+    order = np.argsort([len(s) for s in sets], kind="stable")  # sets by size
     n = np.array([len(sets[i]) for i in order])
     flat = np.concatenate([sets[i] for i in order])
     values, token = np.unique(flat, return_inverse=True)
     first = np.concatenate([[0], np.cumsum(n)])
     by_token = np.argsort(token, kind="stable")
     member = np.repeat(np.arange(m), n)[by_token]
-    list_at = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(values)))])
+    frequency = np.bincount(token, minlength=len(values))
+    list_at = np.concatenate([[0], np.cumsum(frequency)])
     own = [token[first[i] : first[i + 1]] for i in range(m)]
 
+    # prefixes, rare shingles first; lists of them by position
+    prefix = []
+    for i in range(m):
+        rare = own[i][np.argsort(frequency[own[i]], kind="stable")]
+        prefix.append(rare[: n[i] - -(-percent * n[i] // 100) + 1])
+    p_size = np.array([len(p) for p in prefix])
+    p_token, p_pos, p_member = np.concatenate(prefix), ranges(p_size), np.repeat(np.arange(m), p_size)
+    by = np.lexsort((p_pos, p_token))
+    p_pos, p_member = p_pos[by], p_member[by]
+    p_at = np.searchsorted(p_token[by], np.arange(len(values) + 1))
+
     def overlaps(tokens: np.ndarray) -> np.ndarray:
         size = list_at[tokens + 1] - list_at[tokens]
         return np.bincount(member[np.repeat(list_at[tokens], size) + ranges(size)], minlength=m)
 
+    def candidates(y: int, low: int, high: int) -> bool:
+        """Whether y's lists, up to the positions that matter, hold an open set of fitting size."""
+        most = (100 - percent) * (n[y] + 100 * n[y] // percent) // (100 + percent)
+        for i, t in enumerate(prefix[y].tolist()):
+            a, b = p_at[t], p_at[t + 1]
+            if b - a > 1:
+                found = p_member[a : a + np.searchsorted(p_pos[a:b], most - i, "right")]
+                if (open_[found] & (found >= low) & (found < high)).any():
+                    return True
+        return False
+
     root, open_ = np.arange(m), np.ones(m, bool)
     for r in range(m):
         if not open_[r]:
             continue
         open_[r] = False
-        count_r, queue = overlaps(own[r]), [r]
+        count_r, queue = None, [r]
         while queue:
             y = queue.pop()
             low, high = np.searchsorted(n, -(-percent * n[y] // 100)), np.searchsorted(n, 100 * n[y] // percent, "right")
-            if not open_[low:high].any():
+            if not open_[low:high].any() or not candidates(y, low, high):
                 continue
+            if count_r is None:
+                count_r = overlaps(own[r])
             more, less = np.setdiff1d(own[y], own[r], True), np.setdiff1d(own[r], own[y], True)
             if y == r:
                 count = count_r
@@ -239,21 +342,26 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
-    levels = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), words))
-    shingled = staged(rows.mapInArrow(_prefixes(words, percent, levels), "doc_id long, n long, sig binary, prefix binary"), "sets")
-    sets = staged(shingled.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
-    found = connected_components(candidate_edges(sets, percent))
-    roots = found.select(F.col("u").alias("lead"), F.col("root").alias("component")).union(found.select(F.col("root").alias("lead"), F.col("root").alias("component")).distinct())
-    members = sets.select("sig", "lead", "n").join(roots, "lead").where("n > 0")
+    signed = staged(rows.mapInArrow(_sign(words), "doc_id long, n long, sig binary, node long"), "signed")
+    sets = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("node").alias("node"), F.count("*").alias("copies")), "sets")
+    hot = sets.where(F.col("copies") >= COPIES).orderBy(F.desc("copies"), "sig").limit(HOT_SETS).select("sig", "lead").collect()
+    hot = spark.sparkContext.broadcast({bytes(r["sig"]): r["lead"] for r in hot})
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = 1 + int(total * 2.2 * Segments(percent).share) // TASK_SEGMENTS
+    edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
+    found = connected_components(edges)
+    roots = found.select(F.col("u").alias("node"), F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
+    members = sets.where("n > 0").select("sig", "lead", "n", "node").join(roots, "node").drop("node")
     size = members.groupBy("component").agg(F.sum("n").alias("size")).withColumn("pieces", F.ceil(F.col("size") / PIECE_SHINGLES).cast("int"))
     members = staged(members.join(size, "component"), "members")
-    total, most = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("pieces"), F.lit(0))).first()
+    total, most, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("pieces"), F.lit(0)), F.count("*")).first()
     piece = F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.concat_ws(":", F.col("component"), F.least(i, piece), F.greatest(i, piece)))
     task = F.when(F.col("pieces") == 1, F.array(F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string")))).otherwise(pairs)
     wanted = members.select("sig", "lead", "component", F.explode(task).alias("task"))
-    texts = rows.mapInArrow(_pack_texts, "doc_id long, packed binary")
-    fetched = texts.join(wanted, texts["doc_id"] == wanted["lead"]).select("task", "component", "lead", "sig", "packed")
+    spread = spark.sparkContext.broadcast(id_filter(members.select("lead"), count))
+    texts = rows.mapInArrow(_pack_texts(spread), "doc_id long, packed binary")
+    fetched = texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["lead"]).select("task", "component", "lead", "sig", "packed")
     linked = fetched.mapInArrow(_unpack_sets(words), "task string, component long, lead long, shingles binary").groupBy("task").applyInArrow(_join(percent), "u long, v long")
     if most > 1:
         links = connected_components(linked)
@@ -261,7 +369,7 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
         links = linked.where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
     ids = sets.join(links, sets["lead"] == links["u"], "left").select("sig", F.coalesce("root", "lead").alias("component"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return shingled.select("doc_id", "n", "sig").join(ids, "sig").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return signed.join(ids, "sig").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op6_ngram_join(spark, sf_dir):
