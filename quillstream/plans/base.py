@@ -37,6 +37,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out where a scan has fewer partitions than there are cores: for work on each row
+    that costs more than moving it.  Large scans have enough partitions and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(x: Column | str, places: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(F.col(x) if isinstance(x, str) else x, places) + F.lit(0.0)

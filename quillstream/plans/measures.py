@@ -13,7 +13,7 @@ from quillstream.operators import balance as P
 from quillstream.operators import curation as C
 from quillstream.operators import metrics as X
 from quillstream.operators import shaping as S
-from quillstream.plans.base import TOK, query, r6, read, rollouts, tokens
+from quillstream.plans.base import TOK, query, r6, read, rollouts, spread
 
 MEAN_SCORE = """WITH s AS (SELECT lang, (CASE WHEN NOT contains(text, ',') THEN 1.0 ELSE 0 END + CASE WHEN NOT contains(text, '!') THEN 1.0 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '[a-zA-Z]')) >= 500 THEN 1.0 ELSE 0 END) / 3 AS s FROM documents)
   SELECT lang, round(avg(s), 6) AS score, count(*) AS n FROM s GROUP BY 1"""
@@ -23,7 +23,7 @@ MEAN_SCORE = """WITH s AS (SELECT lang, (CASE WHEN NOT contains(text, ',') THEN
 def mean_score_by_lang(spark, sf):
     """The flagship: verifier scores of responses, averaged by language."""
     checks = [("punctuation:no_comma", {}), ("punctuation:punctuation_exclamation", {}), ("letters:letter_counting", {"N": 500, "relation": "at least"})]
-    d = read(spark, sf, "documents").select("lang", V.constraint_score(F.col("text"), checks).alias("s"))
+    d = spread(read(spark, sf, "documents").select("lang", "text")).select("lang", V.constraint_score(F.col("text"), checks).alias("s"))
     return d.groupBy("lang").agg(r6(F.avg("s")).alias("score"), F.count("*").alias("n"))
 
 
@@ -305,7 +305,7 @@ VERIFY = {
 
 @query("SELECT doc_id, " + ", ".join(f"coalesce({sql}, false) AS {n}" for n, (_, sql) in VERIFY.items()) + " FROM documents")
 def verify_simple(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", *[V.verify(name, "text", **k).alias(n) for n, ((name, k), _) in VERIFY.items()])
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", *[V.verify(name, "text", **k).alias(n) for n, ((name, k), _) in VERIFY.items()])
 
 
 ALL = {
@@ -323,7 +323,7 @@ ALL = {
 @query()
 def verify_all(spark, sf):
     """Every registered verifier: how many documents satisfy it."""
-    d = read(spark, sf, "documents")
+    d = spread(read(spark, sf, "documents").select("text"))
     counts = d.agg(*[F.count_if(V.verify(n, "text", **k)).alias(n) for n, k in ALL.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("verifier"), F.col(f"`{n}`").alias("satisfied")) for n in ALL])).alias("x")).select("x.*")
 
