@@ -15,7 +15,7 @@ from quillstream.llm.core import WORD_RE, staged, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-SHARD_WORDS, MAX_BLOCK = 4_000_000, 256
+SHARD_WORDS, MAX_BLOCK = 500_000, 32
 #: A prime above any block count of a shard: a multiple of it, modulo n, visits all n blocks.
 STEP = 2_654_435_761
 
