@@ -20,8 +20,8 @@ from quillstream.llm.core import mix64, staged, table
 #: Digests in a shard of the index, about: 32 + 24 bytes each.
 SHARD_DIGESTS = 100_000
 SPACES = r"[\x20\x09-\x0D]"
-INDEX = "shard int, n long, bits binary, sizes binary, digests binary, keep_ids binary, lengths binary, copies binary"
-FOUND = "digest binary, own_len long, own_id long, own_size long, member boolean, hist_len long, hist_id long, hist_size long"
+INDEX = "shard int, n long, bits binary, sizes binary, digests binary, keep_ids binary, nones binary, lengths binary, copies binary"
+FOUND = "digest binary, own_len long, own_id long, own_none long, own_size long, member boolean, hist_len long, hist_id long, hist_none long, hist_size long"
 
 
 def _words(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def _index_shard(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pack = lambda c: pdf[c].to_numpy("<i8")[order].tobytes()
     return pd.DataFrame([{
         "shard": shard[0], "n": len(digests), "bits": np.packbits(flat).tobytes(), "sizes": np.array(sizes, "<i8").tobytes(),
-        "digests": b"".join(digests[i] for i in order), "keep_ids": pack("own_id"), "lengths": pack("own_len"), "copies": pack("own_size"),
+        "digests": b"".join(digests[i] for i in order), "keep_ids": pack("own_id"), "nones": pack("own_none"), "lengths": pack("own_len"), "copies": pack("own_size"),
     }])
 
 
@@ -77,7 +77,7 @@ def _lookup_shard(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
     digests, n = pdf["digest"].tolist(), len(pdf)
-    member, hist = np.zeros(n, bool), np.zeros((3, n), np.int64)
+    member, hist = np.zeros(n, bool), np.zeros((4, n), np.int64)
     if len(index):
         x = index.iloc[0]
         sizes = np.frombuffer(x["sizes"], "<i8").tolist()
@@ -85,9 +85,9 @@ def _lookup_shard(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         slot = slots_of(digests, flat, sizes)
         held = x["digests"]
         member = np.fromiter((s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slot.tolist(), digests)), bool, n)
-        for k, c in enumerate(("lengths", "keep_ids", "copies")):
+        for k, c in enumerate(("lengths", "keep_ids", "nones", "copies")):
             hist[k, member] = np.frombuffer(x[c], "<i8")[slot[member]]
-    return pd.DataFrame({"digest": digests, "own_len": pdf["own_len"], "own_id": pdf["own_id"], "own_size": pdf["own_size"], "member": member, "hist_len": hist[0], "hist_id": hist[1], "hist_size": hist[2]})
+    return pd.DataFrame({"digest": digests, "own_len": pdf["own_len"], "own_id": pdf["own_id"], "own_none": pdf["own_none"], "own_size": pdf["own_size"], "member": member, "hist_len": hist[0], "hist_id": hist[1], "hist_none": hist[2], "hist_size": hist[3]})
 
 
 def digest_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,12 +97,16 @@ def digest_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """One row for each digest: its winner (most code points, then smallest id) and its copies."""
-    best = F.min(F.struct((-F.col("n_cp")).alias("l"), F.col("doc_id").alias("i")))
+    """One row for each digest: its winner (most code points, then smallest id, null last) and
+    its copies."""
+    best = F.min(F.struct((-F.col("n_cp")).alias("l"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i")))
     return rows.groupBy("digest").agg(best.alias("b"), F.count("*").alias("own_size")).select("digest", (-F.col("b.l")).alias("own_len"), F.col("b.i").alias("own_id"), "own_size")
 
 
 def with_shard(digests: DataFrame, shards: int) -> DataFrame:
+    """Adds the shard, and own_none: 1 where own_id was null.  Batches hold 0 for it, as integers
+    with nulls would come to pandas as floats."""
+    digests = digests.withColumns({"own_none": F.col("own_id").isNull().cast("long"), "own_id": F.coalesce("own_id", F.lit(0))})
     return digests.withColumn("shard", F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int"))
 
 
@@ -117,17 +121,19 @@ def exact_dedup(df: DataFrame, history: DataFrame | None = None, key: str = "doc
     ``history``: rows of ``distinct_digests`` over documents seen before, whose winners compete
     with the new rows; without it, history is what occurs more than once in ``df`` itself.
     Null and empty texts are one group; repeated rows of one id all carry that id as keep_id,
-    and all count; an empty table gives an empty result; other columns are ignored.
+    and all count; an empty table gives an empty result; other columns are ignored.  Null ids
+    come after all others; where the winner has none, keep_id is null, and kept is null in rows
+    without an id, and where keep_id is null, as in the SQL.
     """
     rows = staged(digest_rows(df, key, text), "digests")
     own = distinct_digests(rows)
     past = own.where("own_size > 1") if history is None else history
     shards = 1 + past.count() // SHARD_DIGESTS
     found = with_shard(own, shards).groupBy("shard").cogroup(build_index(past, shards).groupBy("shard")).applyInPandas(_lookup_shard, FOUND)
-    seen, best = F.col("member"), lambda l, i: F.struct((-F.col(l)).alias("l"), F.col(i).alias("i"))
-    keep = F.when(seen, F.least(best("own_len", "own_id"), best("hist_len", "hist_id"))).otherwise(best("own_len", "own_id"))
+    seen, best = F.col("member"), lambda of: F.struct((-F.col(f"{of}_len")).alias("l"), F.col(f"{of}_none").alias("none"), F.col(f"{of}_id").alias("i"))
+    keep = F.when(seen, F.least(best("own"), best("hist"))).otherwise(best("own"))
     size = F.col("own_size") + (F.lit(0) if history is None else F.when(seen, F.col("hist_size")).otherwise(0))
-    answer = found.select("digest", keep.getField("i").alias("keep_id"), size.cast("long").alias("group_size"))
+    answer = found.select("digest", F.when(keep.getField("none") == 0, keep.getField("i")).alias("keep_id"), size.cast("long").alias("group_size"))
     return rows.join(answer, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -145,10 +151,10 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 def stage_exact_dedup(spark, docs, sf_dir):
     """Pipeline stage: the rows that stay, with the columns they had.  Of rows that repeat an
-    id and its text, one stays."""
+    id and its text, one stays; so does one of a group whose winner has no id."""
     names = docs.columns
-    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    kept = exact_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
     t = F.coalesce(F.col("text"), F.lit(""))
     full = docs.withColumn("_h", F.sha2(F.regexp_replace(t, SPACES, "").cast("binary"), 256))
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k"))
-    return full.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"]).select(*names)
+    return full.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"]).select(*names)

@@ -377,7 +377,14 @@ def op6_ngram_join(spark, sf_dir):
 
 
 def stage_near_dedup(spark, docs, sf_dir):
-    """Pipeline stage: of each component at five words and 0.8, the row of the smallest doc_id."""
+    """Pipeline stage: of each component at five words and 0.8, the row of the smallest doc_id.
+
+    A row without an id counts by a hash of its text, from 2^62 up, so that smaller ids come
+    before it and unlike rows stay apart; of equal texts without ids one row stays.
+    """
     names = docs.columns
-    kept = jaccard_components(docs, 5, 80).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").select(*names)
+    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 2) + F.lit(1 << 62)
+    unnamed = docs.where("doc_id IS NULL").withColumn("_row", place).dropDuplicates(["_row"])
+    docs = docs.where("doc_id IS NOT NULL").withColumn("_row", F.col("doc_id").cast("long")).unionByName(unnamed)
+    kept = jaccard_components(docs, 5, 80, "_row").where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["_row"] == kept["_id"], "left_semi").select(*names)

@@ -1,7 +1,10 @@
 """Stages keep the columns, apply their decisions, and take hard rows; SQL cannot express them."""
 
+import hashlib
+
 import corpus_pipeline
-from tests.llm.helpers import HARD, SF, empty, hard
+from quillstream.llm import exact_dedup
+from tests.llm.helpers import DOCS, HARD, SF, empty, hard
 from tests.llm.test_operators import components_by_hand, dedup_by_hand
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -44,3 +47,26 @@ def test_whole_pipeline(spark):
         assert docs.count() > 0.8 * before.count() or name == "near_dedup"
         assert docs.exceptAll(before).isEmpty()
     assert corpus_pipeline.run(spark, SF).agg({"length": "sum"}).first()[0] > 0
+
+
+def test_null_ids_in_dedup_stages(spark):
+    """A null-id copy takes no named row with it, a group without ids keeps one row, and large ids stay exact."""
+    big, long = (1 << 53) + 1, " ".join(f"w{i}" for i in range(60))
+    rows = [(big, "the cat sat on the mat"), (None, "the cat sat on the mat"), (None, "alone and without an id"), (None, "twice without an id"), (None, "twice without an id"), (5, long), (None, long + " more"), (6, "short"), (None, "sh ort")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    once = {(None, "alone and without an id"), (None, "twice without an id"), (big, "the cat sat on the mat")}
+    exact = STAGES["exact_dedup"](spark, docs, SF)
+    got = [(r["doc_id"], r["text"]) for r in exact.collect()]
+    assert len(got) == 6 and set(got) == once | {(None, "sh ort"), (5, long), (None, long + " more")}
+    for start in (exact, docs):
+        got = [(r["doc_id"], r["text"]) for r in STAGES["near_dedup"](spark, start, SF).collect()]
+        assert len(got) == len(set(got)) and {x for x in got if "short" not in x[1] and "sh ort" not in x[1]} == once | {(5, long)}
+
+
+def test_null_ids_in_history(spark):
+    old = spark.createDataFrame([(None, "a b"), (None, "c"), (9, "d")], "doc_id long, text string")
+    past = exact_dedup.distinct_digests(exact_dedup.digest_rows(old))
+    new = spark.createDataFrame([(1, "a b"), (2, "d"), (None, "d"), (None, "c")], "doc_id long, text string")
+    got = sorted((r["text_sha256"], r["doc_id"] or 0, r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(new, past).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(sha("ab"), 1, 1, 2), (sha("d"), 2, 2, 3), (sha("d"), 0, 2, 3), (sha("c"), 0, None, 2)])
