@@ -60,6 +60,22 @@ def clear_staged() -> None:
             return
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Remove the staged tables that ``df`` reads, before Python ends."""
+    files = df.inputFiles()
+    for at in [x for x in _written if any(x[1].split(":", 1)[-1] in f for f in files)]:
+        jvm = at[0].sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(at[1])
+        where.getFileSystem(at[0].sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(at)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect what it no longer refers to, so that Spark removes the shuffle
+    files of queries that have ended."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,22 +1,21 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each context has a restaurant; all contexts share one parent, the unigram restaurant, whose base
-is uniform over the vocabulary and one unknown word.  A context is the word before, if it is one
-of the CONTEXTS most frequent; rarer words share restaurants by a hash, so that the number of
-restaurants is fixed and their totals are small vectors, while customers and tables grow with the
-corpus.
+Each previous word has a restaurant of its own; all share one parent, the unigram restaurant,
+whose base is uniform over the vocabulary and one unknown word.
 
 Customers live in buckets by a hash of their word: a word's counts in all contexts, and at the
-parent, are in one place.  Seating is sampled by blocked Gibbs steps: given the totals of the
-restaurants, the number of tables at which a word's c customers sit has the exact conditional
-p(t) ~ S(c, t) a^t (S: generalised Stirling numbers, a: weight of a new table); then the parent's
-customers are those tables, and its tables are drawn likewise.  Totals are summed over the
-buckets between sweeps.  SAMPLES seatings are kept after burn-in; a repeated pass with the same
-seeds finds the same seatings, now with their totals, and averages their predictive
-probabilities, of which scores and perplexities are made.
+parent, are in one place.  Totals of restaurants live in shards by a hash of the context; a
+bucket sends a shard its own part of them and is sent the sums, in the order it asked.  Seating
+is sampled by blocked Gibbs steps: given the totals of the restaurants, the number of tables at
+which a word's c customers sit has the exact conditional p(t) ~ S(c, t) a^t (S: generalised
+Stirling numbers, a: weight of a new table); then the parent's customers are those tables, and
+its tables are drawn likewise.  Totals are summed between sweeps.  SAMPLES seatings are kept
+after burn-in; a repeated pass with the same seeds finds the same seatings, now with their
+totals, and averages their predictive probabilities, of which scores and perplexities are made.
 
 Texts are interned into blocks once.  A block asks the buckets for its distinct (context, word)
-pairs and words, so what is shuffled is distinct within a block, not each token.
+pairs and words, so what is shuffled is distinct within a block, not each token.  A bucket keeps
+where each block's pairs are, and so answers without being asked again.
 """
 
 from __future__ import annotations
@@ -29,9 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import Interner, arrays, blocks, crc_mod, ranges, staged, table, utf8
+from quillstream.llm.core import Interner, arrays, blocks, crc_mod, drop_staged, free_shuffles, staged, table, utf8
 
-CONTEXTS, RARE_CLASSES = 1024, 4
 BURN_IN, SAMPLES, SWEEPS = 2, 2, 2
 BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 3_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -42,7 +40,11 @@ END_HASH = xxhash.xxh3_64_intdigest(b"")
 
 ENCODED = "block long, n long, doc_ids binary, held binary, lengths binary, ids binary, vocabulary binary"
 REQUEST = "bucket int, block long, words binary, n binary, pairs binary, ctx binary, c binary"
-MERGED = "bucket int, tokens long, types long, ones long, twos long, words binary, n binary, pairs binary, ctx binary, c binary, ctx_tokens array<long>, ctx_types array<long>"
+MERGED = "bucket int, tokens long, types long, known long, ones long, twos long, n binary, pairs binary, n_contexts long, contexts binary, ctx binary, c binary, blocks array<long>, word_at array<binary>, pair_at array<binary>"
+MODEL = ["bucket", "n_contexts", "n", "pairs", "ctx", "c"]
+#: What a bucket has of a shard's restaurants, or (s, cust, tab) of its part of the parent.
+PART = "shard int, bucket int, ctx binary, v binary, s int, cust long, tab long"
+TOTALS = "bucket int, shard int, v binary, s int, cust long, tab long"
 REPLY = "block long, bucket int, n binary, p binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
@@ -82,40 +84,24 @@ def _arrays_of(row: dict) -> tuple:
     return np.frombuffer(zstandard.decompress(row["ids"]), "<i4"), lengths, held, np.frombuffer(row["vocabulary"], "<u8")
 
 
-def _frequent(batches):
-    """The most frequent training words of each block."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, lengths, held, vocabulary = _arrays_of(row)
-            n = np.bincount(ids[~np.repeat(held, lengths)], minlength=len(vocabulary))
-            top = np.argsort(-n, kind="stable")[: 4 * CONTEXTS]
-            top = top[n[top] > 0]
-            yield arrays(word=vocabulary[top].view(np.int64), n=n[top])
-
-
-def _pairs(row: dict, contexts: np.ndarray) -> tuple:
-    """(hash order of words, words of it, keys of pairs in that order, token -> pair, token held)"""
+def _pairs(row: dict) -> tuple:
+    """(hash order of words, keys of pairs in that order, token -> pair, token held, lengths)"""
     ids, lengths, held, vocabulary = _arrays_of(row)
     order = np.argsort(vocabulary)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    at = np.searchsorted(contexts, vocabulary)
-    at[at == len(contexts)] = 0
-    rare = len(contexts) + (vocabulary % np.uint64(RARE_CLASSES)).astype(np.int64)
-    context_of = np.where(contexts[at] == vocabulary, at, rare) if len(contexts) else rare
     before = np.concatenate([[0], ids[:-1]])
-    size = len(contexts) + RARE_CLASSES
-    keys, pair_of = np.unique(place[ids] * size + context_of[before], return_inverse=True)
-    return vocabulary[order], keys, pair_of, np.repeat(held, lengths), lengths, size
+    keys, pair_of = np.unique(place[ids] * len(order) + place[before], return_inverse=True)
+    return vocabulary[order], keys, pair_of, np.repeat(held, lengths), lengths
 
 
-def _requests(contexts: np.ndarray, buckets: int):
+def _requests(buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, keys, pair_of, held, _, size = _pairs(row, contexts)
+                words, keys, pair_of, held, _ = _pairs(row)
                 c = np.bincount(pair_of[~held], minlength=len(keys))
-                word, ctx = keys // size, keys % size
+                word, ctx = keys // len(words), words[keys % len(words)]
                 n = np.bincount(word, c, len(words)).astype(np.int64)
                 per_word = np.bincount(word, minlength=len(words))
                 bucket = bucket_of(words, buckets)
@@ -124,7 +110,7 @@ def _requests(contexts: np.ndarray, buckets: int):
                 for b in range(buckets):
                     i, j, k, m = edge[b], edge[b + 1], pair_edge[b], pair_edge[b + 1]
                     if i < j:
-                        yield arrays(bucket=np.array([b], np.int32), block=np.array([row["block"]]), words=_bin(words[i:j], "<u8"), n=_bin(n[i:j], "<u4"), pairs=_bin(per_word[i:j], "<u2"), ctx=_bin(ctx[k:m], "<u2"), c=_bin(c[k:m], "<u4"))
+                        yield arrays(bucket=np.array([b], np.int32), block=np.array([row["block"]]), words=_bin(words[i:j], "<u8"), n=_packed(n[i:j], "<u4"), pairs=_packed(per_word[i:j], "<u4"), ctx=_bin(ctx[k:m], "<u8"), c=_packed(c[k:m], "<u4"))
 
     return run
 
@@ -138,32 +124,99 @@ def _bin(x: np.ndarray, kind: str) -> pa.Array:
     return pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
 
 
+def _packed(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([_squeeze(x, kind)], pa.binary())
+
+
+def _squeeze(x: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
+
+
+def _open(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
 def _of(row: dict) -> tuple:
-    return tuple(np.frombuffer(row[k], t) for k, t in (("words", "<u8"), ("n", "<u4"), ("pairs", "<u2"), ("ctx", "<u2"), ("c", "<u4")))
+    n, per_word, c = (_open(row[k], "<u4") for k in ("n", "pairs", "c"))
+    return np.frombuffer(row["words"], "<u8"), n, per_word, np.frombuffer(row["ctx"], "<u8"), c
 
 
-def _merge(size: int):
-    """The counts of a bucket's words and pairs over all blocks; those not in training go."""
+def _places(at: np.ndarray, sizes: list[int]) -> pa.Array:
+    """Each block's places, which rise, as steps."""
+    return pa.array([[_squeeze(np.diff(x, prepend=0), "<u4") for x in np.split(at, np.cumsum(sizes)[:-1])]], pa.list_(pa.binary()))
 
-    def run(data: pa.Table) -> pa.Table:
-        parts = [_of(r) for r in data.select(["words", "n", "pairs", "ctx", "c"]).to_pylist()]
-        words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        key = np.repeat(place, np.concatenate([p[2] for p in parts])) * size + np.concatenate([p[3] for p in parts])
-        keys, pair = np.unique(key, return_inverse=True)
-        c = np.bincount(pair, np.concatenate([p[4] for p in parts])).astype(np.int64)
-        keys, c = keys[c > 0], c[c > 0]
-        ctx, seen = keys % size, n > 0
-        per_word = np.bincount(keys // size, minlength=len(words))[seen]
-        return pa.Table.from_batches([arrays(
-            bucket=data.column("bucket").slice(0, 1).combine_chunks().cast(pa.int32()), tokens=np.array([int(n.sum())]), types=np.array([int(seen.sum())]), ones=np.array([int((c == 1).sum())]), twos=np.array([int((c == 2).sum())]),
-            words=_bin(words[seen], "<u8"), n=_bin(n[seen], "<u4"), pairs=_bin(per_word, "<u2"), ctx=_bin(ctx, "<u2"), c=_bin(c, "<u4"),
-            ctx_tokens=pa.array([np.bincount(ctx, c, size).astype(np.int64).tolist()], pa.list_(pa.int64())), ctx_types=pa.array([np.bincount(ctx, minlength=size).tolist()], pa.list_(pa.int64())),
-        )])
+
+def _merge(data: pa.Table) -> pa.Table:
+    """The counts of a bucket's words and pairs over all blocks, and where each block's are;
+    those not in training count 0."""
+    rows = data.to_pylist()
+    parts = [_of(r) for r in rows]
+    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    contexts, ctx = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+    keys, pair = np.unique(np.repeat(place, np.concatenate([p[2] for p in parts])) * len(contexts) + ctx, return_inverse=True)
+    c = np.bincount(pair, np.concatenate([p[4] for p in parts])).astype(np.int64)
+    return pa.Table.from_batches([arrays(
+        bucket=np.array([rows[0]["bucket"]], np.int32), tokens=np.array([int(n.sum())]), types=np.array([int((n > 0).sum())]), known=np.array([int((c > 0).sum())]), ones=np.array([int((c == 1).sum())]), twos=np.array([int((c == 2).sum())]),
+        n=_packed(n, "<u4"), pairs=_packed(np.bincount(keys // len(contexts), minlength=len(words)), "<u4"), n_contexts=np.array([len(contexts)]), contexts=_bin(contexts, "<u8"), ctx=_packed(keys % len(contexts), "<u4"), c=_packed(c, "<u4"),
+        blocks=pa.array([[r["block"] for r in rows]], pa.list_(pa.int64())), word_at=_places(place, [len(p[0]) for p in parts]), pair_at=_places(pair, [len(p[3]) for p in parts]),
+    )])
+
+
+def _parts(row: dict, values: list[np.ndarray], shards: int):
+    """Sums of ``values`` of pairs by restaurant, for each shard."""
+    contexts, ctx = np.frombuffer(row["contexts"], "<u8"), _open(row["ctx"], "<u4")
+    v = np.stack([np.bincount(ctx, x, len(contexts)) for x in values], 1)
+    edge = np.searchsorted(bucket_of(contexts, shards), np.arange(shards + 1))
+    for k in range(shards):
+        i, j = edge[k], edge[k + 1]
+        if i < j:
+            yield {"shard": k, "bucket": row["bucket"], "ctx": contexts[i:j].tobytes(), "v": _squeeze(v[i:j], "<i8")}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
+
+
+def _first_parts(shards: int):
+    """Customers of restaurants, and their tables if each pair has one."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _open(row["c"], "<u4")
+                yield pa.RecordBatch.from_pylist(list(_parts(row, [c, c > 0], shards)), schema=_schema(PART))
 
     return run
 
 
+def _sum_parts(data: pa.Table) -> pa.Table:
+    """For each bucket, the totals of the shard's restaurants it has, in its order."""
+    rows = data.to_pylist()
+    out = [r for r in rows if r["ctx"] is None]
+    out = [{"s": r["s"], "cust": r["cust"], "tab": r["tab"]} for r in out]
+    rows = [r for r in rows if r["ctx"] is not None]
+    if rows:
+        ctx = [np.frombuffer(r["ctx"], "<u8") for r in rows]
+        at = np.unique(np.concatenate(ctx), return_inverse=True)[1]
+        v = np.concatenate([_open(r["v"], "<i8").reshape(len(c), -1) for r, c in zip(rows, ctx)])
+        total = np.stack([np.bincount(at, x) for x in v.T], 1).astype("<i8")
+        for r, mine in zip(rows, np.split(at, np.cumsum([len(c) for c in ctx])[:-1])):
+            out.append({"bucket": r["bucket"], "shard": r["shard"], "v": _squeeze(total[mine], "<i8")})
+    return pa.Table.from_pylist(out, schema=_schema(TOTALS))
+
+
+def _bucket(data: pa.Table) -> tuple:
+    """(the bucket's row, totals of its restaurants by round); columns: customers, tables of each sample"""
+    rows = data.to_pylist()
+    row = next(r for r in rows if r["ctx"] is not None)
+    found: dict = {}
+    for r in sorted((r for r in rows if r["v"] is not None), key=lambda r: (r["round"], r["shard"])):
+        found.setdefault(r["round"], []).append(_open(r["v"], "<i8"))
+    return row, [np.concatenate(found[k]).reshape(row["n_contexts"], -1) for k in sorted(found)]
+
+
 def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
     """log S(c, t) of Pitman-Yor seating with discount d: S(c+1, t) = S(c, t-1) + (c - t d) S(c, t)."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -203,41 +256,36 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rn
 
 
 def _unpack(row: dict) -> tuple:
-    words, n, per_word, ctx, c = _of(row)
-    return words, n.astype(np.int64), np.repeat(np.arange(len(words)), per_word), ctx.astype(np.int64), c.astype(np.int64)
+    n, per_word, ctx, c = (_open(row[k], "<u4").astype(np.int64) for k in ("n", "pairs", "ctx", "c"))
+    return n, np.repeat(np.arange(len(n)), per_word), ctx, c
 
 
-def seatings(row: dict, m: dict):
+def seatings(row: dict, tables: np.ndarray, m: dict):
     """For each kept sample: (tables of pairs, customers and tables of words at the parent)."""
-    words, _, word, ctx, c = _unpack(row)
+    n, word, ctx, c = _unpack(row)
     stirling1, stirling0 = log_stirling(m["d1"]), log_stirling(m["d0"])
-    new_table = m["theta1"] + m["d1"] * m["tables1"][ctx]
-    cust, tab = np.bincount(word, minlength=len(words)), np.ones(len(words), np.int64)
+    new_table = m["theta1"] + m["d1"] * tables[ctx]
+    cust, tab = np.bincount(word, c > 0, len(n)).astype(np.int64), (n > 0).astype(np.int64)
     base = (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]
     for s in range(BURN_IN + SAMPLES):
         rng = np.random.default_rng([int(row["bucket"]), m["sweep"], s])
         h = (cust - m["d0"] * tab + base) / (m["theta0"] + m["cust0"])
         t = draw_tables(c, new_table * h[word], m["d1"], stirling1, rng)
-        cust = np.bincount(word, t, len(words)).astype(np.int64)
-        tab = draw_tables(cust, np.full(len(words), base), m["d0"], stirling0, rng)
+        cust = np.bincount(word, t, len(n)).astype(np.int64)
+        tab = draw_tables(cust, np.full(len(n), base), m["d0"], stirling0, rng)
         if s >= BURN_IN:
             yield t, cust, tab
 
 
-def _totals(m: dict):
-    """The restaurants' totals of each sample over a partition's buckets."""
+def _seat(m: dict, shards: int):
+    """A bucket's parts of the restaurants' totals, and of the parent's, in each sample."""
 
-    def run(batches):
-        size = len(m["tables1"])
-        out = np.zeros((SAMPLES, size + 2))
-        for batch in batches:
-            for row in batch.to_pylist():
-                ctx = np.frombuffer(row["ctx"], "<u2")
-                for s, (t, cust, tab) in enumerate(seatings(row, m)):
-                    out[s, :size] += np.bincount(ctx, t, size)
-                    out[s, size:] += cust.sum(), tab.sum()
-        s, k = np.nonzero(out)
-        yield arrays(s=s.astype(np.int32), k=k.astype(np.int32), v=out[s, k].astype(np.int64))
+    def run(data: pa.Table) -> pa.Table:
+        row, totals = _bucket(data)
+        found = list(seatings(row, totals[-1][:, 1:].mean(1), m))
+        out = list(_parts(row, [_open(row["c"], "<u4"), *(t for t, _, _ in found)], shards))
+        out += [{"shard": row["bucket"] % shards, "bucket": row["bucket"], "s": s, "cust": int(cust.sum()), "tab": int(tab.sum())} for s, (_, cust, tab) in enumerate(found)]
+        return pa.Table.from_pylist(out, schema=_schema(PART))
 
     return run
 
@@ -245,73 +293,47 @@ def _totals(m: dict):
 def _likelihoods(m: dict):
     """Leave-one-out log likelihood of the pairs for each strength, each seated at one table."""
 
-    def run(batches):
+    def run(data: pa.Table) -> pa.Table:
+        row, (totals,) = _bucket(data)
+        n, word, ctx, c = _unpack(row)
+        seen = c > 0
+        word, ctx, c = word[seen], ctx[seen], c[seen]
+        cust = np.bincount(word, minlength=len(n))
+        h = ((cust - m["d0"] + (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]) / (m["theta0"] + m["cust0"]))[word]
         out = np.zeros(len(STRENGTHS))
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, _, word, ctx, c = _unpack(row)
-                cust = np.bincount(word, minlength=len(words))
-                h = ((cust - m["d0"] + (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]) / (m["theta0"] + m["cust0"]))[word]
-                for i, theta in enumerate(STRENGTHS):
-                    p = np.where(c > 1, c - 1 - m["d1"], 0.0) + (theta + m["d1"] * (m["tables1"][ctx] - (c == 1))) * h
-                    out[i] += float((c * np.log(np.maximum(p, 1e-300) / (theta + m["ctx_tokens"][ctx] - 1 + 1e-9))).sum())
-        yield arrays(i=np.arange(len(STRENGTHS), dtype=np.int32), v=out)
+        for i, theta in enumerate(STRENGTHS):
+            p = np.where(c > 1, c - 1 - m["d1"], 0.0) + (theta + m["d1"] * (totals[ctx, 1] - (c == 1))) * h
+            out[i] += float((c * np.log(np.maximum(p, 1e-300) / (theta + totals[ctx, 0] - 1 + 1e-9))).sum())
+        return pa.Table.from_batches([arrays(i=np.arange(len(STRENGTHS), dtype=np.int32), v=out)])
 
     return run
 
 
 def _reply(m: dict):
-    """Averaged predictive log10 probabilities of the pairs that blocks ask for, and word counts."""
-
-    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        out = []
-        size = len(m["tables1"])
-        totals = m["samples"]
-        floor = [(m["theta0"] + m["d0"] * x[-1]) / m["types_all"] / (m["theta0"] + x[-2]) for x in totals]
-        if model.num_rows:
-            row = model.to_pylist()[0]
-            words, n, word, ctx, c = _unpack(row)
-            found = list(seatings(row, m))
-            keys = word * size + ctx
-        else:
-            words, n, keys, c, found = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for r in asked.to_pylist():
-            w, _, per_word, ctx_, _ = _of(r)
-            at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-            known = words[at] == w if len(words) else np.zeros(len(w), bool)
-            place = np.repeat(np.where(known, at, -1), per_word)
-            k = ctx_.astype(np.int64)
-            have = place >= 0
-            p = np.zeros(len(k))
-            c_u = m["ctx_tokens"][k]
-            if len(keys):
-                want = place * size + k
-                pos = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                pair = have & (keys[pos] == want)
-            for s, x in enumerate(totals):
-                parent = np.full(len(k), floor[s])
-                own = np.zeros(len(k))
-                if found:
-                    t, cust, tab = found[s]
-                    parent[have] += ((cust - m["d0"] * tab) / (m["theta0"] + x[-2]))[place[have]]
-                    own[pair] = c[pos[pair]] - m["d1"] * t[pos[pair]]
-                p += np.where(c_u > 0, (own + (m["theta1"] + m["d1"] * x[k]) * parent) / (m["theta1"] + c_u), parent)
-            count = np.where(known, n[at], 0) if len(words) else np.zeros(len(w), np.int64)
-            out.append(arrays(block=np.array([r["block"]]), bucket=np.array([r["bucket"]], np.int32), n=_bin(count, "<u4"), p=_bin(np.log10(p / len(totals)), "<f4")))
-        return pa.Table.from_batches(out) if out else _EMPTY_REPLY
-
-    return run
+    """Averaged predictive log10 probabilities of each block's pairs, and its word counts."""
 
+    def run(data: pa.Table) -> pa.Table:
+        row, (before, totals) = _bucket(data)
+        n, word, ctx, c = _unpack(row)
+        c_u, p = totals[ctx, 0], np.zeros(len(c))
+        for s, (t, cust, tab) in enumerate(seatings(row, before[:, 1:].mean(1), m)):
+            cust0, tab0 = m["samples"][s]
+            parent = ((m["theta0"] + m["d0"] * tab0) / m["types_all"] + (cust - m["d0"] * tab)[word]) / (m["theta0"] + cust0)
+            own = np.where(c > 0, c - m["d1"] * t, 0.0)
+            p += np.where(c_u > 0, (own + (m["theta1"] + m["d1"] * totals[ctx, 1 + s]) * parent) / (m["theta1"] + c_u), parent)
+        p = np.log10(p / SAMPLES)
+        at = lambda x: np.cumsum(_open(x, "<u4").astype(np.int64))
+        return pa.Table.from_batches([arrays(block=np.array([b]), bucket=np.array([row["bucket"]], np.int32), n=_packed(n[at(w)], "<u4"), p=_bin(p[at(k)], "<f4")) for b, w, k in zip(row["blocks"], row["word_at"], row["pair_at"])])
 
-_EMPTY_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("p", pa.binary())]).empty_table()
+    return run
 
 
-def _score(contexts: np.ndarray, tokens: int, types: int):
+def _score(tokens: int, types: int):
     def run(encoded: pa.Table, replies: pa.Table) -> pa.Table:
         row = encoded.to_pylist()[0]
-        words, keys, pair_of, _, lengths, size = _pairs(row, contexts)
+        words, keys, pair_of, _, lengths = _pairs(row)
         answers = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in answers]).astype(np.float64)[keys // size]
+        n = np.concatenate([_open(r["n"], "<u4") for r in answers]).astype(np.float64)[keys // len(words)]
         p = np.concatenate([np.frombuffer(r["p"], "<f4") for r in answers]).astype(np.float64)
         base = np.log10((n + 1) / (tokens + types + 1))
         starts = np.cumsum(lengths) - lengths
@@ -334,34 +356,47 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     encoded = staged(rows.mapInArrow(_encode, ENCODED), "encoded")
     total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = 1 + total // BUCKET_TOKENS
-    top = encoded.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()
-    contexts = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    size = len(contexts) + RARE_CLASSES
-    asked = encoded.mapInArrow(_requests(contexts, buckets), REQUEST)
-    merged = staged(asked.groupBy("bucket").applyInArrow(_merge(size), MERGED), "merged")
-    x = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ones", "twos")]).first()
-    by_context = merged.select(F.posexplode(F.arrays_zip("ctx_tokens", "ctx_types")).alias("k", "x")).groupBy("k").agg(F.sum("x.ctx_tokens").alias("c"), F.sum("x.ctx_types").alias("t")).collect()  # one row for each restaurant
-    tokens, tables = np.zeros(size), np.zeros(size)
-    for r in by_context:
-        tokens[r["k"]], tables[r["k"]] = r["c"], r["t"]
+    asked = encoded.mapInArrow(_requests(buckets), REQUEST)
+    merged = staged(asked.groupBy("bucket").applyInArrow(_merge, MERGED), "merged")
+    x = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ones", "twos", "known")]).first()
+
+    free_shuffles(df.sparkSession)
+
+    def summed(parts: DataFrame) -> DataFrame:
+        totals = staged(parts.groupBy("shard").applyInArrow(_sum_parts, TOTALS), "totals")
+        free_shuffles(df.sparkSession)
+        return totals
+
+    def seen_with(rounds: list[DataFrame], columns: list[str] = MODEL):
+        """The buckets, each with the totals of its restaurants after some rounds."""
+        out = merged.select(*columns)
+        for k, totals in enumerate(rounds):
+            out = out.unionByName(totals.where("bucket IS NOT NULL").select("bucket", "shard", "v", F.lit(k).alias("round")), allowMissingColumns=True)
+        return out.groupBy("bucket")
+
+    totals = summed(merged.select("bucket", "contexts", "ctx", "c").mapInArrow(_first_parts(buckets), PART))
     # discounts by counts of counts; the parent starts with a table for each word
     d1 = min(0.95, max(0.05, x[2] / max(1, x[2] + 2 * x[3])))
-    m = {"d1": d1, "d0": 0.5, "theta0": 1.0, "theta1": 1.0, "types_all": x[1] + 1, "ctx_tokens": tokens, "tables1": tables, "cust0": float(tables.sum()), "tables0": float(x[1]), "sweep": 0}
-    scores = {r["i"]: r["v"] for r in merged.mapInArrow(_likelihoods(m), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    m = {"d1": d1, "d0": 0.5, "theta0": 1.0, "theta1": 1.0, "types_all": x[1] + 1, "cust0": float(x[4]), "tables0": float(x[1]), "sweep": 0}
+    scores = {r["i"]: r["v"] for r in seen_with([totals]).applyInArrow(_likelihoods(m), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     if scores:
         m["theta1"] = STRENGTHS[max(scores, key=lambda i: (scores[i], -i))]
-    samples = np.tile(np.concatenate([tables, [m["cust0"], m["tables0"]]]), (SAMPLES, 1))
+    samples = np.tile([m["cust0"], m["tables0"]], (SAMPLES, 1))
+    rounds = [totals]
     for sweep in range(SWEEPS):
-        m |= {"sweep": sweep}
-        if sweep:
-            mean = samples.mean(0)
-            m |= {"tables1": mean[:size], "cust0": float(mean[size]), "tables0": float(mean[size + 1])}
-        samples = np.zeros((SAMPLES, size + 2))
-        for r in merged.mapInArrow(_totals(m), "s int, k int, v long").groupBy("s", "k").agg(F.sum("v").alias("v")).collect():
-            samples[r["s"], r["k"]] = r["v"]
+        mean = samples.mean(0)
+        m |= {"sweep": sweep, "cust0": float(mean[0]), "tables0": float(mean[1])}
+        before, totals = totals, summed(seen_with([totals], [*MODEL, "contexts"]).applyInArrow(_seat(m, buckets), PART))
+        rounds.append(totals)
+        samples = np.zeros((SAMPLES, 2))
+        for r in totals.where("s IS NOT NULL").groupBy("s").agg(F.sum("cust").alias("cust"), F.sum("tab").alias("tab")).collect():
+            samples[r["s"]] = r["cust"], r["tab"]
     m["samples"] = samples
-    reply = asked.groupBy("bucket").cogroup(merged.select("bucket", "words", "n", "pairs", "ctx", "c").groupBy("bucket")).applyInArrow(_reply(m), REPLY)
-    return encoded.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(contexts, int(x[0]), int(x[1])), SCORED)
+    reply = staged(seen_with([before, totals], [*MODEL, "blocks", "word_at", "pair_at"]).applyInArrow(_reply(m), REPLY), "reply")
+    for done in (merged, *rounds):
+        drop_staged(done)
+    free_shuffles(df.sparkSession)
+    return encoded.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(int(x[0]), int(x[1])), SCORED)
 
 
 def op4_lm_scoring(spark, sf_dir):

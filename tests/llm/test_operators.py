@@ -159,6 +159,17 @@ def test_lm_learns_order(spark):
     assert a > max(b, c) and math.isclose(got[held[0]]["perplexity"], 10 ** (-a / 7))
 
 
+def test_lm_keeps_every_context(spark):
+    """Each of 3,000 words, all equally frequent, has a follower of its own, and the model knows all of them."""
+    train = (i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = (i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(next(train), f"u{k} v{k}") for k in range(3000) for _ in range(4)]
+    asked = {k: (next(held), next(held)) for k in range(0, 3000, 10)}
+    rows += [(i, f"u{k} v{(k + j) % 3000}") for k, two in asked.items() for j, i in enumerate(two)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[a] - got[b] for a, b in asked.values()) > 1.0
+
+
 def test_stirling_numbers_and_tables():
     d, s = 0.5, lm_scoring.log_stirling(0.5, 6)
     assert np.allclose(np.exp(s[3, 1:4]), [(1 - d) * (2 - d), 3 * (1 - d), 1.0])
