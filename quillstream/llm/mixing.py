@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-Words are cut into equal blocks.  The mix's blocks go to sources, and a source's blocks to its
-shards, by highest quotients weight / (2k + 1).  Within a shard a seeded permutation of its
+A source's words are cut into equal blocks.  The mix's words go to sources, and a source's blocks
+to its shards, by highest quotients weight / (2k + 1).  Shards and the length of a block follow
+the source's own words, so that blocks that are not full weigh little.  Within a shard a seeded permutation of its
 blocks says which are taken once more than the others.
 """
 
@@ -15,7 +16,7 @@ from quillstream.llm.core import WORD_RE, staged, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-SHARD_WORDS, MAX_BLOCK = 500_000, 32
+SHARD_WORDS, MAX_BLOCK, MIN_BLOCKS = 500_000, 32, 512
 #: A prime above any block count of a shard: a multiple of it, modulo n, visits all n blocks.
 STEP = 2_654_435_761
 
@@ -81,19 +82,21 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     size = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(WORD_RE)))
     rows = staged(df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size")), "sizes")
-    # the number of shards and the length of a block follow the whole corpus: two numbers
-    total, n_sources = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct(F.coalesce(F.col("source"), F.lit("\0")))).first()
-    shards = 1 + total // SHARD_WORDS
-    block = max(1, min(MAX_BLOCK, total // (512 * max(1, n_sources))))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
-    parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")))
-    targets = targets.withColumn("_n", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long"))
-    targets = sainte_lague(targets, [], "source", "target", "_n", "blocks")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))  # few: one row each
+    shards = F.floor(F.col("source_size") / SHARD_WORDS) + 1
+    block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("source_size") / MIN_BLOCKS))).cast("long")
+    cuts = F.broadcast(sources.select(F.col("source").alias("_s"), shards.alias("_shards"), block.alias("_block")))
+    rows = rows.join(cuts, rows["source"].eqNullSafe(cuts["_s"])).drop("_s")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards"))).drop("_shards")
+    parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("_block").alias("_block"))
+    targets = source_targets(sources)
+    targets = targets.withColumn("_n", F.round(F.sum("target").over(W.partitionBy(F.lit(0)))).cast("long"))
+    targets = sainte_lague(targets, [], "source", "target", "_n", "seats")
+    targets = targets.withColumn("blocks", F.round(F.col("seats") / block).cast("long"))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target", "blocks")
     parts = parts.join(t, parts["source"].eqNullSafe(t["_s"])).drop("_s")
     parts = sainte_lague(parts, ["source"], "shard", "words", "blocks", "quota")
-    n = F.greatest(F.lit(1), F.ceil(F.col("words") / block)).cast("long")
+    n = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("_block"))).cast("long")
     parts = parts.withColumn("_n", n).withColumn("quota", F.least(F.col("quota"), (CAP * F.col("_n")).cast("long")))
     p = parts.select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "source_size", "target", "_n", "quota")
     stream = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
@@ -101,6 +104,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rows = rows.join(p, rows["source"].eqNullSafe(p["_s"]) & (rows["shard"] == p["_p"]))
     start = F.col("_end") - F.col("size")
     offset = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("_n"))
+    block = F.col("_block")
     first, last = F.floor(start / block).cast("long"), F.floor((F.col("_end") - 1) / block).cast("long")
 
     def of_block(i):

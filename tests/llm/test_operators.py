@@ -116,6 +116,15 @@ def test_mixing(spark, kind):
     assert (got["taken"] <= 2 * got["size"]).all() and (got["taken"] >= 0).all()
 
 
+def test_mixing_of_a_small_source_in_a_large_corpus(spark, monkeypatch):
+    """A source of short texts meets its target however many shards the others have."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2_000)
+    rows = [(i, "w " * 100, "a") for i in range(4000)] + [(10_000 + i, "x y", "b") for i in range(1000)] + [(20_000 + i, "z", "c") for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 1 + 0.01 * r["max(target)"], r
+
+
 def seats_by_hand(weights, seats):
     won = Counter()
     for _ in range(seats):
