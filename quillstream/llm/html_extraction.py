@@ -2,24 +2,38 @@
 
 A page is read once by a scanner that keeps a stack of open containers and cuts text into blocks
 at block-level tags.  Pass one decides each block: text in menus, forms, adverts, comments and
-the like is boilerplate, as are blocks that are mostly links; long blocks with enough stop words,
-and long blocks inside the article, are content; short or undecided ones are ambiguous.  Pass two
-gives each ambiguous block the label of its nearest decided neighbours.
+the like is boilerplate, as are blocks that are mostly links; long blocks with enough stop words
+are content; short or undecided ones are ambiguous.  Pass two gives each ambiguous block the label
+of its nearest decided neighbours.
+
+Containers are evidence, not verdicts.  ``main`` and ``article`` rule out what is outside them
+only if they hold enough of the page's prose, and an uncertain class name, or a form, is
+boilerplate only if it holds less than half of it.  Stop words are listed for four languages; in
+a page of another one its own frequent words stand in for them, and sentence marks where words
+aren't separated.  A page whose rules leave nothing is read again with fewer of them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.core import arrays, blocks, table
+from quillstream.shipping import ship
 
 BLOCK_BYTES = 4_000_000
 LONG, SHORT_LINKS, LINKS, STOPS = 70, 0.5, 0.33, 0.2
+#: Parts of a page's prose: main or articles that rule out the rest hold at least so much, and
+#: uncertain containers less than HALF.
+MAIN, HALF = 0.25, 0.5
+#: Listed stop words are so rare in languages that have no list.
+FOREIGN = 0.08
 
 # fixed values: frequent words of the languages that pages come in
 STOP_WORDS = frozenset(
@@ -29,162 +43,395 @@ STOP_WORDS = frozenset(
     " el los las del y que se por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde".split()
 )
 # fixed values: elements by what they do to text
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|option|button|canvas|audio|video|xmp|noembed|noframes"
-BOILERPLATE = frozenset("nav header footer aside form menu dialog figcaption fieldset label legend".split())
-CONTENT = frozenset(("article", "main"))
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+RAW = frozenset("script style noscript textarea title xmp iframe noembed noframes".split())
+MUTE = frozenset("template svg math object select button canvas audio video datalist".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog fieldset label legend".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input option optgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a new one of the same kind closes, since authors leave their end tags out.
 CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Blocks that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # fixed values: parts of class names, ids and roles of what is not the article
-MARKED = re.compile(
-    r"(?:^|(?<!has)(?<!with)(?<!without)(?<!no)[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookie\w*|consent|gdpr|notice\w*|alert|subscribe\w*|newsletter|signup|login|paywall"
-    r"|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|topbar|footer|bottom|copyright|legal|sidebar|side|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social|toolbar"
-    r"|comment\w*|disqus|replies|reply|respond|discussion|reviews|search|form|pagination|pager|tags|skip|hidden|disclaimer|complementary|contentinfo|dialog|alertdialog)(?:$|[\s_-])",
+SURE = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|popup|modal|cookie\w*|consent|gdpr|subscribe\w*|newsletter|signup|login|paywall|nav|navbar|navigation|menu\w*|breadcrumb\w*|masthead|topbar|footer|sidebar|widget\w*"
+    r"|related|recommend\w*|comments?|commentlist|disqus|replies|respond|pagination|pager|complementary|contentinfo|alertdialog",
     re.I,
 )
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+UNSURE = re.compile(
+    r"banner|overlay|notices?|alert|header|bottom|copyright|legal|side|rail|trending|popular|share|sharing|social|toolbar|reply|discussion|reviews|search|form|tags|skip|hidden|disclaimer|dialog",
+    re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# fixed values: first parts of names that tell what a page is about or has, not what the element is
+ABOUT = frozenset("tag category cat format status type has with without no not".split())
+#: A name with an uncertain word says what the element is if it ends with that or one of these.
+ENDINGS = frozenset("box bar block list area section wrap wrapper container inner outer links buttons icons widget panel text".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SKIP, ATTRIBUTE, EQUALS, VALUE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>=]+|="), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 WORD = re.compile(r"[^\W\d_]+")
+WIDE = re.compile("[฀-໿က-႟ក-៿⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
+SENTENCE = re.compile("[.!?…](?:\\s|$)|[。！？，।؟۔،።။។]")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    linked: int  # characters in links, without white space
+    bad: bool  # in a container that is boilerplate for sure
+    weak: int  # the innermost uncertain container, -1 if none
+    article: bool
+    main: bool
+    heading: bool
+    header: bool  # in the header of an article
+
+
+class Tags:
+    """Reads the tags of a page, each character a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+        self.lower = ""
+
+    def find(self, what: str, at: int) -> int:
+        """As str.find; what was once not found isn't looked for again."""
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes from ``at``, and where the tag ends (-1: it doesn't).  A quote that is
+        not closed before a delimiter ends with the tag."""
+        page, found = self.page, {}
+        while True:
+            at = SKIP.match(page, at).end()
+            if at >= len(page):
+                return found, -1
+            if page[at] == ">":
+                return found, at + 1
+            m = ATTRIBUTE.match(page, at)
+            name, at = m[0], m.end()
+            m = EQUALS.match(page, at)
+            value = ""
+            if m:
+                at = m.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'"):
+                    k = self.find(quote, at + 1)
+                    if k >= 0 and page[k + 1 : k + 2] in " \t\n\r\f/>":
+                        value, at = page[at + 1 : k], k + 1
+                    else:
+                        k = self.find(">", at + 1)
+                        value, at = page[at + 1 : k if k >= 0 else at + 1], k if k >= 0 else len(page)
+                else:
+                    m = VALUE.match(page, at)
+                    value, at = m[0], m.end()
+            if len(name) < 20:
+                found.setdefault(name.lower(), value)
 
+    def closes(self, name: str, at: int) -> int:
+        """Where the end tag of ``name`` begins, -1 if there is none."""
+        key = "</" + name
+        if key in self.missing:
+            return -1
+        if not self.lower:
+            self.lower = self.page.lower()
+            if len(self.lower) != len(self.page):  # letters that grow: ASCII ones are all we need
+                self.lower = re.sub("[A-Z]+", lambda m: m[0].lower(), self.page)
+        while (k := self.lower.find(key, at)) >= 0:
+            if self.lower[k + len(key) : k + len(key) + 1] in " \t\n\r\f/>":
+                return k
+            at = k + len(key)
+        self.missing.add(key)
+        return -1
 
-def _is_marked(attributes: str) -> bool:
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and (value or m[0].lower() == "hidden") or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role") and MARKED.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
-
-
-def cut(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in boilerplate, in an article) of each block, in order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article; each with what it is within
+
+def marks(name: str, attributes: dict[str, str]) -> int:
+    """2 if the attributes say that an element is boilerplate, 1 if they may, else 0."""
+    if not attributes:
+        return 0
+    if "hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attributes.get("style", "")):
+        return 2
+    best = 0
+    for key in ("class", "id", "role"):
+        for word in attributes.get(key, "").split():
+            parts = [p for p in re.split(r"[_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)) if p]
+            if not parts or parts[0].lower() in ABOUT:
+                continue
+            if name in ("article", "main", "body", "html"):
+                if name == "article" and parts[0].lower() in ("comment", "comments", "reply", "related", "promo", "sponsored", "ad"):
+                    return 2
+                continue
+            if any(SURE.fullmatch(p) for p in parts):
+                return 2
+            tail = parts[-1].lower()
+            for k, p in enumerate(parts):
+                if UNSURE.fullmatch(p) and (k == len(parts) - 1 or tail in ENDINGS or tail.isdigit()):
+                    best = 1
+    return best
+
+
+def cut(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks in order, and the container that each uncertain container is in."""
+    out: list[Block] = []
+    parents: list[int] = []
+    tags, depth = Tags(page), Counter()
+    # name, mute, bad, weak, article, main, heading, header
+    top = ("", False, False, -1, False, False, False, False)
+    stack = [top]
     text: list[str] = []
-    linked, in_link = 0, 0
+    link: list[list[int]] | None = None  # (block, characters) of an open link
+    linked: Counter = Counter()
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text
         if text:
             body = " ".join("".join(text).split())
             if body:
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((body, linked, bad, article))
-            text, linked = [], 0
+                _, _, bad, weak, article, main, heading, header = stack[-1]
+                out.append(Block(body, 0, bad, weak, article, main, heading, header))
+            text = []
 
     def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        if raw and not stack[-1][1]:
             plain = html.unescape(raw) if "&" in raw else raw
             text.append(plain)
-            if in_link:
-                linked += len("".join(plain.split()))
-
-    def close(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
-            if m[0][:9] == "<![CDATA[":
-                add(m[0][9:-3])
-            elif m[1]:
-                text.append(" ")
+            if link is not None:
+                n = len("".join(plain.split()))
+                if link and link[-1][0] == len(out):
+                    link[-1][1] += n
+                else:
+                    link.append([len(out), n])
+
+    def end_link(closed: bool) -> None:
+        """A link without an end ends with its block."""
+        nonlocal link
+        for k, n in (link or []) if closed else (link or [])[:1]:
+            linked[k] += n
+        link = None
+
+    def pop() -> None:
+        if not stack[-1][1]:
+            flush()
+        depth[stack.pop()[0]] -= 1
+
+    def push(name: str, mute: bool, mark: int) -> None:
+        _, was_mute, bad, weak, article, main, heading, header = stack[-1]
+        if mark == 1:
+            parents.append(weak)
+            weak = len(parents) - 1
+        inside = article or main
+        stack.append((
+            name, mute or was_mute, bad or mark == 2, weak, article or name == "article", main or name == "main",
+            heading or name in HEADINGS, header or name == "header" and inside,
+        ))
+        depth[name] += 1
+
+    at, n = 0, len(page)
+    while at < n:
+        k = page.find("<", at)
+        if k < 0:
+            break
+        c = page[k + 1 : k + 2]
+        if c == "!" or c == "?":
+            add(page[at:k])
+            if page.startswith("<!--", k):
+                e = tags.find("-->", k + 2)
+                at = n if e < 0 else e + 3
+            elif page.startswith("<![CDATA[", k):
+                e = tags.find("]]>", k)
+                add(page[k + 9 : n if e < 0 else e])
+                at = n if e < 0 else e + 3
+            else:
+                e = tags.find(">", k)
+                at = n if e < 0 else e + 1
             continue
-        name, end = m[3].lower(), bool(m[2])
-        if name == "a":
-            in_link = 0 if end else 1
+        end = c == "/"
+        m = NAME.match(page, k + 2 if end else k + 1)
+        if not m:  # a sign, not a tag
+            if end:
+                e = tags.find(">", k)
+                add(page[at:k])
+                at = n if e < 0 else e + 1
+            else:
+                add(page[at : k + 1])
+                at = k + 1
+            continue
+        add(page[at:k])
+        name = m[0].lower()
+        attributes, at = tags.attributes(m.end())
+        if at < 0:
+            at = n
+            break
+        if end:
+            if name == "a":
+                end_link(True)
+            elif name in INLINE and name != "span":
+                pass
+            elif depth[name]:
+                if name == "span" and stack[-1][0] != "span":
+                    continue
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+            elif name != "span" and not stack[-1][1]:
+                flush()
             continue
-        if name == "br":
+        if name in RAW:
+            e = tags.closes(name, at)
+            if e >= 0:
+                at = tags.attributes(e + 2 + len(name))[1]
+                at = n if at < 0 else at
+            elif name in ("script", "style"):
+                at = n
+            text.append(" ")
+        elif name in MUTE:
+            text.append(" ")
+            if not (name in ("svg", "math") and page[at - 2] == "/") and tags.closes(name, at) >= 0:
+                push(name, True, 0)
+        elif stack[-1][1]:
+            if name not in VOID and name not in INLINE and depth[name]:
+                push(name, True, 0)  # so that its end tag does not close one further out
+        elif name == "a":
+            end_link(False)
+            if "href" in attributes:
+                link = []
+        elif name == "br":
             text.append(" ")
         elif name in INLINE:
-            if not end and name == "span" and _is_marked(m[4]):
-                flush()
-                bad, article = (stack[-1][1:]) if stack else (False, False)
-                stack.append((name, True, article))
-            elif end and name == "span" and stack and stack[-1][0] == "span":
-                close(len(stack) - 1)
-        elif end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            else:
-                flush()
+            if name == "span" and (depth["span"] or marks(name, attributes) == 2):
+                mark = marks(name, attributes)
+                if mark == 2:
+                    flush()
+                push(name, False, mark if mark == 2 else 0)
         else:
             flush()
-            if name in ENDS_P and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            while stack and stack[-1][0] in CLOSING.get(name, ()):
-                close(len(stack) - 1)
-            if name not in VOID and not m[4].endswith("/"):
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                bad = bad or name in BOILERPLATE or name not in ("html", "body") and _is_marked(m[4])
-                stack.append((name, bad, article or name in CONTENT))
+            if name in ENDS_P and stack[-1][0] == "p":
+                pop()
+            while stack[-1][0] in CLOSING.get(name, ()):
+                pop()
+            if name not in VOID:
+                inside = stack[-1][4] or stack[-1][5]
+                if name in BOILERPLATE or name == "header" and not inside:
+                    mark = 2
+                else:
+                    mark = max(marks(name, attributes), int(name == "form"))
+                    if name == "header":
+                        mark = 0 if mark == 1 else mark
+                push(name, False, mark)
     add(page[at:])
     flush()
-    return out
+    end_link(False)
+    for k, chars in linked.items():
+        if k < len(out):
+            out[k].linked = chars
+    return out, parents
+
+
+def width(text: str) -> int:
+    """Length, where a character of a script without spaces counts for two."""
+    return len(text) if text.isascii() else len(text) + len(WIDE.findall(text))
 
 
-def decide(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """Which blocks are content, by the two passes."""
-    whole = any(article and not bad for *_, bad, article in found)
+def decide(found: list[Block], parents: list[int]) -> list[bool]:
+    """Which blocks are content, by the two passes; with fewer rules if these leave nothing."""
+    for use_marks, use_words in ((True, True), (False, True), (False, False)):
+        keep = _decide(found, parents, use_marks, use_words)
+        if any(keep):
+            return keep
+    return keep
+
+
+def _decide(found: list[Block], parents: list[int], use_marks: bool, use_words: bool) -> list[bool]:
+    size = [len(b.text) - b.text.count(" ") for b in found]
+    links = [min(1.0, b.linked / max(1, n)) for b, n in zip(found, size)]
+    strong = [b.bad for b in found]
+    prose = [0 if bad or x > LINKS else n for bad, x, n in zip(strong, links, size)]
+    total = max(1, sum(prose))
+    held = [0] * len(parents)
+    for b, p in zip(found, prose):
+        if b.weak >= 0:
+            held[b.weak] += p
+    for k in range(len(parents) - 1, -1, -1):  # a container comes after the one it is in
+        if parents[k] >= 0:
+            held[parents[k]] += held[k]
+    weak = [False] * len(parents)
+    for k, parent in enumerate(parents):
+        weak[k] = use_marks and held[k] < HALF * total or parent >= 0 and weak[parent]
+    bad = [s or b.weak >= 0 and weak[b.weak] for s, b in zip(strong, found)]
+    prose = [0 if x else p for x, p in zip(bad, prose)]
+    total = max(1, sum(prose))
+    main = sum(p for p, b in zip(prose, found) if b.main)
+    article = sum(p for p, b in zip(prose, found) if b.article)
+    both = sum(p for p, b in zip(prose, found) if b.article and b.main)
+    if main >= MAIN * total and main:
+        region = [b.main and (b.article or both < HALF * main) for b in found]
+    elif article >= HALF * total and article:
+        region = [b.article for b in found]
+    else:
+        region = [False] * len(found)
+    ruled = any(region)
+    # an article's header has its title; dates and names beside it decide nothing
+    bad = [x or b.header and not b.heading and len(b.text) < LONG for x, b in zip(bad, found)]
+
+    words = [WORD.findall(b.text.lower()) if p else [] for b, p in zip(found, prose)]
+    of_page = Counter(w for ws in words for w in ws)
+    n_words = sum(of_page.values())
+    stop_words, foreign = STOP_WORDS, False
+    if n_words and sum(of_page[w] for w in STOP_WORDS if w in of_page) < FOREIGN * n_words:
+        foreign = True
+        stop_words = frozenset(w for w, c in of_page.items() if c >= 3 and c >= 0.005 * n_words)
+
     first: list[bool | None] = []
-    for text, linked, bad, article in found:
-        letters = max(1, len(text) - text.count(" "))
-        links = linked / letters
-        words = WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if bad or whole and not article:
+    for b, x, wrong, inside, ws in zip(found, links, bad, region, words):
+        if wrong or ruled and not inside:
             first.append(False)
-        elif links > (SHORT_LINKS if article else LINKS):
+            continue
+        if x > (SHORT_LINKS if inside else LINKS):
             first.append(False)
-        elif len(text) >= LONG and (article or stops >= STOPS):
+            continue
+        long = width(b.text)
+        stops = sum(w in stop_words for w in ws) / max(1, len(ws))
+        if foreign and SENTENCE.search(b.text):
+            stops = max(stops, STOPS)
+        if long >= LONG and (inside or stops >= STOPS):
+            first.append(True)
+        elif long >= 3 * LONG and x < 0.1 and stops >= STOPS / 2:
             first.append(True)
-        elif len(text) >= 3 * LONG and links < 0.1 and stops >= STOPS / 2:
+        elif not use_words:
             first.append(True)
         else:
             first.append(None)
-    return [neighbours(first, found, i) if x is None else x for i, x in enumerate(first)]
-
-
-def neighbours(first: list[bool | None], found: list[tuple[str, int, bool, bool]], i: int) -> bool:
-    """The label of an ambiguous block: that of the nearest decided one on either side in the same
-    part of the page (boilerplate containers don't count); content if the two differ inside an
-    article; a page part without any decided block is content inside an article only."""
-    seen = []
-    for step in (-1, 1):
-        k = i + step
-        while 0 <= k < len(first):
-            if found[k][3] != found[i][3]:
-                break
-            if first[k] is not None and not found[k][2]:
-                seen.append(first[k])
-                break
-            k += step
-    article = found[i][3]
-    if not seen:
-        return article
-    return any(seen) if article else all(seen) and len(seen) > 0
+    return neighbours(first, bad, region)
+
+
+def neighbours(first: list[bool | None], bad: list[bool], region: list[bool]) -> list[bool]:
+    """All labels: an ambiguous block has that of the nearest decided one on either side in the
+    same part of the page (boilerplate containers don't count); content if the two differ inside
+    an article; a part without any decided block is content inside an article only."""
+    n = len(first)
+    seen: list[list[bool]] = [[] for _ in range(n)]
+    for order in (range(n), range(n - 1, -1, -1)):
+        last, part = None, None
+        for i in order:
+            if region[i] != part:
+                last, part = None, region[i]
+            if first[i] is None:
+                if last is not None:
+                    seen[i].append(last)
+            elif not bad[i]:
+                last = first[i]
+    return [(x if x is not None else (any(s) if inside else all(s) and len(s) > 0) if s else inside) for x, s, inside in zip(first, seen, region)]
 
 
 def extract(page: str) -> str:
-    found = cut(page)
-    return "\n".join(x[0] for x, keep in zip(found, decide(found)) if keep)
+    found, parents = cut(page)
+    return "\n".join(b.text for b, keep in zip(found, decide(found, parents)) if keep)
 
 
 def _extract(batches):
@@ -198,6 +445,7 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", page: st
     a line feed.  Null and empty pages, and pages without content, give an empty text; repeated
     rows give equal results; an empty table stays empty; other columns are ignored.  Rows are
     independent: one pass, no shuffle."""
+    ship(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 

@@ -1,5 +1,6 @@
 """The operators against brute force, and on hard rows: nulls, empties, repeats, clashing names."""
 
+import time
 import hashlib
 import math
 import zlib
@@ -479,6 +480,53 @@ def test_holds_every_article_paragraph():
         assert text.split("\n") == [x for x in want if x]
 
 
+LINE = "The man in the house was not at home when they came to see him, and so it was for all of that week."
+FOREIGN = {
+    "ru": "Это было давно и неправда, потому что мы жили тогда в большом городе на берегу реки и не знали забот.",
+    "zh": "这是一个关于城市历史的故事，讲述了人们如何在河边建立家园。后来城市逐渐扩大，人口不断增加，成为著名的商业中心。",
+    "ar": "كانت المدينة القديمة تقع على ضفة النهر الكبير، وكان الناس يعيشون فيها حياة بسيطة وهادئة منذ زمن بعيد.",
+}
+
+
+@pytest.mark.parametrize("line", FOREIGN.values(), ids=FOREIGN.keys())
+def test_pages_of_languages_without_a_list(line):
+    page = f'<div class="menu"><a href="/a">{line}</a></div><div><p>{line}</p><p>{line}</p><p>{line[:9]}</p><p>{line}</p></div><div class="footer">{line}</div>'
+    assert html_extraction.extract(page).split("\n") == [line, line, line[:9].strip(), line]
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article class="post tag-search category-legal"><p>{LINE}</p></article>', [LINE]),
+    (f'<div class="share-price"><p>{LINE}</p></div>', [LINE]),
+    (f'<div id="search-page-form"><p>{LINE}</p></div><div class="search-form">{LINE}</div>', [LINE, LINE]),
+    (f'<p>{LINE}</p><p>{LINE}</p><div class="search-form">{LINE}</div>', [LINE, LINE]),
+    (f'<p><a href="/x">one</p><p>{LINE}</p><p>{LINE}</p>', [LINE, LINE]),
+    (f'<div><p>{LINE}</p><p>{LINE} {LINE}</p></div><article><a href="/t">Teaser</a><p>{LINE}</p></article>', [LINE, f"{LINE} {LINE}", LINE]),
+    (f'<article><header><h1>Title</h1><p>By me</p></header><p>{LINE}</p><figure><figcaption>Of it.</figcaption></figure></article>', ["Title", LINE, "Of it."]),
+    (f'<p class="a>{LINE}</p><p class="b">{LINE}</p>', [LINE, LINE]),
+    (f'<script src=/a/>code</script><p>{LINE}</p>', [LINE]),
+    (f'<p>{LINE} <![CDATA[abcdef', [f"{LINE} abcdef"]),
+    (f'<form id="aspnetForm"><p>{LINE}</p><p>{LINE}</p><input></form><div class="copyright">{LINE}</div>', [LINE, LINE]),
+    (f'<article><p>{LINE}</p></article><div id="comments"><article class="comment-body"><p>{LINE} {LINE} {LINE}</p></article></div>', [LINE]),
+    (f'<p>A <svg><p>no</p></svg>b. {LINE}</p><button>press</button>', [f"A b. {LINE}"]),
+    (f'<a href="/1"><div>{LINE}</div><div>{LINE}</div></a><div>{LINE}</div>', [LINE]),
+    ("<p>Hello world</p>", ["Hello world"]),
+])
+def test_no_page_is_lost(page, want):
+    assert html_extraction.extract(page).split("\n") == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", '<p title="', "<p title='x>", "<!--", "<![CDATA[", "<div>", "</p>", "<svg>", "<a href=x>y", "<div class=form>x", "&amp", "<b <"])
+def test_time_of_broken_pages(piece):
+    begun = time.process_time()
+    html_extraction.extract(piece * (200_000 // len(piece)))
+    assert time.process_time() - begun < 2  # linear: about 0.2; the quadratic ones took minutes
+
+
+def test_clashing_columns_of_pages(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{LINE}</p>", "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in html_extraction.extract_text(df).collect()] == [(1, "u", LINE, len(LINE))]
+
+
 @pytest.mark.parametrize("column", ["text", "doc_id", "source"])
 def test_columns_of_nulls(spark, column):
     df = hard(spark).withColumn(column, F.lit(None).cast(dict(hard(spark).dtypes)[column]))
