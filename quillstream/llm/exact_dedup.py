@@ -4,8 +4,12 @@ History is a table of distinct digests, each with its winner.  It is cut into sh
 digest; each shard becomes one row: the levels of a minimal perfect hash (bit arrays in which
 a key's first unshared bit, counted by rank, is its slot) and the slots, which hold the full
 digest and the winner's locator.  Incoming digests (one row each, after a map-side combine)
-meet their shard, are hashed to a slot and compared byte for byte: equal ones repeat history,
-the others are grouped on their own.
+meet their shard, are hashed to a slot and compared byte for byte: equal ones repeat history and
+are counted in their slot, whose winner they may replace; the others are groups of their own.
+
+A table without a history is its own: a fixed law of the id makes half of its rows the history
+and the other half the incoming ones, and what is said of a row comes from its slot or, where
+both agree that history has no such text, from its group.
 """
 
 from __future__ import annotations
@@ -16,12 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.core import mix64, staged, table
+from quillstream.shipping import ship
 
 #: Digests in a shard of the index, about: 32 + 24 bytes each.
 SHARD_DIGESTS = 100_000
 SPACES = r"[\x20\x09-\x0D]"
 INDEX = "shard int, n long, bits binary, sizes binary, digests binary, keep_ids binary, nones binary, lengths binary, copies binary"
-FOUND = "digest binary, own_len long, own_id long, own_none long, own_size long, member boolean, hist_len long, hist_id long, hist_none long, hist_size long"
+FOUND = "digest binary, keep_len long, keep_id long, keep_none long, size long"
+#: A digest with more rows than this part of the table is hot: there are fewer hot ones.
+HOT_PART, HOT_ROWS = 2_000, 50_000
+#: Rows that a stage drops are told to all tasks up to this number, and joined by a shuffle beyond.
+TOLD_ROWS = 500_000
 
 
 def _words(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,20 +83,30 @@ def _index_shard(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _lookup_shard(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(pdf):
-        return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
+    """The shard's slots, with what incoming digests add to them, and the incoming nonmembers."""
     digests, n = pdf["digest"].tolist(), len(pdf)
-    member, hist = np.zeros(n, bool), np.zeros((4, n), np.int64)
+    own = np.stack([pdf[c].to_numpy("<i8") for c in ("own_len", "own_id", "own_none", "own_size")]) if n else np.zeros((4, 0), np.int64)
+    member, out = np.zeros(n, bool), []
     if len(index):
         x = index.iloc[0]
         sizes = np.frombuffer(x["sizes"], "<i8").tolist()
         flat = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: sum(sizes)].astype(bool)
-        slot = slots_of(digests, flat, sizes)
         held = x["digests"]
-        member = np.fromiter((s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slot.tolist(), digests)), bool, n)
-        for k, c in enumerate(("lengths", "keep_ids", "nones", "copies")):
-            hist[k, member] = np.frombuffer(x[c], "<i8")[slot[member]]
-    return pd.DataFrame({"digest": digests, "own_len": pdf["own_len"], "own_id": pdf["own_id"], "own_none": pdf["own_none"], "own_size": pdf["own_size"], "member": member, "hist_len": hist[0], "hist_id": hist[1], "hist_none": hist[2], "hist_size": hist[3]})
+        names = [held[k : k + 32] for k in range(0, len(held), 32)]
+        slots = np.stack([np.frombuffer(x[c], "<i8") for c in ("lengths", "keep_ids", "nones", "copies")]).copy()
+        if n:
+            slot = slots_of(digests, flat, sizes)
+            member = np.fromiter((s >= 0 and names[s] == d for s, d in zip(slot.tolist(), digests)), bool, n)
+            at, new = slot[member], own[:, member]
+            slots[3, at] += new[3]
+            old = slots[:3, at]
+            # more code points, then an id at all, then the smaller one
+            better = (new[0] > old[0]) | (new[0] == old[0]) & ((new[2] < old[2]) | (new[2] == old[2]) & (new[1] < old[1]))
+            slots[:3, at[better]] = new[:3, better]
+        out.append((names, slots))
+    out.append(([d for d, m in zip(digests, member) if not m], own[:, ~member]))
+    values = np.concatenate([v for _, v in out], 1)
+    return pd.DataFrame({"digest": pd.Series([d for names, _ in out for d in names], dtype=object), "keep_len": values[0], "keep_id": values[1], "keep_none": values[2], "size": values[3]})
 
 
 def digest_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,22 +138,41 @@ def exact_dedup(df: DataFrame, history: DataFrame | None = None, key: str = "doc
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``df``.
 
     ``history``: rows of ``distinct_digests`` over documents seen before, whose winners compete
-    with the new rows; without it, history is what occurs more than once in ``df`` itself.
+    with the new rows and whose copies count; without it, history is made of half of the rows.
     Null and empty texts are one group; repeated rows of one id all carry that id as keep_id,
     and all count; an empty table gives an empty result; other columns are ignored.  Null ids
     come after all others; where the winner has none, keep_id is null, and kept is null in rows
     without an id, and where keep_id is null, as in the SQL.
     """
+    ship(df.sparkSession)
     rows = staged(digest_rows(df, key, text), "digests")
-    own = distinct_digests(rows)
-    past = own.where("own_size > 1") if history is None else history
+    if history is None:
+        old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+        past, new = distinct_digests(rows.where(old)), distinct_digests(rows.where(~old))
+    else:
+        past, new = history, distinct_digests(rows)
+    return rows_of(rows, resolve(past, new))
+
+
+def resolve(past: DataFrame, new: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of all digests of ``past``, through its index, and of those
+    of ``new`` that it does not have; both are rows of ``distinct_digests``."""
+    past = staged(past, "history")
     shards = 1 + past.count() // SHARD_DIGESTS
-    found = with_shard(own, shards).groupBy("shard").cogroup(build_index(past, shards).groupBy("shard")).applyInPandas(_lookup_shard, FOUND)
-    seen, best = F.col("member"), lambda of: F.struct((-F.col(f"{of}_len")).alias("l"), F.col(f"{of}_none").alias("none"), F.col(f"{of}_id").alias("i"))
-    keep = F.when(seen, F.least(best("own"), best("hist"))).otherwise(best("own"))
-    size = F.col("own_size") + (F.lit(0) if history is None else F.when(seen, F.col("hist_size")).otherwise(0))
-    answer = found.select("digest", F.when(keep.getField("none") == 0, keep.getField("i")).alias("keep_id"), size.cast("long").alias("group_size"))
-    return rows.join(answer, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = with_shard(new, shards).groupBy("shard").cogroup(build_index(past, shards).groupBy("shard")).applyInPandas(_lookup_shard, FOUND)
+    return found.select("digest", F.when(F.col("keep_none") == 0, F.col("keep_id")).alias("keep_id"), F.col("size").alias("group_size"))
+
+
+def rows_of(rows: DataFrame, answer: DataFrame) -> DataFrame:
+    """The answer of each row's digest.  Digests with a large part of all rows, of which there
+    are few by their definition, are told to all tasks; the others meet by a shuffle."""
+    answer = staged(answer, "answer")
+    hot_size = max(HOT_ROWS, rows.count() // HOT_PART)  # fewer than HOT_PART digests have so many
+    hot = answer.where(F.col("group_size") > hot_size).select(F.col("digest").alias("_d"), F.col("keep_id").alias("_k"), F.col("group_size").alias("_n"))
+    told = rows.join(F.broadcast(hot), F.col("digest") == F.col("_d"), "left")
+    met = told.where("_d IS NULL").drop("_d", "_k", "_n").join(answer.where(F.col("group_size") <= hot_size), "digest")
+    told = told.where("_d IS NOT NULL").select("digest", "doc_id", "n_cp", F.col("_k").alias("keep_id"), F.col("_n").alias("group_size"))
+    return met.unionByName(told).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -151,10 +189,18 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 def stage_exact_dedup(spark, docs, sf_dir):
     """Pipeline stage: the rows that stay, with the columns they had.  Of rows that repeat an
-    id and its text, one stays; so does one of a group whose winner has no id."""
+    id and its text, one stays; so does one of a group whose winner has no id.
+
+    Documents are not shuffled: they are held against the (id, digest) pairs that go, or that
+    occur more than once, which are few; only if they aren't, both sides are shuffled.
+    """
     names = docs.columns
-    kept = exact_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    pairs = exact_dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_stays"), F.count("*").alias("_n"))
+    pairs = staged(pairs.where("NOT _stays OR _n > 1").select("_id", "_k", "_stays"), "dropped")
+    if pairs.count() <= TOLD_ROWS:
+        pairs = F.broadcast(pairs)
     t = F.coalesce(F.col("text"), F.lit(""))
     full = docs.withColumn("_h", F.sha2(F.regexp_replace(t, SPACES, "").cast("binary"), 256))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k"))
-    return full.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"]).select(*names)
+    full = full.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
+    again = full.where("_stays").dropDuplicates(["doc_id", "_h"])
+    return full.where("_stays IS NULL").unionByName(again).select(*names)

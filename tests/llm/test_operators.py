@@ -75,6 +75,25 @@ def test_dedup_against_history(spark):
     assert got == {1: (100, 2), 2: (2, 2), 3: (2, 2)}
 
 
+def test_the_index_gives_the_answer(spark):
+    """Without the index, copies on both sides of history would not be found."""
+    rows = exact_dedup.digest_rows(spark.createDataFrame([(i, f"text {i % 10}") for i in range(200)], "doc_id long, text string"))
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    past, new = exact_dedup.distinct_digests(rows.where(old)), exact_dedup.distinct_digests(rows.where(~old))
+    with_index = {r["group_size"] for r in exact_dedup.resolve(past, new).collect()}
+    without = {r["group_size"] for r in exact_dedup.resolve(past.where("false"), new).collect()}
+    assert with_index == {20} and max(without) < 20
+    # what the slots hold is what comes out
+    forged = past.withColumns({"own_id": F.lit(-7).cast("long"), "own_len": F.lit(99).cast("long")})
+    assert {r["keep_id"] for r in exact_dedup.resolve(forged, new).collect()} == {-7}
+
+
+def test_hot_digests_are_told(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    got = sorted(tuple(r)[:3] + (r["text_sha256"],) for r in exact_dedup.exact_dedup(hard(spark)).collect())
+    assert got == dedup_by_hand(HARD)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash(n):
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
