@@ -10,11 +10,15 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tests.llm.helpers import HARD, SF, documents, empty, hard, near_copies
 from tokenizers import Tokenizer
 
+from quillstream.llm.core import mix64
 from quillstream.llm import components, exact_dedup, fingerprints, html_extraction, language_id, lm_scoring, mixing, ngram_join, packing, quality, sharding
 
 DEL = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -376,30 +380,86 @@ def test_written_shards(spark, tmp_path):
 # --- fingerprints
 
 
-@pytest.mark.parametrize("chars", [12_000_000, 2_000])
-def test_fingerprints(spark, monkeypatch, chars):
-    monkeypatch.setattr(fingerprints, "BUCKET_CHARS", chars)
-    rows = sorted({r[0]: r[1] or "" for r in HARD}.items())
+def prefix_by_hand(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def likeness_by_hand(a, b):
+    """From the texts themselves, without prefix hashes: spans, the least of each bin, knots."""
+    if a == b:
+        return 1.0
+    bins = []
+    for t in (a, b):
+        least = {}
+        w = min(fingerprints.SPAN, len(t))
+        for i in range(len(t) - w + 1 if t else 0):
+            h = 0
+            for p, base in zip(fingerprints.PRIMES, fingerprints.BASES):
+                h = h << 31 | sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(t[i : i + w])) % p
+            h = int(mix64(np.array([h], np.uint64))[0])
+            least[h >> 58] = min(least.get(h >> 58, h), h)
+        bins.append(least)
+    used = set(bins[0]) | set(bins[1])
+    j = sum(bins[0].get(k) == bins[1].get(k) for k in used) / max(1, len(used))
+    common = prefix_by_hand(a, b)
+    return max(2 * j / (1 + j), max([k for k in fingerprints.KNOTS.tolist() if k <= common], default=0) / max(1, len(a), len(b)))
+
+
+@pytest.mark.parametrize("size, repeated", [(1, False), (60, False), (10_000_000, False), (50, True)])
+def test_fingerprints(spark, monkeypatch, size, repeated):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", size)
+    monkeypatch.setattr(fingerprints, "TASK_ROWS", 5)
+    key = lambda t: xxhash.xxh64(t.encode(), 42).intdigest() - (1 << 64) * (xxhash.xxh64(t.encode(), 42).intdigest() >> 63)
+    rows = [(i % 3 if repeated and i else i, t or "") for i, t, *_ in HARD if i != 10 or not repeated]
+    rows.sort(key=lambda r: (r[0], key(r[1])))
     df = spark.createDataFrame([(i, t or None) for i, t in rows], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint_rows(df.repartition(3)).collect()}
+    got = sorted((r["doc_id"], key_of, r) for r in fingerprints.fingerprint_rows(df.repartition(3)).collect() for key_of in [(r["n_chars"], r["edited_sha256"], r["near_next"])])
+    want = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
-        assert (got[i]["near_next"] == 1.0) == (t == after)
-    assert got[4]["fingerprint"] == got[5]["fingerprint"] != got[6]["fingerprint"]
+        short = len(t) < 2000
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), prefix_by_hand(t, edited), prefix_by_hand(t, after), likeness_by_hand(t, edited) if short else None, likeness_by_hand(t, after) if short else None))
+    assert sorted(w[:5] for w in want) == sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], r["prefix_edited"], r["prefix_next"]) for _, _, r in got)
+    by_hand = sorted((w[0], w[2], round(w[5], 9), round(w[6], 9)) for w in want if w[5] is not None)
+    assert by_hand == sorted((r["doc_id"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for _, _, r in got if r["n_chars"] < 2000)
+    prints = defaultdict(set)
+    for _, _, r in got:
+        prints[r["doc_id"]].add(r["fingerprint"])
+    assert repeated or prints[4] == prints[5] != prints[6]
+
+
+def test_fingerprints_of_chunks():
+    """A range whose columns come in several chunks keeps all of its rows."""
+    pack = zstandard.ZstdCompressor().compress
+    part = lambda a, b: pa.table({"bucket": pa.array([0] * (b - a), pa.int32()), "doc_id": range(a, b), "tail": [False] * (b - a), "k": range(a, b), "packed": [pack(f"text of {i}".encode()) for i in range(a, b)]})
+    data = pa.concat_tables([part(0, 5), part(5, 9), part(9, 10)])
+    assert data.column("packed").num_chunks == 3 and fingerprints._table_prints(data).column("doc_id").to_pylist() == list(range(9))
+
+
+def test_ranges_of_ids():
+    rng = np.random.default_rng(1)
+    rows = sorted((int(i), int(k)) for i, k in zip(rng.integers(0, 20, 400), rng.integers(-50, 50, 400)))
+    edges = [rows[0], *sorted(set(rows[40::40]))]
+    got = fingerprints.range_of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+    assert got.tolist() == [max(k for k, e in enumerate(edges) if e <= r) for r in rows]
 
 
 def test_likeness_follows_what_is_shared():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(97, 123, 4000).astype(np.uint32) for _ in range(2))
-    p = lambda x: (len(x), *fingerprints.sketch(x))
+    p = lambda x: fingerprints.sketch(fingerprints.Prefixes(x))
     half = np.concatenate([a[:2000], b[:2000]])
-    near = a.copy()
+    near, shifted = a.copy(), np.concatenate([b[:10], a])
     near[[100, 2000, 3000]] = 33
     assert fingerprints.likeness(p(a), p(a)) == 1.0 and fingerprints.likeness(p(a), p(b)) < 0.1
-    assert 0.3 < fingerprints.likeness(p(a), p(half)) < 0.7 and 0.9 < fingerprints.likeness(p(a), p(near)) < 1.0
-    assert fingerprints.parse(fingerprints.fingerprint(*p(a)))[0] == 4000
+    assert 0.3 < fingerprints.likeness(p(a), p(half)) < 0.7 and 0.9 < fingerprints.likeness(p(a), p(near)) < 1.0 and fingerprints.likeness(p(a), p(shifted)) > 0.9
+    x = fingerprints.parse(str(p(a)))
+    assert fingerprints.likeness(x, p(a)) == 1.0 and x.n == 4000 and (x.bins == p(a).bins).all() and (x.knots == p(a).knots).all()
+    assert fingerprints.common_prefix(p(a), p(half)) == max(k for k in fingerprints.KNOTS.tolist() if k <= 2000)
 
 
 def test_spans_and_extensions():
