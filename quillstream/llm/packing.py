@@ -1,16 +1,24 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Texts are encoded once, block by block, and staged as ids.  The share of a source is its share
-of all tokens.  Every window of sequences is filled to those shares: a source's deficit grows by
-its share of the window and falls by what it was served; deficits live on across windows and,
-through prefix sums of the blocks' token counts, across blocks and partitions.
+Texts are encoded once, block by block, and staged as ids.  A source's queue is its tokens over
+all blocks, in their order; where a block stands in it follows from sums of the tasks before and
+running sums within the task.  The mix is a schedule over the whole corpus: at any time each
+source has given what its weight owes it, until it is empty.  The schedule is cut into groups of
+about equal tokens, which take their slice of every queue wherever its blocks are; a group is
+packed by one task.  In it every window is filled to the shares: a queue's deficit grows by its
+share of the window and falls by what it was served, and what is owed at the end of a group is
+where the next one starts.  Sequences are cut at places of the whole corpus, so they may span
+groups, and only the very last one is short: it is cut into powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; set before the library starts
 
@@ -24,13 +32,46 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstream.llm.core import Interner, blocks, ranges, staged, table, utf8
+from quillstream.shipping import ship
 
-LENGTH, END, WINDOW = 2048, 1, 32
+#: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
+LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 64
 BLOCK_BYTES, CACHED_WORDS = 2_500_000, 300_000
+#: Tokens packed by one task, about.  Offsets told to all tasks, and sources, at most: beyond that
+#: offsets are joined by a shuffle, and sources share queues by a hash of their name.
+GROUP_TOKENS, TOLD_OFFSETS, QUEUES = 1 << 20, 200_000, 50_000
 #: Marks at the end of a word, which the tokenizer takes apart from its letters.
 MARKS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \n]|$)")
-BLOCK = "pid int, block long, doc_ids binary, lengths binary, source_of binary, ids binary, sources array<string>, tokens array<long>"
+BLOCK = "pid int, block long, doc_ids binary, lengths binary, source_of binary, ids binary, sources array<string>, tokens array<long>, inner array<long>, shared array<long>"
+SLICE = "grp long, queue int, at long, doc_ids binary, starts binary, lengths binary, doc_tokens binary, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+# fixed values: how the known tokenizer takes texts apart; its words may be encoded one by one
+KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def is_known(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    split = ((j.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])
+    return (
+        (j.get("normalizer") or {}).get("normalizers") == KNOWN_NORMALIZER and len(split) == 2 and split[0].get("pattern") == {"Regex": KNOWN_SPLIT} and split[0].get("invert") is True
+        and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space") and not split[1].get("use_regex") and j.get("model", {}).get("type") == "BPE" and not j.get("post_processor")
+        and not any(re.search(r"\s", t["content"]) for t in j.get("added_tokens", []))
+    )
+
+
+class PlainIds:
+    """Ids of texts by the tokenizer itself, for any tokenizer file."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+
+    def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum())), lengths
 
 
 #: Words that the tokenizer's normaliser and splitter leave as they are: lower-case Latin letters.
@@ -103,51 +144,108 @@ class WordIds:
         self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint16, int(sizes.sum()))])
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict = {}
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, queues: int):
     def run(batches):
         if path not in _encoders:
-            _encoders[path] = WordIds(path)
-        encoder, pid, k = _encoders[path], TaskContext.get().partitionId(), 0
+            _encoders[path] = WordIds(path) if is_known(path) and end < 1 << 16 else PlainIds(path)
+        encoder, pid, k, seen, seen_of_queue = _encoders[path], TaskContext.get().partitionId(), 0, Counter(), Counter()
         for batch in blocks(batches, "text", BLOCK_BYTES):
             ids, lengths = encoder(utf8(batch.column("text")), end)
             names = batch.column("source").dictionary_encode("encode")
             of = names.indices.to_numpy(zero_copy_only=False)
-            tokens = np.bincount(of, lengths, len(names.dictionary)).astype(np.int64)
+            tokens = np.bincount(of, lengths, len(names.dictionary)).astype(np.int64).tolist()
+            sources, shared = names.dictionary.to_pylist(), []
+            for s, n in zip(sources, tokens):
+                shared.append(seen_of_queue[queue_name(s, queues)])
+                seen_of_queue[queue_name(s, queues)] += n
             yield pa.RecordBatch.from_pylist([{
                 "pid": pid, "block": (pid << 24) + k, "doc_ids": batch.column("doc_id").fill_null(-1).to_numpy().astype("<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(),
-                "source_of": of.astype("<i4").tobytes(), "ids": ids.astype("<u2").tobytes(), "sources": names.dictionary.to_pylist(), "tokens": tokens.tolist(),
-            }], schema=_SCHEMA)
+                "source_of": of.astype("<i4").tobytes(), "ids": ids.astype(_kind(ids)).tobytes(), "sources": sources, "tokens": tokens, "inner": [seen[s] for s in sources], "shared": shared,
+            }], schema=_schema(BLOCK))
+            seen.update(dict(zip(sources, tokens)))
             k += 1
 
     return run
 
 
-_SCHEMA = pa.schema([("pid", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("source_of", pa.binary()), ("ids", pa.binary()), ("sources", pa.list_(pa.string())), ("tokens", pa.list_(pa.int64()))])
+def _kind(ids: np.ndarray) -> str:
+    return "<u2" if ids.dtype == np.uint16 else "<u4"
+
+
+def _read_ids(raw: bytes, tokens: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * tokens else "<u4")
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
+class Schedule:
+    """How much of each queue has been given when all of them have given t tokens: queue s gives
+    weight[s] for each unit of a clock, until it is empty."""
+
+    def __init__(self, tokens: np.ndarray, weights: np.ndarray, each: int):
+        self.tokens, self.weights = tokens.astype(np.float64), weights / weights.sum()
+        self.total = int(tokens.sum())
+        self.groups = max(1, -(-self.total // each))
+        self.each = each
+        ends = np.unique(self.tokens / self.weights)
+        self.clock = np.concatenate([[0.0], ends])
+        self.given = np.array([np.minimum(self.weights * v, self.tokens).sum() for v in self.clock]) if len(ends) < 64 else self._given(ends)
 
+    def _given(self, ends: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.tokens / self.weights, kind="stable")
+        r, t, w = (self.tokens / self.weights)[order], self.tokens[order], self.weights[order]
+        n = np.searchsorted(r, ends, "right")
+        return np.concatenate([[0.0], np.concatenate([[0.0], np.cumsum(t)])[n] + ends * (w.sum() - np.concatenate([[0.0], np.cumsum(w)])[n])])
 
-def fill_windows(left: np.ndarray, share: np.ndarray, deficit: np.ndarray, window: int):
+    def owed(self, s, g) -> np.ndarray:
+        """What queues s have given, in parts of tokens, when group g starts."""
+        v = np.interp(np.minimum(np.asarray(g, np.float64) * self.each, self.total), self.given, self.clock)
+        return np.where(np.asarray(g) >= self.groups, self.tokens[s], np.minimum(self.weights[s] * v, self.tokens[s]))
+
+    def cut(self, s, g) -> np.ndarray:
+        """Where group g starts in queues s."""
+        return np.floor(self.owed(s, g) + 1e-6).astype(np.int64)
+
+    def group_at(self, s: int, place: int) -> int:
+        """The last group that starts at or before a place in queue s."""
+        g = int(np.interp(min(place / self.weights[s], self.clock[-1]), self.clock, self.given) // self.each)
+        g = min(max(g, 0), self.groups - 1)
+        while g + 1 < self.groups and self.cut(s, g + 1) <= place:
+            g += 1
+        while g and self.cut(s, g) > place:
+            g -= 1
+        return g
+
+
+def fill_windows(left: np.ndarray, share: np.ndarray, deficit: np.ndarray, window: int, first: int = 0, quantum: int = 1):
     """For each window, how many tokens each queue gives, until the queues are empty.
 
-    ``left``: tokens queued by source.  A queue is served what it is owed, in whole tokens; what
-    an empty queue can't give, the others give by what they are owed, then by what they hold.
+    ``left``: tokens queued by source; ``first``: room in the first window.  A queue is served
+    what it is owed, in whole tokens, once that is ``quantum`` or all it has; what is missing the
+    others give by what they are owed, then by what they hold, and owe it later.
     """
     left, deficit = left.copy(), deficit.copy()
+    room = first or window
     while (total := int(left.sum())) > 0:
-        room = min(window, total)
+        room = min(room, total)
         deficit += share * room
         give = np.minimum(np.floor(np.maximum(deficit, 0)).astype(np.int64), left)
+        give[(give < quantum) & (give < left)] = 0
         over = int(give.sum()) - room
         if over > 0:  # owed more than fits: each gives its part, the rest stays owed
-            cut = np.floor(give * (room / give.sum())).astype(np.int64)
-            give = cut
+            give = np.floor(give * (room / give.sum())).astype(np.int64)
             over = int(give.sum()) - room
-        for s in np.argsort(-deficit + give, kind="stable"):  # the rest: to who is owed most
+        # the rest: to who is owed most, of those served in this window first
+        for s in np.lexsort((give - deficit, (give == 0) & (deficit < quantum))):
             if over >= 0:
                 break
-            more = min(int(left[s] - give[s]), -over if deficit[s] <= give[s] + 1 else max(1, int(deficit[s] - give[s])), -over)
+            more = min(int(left[s] - give[s]), max(quantum, int(deficit[s] - give[s])), -over)
             give[s] += more
             over += more
         for s in np.argsort(-(left - give), kind="stable"):
@@ -159,6 +257,7 @@ def fill_windows(left: np.ndarray, share: np.ndarray, deficit: np.ndarray, windo
         left -= give
         deficit -= give
         yield give
+        room = window
 
 
 def sequence_sizes(total: int, length: int) -> list[int]:
@@ -170,76 +269,147 @@ def sequence_sizes(total: int, length: int) -> list[int]:
     return out
 
 
-def _pack(length: int, window: int):
+def _slice(schedule, queue_of):
+    """Each block's tokens by the group that takes them."""
+
     def run(batches):
+        plan, number = schedule.value, queue_of.value
         for batch in batches:
             for row in batch.to_pylist():
-                yield _pack_block(row, length, window * length)
+                doc_ids, lengths, of = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["source_of"], "<i4")
+                ids, first = _read_ids(row["ids"], int(lengths.sum())), np.cumsum(lengths) - lengths
+                ahead = {x["queue"]: x["ahead"] for x in row["ahead"]}
+                for k, source in enumerate(row["sources"]):
+                    s, docs = number(source), np.flatnonzero(of == k)
+                    start = ahead[s] + row["inner" if source in number.number else "shared"][k]
+                    n = lengths[docs]
+                    at = start + np.cumsum(n) - n  # where documents start in the queue
+                    g0, g1 = plan.group_at(s, start), plan.group_at(s, start + row["tokens"][k] - 1)
+                    cuts = plan.cut(s, np.arange(g0, g1 + 1))
+                    edges = np.union1d(at, cuts[cuts > start])
+                    group = g0 + np.searchsorted(cuts, edges, "right") - 1
+                    doc = np.searchsorted(at, edges, "right") - 1
+                    size = np.diff(np.append(edges, start + row["tokens"][k]))
+                    inside = edges - at[doc]
+                    for g in np.unique(group).tolist():
+                        i = np.flatnonzero(group == g)
+                        d = docs[doc[i]]
+                        taken = ids[np.repeat(first[d] + inside[i], size[i]) + ranges(size[i])]
+                        yield pa.RecordBatch.from_pylist([{
+                            "grp": g, "queue": s, "at": int(edges[i[0]]), "doc_ids": doc_ids[d].tobytes(), "starts": inside[i].astype("<i8").tobytes(), "lengths": size[i].astype("<i8").tobytes(),
+                            "doc_tokens": lengths[d].astype("<i8").tobytes(), "ids": taken.tobytes(),
+                        }], schema=_schema(SLICE))
+
+    return run
+
+
+def _pack_group(schedule, length: int, window: int, quantum: int):
+    def run(data: pa.Table) -> pa.Table:
+        plan, rows = schedule.value, sorted(data.to_pylist(), key=lambda r: (r["queue"], r["at"]))
+        g = rows[0]["grp"]
+        place = int(plan.cut(slice(None), g).sum())
+        queues: dict[int, list] = {}
+        for r in rows:
+            doc_ids, starts, lengths, doc_tokens = (np.frombuffer(r[c], "<i8").tolist() for c in ("doc_ids", "starts", "lengths", "doc_tokens"))
+            ids = memoryview(_read_ids(r["ids"], sum(lengths)).astype("<u4").tobytes())
+            at = 0
+            queue = queues.setdefault(r["queue"], [])
+            for x in zip(doc_ids, starts, lengths, doc_tokens):
+                queue.append((*x, ids, at))
+                at += 4 * x[2]
+        names = sorted(queues)
+        left = np.array([sum(x[2] for x in queues[s]) for s in names], np.int64)
+        share = plan.weights[names] / plan.weights[names].sum()
+        deficit = plan.owed(np.array(names), g) - plan.cut(np.array(names), g)
+        turn, done = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        whole = plan.total // length * length
+        tail = whole + np.cumsum([0, *sequence_sizes(plan.total - whole, length)])
+        out: list[tuple] = []
+        for give in fill_windows(left, share, deficit, window, window - place % window, quantum):
+            for k in np.flatnonzero(give).tolist():
+                s, want = names[k], int(give[k])
+                while want:
+                    if place < whole:
+                        sequence, begin, end = place // length, place - place % length, place - place % length + length
+                    else:
+                        j = bisect_right(tail, place) - 1
+                        sequence, begin, end = whole // length + j, int(tail[j]), int(tail[j + 1])
+                    doc, start, size, tokens, ids, at = queues[s][turn[s]]
+                    take = min(want, size - done[s], end - place)
+                    a = at + 4 * done[s]
+                    out.append((doc, start + done[s], take, zlib.crc32(ids[a : a + 4 * take]), tokens, sequence, place - begin))
+                    want, place, done[s] = want - take, place + take, done[s] + take
+                    if done[s] == size:
+                        turn[s], done[s] = turn[s] + 1, 0
+        schema = _schema(PIECES)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
-def _pack_block(row: dict, length: int, window: int) -> pa.RecordBatch:
-    doc_ids, lengths, of = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["source_of"], "<i4")
-    ids = memoryview(np.frombuffer(row["ids"], "<u2").astype("<u4").tobytes())
-    first = np.cumsum(lengths) - lengths
-    n = len(row["sources"])
-    # each source's queue: its documents in the order of the block, by position in the queue
-    queues = [np.flatnonzero(of == s) for s in range(n)]
-    at, done = [0] * n, [0] * n  # document and tokens of it that are packed
-    given = {x["source"]: (x["share"], x["deficit"]) for x in row["owed"]}
-    share, deficit = (np.array([given[s][k] for s in row["sources"]]) for k in (0, 1))
-    out: list[tuple] = []
-    seq, sequence = 0, row["block"] << 16
-    room, offset, sizes = 0, 0, iter(sequence_sizes(int(lengths.sum()), length))
-    for give in fill_windows(np.array(row["tokens"], np.int64), share, deficit, window):
-        for s in np.flatnonzero(give):
-            want, queue = int(give[s]), queues[s]
-            while want:
-                if not room:
-                    room, offset, sequence, seq = next(sizes), 0, (row["block"] << 16) + seq, seq + 1
-                d = queue[at[s]]
-                take = min(want, room, int(lengths[d]) - done[s])
-                a = 4 * (int(first[d]) + done[s])
-                out.append((int(doc_ids[d]), done[s], take, zlib.crc32(ids[a : a + 4 * take]), int(lengths[d]), sequence, offset))
-                want, room, offset, done[s] = want - take, room - take, offset + take, done[s] + take
-                if done[s] == lengths[d]:
-                    at[s], done[s] = at[s] + 1, 0
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * len(names))], names=names)
-
-
-def pack(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, end: int = END, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+class QueueOf:
+    """The number of a source's queue, which has its name or, shared, that of its hash."""
+
+    def __init__(self, names: list[str | None], shared: bool, queues: int):
+        self.queues = queues
+        self.all = {n: k for k, n in enumerate(names)}
+        self.number = {} if shared else self.all
+
+    def __call__(self, source: str | None) -> int:
+        return self.number[source] if source in self.number else self.all[queue_name(source, self.queues)]
+
+
+def queue_name(source: str | None, queues: int) -> str:
+    return f"#{zlib.crc32((source or '').encode()) % queues}"
+
+
+def pack(
+    df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, end: int = END, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: dict[str | None, float] | None = None, quantum: int = QUANTUM,
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
-    ``tokenizer``: a tokenizer file, of fewer than 65,536 ids.  Null and empty texts are their
-    end token alone; null is a source of its own; a null id counts as -1; repeated rows are
-    packed one by one; an empty table gives no pieces.  Sequences hold ``length`` tokens; what a
-    block has over is cut into powers of two, so nothing is padded.
-    """
+    ``weights``: target proportions of tokens by source, all above 0; by default sources weigh
+    what they hold, so that all end together.  ``window``: the sequences that are filled to the
+    proportions at a time; within a window a source's tokens are together.
+
+    Null and empty texts are their end token alone; null is a source of its own; a null id counts
+    as -1; repeated rows are packed one by one; an empty table gives no pieces; other columns are
+    ignored.  Sequences hold ``length`` tokens; the last one is cut into powers of two, so nothing
+    is padded.  A tokenizer file other than the known one is used as it is, text by text.
+    """
+    spark = df.sparkSession
+    ship(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    encoded = staged(rows.mapInArrow(_encode(path, end), BLOCK), "encoded")
-    counts = encoded.select("pid", "block", F.explode(F.arrays_zip("sources", "tokens")).alias("x")).select("pid", "block", F.col("x.sources").alias("source"), F.col("x.tokens").alias("n"))
-
-    def before(by: list[str]):
-        """Tokens in earlier blocks, by two levels of prefix sums: of tasks, and within a task."""
-        part = counts.groupBy(*by, "pid", "block").agg(F.sum("n").alias("n"))
-        inner = F.sum("n").over(W.partitionBy(*by, "pid").orderBy("block")) - F.col("n")
-        tasks = part.groupBy(*by, "pid").agg(F.sum("n").alias("_t"))
-        tasks = tasks.withColumn("_o", F.sum("_t").over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("pid")) - F.col("_t"))
-        tasks = tasks.select(*[F.col(c).alias(f"_{c}") for c in [*by, "pid"]], "_o")
-        same = F.lit(True)
-        for c in [*by, "pid"]:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        return part.withColumn("_i", inner).join(tasks, same).select(*by, "block", (F.col("_i") + F.col("_o")).alias("ahead"))
-
-    totals = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    shares = totals.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).select("source", "share")
-    own = before(["source"]).withColumnRenamed("ahead", "own").alias("o")
-    owed = own.join(before([]).alias("a"), "block").join(shares.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")))
-    owed = owed.groupBy("block").agg(F.collect_list(F.struct(F.col("o.source").alias("source"), "share", (F.col("share") * F.col("ahead") - F.col("own")).alias("deficit"))).alias("owed"))
-    return encoded.join(owed, "block").mapInArrow(_pack(length, window), PIECES)
+    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES), BLOCK), "encoded")
+    counts = encoded.select("pid", F.explode(F.arrays_zip("sources", "tokens")).alias("x")).groupBy(F.col("x.sources").alias("source"), "pid").agg(F.sum("x.tokens").alias("n"))
+    counts = staged(counts, "counts")
+    named = counts.groupBy("source").agg(F.sum("n").alias("n"))
+    shared = named.count() > QUEUES
+    if shared:
+        if weights:
+            raise ValueError(f"weights need at most {QUEUES} sources")
+        counts = counts.withColumn("source", F.concat(F.lit("#"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % QUEUES).cast("string"))).groupBy("source", "pid").agg(F.sum("n").alias("n"))
+        named = counts.groupBy("source").agg(F.sum("n").alias("n"))
+    totals = sorted(((r["source"], r["n"]) for r in named.collect()), key=lambda x: (x[0] is None, x[0] or ""))  # QUEUES rows at most
+    if not totals:
+        return spark.createDataFrame([], PIECES)
+    tokens = np.array([n for _, n in totals], np.int64)
+    owed = tokens.astype(np.float64) if weights is None else np.array([float(weights[s]) for s, _ in totals])
+    if (owed <= 0).any():
+        raise ValueError("weights must be above 0")
+    schedule = spark.sparkContext.broadcast(Schedule(tokens, owed, max(1, GROUP_TOKENS // (window * length)) * window * length))
+    queue_of = spark.sparkContext.broadcast(QueueOf([s for s, _ in totals], shared, QUEUES))
+    # tokens of a queue in the tasks before
+    numbers = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(totals)], "s string, queue int")
+    before = counts.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("s"))).groupBy("pid", "queue").agg(F.sum("n").alias("n"))
+    before = before.withColumn("ahead", F.sum("n").over(W.partitionBy("queue").orderBy("pid")) - F.col("n"))
+    entries = before.count()
+    before = before.groupBy(F.col("pid").alias("_pid")).agg(F.collect_list(F.struct("queue", "ahead")).alias("ahead"))
+    before = F.broadcast(before) if entries <= TOLD_OFFSETS else before
+    slices = encoded.join(before, F.col("pid") == F.col("_pid")).drop("_pid").mapInArrow(_slice(schedule, queue_of), SLICE)
+    return slices.groupBy("grp").applyInArrow(_pack_group(schedule, length, window * length, quantum), PIECES)
 
 
 def op5_packing(spark, sf_dir):

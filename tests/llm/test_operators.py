@@ -218,27 +218,58 @@ def test_stirling_numbers_and_tables():
 # --- packing
 
 
-@pytest.mark.parametrize("kind", ["hard", "data"])
-def test_packing(spark, kind):
-    rows = HARD if kind == "hard" else documents()
-    got = packing.pack(hard(spark, True) if kind == "hard" else spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    ids = {r[0]: np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4") for r in rows}
-    want = Counter()
-    for r in rows:
-        want[r[0]] += len(ids[r[0]])
-    assert got.groupby("doc_id")["length"].sum().to_dict() == dict(want)
+def check_packing(got, rows, tokenizer="word_bpe_49k.json", length=2048):
+    """Every id in one piece, sequences full and gapless; only the last is cut into powers of two."""
+    t = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+    ids = [(r[0], np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4")) for r in rows]
+    of = defaultdict(list)
+    for i, x in ids:
+        of[i].append(x)
+    copies = defaultdict(Counter)
     for r in got.itertuples():
-        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
-    for _, g in got.groupby("sequence_id"):
+        hit = [x for x in of[r.doc_id] if r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].tobytes())]
+        assert hit and r.length > 0
+        copies[r.doc_id].update(range(r.start, r.start + r.length))
+    for i, xs in of.items():
+        assert copies[i] == sum((Counter(range(len(x))) for x in xs), Counter())
+    sizes = []
+    for k, g in sorted(got.groupby("sequence_id")):
         g = g.sort_values("offset")
-        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]]
-        n = int(g["length"].sum())
-        assert n <= 2048 and (n == 2048 or n & (n - 1) == 0)
-    if kind == "data":
-        for _, g in got.groupby("doc_id"):
-            g = g.sort_values("start")
-            assert g["start"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]]
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and k == len(sizes)
+        sizes.append(int(g["length"].sum()))
+    assert sizes == packing.sequence_sizes(sum(len(x) for _, x in ids), length)
+
+
+@pytest.mark.parametrize("kind, group, queues, window", [("hard", 1 << 20, 50_000, 1), ("hard", 4096, 50_000, 2), ("hard", 2048, 2, 1), ("data", 1 << 20, 50_000, 1), ("data", 8192, 2, 1)])
+def test_packing(spark, monkeypatch, kind, group, queues, window):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", group)
+    monkeypatch.setattr(packing, "QUEUES", queues)
+    monkeypatch.setattr(packing, "TOLD_OFFSETS", 0 if queues == 2 else 10_000)
+    df = hard(spark, True).repartition(3) if kind == "hard" else spark.read.parquet(f"{SF}/documents.parquet")
+    check_packing(packing.pack(df, window=window).toPandas(), HARD if kind == "hard" else documents())
+
+
+def test_packing_with_another_tokenizer(spark):
+    assert not packing.is_known(public_tokenizers.path("byte_bpe_50k.json"))
+    check_packing(packing.pack(hard(spark), tokenizer=public_tokenizers.path("byte_bpe_50k.json")).toPandas(), HARD, "byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
+def test_every_sequence_has_its_shares(spark, monkeypatch, weights):
+    """A table laid out by source: each full sequence still has the shares, as long as both sources last."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 16_384)
+    rows = [(i, f"{'ab'[i // 1000]} word " * (20 + i % 50), "ab"[i // 1000]) for i in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), weights=weights).toPandas()
+    check_packing(got, rows)
+    got["a"] = got["length"].where(got["doc_id"] < 1000, 0)
+    of = got.groupby("sequence_id")[["a", "length"]].sum()
+    full = of[of.length == 2048]
+    if weights is None:
+        share = got["a"].sum() / got["length"].sum()
+        assert (full["a"] / 2048 - share).abs().max() < 0.08 and abs((full["a"] / 2048).mean() - share) < 0.01
+    else:
+        both = full.iloc[: int(got["a"].sum() / 0.75 / 2048) - 2]
+        assert (both["a"] / 2048 - 0.75).abs().max() < 0.08 and abs((both["a"] / 2048).mean() - 0.75) < 0.005
 
 
 def test_packing_of_nothing(spark):
@@ -249,6 +280,8 @@ def test_windows_follow_shares():
     left = np.array([50_000, 30_000, 20_000])
     got = list(packing.fill_windows(left, left / left.sum(), np.zeros(3), 10_000))
     assert np.sum(got, 0).tolist() == left.tolist() and all(abs(g - [5000, 3000, 2000]).max() <= 1 for g in got)
+    slow = list(packing.fill_windows(np.array([990_000, 10_000]), np.array([0.99, 0.01]), np.zeros(2), 2048, quantum=64))
+    assert {int(g[1]) for g in slow[:-1]} <= {0, *range(64, 90)} and abs(np.cumsum([g[1] for g in slow])[200] - 0.01 * 201 * 2048) < 90
     dry = list(packing.fill_windows(np.array([100, 0, 5000]), np.array([0.5, 0.3, 0.2]), np.zeros(3), 1000))
     assert all(g.sum() == 1000 for g in dry[:-1]) and np.sum(dry, 0).tolist() == [100, 0, 5000]
 
