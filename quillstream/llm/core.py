@@ -70,6 +70,26 @@ def drop_staged(df: DataFrame) -> None:
         _written.remove(at)
 
 
+#: A key with more than this part of all rows, and so many at least, is hot: there are fewer hot
+#: keys than HOT_PART.
+HOT_PART, HOT_ROWS = 2_000, 50_000
+
+
+def hot_join(rows: DataFrame, answers: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``answers``, which has one row for each ``key`` and, in ``size``, about
+    how many rows have it.  Hot keys are told to all tasks, so that none has to take all rows of
+    one; the others meet by a shuffle."""
+    hot_size = max(HOT_ROWS, total // HOT_PART)
+    hot = answers.where(F.col(size) > hot_size)
+    if hot.isEmpty():
+        return rows.join(answers, key, how)
+    names = [c for c in answers.columns if c != key]
+    hot = F.broadcast(hot.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
+    told = rows.join(hot, F.col(key) == F.col("_key"), "left")
+    met = told.where("_key IS NULL").select(*rows.columns).join(answers.where(F.col(size) <= hot_size), key, how)
+    return met.unionByName(told.where("_key IS NOT NULL").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in names]))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the driver collect what it no longer refers to, so that Spark removes the shuffle
     files of queries that have ended."""

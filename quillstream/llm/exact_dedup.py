@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import mix64, staged, table
+from quillstream.llm.core import hot_join, mix64, staged, table
 from quillstream.shipping import ship
 
 #: Digests in a shard of the index, about: 32 + 24 bytes each.
@@ -27,8 +27,6 @@ SHARD_DIGESTS = 100_000
 SPACES = r"[\x20\x09-\x0D]"
 INDEX = "shard int, n long, bits binary, sizes binary, digests binary, keep_ids binary, nones binary, lengths binary, copies binary"
 FOUND = "digest binary, keep_len long, keep_id long, keep_none long, size long"
-#: A digest with more rows than this part of the table is hot: there are fewer hot ones.
-HOT_PART, HOT_ROWS = 2_000, 50_000
 #: Rows that a stage drops are told to all tasks up to this number, and joined by a shuffle beyond.
 TOLD_ROWS = 500_000
 
@@ -164,15 +162,9 @@ def resolve(past: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rows_of(rows: DataFrame, answer: DataFrame) -> DataFrame:
-    """The answer of each row's digest.  Digests with a large part of all rows, of which there
-    are few by their definition, are told to all tasks; the others meet by a shuffle."""
-    answer = staged(answer, "answer")
-    hot_size = max(HOT_ROWS, rows.count() // HOT_PART)  # fewer than HOT_PART digests have so many
-    hot = answer.where(F.col("group_size") > hot_size).select(F.col("digest").alias("_d"), F.col("keep_id").alias("_k"), F.col("group_size").alias("_n"))
-    told = rows.join(F.broadcast(hot), F.col("digest") == F.col("_d"), "left")
-    met = told.where("_d IS NULL").drop("_d", "_k", "_n").join(answer.where(F.col("group_size") <= hot_size), "digest")
-    told = told.where("_d IS NOT NULL").select("digest", "doc_id", "n_cp", F.col("_k").alias("keep_id"), F.col("_n").alias("group_size"))
-    return met.unionByName(told).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    """The answer of each row's digest."""
+    told = hot_join(rows, staged(answer, "answer"), "digest", "group_size", rows.count())
+    return told.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op2_exact_dedup(spark, sf_dir):

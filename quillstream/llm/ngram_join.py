@@ -5,7 +5,8 @@ A document is the set of its word shingles; equal sets are one set from the star
 Candidates.  The hash space is cut into segments, and a set's segments are hashed.  Sets that
 link differ in D shingles at most, so a set with more than D filled segments has one that is
 equal in the other: equal segments give edges (each set to the least one with that segment, not
-pairs), and their components hold all links.  As a segment has several shingles, documents that
+pairs), and their components hold all links.  Small sets, which may not fill enough segments,
+are hashed without each choice of the few shingles that a linked set may lack.  As a segment has several shingles, documents that
 only share a passage, or frequent phrases, have no edge.
 
 Within a component sets are joined exactly.  Index skipping: lists hold a set under the shingles
@@ -21,6 +22,7 @@ exactly the components of the links.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -30,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.core import Interner, arrays, blocks, mix64, ranges, staged, table, utf8
+from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, utf8
+from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
 BLOCK_BYTES, CACHED_WORDS = 4_000_000, 300_000
 #: Segment hashes sorted by one task, about; shingles joined by one task, about, and of a
 #: component that is joined as one piece, at most.
-TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 500_000, 2_000_000
+TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 250_000, 400_000
+#: Hashes that a small set is given, at most.
+VARIANTS = 128
 #: Sets with so many copies, at most so many of them, are told to all tasks, which then leave
 #: the copies out; other copies only repeat edges.
 COPIES, HOT_SETS = 16, 65_536
@@ -87,6 +92,11 @@ def _sign(words: int):
     return run
 
 
+@functools.cache
+def choices(n: int, i: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), i)), np.int64).reshape(math.comb(n, i), i)
+
+
 class Segments:
     """How sets are cut at a threshold.
 
@@ -110,6 +120,29 @@ class Segments:
                 self.least, self.mean = least, good[-1]
                 break
 
+        #: Sets of at most ``small`` shingles are joined by variants, which those of at most
+        #: ``partner`` have, the largest that can link with them.
+        self.small = self.partner = 0
+        while self.variants_of(100 * (self.small + 1) // percent) <= VARIANTS:
+            self.small += 1
+            self.partner = 100 * self.small // percent
+
+    def removed(self, n: int) -> int:
+        """The most shingles that a set of n has beyond its intersection with a linked one."""
+        return n - -(-self.percent * n // 100)
+
+    def variants_of(self, n: int) -> int:
+        return sum(math.comb(n, i) for i in range(self.removed(n) + 1))
+
+    def variants(self, mixed: np.ndarray) -> np.ndarray:
+        """Hashes of a set without each choice of shingles that a linked one may lack: two sets
+        that link have one in common, that of their intersection."""
+        n, total = len(mixed), mixed.sum(dtype=np.uint64)
+        out = []
+        for i in range(self.removed(n) + 1):
+            out.append(mix64(total - mixed[choices(n, i)].sum(1, dtype=np.uint64) + np.uint64((n - i) * 0x9E3779B1)))
+        return np.concatenate(out)
+
     @functools.lru_cache(4096)  # noqa: B019  one object for each task
     def count(self, k: int) -> int:
         """Segments of scheme k, from the largest set that it cuts."""
@@ -120,7 +153,8 @@ class Segments:
         return n * (100 - self.percent) // self.percent
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of the segments of a sorted set, under both of its schemes.
+        """Hashes of the variants of a small set, and of the segments of a sorted set that is not,
+        under both of its schemes.
 
         Segments of fewer than ``least`` shingles are left out where the others are more than D.
         Else all filled ones are given; and if even those are D or fewer, one key more, which all
@@ -130,7 +164,9 @@ class Segments:
         n, out = len(s), []
         d, own = self.differences(n), int(math.log(n) / self.base)
         mixed = mix64(s + np.uint64(0x9E3779B97F4A7C15))
-        for k in (own - 1, own):
+        if n <= self.partner:
+            out.append(self.variants(mixed))
+        for k in () if n <= self.small else (own - 1, own):
             m = self.count(k)
             segment = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
@@ -221,7 +257,8 @@ def _pack_texts(spread):
         for batch in batches:
             at = _bit(batch.column("doc_id").to_numpy(), 8 * len(bits))
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-            yield arrays(doc_id=batch.column("doc_id"), packed=pa.array([pack.compress(x) for x in utf8(batch.column("text"))], pa.binary()))
+            for part in blocks([batch], "text", BLOCK_BYTES):
+                yield arrays(doc_id=part.column("doc_id"), packed=pa.array([pack.compress(x) for x in utf8(part.column("text"))], pa.binary()))
 
     return run
 
@@ -234,8 +271,8 @@ def _unpack_sets(words: int):
         for batch in blocks(batches, "packed", BLOCK_BYTES // 4):
             sets = shingler.sets([unpack.decompress(x) for x in batch.column("packed").to_pylist()])
             same = [signature(s) == x for s, x in zip(sets, batch.column("sig").to_pylist())]
-            keep = pa.array(same)
-            yield arrays(task=batch.column("task").filter(keep), component=batch.column("component").filter(keep), lead=batch.column("lead").filter(keep), shingles=pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary()))
+            keep = pa.array(same, pa.bool_())
+            yield arrays(pieces=batch.column("pieces").filter(keep), component=batch.column("component").filter(keep), lead=batch.column("lead").filter(keep), shingles=pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary()))
 
     return run
 
@@ -328,6 +365,55 @@ def _join(percent: int):
     return run
 
 
+def _fetch(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(pieces, component, lead, shingles) of ``members``: the texts of other rows stay where
+    they are, but for those that a bounded filter lets pass."""
+    spread = rows.sparkSession.sparkContext.broadcast(id_filter(members.select("lead"), members.count()))
+    texts = rows.mapInArrow(_pack_texts(spread), "doc_id long, packed binary")
+    fetched = texts.join(members.select("sig", "lead", "component", "pieces").hint("merge"), texts["doc_id"] == F.col("lead"))
+    return fetched.select("pieces", "component", "lead", "sig", "packed").mapInArrow(_unpack_sets(words), "pieces int, component long, lead long, shingles binary")
+
+
+def _joined(sets: DataFrame, percent: int) -> DataFrame:
+    return sets.select("task", "component", "lead", "shingles").groupBy("task").applyInArrow(_join(percent), "u long, v long")
+
+
+def _crossed(sets: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Links of components between ``some`` of their sets and all: each chunk of these meets each
+    piece of all."""
+    chunks = some.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("chunks"))
+    task = lambda piece, chunk: F.concat_ws(":", "component", piece, chunk)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = sets.join(chunks, "component").withColumn("_i", upto("chunks")).withColumn("task", task("piece", "_i"))
+    part = some.join(chunks, "component").withColumn("_i", F.pmod(F.xxhash64(F.lit(1), "lead"), F.col("chunks")))
+    part = part.withColumn("_p", upto("pieces")).withColumn("task", task("_p", "_i"))
+    columns = ["task", "component", "lead", "shingles"]
+    return _joined(whole.select(*columns).union(part.select(*columns)), percent)
+
+
+def link_large(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between linked sets of components that are too large for one task, such that
+    their components are those of all links.
+
+    Pieces of a component are joined on their own, then with the first set of each group found in
+    any piece.  Groups that this makes one need no comparing within; what is not in the largest
+    group of its component is compared with all.  A component of near copies thus takes two
+    passes over its sets, however large; only sets that have no link to its largest group cost a
+    pass over the component for each PIECE_SHINGLES shingles of them.
+    """
+    sets = staged(sets.withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")), "large")
+    alone = staged(_joined(sets.withColumn("task", F.concat_ws(":", "component", "piece")), percent), "links")
+    first = sets.join(alone.select(F.col("v").alias("lead")).distinct(), "lead", "left_semi")
+    across = staged(_crossed(sets, first, percent), "links")
+    links = alone.union(across)
+    roots = connected_components(links).withColumnRenamed("u", "lead")
+    grouped = staged(sets.select("component", "lead").join(roots, "lead", "left").select("component", "lead", F.coalesce("root", "lead").alias("root")), "groups")
+    sizes = grouped.groupBy("component", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("component").agg(F.max(F.struct("n", "root")).alias("m")).select("component", F.col("m.root").alias("main"))
+    other = grouped.join(main, "component").where("root <> main").select("lead")
+    return links.union(_crossed(sets, sets.join(other, "lead", "left_semi"), percent))
+
+
 def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
@@ -337,39 +423,33 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     null id counts as -1; an empty table stays empty; other columns are ignored.
 
     No list, component or copy is expanded into pairs.  A component of candidates beyond
-    PIECE_SHINGLES is cut into pieces by a hash of the id, and every two pieces are joined by a
-    task of their own, so memory is bounded and no link is lost.
+    PIECE_SHINGLES is joined in pieces (link_large), so memory is bounded and no link is lost.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
     signed = staged(rows.mapInArrow(_sign(words), "doc_id long, n long, sig binary, node long"), "signed")
     sets = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("node").alias("node"), F.count("*").alias("copies")), "sets")
     hot = sets.where(F.col("copies") >= COPIES).orderBy(F.desc("copies"), "sig").limit(HOT_SETS).select("sig", "lead").collect()
     hot = spark.sparkContext.broadcast({bytes(r["sig"]): r["lead"] for r in hot})
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, n_rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     buckets = 1 + int(total * 2.2 * Segments(percent).share) // TASK_SEGMENTS
     edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
     found = connected_components(edges)
     roots = found.select(F.col("u").alias("node"), F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
     members = sets.where("n > 0").select("sig", "lead", "n", "node").join(roots, "node").drop("node")
-    size = members.groupBy("component").agg(F.sum("n").alias("size")).withColumn("pieces", F.ceil(F.col("size") / PIECE_SHINGLES).cast("int"))
-    members = staged(members.join(size, "component"), "members")
-    total, most, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("pieces"), F.lit(0)), F.count("*")).first()
-    piece = F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.concat_ws(":", F.col("component"), F.least(i, piece), F.greatest(i, piece)))
-    task = F.when(F.col("pieces") == 1, F.array(F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string")))).otherwise(pairs)
-    wanted = members.select("sig", "lead", "component", F.explode(task).alias("task"))
-    spread = spark.sparkContext.broadcast(id_filter(members.select("lead"), count))
-    texts = rows.mapInArrow(_pack_texts(spread), "doc_id long, packed binary")
-    fetched = texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["lead"]).select("task", "component", "lead", "sig", "packed")
-    linked = fetched.mapInArrow(_unpack_sets(words), "task string, component long, lead long, shingles binary").groupBy("task").applyInArrow(_join(percent), "u long, v long")
+    size = members.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).withColumn("pieces", F.ceil(F.col("size") / PIECE_SHINGLES).cast("int"))
+    members = staged(hot_join(members, size, "component", "sets", n_rows), "members")
+    total, most = members.where("pieces = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], members.agg(F.coalesce(F.max("pieces"), F.lit(0))).first()[0]
+    task = F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string")
+    links = _joined(_fetch(rows, members.where("pieces = 1"), words).withColumn("task", task), percent)
+    links = links.where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
     if most > 1:
-        links = connected_components(linked)
-    else:
-        links = linked.where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
-    ids = sets.join(links, sets["lead"] == links["u"], "left").select("sig", F.coalesce("root", "lead").alias("component"))
+        large = connected_components(link_large(_fetch(rows, members.where("pieces > 1"), words), percent))
+        links = links.unionByName(large)
+    ids = sets.join(links, sets["lead"] == links["u"], "left").select("sig", F.coalesce("root", "lead").alias("component"), "copies")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return signed.join(ids, "sig").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return hot_join(signed, staged(ids, "ids"), "sig", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op6_ngram_join(spark, sf_dir):

@@ -19,7 +19,7 @@ from tests.llm.helpers import HARD, SF, documents, empty, hard, near_copies
 from tokenizers import Tokenizer
 
 from quillstream.llm.core import mix64
-from quillstream.llm import components, exact_dedup, fingerprints, html_extraction, language_id, lm_scoring, mixing, ngram_join, packing, quality, sharding
+from quillstream.llm import components, core, exact_dedup, fingerprints, html_extraction, language_id, lm_scoring, mixing, ngram_join, packing, quality, sharding
 
 DEL = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -93,7 +93,7 @@ def test_the_index_gives_the_answer(spark):
 
 
 def test_hot_digests_are_told(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    monkeypatch.setattr(core, "HOT_ROWS", 2)
     got = sorted(tuple(r)[:3] + (r["text_sha256"],) for r in exact_dedup.exact_dedup(hard(spark)).collect())
     assert got == dedup_by_hand(HARD)
 
@@ -325,9 +325,11 @@ def test_ngram_join(spark, words, percent):
     assert sorted(map(tuple, got)) == components_by_hand(rows, words, percent)
 
 
-def test_ngram_join_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", 60)
+@pytest.mark.parametrize("size", [60, 400])
+def test_ngram_join_in_pieces(spark, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", size)
     monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 500)
+    monkeypatch.setattr(core, "HOT_ROWS", 3)
     rows = [(i, t) for i, t in enumerate(near_copies(9))]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == components_by_hand(rows, 3, 90)
@@ -350,7 +352,27 @@ def test_segments_share_a_key(percent):
                 assert np.isin(cut.keys(a), cut.keys(b)).any(), (n, removed, added)
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_small_sets_have_common_variants(percent):
+    """Small sets need no key that unlike ones share, and every linked pair has one of its own."""
+    cut = ngram_join.Segments(percent)
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(30, n, False)).astype(np.uint64) for n in rng.integers(1, cut.partner + 1, 600)]
+    keys = [cut.keys(s) for s in sets]
+    assert max(cut.variants_of(len(s)) for s in sets) <= ngram_join.VARIANTS
+    linked = 0
+    for i in range(600):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o):
+                linked += 1
+                assert np.isin(keys[i], keys[j]).any()
+    assert linked
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_connected_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(core, "HOT_ROWS", hot)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
