@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-A source's words are cut into equal blocks.  The mix's words go to sources, and a source's blocks
-to its shards, by highest quotients weight / (2k + 1).  Shards and the length of a block follow
+A source's words are cut into equal blocks.  The mix's words go to sources, a source's blocks to
+groups of its shards, and a group's blocks to its shards, by highest quotients weight / (2k + 1);
+as a source of n shards has about sqrt(n) groups, no task ranks all shards of a large source.  Shards and the length of a block follow
 the source's own words, so that blocks that are not full weigh little.  Within a shard a seeded permutation of its
 blocks says which are taken once more than the others.
 """
@@ -16,7 +17,7 @@ from quillstream.llm.core import WORD_RE, staged, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
-SHARD_WORDS, MAX_BLOCK, MIN_BLOCKS = 500_000, 32, 512
+SHARD_WORDS, MAX_BLOCK, MIN_BLOCKS = 100_000, 32, 512
 #: A prime above any block count of a shard: a multiple of it, modulo n, visits all n blocks.
 STEP = 2_654_435_761
 
@@ -87,15 +88,22 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("source_size") / MIN_BLOCKS))).cast("long")
     cuts = F.broadcast(sources.select(F.col("source").alias("_s"), shards.alias("_shards"), block.alias("_block")))
     rows = rows.join(cuts, rows["source"].eqNullSafe(cuts["_s"])).drop("_s")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards"))).drop("_shards")
-    parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("_block").alias("_block"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")))
+    group = F.pmod("shard", F.ceil(F.sqrt(F.first("_shards")))).alias("grp")
+    parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("_block").alias("_block"), group)
+    rows = rows.drop("_shards")
     targets = source_targets(sources)
     targets = targets.withColumn("_n", F.round(F.sum("target").over(W.partitionBy(F.lit(0)))).cast("long"))
     targets = sainte_lague(targets, [], "source", "target", "_n", "seats")
     targets = targets.withColumn("blocks", F.round(F.col("seats") / block).cast("long"))
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target", "blocks")
-    parts = parts.join(t, parts["source"].eqNullSafe(t["_s"])).drop("_s")
-    parts = sainte_lague(parts, ["source"], "shard", "words", "blocks", "quota")
+    t = staged(targets.select(F.col("source").alias("_s"), "source_size", "target", "blocks"), "targets")  # one row each
+    groups = parts.groupBy("source", "grp").agg(F.sum("words").alias("words"))
+    groups = groups.join(F.broadcast(t.select("_s", "blocks")), groups["source"].eqNullSafe(t["_s"])).drop("_s")
+    groups = sainte_lague(groups, ["source"], "grp", "words", "blocks", "blocks_of")
+    g = groups.select(F.col("source").alias("_s"), F.col("grp").alias("_g"), "blocks_of")
+    parts = parts.join(g, parts["source"].eqNullSafe(g["_s"]) & (parts["grp"] == g["_g"])).drop("_s", "_g")
+    parts = sainte_lague(parts, ["source", "grp"], "shard", "words", "blocks_of", "quota")
+    parts = parts.join(F.broadcast(t.drop("blocks")), parts["source"].eqNullSafe(t["_s"])).drop("_s")
     n = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("_block"))).cast("long")
     parts = parts.withColumn("_n", n).withColumn("quota", F.least(F.col("quota"), (CAP * F.col("_n")).cast("long")))
     p = parts.select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "source_size", "target", "_n", "quota")
