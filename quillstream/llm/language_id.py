@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.core import arrays, blocks, crc_mod, table
+from quillstream.shipping import ship
 
 DIMS, ORDERS = 1 << 14, (1, 2, 3)
 #: Documents the weights and the temperature are fitted on, at most; documented bound.
@@ -62,7 +63,7 @@ def vector(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _document_frequency(batches):
     seen = np.zeros(DIMS + 1, np.int64)
-    for batch in batches:
+    for batch in blocks(batches, "text", BLOCK_BYTES):
         for text in batch.column("text").to_pylist():
             if (c := counts(text)) is not None:
                 seen[:-1] += c > 0
@@ -120,7 +121,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(df: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from rows (text, lang, place), lang not null: ``place`` is a hash that orders the
     rows.  The sample has about as many rows of each language."""
-    by = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # of more languages than the sample has rows, the rarest have none in it
+    by = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     names = sorted(by)
     if not names:
         return {"names": []}
@@ -194,6 +196,7 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     fold.  Texts that are null or have no letter, and all texts where nothing can be learned,
     are ``und`` with score 0; a null id is in the training fold of the text ``null``'s hash;
     repeated rows get equal results; an empty table stays empty; other columns are ignored."""
+    ship(df.sparkSession)
     rows = training_rows(df, key, text, lang)
     model = fit_rows(rows, sample)
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm.core import mix64, staged, table
+from quillstream.shipping import ship
 
 #: Rows numbered by one task, about.
 SLOT_ROWS = 50_000
@@ -46,12 +47,14 @@ def shard_rows(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str =
     no task orders a whole shard.  Null texts have size 1 and the checksum of nothing; repeated
     ids share a shard, each with its own slot; null ids share one; empty tables stay empty.
     """
+    ship(df.sparkSession)
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    # the size is taken before Python sees the ids, so that no text is sent to it
+    # the size is taken before Python sees the ids, so that no text is sent to it; staged again,
+    # as both uses below would hash the ids again
     rows = staged(df.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32")), "sizes")
-    rows = rows.withColumns({"shard": jump_shard("doc_id", shards), "grown_shard": jump_shard("doc_id", shards + 1)})
+    rows = staged(rows.withColumns({"shard": jump_shard("doc_id", shards), "grown_shard": jump_shard("doc_id", shards + 1)}), "shards")
     n = 1 + rows.count() // (SLOT_ROWS * shards)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(n)))
     rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("shard", "_b").orderBy("doc_id", "size", "text_crc32")))
     ahead = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     ahead = ahead.withColumn("_a", F.sum("_n").over(W.partitionBy("shard").orderBy("_b")) - F.col("_n")).drop("_n")
