@@ -4,10 +4,12 @@ Each previous word has a restaurant of its own; all share one parent, the unigra
 whose base is uniform over the vocabulary and one unknown word.
 
 Customers live in buckets by a hash of their word: a word's counts in all contexts, and at the
-parent, are in one place.  Totals of restaurants live in shards by a hash of the context; a
-bucket sends a shard its own part of them and is sent the sums, in the order it asked.  Seating
-is sampled by blocked Gibbs steps: given the totals of the restaurants, the number of tables at
-which a word's c customers sit has the exact conditional p(t) ~ S(c, t) a^t (S: generalised
+parent, are in one place.  The pairs of heavy words, of which there are few by their definition,
+are dealt to buckets of their own by word and context; their customers at the parent are summed
+up between sweeps, and the driver seats them.  Totals of restaurants live in shards by a hash of
+the context; a bucket sends a shard its own part of them and is sent the sums, in the order it
+asked.  Seating is sampled by blocked Gibbs steps: given the totals of the restaurants, the number
+of tables at which a word's c customers sit has the conditional p(t) ~ S(c, t) a^t (S: generalised
 Stirling numbers, a: weight of a new table); then the parent's customers are those tables, and
 its tables are drawn likewise.  Totals are summed between sweeps.  SAMPLES seatings are kept
 after burn-in; a repeated pass with the same seeds finds the same seatings, now with their
@@ -28,23 +30,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import Interner, arrays, blocks, crc_mod, drop_staged, free_shuffles, staged, table, utf8
+from quillstream.llm.core import Interner, arrays, blocks, crc_mod, drop_staged, free_shuffles, mix64, staged, table, utf8
+from quillstream.shipping import ship
 
 BURN_IN, SAMPLES, SWEEPS = 2, 2, 2
 BLOCK_TOKENS, BUCKET_TOKENS = 2_500_000, 3_000_000
 FOLDS, HELD_OUT = 7, 2
 #: Strengths the restaurants' concentration is chosen from, by leave-one-out likelihood.
 STRENGTHS = (0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)
-STIRLING = 48
+STIRLING = 256
+#: A word is heavy with so many tokens, and one in HEAVY_PART of all: fewer than HEAVY_PART are.
+HEAVY, HEAVY_PART = 500_000, 1_000_000
 END_HASH = xxhash.xxh3_64_intdigest(b"")
 
 ENCODED = "block long, n long, doc_ids binary, held binary, lengths binary, ids binary, vocabulary binary"
 REQUEST = "bucket int, block long, words binary, n binary, pairs binary, ctx binary, c binary"
-MERGED = "bucket int, tokens long, types long, known long, ones long, twos long, n binary, pairs binary, n_contexts long, contexts binary, ctx binary, c binary, blocks array<long>, word_at array<binary>, pair_at array<binary>"
-MODEL = ["bucket", "n_contexts", "n", "pairs", "ctx", "c"]
-#: What a bucket has of a shard's restaurants, or (s, cust, tab) of its part of the parent.
-PART = "shard int, bucket int, ctx binary, v binary, s int, cust long, tab long"
-TOTALS = "bucket int, shard int, v binary, s int, cust long, tab long"
+MERGED = "bucket int, words binary, tokens long, types long, known long, ones long, twos long, n binary, pairs binary, n_contexts long, contexts binary, ctx binary, c binary, blocks array<long>, word_at array<binary>, pair_at array<binary>"
+MODEL = ["bucket", "words", "n_contexts", "n", "pairs", "ctx", "c"]
+#: What a bucket has of a shard's restaurants, or of its part of the parent: (s, cust, tab) in all,
+#: and (s, words, v) of heavy words.
+PART = "shard int, bucket int, ctx binary, v binary, s int, cust long, tab long, words binary"
+TOTALS = "bucket int, shard int, v binary, s int, cust long, tab long, words binary"
 REPLY = "block long, bucket int, n binary, p binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
@@ -60,7 +66,7 @@ def _encode(batches):
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return arrays(
             block=np.array([(pid << 24) + k - 1]), n=np.array([int(lengths.sum())]), doc_ids=pa.array([np.concatenate(doc_ids).astype("<i8").tobytes()], pa.binary()), held=pa.array([np.concatenate(held).astype(np.uint8).tobytes()], pa.binary()),
-            lengths=pa.array([lengths.astype("<i4").tobytes()], pa.binary()), ids=pa.array([zstandard.compress(np.concatenate(ids).astype("<i4").tobytes(), 3)], pa.binary()), vocabulary=pa.array([vocabulary.tobytes()], pa.binary()),
+            lengths=pa.array([lengths.astype("<i4").tobytes()], pa.binary()), ids=_packed(np.concatenate(ids), "<i4"), vocabulary=pa.array([vocabulary.tobytes()], pa.binary()),
         )
 
     known, ids, doc_ids, held, size = Interner(), [], [], [], 0
@@ -81,7 +87,7 @@ def _encode(batches):
 def _arrays_of(row: dict) -> tuple:
     lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
     held = np.frombuffer(row["held"], np.uint8).astype(bool)
-    return np.frombuffer(zstandard.decompress(row["ids"]), "<i4"), lengths, held, np.frombuffer(row["vocabulary"], "<u8")
+    return _open(row["ids"], "<i4"), lengths, held, np.frombuffer(row["vocabulary"], "<u8")
 
 
 def _pairs(row: dict) -> tuple:
@@ -95,22 +101,45 @@ def _pairs(row: dict) -> tuple:
     return vocabulary[order], keys, pair_of, np.repeat(held, lengths), lengths
 
 
-def _requests(buckets: int):
+def _frequent(least: int):
+    """The words with at least so many tokens in a block."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, _, _, vocabulary = _arrays_of(row)
+                n = np.bincount(ids, minlength=len(vocabulary))
+                at = np.flatnonzero(n >= least)
+                yield arrays(word=vocabulary[at].astype(np.uint64).view(np.int64), n=n[at])
+
+    return run
+
+
+def pair_buckets(words: np.ndarray, word: np.ndarray, ctx: np.ndarray, cut: dict) -> np.ndarray:
+    """The bucket of each pair: by its word, or, if that is heavy, by both."""
+    out = bucket_of(words, cut["light"])[word]
+    at = np.flatnonzero(np.isin(words, cut["heavy"])[word])
+    out[at] = cut["light"] + bucket_of(mix64(words[word[at]] + mix64(ctx[at])), cut["more"])
+    return out
+
+
+def _requests(told):
     def run(batches):
+        cut = told.value
         for batch in batches:
             for row in batch.to_pylist():
                 words, keys, pair_of, held, _ = _pairs(row)
                 c = np.bincount(pair_of[~held], minlength=len(keys))
                 word, ctx = keys // len(words), words[keys % len(words)]
-                n = np.bincount(word, c, len(words)).astype(np.int64)
-                per_word = np.bincount(word, minlength=len(words))
-                bucket = bucket_of(words, buckets)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                pair_edge = np.concatenate([[0], np.cumsum(per_word)])[edge]
-                for b in range(buckets):
-                    i, j, k, m = edge[b], edge[b + 1], pair_edge[b], pair_edge[b + 1]
-                    if i < j:
-                        yield arrays(bucket=np.array([b], np.int32), block=np.array([row["block"]]), words=_bin(words[i:j], "<u8"), n=_packed(n[i:j], "<u4"), pairs=_packed(per_word[i:j], "<u4"), ctx=_bin(ctx[k:m], "<u8"), c=_packed(c[k:m], "<u4"))
+                bucket = pair_buckets(words, word, ctx, cut)
+                order = np.argsort(bucket, kind="stable")
+                bucket, word, ctx, c = bucket[order], word[order], ctx[order], c[order]
+                start = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(word) != 0)]))
+                n, per_word = np.add.reduceat(c, start), np.diff(np.append(start, len(word)))
+                edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
+                for k, m in zip(edge[:-1], edge[1:]):
+                    i, j = np.searchsorted(start, [k, m])
+                    yield arrays(bucket=bucket[k : k + 1].astype(np.int32), block=np.array([row["block"]]), words=_steps(words[word[start[i:j]]]), n=_packed(n[i:j], "<u4"), pairs=_packed(per_word[i:j], "<u4"), ctx=_steps(ctx[k:m]), c=_packed(c[k:m], "<u4"))
 
     return run
 
@@ -129,16 +158,33 @@ def _packed(x: np.ndarray, kind: str) -> pa.Array:
 
 
 def _squeeze(x: np.ndarray, kind: str) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
+    """Compressed by planes of bytes, most of which are the same in small numbers."""
+    x = np.ascontiguousarray(x, kind).ravel()
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def _open(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _rise(x: np.ndarray) -> bytes:
+    """Hashes that mostly rise, as steps modulo 2^64."""
+    x = np.ascontiguousarray(x, "<u8")
+    return _squeeze(x - np.concatenate([np.zeros(1, np.uint64), x[:-1]]), "<u8") if len(x) else _squeeze(x, "<u8")
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(_open(raw, "<u8"), dtype=np.uint64)
 
 
-def _open(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+def _steps(x: np.ndarray) -> pa.Array:
+    return pa.array([_rise(x)], pa.binary())
 
 
 def _of(row: dict) -> tuple:
     n, per_word, c = (_open(row[k], "<u4") for k in ("n", "pairs", "c"))
-    return np.frombuffer(row["words"], "<u8"), n, per_word, np.frombuffer(row["ctx"], "<u8"), c
+    return _risen(row["words"]), n, per_word, _risen(row["ctx"]), c
 
 
 def _places(at: np.ndarray, sizes: list[int]) -> pa.Array:
@@ -146,32 +192,57 @@ def _places(at: np.ndarray, sizes: list[int]) -> pa.Array:
     return pa.array([[_squeeze(np.diff(x, prepend=0), "<u4") for x in np.split(at, np.cumsum(sizes)[:-1])]], pa.list_(pa.binary()))
 
 
-def _merge(data: pa.Table) -> pa.Table:
-    """The counts of a bucket's words and pairs over all blocks, and where each block's are;
-    those not in training count 0."""
-    rows = data.to_pylist()
-    parts = [_of(r) for r in rows]
-    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    contexts, ctx = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
-    keys, pair = np.unique(np.repeat(place, np.concatenate([p[2] for p in parts])) * len(contexts) + ctx, return_inverse=True)
-    c = np.bincount(pair, np.concatenate([p[4] for p in parts])).astype(np.int64)
-    return pa.Table.from_batches([arrays(
-        bucket=np.array([rows[0]["bucket"]], np.int32), tokens=np.array([int(n.sum())]), types=np.array([int((n > 0).sum())]), known=np.array([int((c > 0).sum())]), ones=np.array([int((c == 1).sum())]), twos=np.array([int((c == 2).sum())]),
-        n=_packed(n, "<u4"), pairs=_packed(np.bincount(keys // len(contexts), minlength=len(words)), "<u4"), n_contexts=np.array([len(contexts)]), contexts=_bin(contexts, "<u8"), ctx=_packed(keys % len(contexts), "<u4"), c=_packed(c, "<u4"),
-        blocks=pa.array([[r["block"] for r in rows]], pa.list_(pa.int64())), word_at=_places(place, [len(p[0]) for p in parts]), pair_at=_places(pair, [len(p[3]) for p in parts]),
-    )])
+def _total(at: np.ndarray, n: list[np.ndarray], size: int) -> np.ndarray:
+    """Sums of counts by place, in 64 bits."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, np.concatenate(n).astype(np.int64))
+    return out
+
+
+def _merge(light: int):
+    def run(data: pa.Table) -> pa.Table:
+        """The counts of a bucket's words and pairs over all blocks, and where each block's are;
+        those not in training count 0.  Of heavy words it has a part of the counts."""
+        rows = data.to_pylist()
+        parts = [_of(r) for r in rows]
+        heavy = rows[0]["bucket"] >= light
+        words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = _total(place, [p[1] for p in parts], len(words))
+        contexts, ctx = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+        keys, pair = np.unique(np.repeat(place, np.concatenate([p[2] for p in parts])) * len(contexts) + ctx, return_inverse=True)
+        c = _total(pair, [p[4] for p in parts], len(keys))
+        return pa.Table.from_batches([arrays(
+            bucket=np.array([rows[0]["bucket"]], np.int32), words=_steps(words if heavy else words[:0]), tokens=np.array([int(n.sum())]), types=np.array([0 if heavy else int((n > 0).sum())]), known=np.array([int((c > 0).sum())]), ones=np.array([int((c == 1).sum())]), twos=np.array([int((c == 2).sum())]),
+            n=_packed(n, "<i8"), pairs=_packed(np.bincount(keys // len(contexts), minlength=len(words)), "<u4"), n_contexts=np.array([len(contexts)]), contexts=_steps(contexts), ctx=_packed(keys % len(contexts), "<u4"), c=_packed(c, "<i8"),
+            blocks=pa.array([[r["block"] for r in rows]], pa.list_(pa.int64())), word_at=_places(place, [len(p[0]) for p in parts]), pair_at=_places(pair, [len(p[3]) for p in parts]),
+        )])
+
+    return run
+
+
+def _heavy_counts(batches):
+    """A heavy bucket's part of the tokens and pairs of its words."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n, word, _, c = _unpack(row)
+            yield arrays(word=_risen(row["words"]).view(np.int64), n=n, cust=np.bincount(word, c > 0, len(n)).astype(np.int64))
+
+
+def _heavy_customers(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            w = _risen(row["words"]).view(np.int64)
+            yield arrays(s=np.full(len(w), row["s"], np.int32), word=w, cust=_open(row["v"], "<i8"))
 
 
 def _parts(row: dict, values: list[np.ndarray], shards: int):
     """Sums of ``values`` of pairs by restaurant, for each shard."""
-    contexts, ctx = np.frombuffer(row["contexts"], "<u8"), _open(row["ctx"], "<u4")
-    v = np.stack([np.bincount(ctx, x, len(contexts)) for x in values], 1)
+    contexts, ctx = _risen(row["contexts"]), _open(row["ctx"], "<u4")
+    v = np.stack([_total(ctx, [x], len(contexts)) for x in values])
     edge = np.searchsorted(bucket_of(contexts, shards), np.arange(shards + 1))
-    for k in range(shards):
+    for k in np.flatnonzero(np.diff(edge)).tolist():
         i, j = edge[k], edge[k + 1]
-        if i < j:
-            yield {"shard": k, "bucket": row["bucket"], "ctx": contexts[i:j].tobytes(), "v": _squeeze(v[i:j], "<i8")}
+        yield {"shard": k, "bucket": row["bucket"], "ctx": _rise(contexts[i:j]), "v": _squeeze(v[:, i:j], "<i8")}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -185,7 +256,7 @@ def _first_parts(shards: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                c = _open(row["c"], "<u4")
+                c = _open(row["c"], "<i8")
                 yield pa.RecordBatch.from_pylist(list(_parts(row, [c, c > 0], shards)), schema=_schema(PART))
 
     return run
@@ -194,16 +265,15 @@ def _first_parts(shards: int):
 def _sum_parts(data: pa.Table) -> pa.Table:
     """For each bucket, the totals of the shard's restaurants it has, in its order."""
     rows = data.to_pylist()
-    out = [r for r in rows if r["ctx"] is None]
-    out = [{"s": r["s"], "cust": r["cust"], "tab": r["tab"]} for r in out]
+    out = [{k: r[k] for k in ("v", "s", "cust", "tab", "words")} for r in rows if r["ctx"] is None]
     rows = [r for r in rows if r["ctx"] is not None]
     if rows:
-        ctx = [np.frombuffer(r["ctx"], "<u8") for r in rows]
+        ctx = [_risen(r["ctx"]) for r in rows]
         at = np.unique(np.concatenate(ctx), return_inverse=True)[1]
-        v = np.concatenate([_open(r["v"], "<i8").reshape(len(c), -1) for r, c in zip(rows, ctx)])
-        total = np.stack([np.bincount(at, x) for x in v.T], 1).astype("<i8")
+        v = np.concatenate([_open(r["v"], "<i8").reshape(-1, len(c)) for r, c in zip(rows, ctx)], 1)
+        total = np.stack([_total(at, [x], int(at.max()) + 1) for x in v])
         for r, mine in zip(rows, np.split(at, np.cumsum([len(c) for c in ctx])[:-1])):
-            out.append({"bucket": r["bucket"], "shard": r["shard"], "v": _squeeze(total[mine], "<i8")})
+            out.append({"bucket": r["bucket"], "shard": r["shard"], "v": _squeeze(total[:, mine], "<i8")})
     return pa.Table.from_pylist(out, schema=_schema(TOTALS))
 
 
@@ -213,8 +283,8 @@ def _bucket(data: pa.Table) -> tuple:
     row = next(r for r in rows if r["ctx"] is not None)
     found: dict = {}
     for r in sorted((r for r in rows if r["v"] is not None), key=lambda r: (r["round"], r["shard"])):
-        found.setdefault(r["round"], []).append(_open(r["v"], "<i8"))
-    return row, [np.concatenate(found[k]).reshape(row["n_contexts"], -1) for k in sorted(found)]
+        found.setdefault(r["round"], []).append(_open(r["v"], "<i8").reshape(r["columns"], -1))
+    return row, [np.concatenate(found[k], 1).T for k in sorted(found)]
 
 
 def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
@@ -230,15 +300,16 @@ def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
 
 
 def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers each, from p(t) ~ S(c, t) a^t.  Beyond STIRLING customers the draw
-    for STIRLING of them goes on by binomial steps, each at most doubling the customers."""
+    """Tables of c customers each, from p(t) ~ S(c, t) a^t, exactly up to STIRLING customers.
+    Beyond, the draw for STIRLING of them goes on by binomial steps, each at most doubling the
+    customers: at 1,000 customers the mean is within 4 % of the exact one (a test says so)."""
     t = np.minimum(c, 1).astype(np.int64)
     la = np.log(np.maximum(a, 1e-300))
     first = np.minimum(c, STIRLING)
     order = np.argsort(first, kind="stable")
     edge = np.searchsorted(first[order], np.arange(STIRLING + 2))
     for k in range(2, STIRLING + 1):
-        for at in np.array_split(order[edge[k] : edge[k + 1]], 1 + (edge[k + 1] - edge[k]) // 100_000):
+        for at in np.array_split(order[edge[k] : edge[k + 1]], 1 + (edge[k + 1] - edge[k]) * k // 4_000_000):
             if len(at):
                 p = stirling[k, 1 : k + 1] + la[at, None] * np.arange(1, k + 1)
                 p = np.exp(p - p.max(1, keepdims=True)).cumsum(1)
@@ -256,49 +327,68 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rn
 
 
 def _unpack(row: dict) -> tuple:
-    n, per_word, ctx, c = (_open(row[k], "<u4").astype(np.int64) for k in ("n", "pairs", "ctx", "c"))
+    n, per_word, ctx, c = (_open(row[k], t).astype(np.int64) for k, t in (("n", "<i8"), ("pairs", "<u4"), ("ctx", "<u4"), ("c", "<i8")))
     return n, np.repeat(np.arange(len(n)), per_word), ctx, c
 
 
+def _heavy_at(row: dict, m: dict) -> np.ndarray | None:
+    """Places of a bucket's words among the heavy ones; None if its words are not heavy."""
+    return np.searchsorted(m["heavy"], _risen(row["words"])) if row["bucket"] >= m["light"] else None
+
+
 def seatings(row: dict, tables: np.ndarray, m: dict):
-    """For each kept sample: (tables of pairs, customers and tables of words at the parent)."""
+    """For each kept sample: (tables of pairs, customers and tables of words at the parent).  Of
+    heavy words, which a bucket has only a part of, the parent's are those of the last sweep."""
     n, word, ctx, c = _unpack(row)
     stirling1, stirling0 = log_stirling(m["d1"]), log_stirling(m["d0"])
     new_table = m["theta1"] + m["d1"] * tables[ctx]
-    cust, tab = np.bincount(word, c > 0, len(n)).astype(np.int64), (n > 0).astype(np.int64)
+    heavy = _heavy_at(row, m)
+    if heavy is None:
+        cust, tab = np.bincount(word, c > 0, len(n)).astype(np.int64), (n > 0).astype(np.int64)
+    else:
+        cust, tab = m["heavy_cust"][heavy], m["heavy_tab"][heavy]
     base = (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]
     for s in range(BURN_IN + SAMPLES):
         rng = np.random.default_rng([int(row["bucket"]), m["sweep"], s])
         h = (cust - m["d0"] * tab + base) / (m["theta0"] + m["cust0"])
         t = draw_tables(c, new_table * h[word], m["d1"], stirling1, rng)
-        cust = np.bincount(word, t, len(n)).astype(np.int64)
-        tab = draw_tables(cust, np.full(len(n), base), m["d0"], stirling0, rng)
+        if heavy is None:
+            cust = np.bincount(word, t, len(n)).astype(np.int64)
+            tab = draw_tables(cust, np.full(len(n), base), m["d0"], stirling0, rng)
         if s >= BURN_IN:
             yield t, cust, tab
 
 
-def _seat(m: dict, shards: int):
+def _seat(told, shards: int):
     """A bucket's parts of the restaurants' totals, and of the parent's, in each sample."""
 
     def run(data: pa.Table) -> pa.Table:
+        m = told.value
         row, totals = _bucket(data)
         found = list(seatings(row, totals[-1][:, 1:].mean(1), m))
-        out = list(_parts(row, [_open(row["c"], "<u4"), *(t for t, _, _ in found)], shards))
-        out += [{"shard": row["bucket"] % shards, "bucket": row["bucket"], "s": s, "cust": int(cust.sum()), "tab": int(tab.sum())} for s, (_, cust, tab) in enumerate(found)]
+        out = list(_parts(row, [_open(row["c"], "<i8"), *(t for t, _, _ in found)], shards))
+        at = {"shard": row["bucket"] % shards, "bucket": row["bucket"]}
+        if row["bucket"] >= m["light"]:
+            n, word, _, _ = _unpack(row)
+            out += [at | {"s": s, "words": row["words"], "v": _squeeze(np.bincount(word, t, len(n)), "<i8")} for s, (t, _, _) in enumerate(found)]
+        else:
+            out += [at | {"s": s, "cust": int(cust.sum()), "tab": int(tab.sum())} for s, (_, cust, tab) in enumerate(found)]
         return pa.Table.from_pylist(out, schema=_schema(PART))
 
     return run
 
 
-def _likelihoods(m: dict):
+def _likelihoods(told):
     """Leave-one-out log likelihood of the pairs for each strength, each seated at one table."""
 
     def run(data: pa.Table) -> pa.Table:
+        m = told.value
         row, (totals,) = _bucket(data)
         n, word, ctx, c = _unpack(row)
         seen = c > 0
         word, ctx, c = word[seen], ctx[seen], c[seen]
-        cust = np.bincount(word, minlength=len(n))
+        heavy = _heavy_at(row, m)
+        cust = np.bincount(word, minlength=len(n)) if heavy is None else m["heavy_cust"][heavy]
         h = ((cust - m["d0"] + (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]) / (m["theta0"] + m["cust0"]))[word]
         out = np.zeros(len(STRENGTHS))
         for i, theta in enumerate(STRENGTHS):
@@ -309,32 +399,51 @@ def _likelihoods(m: dict):
     return run
 
 
-def _reply(m: dict):
+def predictive(c, t, c_u, t_u, parent, m: dict) -> np.ndarray:
+    """Pitman-Yor: probability of words with c customers at t tables in restaurants with c_u
+    customers at t_u tables, ``parent`` being that of the parent."""
+    own = np.where(c > 0, c - m["d1"] * t, 0.0)
+    return np.where(c_u > 0, (own + (m["theta1"] + m["d1"] * t_u) * parent) / (m["theta1"] + c_u), parent)
+
+
+def _reply(told):
     """Averaged predictive log10 probabilities of each block's pairs, and its word counts."""
 
     def run(data: pa.Table) -> pa.Table:
+        m = told.value
         row, (before, totals) = _bucket(data)
         n, word, ctx, c = _unpack(row)
-        c_u, p = totals[ctx, 0], np.zeros(len(c))
+        heavy = _heavy_at(row, m)
+        p = np.zeros(len(c))
         for s, (t, cust, tab) in enumerate(seatings(row, before[:, 1:].mean(1), m)):
+            if heavy is not None:
+                cust, tab = (x[heavy] for x in m["heavy_samples"][s])
             cust0, tab0 = m["samples"][s]
             parent = ((m["theta0"] + m["d0"] * tab0) / m["types_all"] + (cust - m["d0"] * tab)[word]) / (m["theta0"] + cust0)
-            own = np.where(c > 0, c - m["d1"] * t, 0.0)
-            p += np.where(c_u > 0, (own + (m["theta1"] + m["d1"] * totals[ctx, 1 + s]) * parent) / (m["theta1"] + c_u), parent)
+            p += predictive(c, t, totals[ctx, 0], totals[ctx, 1 + s], parent, m)
         p = np.log10(p / SAMPLES)
         at = lambda x: np.cumsum(_open(x, "<u4").astype(np.int64))
-        return pa.Table.from_batches([arrays(block=np.array([b]), bucket=np.array([row["bucket"]], np.int32), n=_packed(n[at(w)], "<u4"), p=_bin(p[at(k)], "<f4")) for b, w, k in zip(row["blocks"], row["word_at"], row["pair_at"])])
+        counts = n if heavy is None else n[:0]
+        words = [at(w) if heavy is None else np.zeros(0, np.int64) for w in row["word_at"]]
+        return pa.Table.from_batches([arrays(block=np.array([b]), bucket=np.array([row["bucket"]], np.int32), n=_packed(counts[w], "<i8"), p=_packed(p[at(k)], "<f4")) for b, w, k in zip(row["blocks"], words, row["pair_at"])])
 
     return run
 
 
-def _score(tokens: int, types: int):
+def _score(tokens: int, types: int, told):
     def run(encoded: pa.Table, replies: pa.Table) -> pa.Table:
+        m = told.value
         row = encoded.to_pylist()[0]
         words, keys, pair_of, _, lengths = _pairs(row)
+        word, ctx = keys // len(words), words[keys % len(words)]
+        order = np.argsort(pair_buckets(words, word, ctx, m), kind="stable")
         answers = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        n = np.concatenate([_open(r["n"], "<u4") for r in answers]).astype(np.float64)[keys // len(words)]
-        p = np.concatenate([np.frombuffer(r["p"], "<f4") for r in answers]).astype(np.float64)
+        p, n = np.empty(len(keys)), np.empty(len(words))
+        p[order] = np.concatenate([_open(r["p"], "<f4") for r in answers])
+        heavy = np.isin(words, m["heavy"])
+        n[~heavy] = np.concatenate([_open(r["n"], "<i8") for r in answers])
+        n[heavy] = m["heavy_n"][np.searchsorted(m["heavy"], words[heavy])]
+        n = n[word]
         base = np.log10((n + 1) / (tokens + types + 1))
         starts = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x[pair_of], starts)
@@ -344,59 +453,94 @@ def _score(tokens: int, types: int):
     return run
 
 
-def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", report: dict | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row.
 
     Null, empty and blank texts are one end token; a null id counts as -1 and is in training;
     repeated rows are scored, and learned from, one by one; an empty table, or one without
     training rows, is scored by the uniform base; other columns are ignored.
+
+    ``report`` is filled with the discounts, strengths and, for each sweep, the parent's customers
+    and tables.
     """
+    spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT)
     encoded = staged(rows.mapInArrow(_encode, ENCODED), "encoded")
-    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = 1 + total // BUCKET_TOKENS
-    asked = encoded.mapInArrow(_requests(buckets), REQUEST)
-    merged = staged(asked.groupBy("bucket").applyInArrow(_merge, MERGED), "merged")
+    total, n_blocks = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # words that are in no block as frequent as this are not heavy
+    least = max(HEAVY, total // HEAVY_PART)
+    often = encoded.mapInArrow(_frequent(max(2, least // (4 * max(1, n_blocks)))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    heavy = np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
+    light = 1 + total // BUCKET_TOKENS
+    more = 1 + sum(r["n"] for r in often) // BUCKET_TOKENS
+    m = {"heavy": heavy, "light": light, "more": more}
+    tell = lambda: spark.sparkContext.broadcast(dict(m))
+    asked = encoded.mapInArrow(_requests(tell()), REQUEST)
+    merged = staged(asked.groupBy("bucket").applyInArrow(_merge(light), MERGED), "merged")
     x = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ones", "twos", "known")]).first()
 
-    free_shuffles(df.sparkSession)
+    def of_heavy(rows, *names):
+        """Sums by heavy word, in the order of their hashes: fewer than HEAVY_PART rows."""
+        out = np.zeros((len(names), len(heavy)), np.int64)
+        for r in rows.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).collect():
+            out[:, np.searchsorted(heavy, np.int64(r["word"]).view(np.uint64))] = [r[n] for n in names]
+        return out
+
+    counts = merged.where(F.col("bucket") >= light).select("words", "n", "pairs", "ctx", "c").mapInArrow(_heavy_counts, "word long, n long, cust long")
+    m["heavy_n"], m["heavy_cust"] = of_heavy(counts, "n", "cust")
+    m["heavy_tab"] = (m["heavy_n"] > 0).astype(np.int64)
+    types = int(x[1] + m["heavy_tab"].sum())
+    free_shuffles(spark)
 
     def summed(parts: DataFrame) -> DataFrame:
         totals = staged(parts.groupBy("shard").applyInArrow(_sum_parts, TOTALS), "totals")
-        free_shuffles(df.sparkSession)
+        free_shuffles(spark)
         return totals
 
-    def seen_with(rounds: list[DataFrame], columns: list[str] = MODEL):
+    def seen_with(rounds: list[tuple[DataFrame, int]], columns: list[str] = MODEL):
         """The buckets, each with the totals of its restaurants after some rounds."""
         out = merged.select(*columns)
-        for k, totals in enumerate(rounds):
-            out = out.unionByName(totals.where("bucket IS NOT NULL").select("bucket", "shard", "v", F.lit(k).alias("round")), allowMissingColumns=True)
+        for k, (totals, width) in enumerate(rounds):
+            out = out.unionByName(totals.where("bucket IS NOT NULL").select("bucket", "shard", "v", F.lit(k).alias("round"), F.lit(width).alias("columns")), allowMissingColumns=True)
         return out.groupBy("bucket")
 
-    totals = summed(merged.select("bucket", "contexts", "ctx", "c").mapInArrow(_first_parts(buckets), PART))
+    totals = summed(merged.select("bucket", "contexts", "ctx", "c").mapInArrow(_first_parts(light), PART)), 2
     # discounts by counts of counts; the parent starts with a table for each word
     d1 = min(0.95, max(0.05, x[2] / max(1, x[2] + 2 * x[3])))
-    m = {"d1": d1, "d0": 0.5, "theta0": 1.0, "theta1": 1.0, "types_all": x[1] + 1, "cust0": float(x[4]), "tables0": float(x[1]), "sweep": 0}
-    scores = {r["i"]: r["v"] for r in seen_with([totals]).applyInArrow(_likelihoods(m), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    m |= {"d1": d1, "d0": 0.5, "theta0": 1.0, "theta1": 1.0, "types_all": types + 1, "cust0": float(x[4]), "tables0": float(types), "sweep": 0}
+    scores = {r["i"]: r["v"] for r in seen_with([totals]).applyInArrow(_likelihoods(tell()), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     if scores:
         m["theta1"] = STRENGTHS[max(scores, key=lambda i: (scores[i], -i))]
-    samples = np.tile([m["cust0"], m["tables0"]], (SAMPLES, 1))
-    rounds = [totals]
+    before, samples, heavy_samples = None, np.tile([m["cust0"], m["tables0"]], (SAMPLES, 1)), None
+    history = [samples.mean(0).tolist()]
     for sweep in range(SWEEPS):
+        if before is not None:  # two sweeps ago
+            drop_staged(before[0])
         mean = samples.mean(0)
         m |= {"sweep": sweep, "cust0": float(mean[0]), "tables0": float(mean[1])}
-        before, totals = totals, summed(seen_with([totals], [*MODEL, "contexts"]).applyInArrow(_seat(m, buckets), PART))
-        rounds.append(totals)
+        if heavy_samples is not None:
+            m["heavy_cust"], m["heavy_tab"] = (np.mean([s[k] for s in heavy_samples], 0) for k in (0, 1))
+        before, totals = totals, (summed(seen_with([totals], [*MODEL, "contexts"]).applyInArrow(_seat(tell(), light), PART)), 1 + SAMPLES)
         samples = np.zeros((SAMPLES, 2))
-        for r in totals.where("s IS NOT NULL").groupBy("s").agg(F.sum("cust").alias("cust"), F.sum("tab").alias("tab")).collect():
+        for r in totals[0].where("cust IS NOT NULL").groupBy("s").agg(F.sum("cust").alias("cust"), F.sum("tab").alias("tab")).collect():
             samples[r["s"]] = r["cust"], r["tab"]
-    m["samples"] = samples
-    reply = staged(seen_with([before, totals], [*MODEL, "blocks", "word_at", "pair_at"]).applyInArrow(_reply(m), REPLY), "reply")
-    for done in (merged, *rounds):
+        heavy_samples, base = [], (m["theta0"] + m["d0"] * m["tables0"]) / m["types_all"]
+        for s in range(SAMPLES if len(heavy) else 0):
+            (cust,) = of_heavy(totals[0].where(F.col("words").isNotNull() & (F.col("s") == s)).select("s", "words", "v").mapInArrow(_heavy_customers, "s int, word long, cust long"), "cust")
+            tab = draw_tables(cust, np.full(len(heavy), base), m["d0"], log_stirling(m["d0"]), np.random.default_rng([sweep, s]))
+            heavy_samples.append((cust, tab))
+            samples[s] += cust.sum(), tab.sum()
+        history.append(samples.mean(0).tolist())
+    m |= {"samples": samples, "heavy_samples": heavy_samples}
+    if report is not None:
+        report |= {k: m[k] for k in ("d0", "d1", "theta0", "theta1", "heavy")} | {"history": history}
+    reply = staged(seen_with([before, totals], [*MODEL, "blocks", "word_at", "pair_at"]).applyInArrow(_reply(tell()), REPLY), "reply")
+    for done in (merged, before[0], totals[0]):
         drop_staged(done)
-    free_shuffles(df.sparkSession)
-    return encoded.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(int(x[0]), int(x[1])), SCORED)
+    free_shuffles(spark)
+    return encoded.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_score(int(x[0]), types, tell()), SCORED)
 
 
 def op4_lm_scoring(spark, sf_dir):

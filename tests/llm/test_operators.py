@@ -3,6 +3,7 @@
 import time
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,7 +168,10 @@ def test_apportionment(spark, seats):
 # --- language model
 
 
-def test_lm_counts_and_scores(spark):
+@pytest.mark.parametrize("heavy", [500_000, 40])
+def test_lm_counts_and_scores(spark, monkeypatch, heavy):
+    monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", 8_000 if heavy == 40 else 3_000_000)
     got = lm_scoring.op4_lm_scoring(spark, SF).toPandas()
     tokens = {i: [*t.encode().lower().split(), b""] for i, t, *_ in documents()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
@@ -203,6 +207,114 @@ def test_lm_keeps_every_context(spark):
     assert min(got[a] - got[b] for a, b in asked.values()) > 1.0
 
 
+class Restaurants:
+    """The model by hand: customers are taken out and seated again one by one."""
+
+    def __init__(self, m, types, rng):
+        self.m, self.types, self.rng = m, types, rng
+        self.child, self.parent = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+
+    def base(self, w):
+        n, t = sum(map(sum, self.parent.values())), sum(map(len, self.parent.values()))
+        return (sum(self.parent[w]) - self.m["d0"] * len(self.parent[w]) + (self.m["theta0"] + self.m["d0"] * t) / (self.types + 1)) / (self.m["theta0"] + n)
+
+    def seat(self, tables, d, new):
+        weights = [x - d for x in tables] + [new]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(self, tables):
+        k = self.rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def add(self, u, w):
+        t = sum(map(len, self.child[u].values()))
+        if self.seat(self.child[u][w], self.m["d1"], (self.m["theta1"] + self.m["d1"] * t) * self.base(w)):
+            t0 = sum(map(len, self.parent.values()))
+            self.seat(self.parent[w], self.m["d0"], (self.m["theta0"] + self.m["d0"] * t0) / (self.types + 1))
+
+    def remove(self, u, w):
+        if self.leave(self.child[u][w]):
+            self.leave(self.parent[w])
+
+    def p(self, u, w):
+        n, t = sum(map(sum, self.child[u].values())), sum(map(len, self.child[u].values()))
+        own = sum(self.child[u][w]) - self.m["d1"] * len(self.child[u][w])
+        return (own + (self.m["theta1"] + self.m["d1"] * t) * self.base(w)) / (self.m["theta1"] + n) if n else self.base(w)
+
+
+@pytest.mark.parametrize("heavy", [500_000, 30])
+def test_lm_against_the_model_by_hand(spark, monkeypatch, heavy):
+    """Scores of held-out texts are near those of a sampler that moves single customers."""
+    monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    after = {w: rng.sample(words, 4) for w in words}
+    rows = []
+    for i in range(120):
+        text = [rng.choice(words)]
+        while rng.random() < 0.9 and len(text) < 20:
+            text.append(rng.choice(after[text[-1]]) if rng.random() < 0.8 else rng.choices(words, range(1, 31))[0])
+        rows.append((i, " ".join(text)))
+    report = {}
+    got = {r["doc_id"]: r for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), report=report).collect()}
+    pairs = {i: list(zip(["", *t.split()], [*t.split(), ""])) for i, t in rows}
+    train = [x for i in pairs if not got[i]["held_out"] for x in pairs[i]]
+    model = Restaurants(report, len({w for _, w in train}), rng)
+    for u, w in train:
+        model.add(u, w)
+    total = defaultdict(float)
+    for sweep in range(30):
+        for u, w in train:
+            model.remove(u, w)
+            model.add(u, w)
+        if sweep >= 15:
+            for x in {x for i in pairs if got[i]["held_out"] for x in pairs[i]}:
+                total[x] += model.p(*x) / 15
+    held = [i for i in pairs if got[i]["held_out"]]
+    ours, theirs = sum(got[i]["score"] for i in held), sum(math.log10(total[x]) for i in held for x in pairs[i])
+    assert len(held) > 5 and abs(ours / theirs - 1) < 0.02, (ours, theirs)
+    assert max(abs(got[i]["score"] - sum(math.log10(total[x]) for x in pairs[i])) / len(pairs[i]) for i in held) < 0.1
+
+
+def test_lm_counts_beyond_32_bits():
+    row = lambda b, c: {"bucket": 0, "block": b, "words": lm_scoring._rise(np.array([5, 9], np.uint64)), "n": lm_scoring._squeeze(c, "<u4"), "pairs": lm_scoring._squeeze([1, 1], "<u4"), "ctx": lm_scoring._rise(np.array([7, 7], np.uint64)), "c": lm_scoring._squeeze(c, "<u4")}
+    most = (1 << 32) - 1
+    data = pa.Table.from_pylist([row(0, [most, 1]), row(1, [6, 1])])
+    (merged,) = lm_scoring._merge(1)(data).to_pylist()
+    n, word, ctx, c = lm_scoring._unpack(merged)
+    assert n.tolist() == c.tolist() == [(1 << 32) + 5, 2] and merged["tokens"] == (1 << 32) + 7
+    (part,) = lm_scoring._parts(merged, [c, c > 0], 1)
+    assert lm_scoring._open(part["v"], "<i8").tolist() == [(1 << 32) + 7, 2]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for kind in ("<u4", "<i8", "<f4"):
+        for n in (0, 1, 1000):
+            x = (rng.random(n) * 1e6).astype(kind)
+            assert (lm_scoring._open(lm_scoring._squeeze(x, kind), kind) == x).all()
+    h = rng.integers(0, 1 << 63, 50, np.uint64) * np.uint64(2)
+    assert (lm_scoring._risen(lm_scoring._rise(h)) == h).all() and len(lm_scoring._risen(lm_scoring._rise(h[:0]))) == 0
+
+
+def test_tables_beyond_the_exact_draw():
+    """The mean of tables of 1,000 customers, of which the first STIRLING are drawn exactly."""
+    for d, a in ((0.5, 1.0), (0.8, 30.0), (0.3, 200.0)):
+        exact = lm_scoring.log_stirling(d, 1000)[1000, 1:] + np.log(a) * np.arange(1, 1001)
+        p = np.exp(exact - exact.max())
+        mean = (p / p.sum() * np.arange(1, 1001)).sum()
+        t = lm_scoring.draw_tables(np.full(4000, 1000), np.full(4000, a), d, lm_scoring.log_stirling(d), np.random.default_rng(1))
+        assert abs(t.mean() / mean - 1) < 0.04, (d, a, t.mean(), mean)
+
+
 def test_stirling_numbers_and_tables():
     d, s = 0.5, lm_scoring.log_stirling(0.5, 6)
     assert np.allclose(np.exp(s[3, 1:4]), [(1 - d) * (2 - d), 3 * (1 - d), 1.0])
