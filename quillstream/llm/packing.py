@@ -35,7 +35,7 @@ from quillstream.llm.core import Interner, blocks, ranges, staged, table, utf8
 from quillstream.shipping import ship
 
 #: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
-LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 64
+LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 256
 BLOCK_BYTES, CACHED_WORDS = 2_500_000, 300_000
 #: Tokens packed by one task, about.  Offsets told to all tasks, and sources, at most: beyond that
 #: offsets are joined by a shuffle, and sources share queues by a hash of their name.

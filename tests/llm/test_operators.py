@@ -371,7 +371,7 @@ def test_every_sequence_has_its_shares(spark, monkeypatch, weights):
     """A table laid out by source: each full sequence still has the shares, as long as both sources last."""
     monkeypatch.setattr(packing, "GROUP_TOKENS", 16_384)
     rows = [(i, f"{'ab'[i // 1000]} word " * (20 + i % 50), "ab"[i // 1000]) for i in range(2000)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), weights=weights).toPandas()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), weights=weights, quantum=64).toPandas()
     check_packing(got, rows)
     got["a"] = got["length"].where(got["doc_id"] < 1000, 0)
     of = got.groupby("sequence_id")[["a", "length"]].sum()
