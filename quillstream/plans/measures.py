@@ -307,27 +307,6 @@ VERIFY = {
 def verify_simple(spark, sf):
     return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", *[V.verify(name, "text", **k).alias(n) for n, ((name, k), _) in VERIFY.items()])
 
-
-ALL = {
-    "language:response_language": {"language": "en"}, "length_constraints:number_sentences": {"num_sentences": 5, "relation": "at least"}, "detectable_format:number_bullet_lists": {"num_bullets": 3}, "detectable_format:constrained_response": {},
-    "detectable_format:number_highlighted_sections": {"num_highlights": 1}, "detectable_format:multiple_sections": {"section_spliter": "Section", "num_sections": 2}, "length_constraints:number_paragraphs": {"num_paragraphs": 2}, "paragraphs:paragraphs": {}, "paragraphs:paragraphs2": {},
-    "detectable_content:postscript": {"postscript_marker": "P.S."}, "keywords:word_once": {"keyword": "with"}, "keywords:word_count_different_numbers": {"keyword": "is", "frequency": 3, "relation": "less than"}, "length_constraints:number_words": {"num_words": 200, "relation": "less than"}, "detectable_format:json_format": {},
-    "length_constraints:nth_paragraph_first_word": {"num_paragraphs": 1, "nth_paragraph": 1, "first_word": "the"}, "keywords:forbidden_words": {"forbidden_words": ["with", "from"]}, "combination:two_responses": {}, "combination:repeat_prompt": {"prompt_to_repeat": "The"}, "startend:end_checker": {"end_phrase": "it."},
-    "detectable_format:title": {}, "letters:letter_counting2": {"letter": "z", "let_frequency": 3, "let_relation": "less than"}, "change_case:english_capital": {}, "change_case:english_lowercase": {}, "change_case:capital_word_frequency": {"capital_frequency": 2, "capital_relation": "at least"},
-    "copy:repeat_phrase": {"phrase": "the quick of", "small_n": 1}, "copy:copy": {"prompt_to_repeat": "x"}, "copy:copying_simple": {"prompt_to_repeat": "x"}, "copy:copying_multiple": {"prompt_to_repeat": "x", "N": 2}, "new:copy_span_idx": {"prompt_to_repeat": "abcdef", "n_start": 1, "n_end": 3}, "detectable_format:sentence_hyphens": {},
-    "keywords:no_adjacent_consecutive": {}, "detectable_format:square_brackets": {}, "first_word:first_word_sent": {"first_word": "the"}, "last_word:last_word_sent": {"last_word": "it"}, "last_word:last_word_answer": {"last_word": "it"}, "detectable_format:bigram_wrapping": {}, "count:lowercase_counting": {"N": 300},
-    "count:counting_composition": {"n_sent": 2, "n_words": 3}, "count:count_unique": {}, "count:count_increment_word": {"keyword1": "with", "keyword2": "from"}, "keywords:palindrome": {}, "keywords:keyword_specific_position": {"keyword": "the", "n": 1, "m": 2}, "keywords:start_end": {},
-}
-
-
-@query()
-def verify_all(spark, sf):
-    """Every registered verifier: how many documents satisfy it."""
-    d = spread(read(spark, sf, "documents").select("text"))
-    counts = d.agg(*[F.count_if(V.verify(n, "text", **k)).alias(n) for n, k in ALL.items()])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("verifier"), F.col(f"`{n}`").alias("satisfied")) for n in ALL])).alias("x")).select("x.*")
-
-
 @query(
     """WITH a AS (SELECT conv_id, turn, 'so #### ' || CAST(conv_id * 37 % 5000 AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN ' then #### ' || CAST(conv_id % 9 AS VARCHAR) ELSE '' END AS t, CASE WHEN turn % 2 = 0 THEN conv_id % 9 ELSE conv_id * 37 % 4999 END AS g FROM conversations),
   x AS (SELECT conv_id, turn, g, replace(list_last(regexp_extract_all(right(t, 300), '#### (-?[0-9.,]+)', 1)), ',', '') AS x FROM a) SELECT conv_id, turn, CASE WHEN x IS NULL THEN 0.0 WHEN x = CAST(g AS VARCHAR) THEN 1.0 ELSE 0.1 END AS score FROM x"""
