@@ -184,3 +184,60 @@ def kl_coefficient(beta: float, kl: float, target: float, steps: int, horizon: i
 def staleness_stats(df: DataFrame, version: int) -> DataFrame:
     """Of produced rows (param_version, seconds): how many are stale, span of versions, percentiles."""
     return df.agg(F.count("*").alias("n"), F.count_if(F.lit(version) - F.col("param_version") >= 1).alias("stale"), (F.max("param_version") - F.min("param_version")).alias("span"), F.count_distinct("param_version").alias("versions"), *[F.percentile("seconds", p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)])
+
+
+def token_differences(a: Column, b: Column, mask: Column) -> Column:
+    """How many masked places differ."""
+    return F.size(F.filter(M.zip3(a, b, mask, lambda x, y, m: (x != y) & (m == 1)), lambda d: d)).cast("long")
+
+
+def pearson(df: DataFrame, a: str, b: str, mask: str) -> DataFrame:
+    """Correlation of two token arrays over the mask, and the largest gap of their probabilities."""
+    t = df.select(F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.col(mask).alias("m"))).alias("x")).where("x.m = 1")
+    return t.agg(F.corr("x.a", "x.b").alias("pearson"), F.max(F.abs(F.exp("x.a") - F.exp("x.b"))).alias("most"))
+
+
+def throughput(df: DataFrame, tokens: str, seconds: float, devices: int) -> DataFrame:
+    n = F.sum(tokens)
+    return df.agg(n.alias("total_num_tokens"), F.lit(seconds).alias("time_per_step"), (n / (seconds * devices)).alias("throughput"))
+
+
+def assembly_stats(df: DataFrame, seconds: str, first: str, last: str, by: list[str] = ()) -> DataFrame:
+    """Of the samples of a batch: times and their percentiles, how many span versions, and how many
+    versions there are."""
+    span = F.abs(F.col(last) - F.col(first))
+    partial = F.count_if(span > 0)
+    times = [F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"), *[F.percentile(seconds, p / 100).alias(f"tp{p}") for p in (50, 95, 99)]]
+    return df.groupBy(*by).agg(*times, partial.alias("partial"), (partial / F.count("*")).alias("partial_ratio"), F.max(span).alias("max_span"), F.count_distinct(last).alias("versions"))
+
+
+def row_issues(df: DataFrame, key: str, required: list[str], group: str, size: int) -> DataFrame:
+    """(issue, n): repeated keys, missing fields, and groups that have not ``size`` rows."""
+    repeated = df.groupBy(key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated").alias("issue"), "n")
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+    missing = missing.select(F.explode(F.array(*[F.struct(F.lit(f"missing {c}").alias("issue"), F.col(c).alias("n")) for c in required])).alias("x")).select("x.*")
+    uneven = df.groupBy(group).count().where(F.col("count") != size).agg(F.count("*").alias("n")).select(F.lit("group size").alias("issue"), "n")
+    return repeated.union(missing).union(uneven)
+
+
+def group_numbers(df: DataFrame, key: str, out: str = "group") -> DataFrame:
+    """Number groups: integers, near-integers and digit strings by their value if all labels are
+    such, else labels by their place in order.  Distinct labels are counted in ranges of a hash of
+    them only where they are not numbers; there is one row for each label."""
+    number = F.col(key).try_cast("double")
+    whole = number.isNotNull() & (F.abs(number - F.round(number)) <= 1e-6)
+    if df.agg(F.bool_and(F.coalesce(whole, F.lit(False)))).first()[0]:
+        return df.withColumn(out, F.round(number).cast("long"))
+    labels = df.select(F.col(key).alias("_label")).distinct()
+    labels = labels.withColumn(out, (F.row_number().over(W.orderBy("_label")) - 1).cast("long"))
+    return df.join(labels, F.col(key).eqNullSafe(F.col("_label"))).drop("_label")
+
+
+def gathered(df: DataFrame, by: str, name: str, value: str, order: str) -> DataFrame:
+    """(by, name, values): what was appended to each metric, in order."""
+    return df.groupBy(by, name).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def without_padding(df: DataFrame, flag: str = "is_padding") -> DataFrame:
+    """Step metrics are taken over rows that are no padding."""
+    return df.where(~F.coalesce(F.col(flag), F.lit(False)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.functions import masked as M
+
 MODES = ("band", "no_lower_zero", "lower_zero_only")
 #: Two-sided 95 % points of Student's t for 1 to 10 degrees of freedom (fixed values).
 T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228)
@@ -142,3 +144,78 @@ def length_penalty(length: Column, limit: int, buffer: int, factor: float = 1.0)
 def is_non_stop(ids: Column, length: Column, limit: int, stops: list[int]) -> Column:
     """The whole budget is used and the last id does not stop; an empty answer is non-stop."""
     return (length == 0) | (length >= limit) & ~F.coalesce(F.array_contains(F.array(*map(F.lit, stops)), F.try_element_at(ids, F.lit(-1))), F.lit(False))
+
+
+CLIPPED_MODES = ("use", "zero", "drop")
+
+
+def is_clipped(mask: str, limit: int) -> Column:
+    """The response fills the whole budget."""
+    return M.mask_count(mask) == limit
+
+
+def _mode(mode: str) -> str:
+    if mode not in CLIPPED_MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    return mode
+
+
+def clipped_batch(df: DataFrame, mode: str, limit: int, mask: str = "response_mask") -> DataFrame:
+    """The rows that go on: mode ``drop`` leaves clipped ones out; nothing left is an error."""
+    if _mode(mode) != "drop":
+        return df
+    out = df.where(~is_clipped(mask, limit))
+    if out.isEmpty() and not df.isEmpty():
+        raise ValueError("every rollout is clipped: drop would leave none")
+    return out
+
+
+def clipped_rewards(df: DataFrame, mode: str, reward: str, limit: int, mask: str = "response_mask") -> DataFrame:
+    """Mode ``zero``: clipped rows have no reward."""
+    if _mode(mode) != "zero":
+        return df
+    return df.withColumn(reward, F.transform(reward, lambda x: F.when(is_clipped(mask, limit), 0.0).otherwise(x)))
+
+
+def clipped_metrics(df: DataFrame, mode: str, limit: int, mask: str = "response_mask") -> DataFrame:
+    hit = is_clipped(mask, limit)
+    n = F.count_if(hit)
+    gone = n if _mode(mode) == "drop" else F.lit(0).cast("long")
+    return df.agg(n.alias("count"), (n / F.greatest(F.count("*"), F.lit(1))).alias("ratio"), gone.alias("dropped_count"), (F.count("*") - gone).alias("kept_count"))
+
+
+def fallback_bonus(df: DataFrame, reward: str, mask: str, bonus: str, constraint: str) -> DataFrame:
+    """Add ``adjustment`` and put it at the response's last token: the bonus, and the constraint
+    reward back where shaping had made the whole reward 0 and the bonus is positive."""
+    zeroed = F.abs(M.array_sum(reward)) <= 1e-7
+    restored = F.when((F.col(bonus) > 0) & (F.col(constraint) > 0) & zeroed, F.col(constraint)).otherwise(0.0)
+    last = F.greatest(M.mask_count(mask) - 1, F.lit(0))
+    x = df.withColumn("adjustment", F.col(bonus) + restored)
+    return x.withColumn(reward, F.transform(reward, lambda r, i: F.when(i == last, r + F.col("adjustment")).otherwise(r)))
+
+
+def anchor_from_mean(mean: Column, count: Column) -> Column:
+    """struct(nll, ppl) of a mean NLL that replaces what was measured."""
+    return F.struct((mean * count).alias("nll"), F.exp(mean).alias("ppl"))
+
+
+def threshold_pair(prefix: tuple[str, str] = ("ref0", "ref1")) -> Column:
+    """struct(floor, ceiling): mean NLLs of both anchors, or null if either can't be had."""
+    floor, ceiling = (mean_nll(f"{p}_nll", f"{p}_token_count") for p in prefix)
+    return F.when(floor.isNotNull() & ceiling.isNotNull(), F.struct(floor.alias("floor"), ceiling.alias("ceiling")))
+
+
+def scoring_rows(df: DataFrame, prefix: str, continuation: str, most_prefix: int, most: int) -> DataFrame:
+    """Rows to be scored: those with both parts, of the prefix its end and of the continuation its
+    beginning."""
+    p, c = F.col(prefix), F.col(continuation)
+    x = df.where((F.size(p) > 0) & (F.size(c) > 0))
+    return x.withColumn(prefix, F.slice(p, F.greatest(F.size(p) - most_prefix, F.lit(0)) + 1, most_prefix)).withColumn(continuation, F.slice(c, 1, most))
+
+
+def scored_back(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """NLL, count and perplexity of scored rows; infinity and 0 for the others."""
+    inf = F.lit(float("inf"))
+    out = df.join(scores.select(key, "nll", "count"), key, "left")
+    ppl = F.when(F.col("count") > 0, F.exp(F.col("nll") / F.col("count"))).otherwise(inf)
+    return out.withColumn("ppl", ppl).withColumns({"nll": F.coalesce("nll", inf), "count": F.coalesce("count", F.lit(0))})

@@ -1,6 +1,6 @@
 """All named queries and their SQL, from the modules that register them."""
 
-from quillstream.plans import costs, frames, measures, rollout, verifying  # noqa: F401
+from quillstream.plans import arrays, costs, frames, measures, rollout, verifying  # noqa: F401
 from quillstream.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
