@@ -193,7 +193,7 @@ def tool_score(answer: pd.Series, truth: pd.Series) -> pd.Series:
 def number(text: str) -> Fraction | None:
     """The value of a plain number, percentage, fraction or mixed number."""
     s = re.sub(r"[\s$]|\\!|\\left|\\right|(?<=\d),(?=\d{3}(\D|$))", "", text.replace("\\%", "%"))
-    s = re.sub(r"\\[dt]?frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}", r"\1/\2", s)
+    s = re.sub(r"\\[dt]?frac(?:\{(-?[\d.]+)\}\{(-?[\d.]+)\}|(\d)(\d))", lambda m: f"{m[1] or m[3]}/{m[2] or m[4]}", s)
     scale = Fraction(1)
     if s.endswith("%"):
         s, scale = s[:-1], Fraction(1, 100)
@@ -262,3 +262,123 @@ def judge_score(raw: Column) -> Column:
     bare = F.nullif(F.regexp_extract(t, r"\b(10|[1-9])\b", 1), F.lit("")).try_cast("double")
     value = F.coalesce(as_json, labelled, bare)
     return F.when((value >= 1) & (value <= 10), value)
+
+
+def grade_question_substring(t: Column, golden: Column, score: float = 1.0, format_score: float = 0.0) -> Column:
+    return grade_question(t, golden, True, score, format_score)
+
+
+def tool_format(t: Column, truth: Column, most: float = 1.0, least: float = 0.0) -> Column:
+    """The tags that the truth has, in their order, each once, after the thinking."""
+    calls, answer = F.contains(truth, F.lit("<tool_call>")), F.contains(truth, F.lit("<response>"))
+    once = lambda tag: (F.regexp_count(t, F.lit(f"<{tag}>")) == 1) & (F.regexp_count(t, F.lit(f"</{tag}>")) == 1)
+    think, call, reply = "<think>.*?</think>", "\n<tool_call>\n.*?\n</tool_call>", "\n<response>.*?</response>"
+    right = (
+        F.when(answer & ~calls, t.rlike(f"(?s)^{think}{reply}$") & once("response"))
+        .when(calls & ~answer, t.rlike(f"(?s)^{think}{call}$") & once("tool_call"))
+        .when(calls & answer, t.rlike(f"(?s)^{think}{call}{reply}$") & once("tool_call") & once("response"))
+        .otherwise(t.rlike(f"(?s)^{think}$"))
+    )
+    return F.when(right, most).otherwise(least)
+
+
+def tool_correctness(t: Column, truth: Column, most: float = 3.0, least: float = -3.0) -> Column:
+    """The similarity of calls between ``least`` and ``most``; nothing where no call is wanted."""
+    wanted = F.contains(truth, F.lit("<tool_call>"))
+    readable = F.contains(t, F.lit("<tool_call>"))
+    return F.when(~wanted, 0.0).when(~readable, least).otherwise((most - least) * tool_score(t, truth) + least)
+
+
+def tool_total(t: Column, truth: Column) -> Column:
+    """struct(score, format, correctness)."""
+    f, c = tool_format(t, truth), tool_correctness(t, truth)
+    return F.struct((f + c).alias("score"), f.alias("format"), c.alias("correctness"))
+
+
+def plain_commas(x: Column) -> Column:
+    """Without the commas between thousands; those of tuples stay."""
+    for _ in range(4):  # a number of up to 15 digits
+        x = F.regexp_replace(x, r"(\d),(\d\d\d)(?!\d)", "$1$2")
+    return x
+
+
+def whole_number(x: Column) -> Column:
+    """The integer that a text stands for, to 1e-7; null if it is none."""
+    value = plain_commas(F.trim(x)).try_cast("double")
+    return F.when(F.abs(value - F.round(value)) <= 1e-7, F.round(value).cast("long"))
+
+
+def mixed_number(x: Column) -> Column:
+    """``7 3/4`` as ``7+3/4``."""
+    return F.regexp_replace(x, r"([0-9]) +([0-9])", "$1+$2")
+
+
+#: Units that say nothing about an answer's value (fixed values).
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
+
+
+def normal_expression(x: Column) -> Column:
+    """An expression in plain letters: wrappers, signs and units go, numbers in words get powers."""
+    x = F.regexp_replace(x, r"^\\text\{(.+?)\}$", "$1")
+    x = F.regexp_replace(x, r"\\?[%$]", "")
+    x = F.regexp_replace(x, r" (or|and) ", " , ")
+    for word, power in (("million", "6"), ("trillion", "12"), ("billion", "9")):
+        x = F.replace(x, F.lit(word), F.lit(f"*10^{power}"))
+    for unit in UNITS:
+        x = F.regexp_replace(x, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\^ *\\circ", ""), r"^\{(.*)\}$", "$1")
+    x = F.lower(mixed_number(F.regexp_replace(F.regexp_replace(x, r",\\! *", ""), r"- *", "-")))
+    return F.coalesce(whole_number(x).cast("string"), x)
+
+
+def may_be_read(x: Column) -> Column:
+    """Whether an expression is plain enough to be compared as one: two letters at most, no nested powers."""
+    letters = F.array_distinct(F.regexp_extract_all(F.regexp_replace(x, "sqrt|frac", ""), F.lit(r"\p{L}"), F.lit(0)))
+    return (F.size(letters) <= 2) & ~F.contains(x, F.lit("^{")) & ~F.contains(x, F.lit("^(")) & ~x.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+")
+
+
+#: What an answer stands behind, or before, in their order (fixed values).
+BEHIND, BEFORE = ("answer:", "answer is", "answers are"), ("is answer", "is the answer", "are answers", "are the answers")
+LINKS = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n")
+
+
+def find_answer(text: str | None) -> tuple[bool, str]:
+    """(found, answer): the part of a response that its markers point at; it must have a digit."""
+    x, found = text or "", False
+    for markers, keep in ((BEHIND, lambda x, i, m: x[i + len(m) :]), (BEFORE, lambda x, i, m: x[:i])):
+        for m in markers:
+            if (i := x.lower().rfind(m)) >= 0:
+                x, found = keep(x, i, m).strip(), True
+    if (box := last_boxed(x)) is not None:
+        x, found = f"\\boxed{{{box}}}", True
+    if (i := x.rfind(". ")) >= 0:
+        x = x[:i].strip()
+    for m in LINKS:
+        if (i := x.lower().rfind(m)) >= 0:
+            x, found = x[i + len(m) :].strip(), True
+    return found and any(c.isdigit() for c in x), x
+
+
+@F.pandas_udf(T.StructType([T.StructField("matched", T.BooleanType()), T.StructField("answer", T.StringType())]))
+def stated_answer(t: pd.Series) -> pd.DataFrame:
+    """What responses say their answers are.  Each marker cuts what the one before left, which as
+    nested expressions would grow with each; so this runs on Arrow batches."""
+    return pd.DataFrame([find_answer(x) for x in t], columns=["matched", "answer"])
+
+
+def interval(x: Column) -> Column:
+    """Named intervals in brackets."""
+    for name, left, right in (("Interval", "[", "]"), (r"Interval\.Ropen", "[", ")"), (r"Interval\.Lopen", "(", "]"), (r"Interval\.open", "(", ")")):
+        x = F.regexp_replace(x, rf"(?s)^{name}\((.*)\)$", f"{left}$1{right}")
+    return x
+
+
+def same_output(lines: Column, expected: Column) -> Column:
+    """Printed lines against what was expected, without white space around either."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return strip(F.array_join(lines, "\n")) == strip(expected)
+
+
+def grade_many(grader, texts: Column, truths: Column) -> Column:
+    """A grader of columns on two arrays, one score each."""
+    return F.zip_with(texts, truths, lambda t, g: grader(t, g))

@@ -329,13 +329,6 @@ def grade_question(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", G.grade_question(answer, F.array(F.concat_ws(" ", first, second))).alias("score"))
 
 
-@query()
-def grade_boxed(spark, sf):
-    c = F.col("conv_id")
-    text = F.concat(F.lit("thus \\boxed{\\frac{"), (c % 3).cast("string"), F.lit("}{2}}"))
-    return read(spark, sf, "conversations").select("conv_id", "turn", G.grade_math(text, F.lit("\\frac12")).alias("math"), G.grade_equal(text, F.lit("1/2")).alias("equal"), G.grade_geometry(text, F.lit("\\frac{1}{2}")).alias("geometry"))
-
-
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, concat('<tool_call>', props, '</tool_call>') = '' AS empty FROM events")
 def tool_json(spark, sf):
     text = F.concat(F.lit("<tool_call>"), F.to_json(F.struct(F.lit("get").alias("name"), F.from_json("props", "map<string,long>").alias("arguments"))), F.lit("</tool_call>"))
@@ -344,15 +337,6 @@ def tool_json(spark, sf):
     return e.select("event_id", F.get_json_object(call["arguments"], "$.k").cast("long").alias("k"), (F.size("x.calls") == 0).alias("empty"))
 
 
-@query()
-def tool_similarity(spark, sf):
-    p = F.get_json_object("props", "$.k")
-    call = lambda v: F.concat(F.lit('<tool_call>{"name": "get", "parameters": {"k": '), v, F.lit("}}</tool_call>"))
-    return read(spark, sf, "events").select("event_id", G.tool_score(call(p), call(F.lit("3"))).alias("score"))
-
-
-
-
 @query("SELECT conv_id, turn, role || '_' || conv_id || '_' || turn AS key, role AS uid, conv_id::VARCHAR AS session FROM conversations")
 def turn_keys(spark, sf):
     c = read(spark, sf, "conversations").withColumn("key", F.concat_ws("_", "role", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
