@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions import masked as M
@@ -58,15 +57,13 @@ def response_of(values: Column | str, length: Column | str) -> Column:
     return F.slice(a, F.greatest(F.size(a) - n, F.lit(1)), n)
 
 
-def flat_offsets(df: DataFrame, mask: str, order: str = "row_id", width: int = 1 << 16) -> DataFrame:
+def flat_offsets(df: DataFrame, mask: str, order: str = "row_id") -> DataFrame:
     """Add ``n``, the valid tokens of a row, and ``start``, where they begin once all valid tokens
-    are laid end to end.  Sums run within ranges of ``width`` keys and over their totals, so no
-    task orders the table."""
-    x = df.withColumn("n", M.mask_count(mask)).withColumn("_range", F.floor(F.col(order) / width))
-    x = x.withColumn("_in", F.sum("n").over(W.partitionBy("_range").orderBy(order)) - F.col("n"))
-    totals = x.groupBy("_range").agg(F.sum("n").alias("_t"))
-    ahead = totals.select("_range", (F.sum("_t").over(W.orderBy("_range")) - F.col("_t")).alias("_ahead"))
-    return x.join(ahead, "_range").withColumn("start", F.col("_in") + F.col("_ahead")).drop("_range", "_in", "_ahead")
+    are laid end to end."""
+    from quillstream.operators.frame import running_sum
+
+    x = running_sum(df.withColumn("n", M.mask_count(mask)), "n", order, "_to")
+    return x.withColumn("start", F.col("_to") - F.col("n")).drop("_to")
 
 
 def flatten_valid(df: DataFrame, values: str, mask: str, order: str = "row_id") -> DataFrame:

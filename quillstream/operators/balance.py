@@ -122,3 +122,20 @@ def share_prefixes(df: DataFrame) -> DataFrame:
 
     runs = consecutive_runs(df, "uid")
     return runs.groupBy("run", "uid").agg(F.min_by("prompt", "row_id").alias("prompt"), F.transform(F.sort_array(F.collect_list(F.struct("row_id", "response"))), lambda x: x["response"]).alias("responses"))
+
+
+def balance_groups(df: DataFrame, batch: str, group: str, item: str, weight: str, k: int) -> DataFrame:
+    """As ``balance``, but items of one group stay together: groups are the items, by their sums,
+    and parts get equally many of them."""
+    groups = df.groupBy(F.col(batch).alias("batch"), F.col(group).cast("long").alias("_g")).agg(F.sum(weight).alias("_w"))
+    parts = balance(groups, "batch", "_g", "_w", k, "equal").select("batch", F.col("item").alias("_g"), "part")
+    rows = df.select(F.col(batch).alias("batch"), F.col(group).cast("long").alias("_g"), F.col(item).cast("long").alias("item"), F.col(weight).cast("double").alias("weight"))
+    return rows.join(parts, ["batch", "_g"]).withColumnRenamed("_g", "group")
+
+
+def balanced_order(df: DataFrame, by: str = "batch") -> DataFrame:
+    """Add ``place``, where an item stands once a batch is laid out part by part, and ``original``,
+    where it stood: with it the order is restored."""
+    w = W.partitionBy(by)
+    place = F.row_number().over(w.orderBy("part", "item")) - 1
+    return df.withColumns({"place": place, "original": F.row_number().over(w.orderBy("item")) - 1})

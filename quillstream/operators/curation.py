@@ -233,3 +233,76 @@ def exact_cover(parts: list[DataFrame], whole: DataFrame, key: str) -> bool:
     for p in parts[1:]:
         x = x.unionByName(p.select(key))
     return x.groupBy(key).count().where("count > 1").isEmpty() and x.exceptAll(whole.select(key)).isEmpty() and whole.select(key).exceptAll(x).isEmpty()
+
+
+def source_bucket(key: Column) -> Column:
+    """A stable bucket of an example's id, by the prefixes and patterns of its sources."""
+    part = F.regexp_replace(F.regexp_replace(F.substr(key, F.lit(15)), r"_[0-9]+$", ""), r"_[a-z0-9]{16,}$", "")
+    out = F.when(F.startswith(key, F.lit("ai2-adapt-dev/")), F.concat(F.lit("ai2/"), part))
+    for prefix in ("personas_math_easy_", "personahub_", "oasst1_", "hard_coded_"):
+        out = out.when(F.startswith(key, F.lit(prefix)), F.lit(prefix.rstrip("_")))
+    first = F.nullif(F.regexp_extract(key, r"^([^_./]*)", 1), F.lit(""))
+    return out.when(F.startswith(key, F.lit("science.")), F.regexp_replace(key, r"\.[^.]*$", "")).when(key.rlike("^[a-z0-9]{5,12}$"), F.lit("opaque_short_id")).otherwise(F.coalesce(first, F.lit("unknown")))
+
+
+def over_runs(columns: list[str]) -> Column:
+    """struct(n, mean, std) of the values that are there; std with n - 1, null for fewer than two."""
+    a = F.array_compact(F.array(*[F.when(~F.isnan(c), F.col(c)) for c in columns]))
+    n = F.size(a)
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+    std = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
+    return F.struct(n.cast("long").alias("n"), F.when(n > 0, mean).alias("mean"), F.when(n > 1, std).alias("std"))
+
+
+#: Defects in the order in which they count (fixed values).
+DEFECTS = ("short_y0", "short_y1", "suspect_loop_y1", "loop_y0", "duplicate", "cot_marker")
+
+
+def defect_class(available: Column, flags: dict[str, Column]) -> Column:
+    """The first defect that a row has; ``no_anchor`` without any run, ``clean`` without a defect."""
+    out = F.when(available == 0, "no_anchor")
+    for name in DEFECTS:
+        if name in flags:
+            out = out.when(F.coalesce(flags[name], F.lit(False)), name)
+    return out.otherwise("clean")
+
+
+def satisfied_bucket(satisfied: Column, available: Column) -> Column:
+    return F.when(available == 0, "no_anchor").when(satisfied == 0, "none").when(satisfied == available, "all").otherwise("some")
+
+
+def observed_cost(counts: list[tuple[str, str]], default: int = 65536) -> Column:
+    """struct(cost, assumed): the largest sum of both counts over the runs, or the whole budget."""
+    costs = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) + F.col(b)) for a, b in counts]
+    most = F.array_max(F.array(*costs))
+    return F.struct(F.coalesce(most, F.lit(default)).cast("long").alias("cost"), most.isNull().alias("assumed"))
+
+
+def audit(df: DataFrame, wanted: DataFrame, key: str, ready: Column, complete: Column, y0: Column, y1: Column) -> DataFrame:
+    """(issue, n) of a generated run against its manifest: keys that are missing or too many, and
+    why rows are not ready."""
+    x = df.withColumn("_ready", ready)
+    bad = F.array_compact(F.array(F.when(F.size(y0) <= 0, "missing_y0"), F.when(F.size(y1) <= 0, "missing_y1"), F.when(~complete, "incomplete_score").otherwise("malformed_count_ppl_or_length")))
+    issues = x.where("NOT _ready").select(F.explode(bad).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    counted = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
+    missing, extra = wanted.join(df, key, "left_anti"), df.join(wanted, key, "left_anti")
+    return issues.union(counted(missing, "missing key")).union(counted(extra, "extra key")).union(counted(x.where("_ready"), "ready"))
+
+
+def digests(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, sha256) of the columns' text, to hold two copies of a table against each other."""
+    return df.select(key, F.sha2(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).cast("binary"), 256).alias("sha256"))
+
+
+def differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys whose digest is not the same, or not there, in both."""
+    x = a.join(b.withColumnRenamed("sha256", "_b"), key, "full")
+    return x.where(~F.col("sha256").eqNullSafe(F.col("_b"))).select(key)
+
+
+def aligned(tokens: Column, probs: Column, offsets: tuple[int, ...] = (0, 1, -1)) -> Column:
+    """The slice of log probabilities that has one for each token, at the first offset that does."""
+    n = F.size(tokens)
+    tries = [F.when(F.size(probs) >= n + o, F.slice(probs, 1 + o if o > 0 else 1, n)) if o >= 0 else F.concat(F.array(F.lit(None).cast("double")), F.slice(probs, 1, n - 1)) for o in offsets]
+    whole = [F.when((F.size(t) == n) & ~F.exists(F.slice(t, 2, n), lambda x: x.isNull()), t) for t in tries]
+    return F.coalesce(*whole)

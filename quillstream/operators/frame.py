@@ -1,27 +1,61 @@
 """Batch-table verbs.  A table carries its order in ``row_id``; positions come from it.
 
-Positions over a whole table are numbered in two steps (ranges of row_id, then counts of earlier
-ranges), so no single task orders the table.
+Positions and running sums over a whole table are made in two steps (within ranges of row_id, then
+over the totals of earlier ranges), so no single task orders the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.operators.metrics import md5_draw
 
-def with_position(df: DataFrame, order: str = "row_id", out: str = "rn", width: int = 1 << 16) -> DataFrame:
-    """Add ``out``, the 0-based position by a numeric ``order``: rows are numbered within ranges of
-    ``width`` keys, and ranges are offset by the count of earlier ones."""
-    df = df.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
-    df = df.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1)
-    counts = df.groupBy("_range").agg(F.count("*").alias("_n"))
-    # one row for each range
-    counts = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return df.join(counts, "_range").withColumn(out, (F.col("_in") + F.col("_ahead")).cast("long")).drop("_range", "_in", "_ahead")
+#: Rows of a range, about; ranges at most.
+RANGE_ROWS, RANGES = 1 << 16, 100_000
+
+
+def with_range(df: DataFrame, order: str) -> DataFrame:
+    """Add ``_range``: numbers for spans of the key, equally wide, as many as the rows ask for.
+    How wide they are follows from the least and largest key, so that sparse keys share ranges."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    ranges = min(RANGES, 1 + n // RANGE_ROWS)
+    if low is None or low == high:
+        return df.withColumn("_range", F.lit(0).cast("long"))
+    step = (float(high) - float(low)) / ranges
+    return df.withColumn("_range", F.coalesce(F.least(F.floor((F.col(order).cast("double") - float(low)) / step), F.lit(ranges - 1)), F.lit(-1)).cast("long"))
+
+
+def _ahead(df: DataFrame, total: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _range, _before): the total over earlier ranges; there is one row for each range."""
+    sums = df.groupBy(*by, "_range").agg(total.alias("_t"))
+    return sums.select(*by, "_range", (F.sum("_t").over(W.partitionBy(*by).orderBy("_range")) - F.col("_t")).alias("_before"))
+
+
+def with_position(df: DataFrame, order: str = "row_id", out: str = "rn") -> DataFrame:
+    """Add ``out``, the 0-based position by a numeric ``order``."""
+    x = with_range(df, order)
+    x = x.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1)
+    return x.join(_ahead(x, F.count("*")), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
+
+
+def running_sum(df: DataFrame, value: str, order: str = "row_id", out: str = "running") -> DataFrame:
+    """Add ``out``, the sum of ``value`` over all rows up to and with this one."""
+    x = with_range(df, order)
+    x = x.withColumn("_in", F.sum(value).over(W.partitionBy("_range").orderBy(order)))
+    return x.join(_ahead(x, F.sum(value)), "_range").withColumn(out, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+
+
+def shuffled(df: DataFrame, draw: Column, ties: Sequence[str], by: Sequence[str] = (), out: str = "rn") -> DataFrame:
+    """Add ``out``, the 0-based position by a uniform 32-bit draw, within ``by``: ranges of the draw
+    are equally full."""
+    ranges = min(RANGES, 1 + df.count() // RANGE_ROWS)
+    x = df.withColumn("_draw", draw).withColumn("_range", F.floor(F.col("_draw") * ranges / float(1 << 32)))
+    x = x.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_range").orderBy("_draw", *ties)) - 1)
+    return x.join(_ahead(x, F.count("*"), by), [*by, "_range"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_draw", "_range", "_in", "_before")
 
 
 def pop(df: DataFrame, names: Sequence[str], key: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -107,15 +141,82 @@ def pad_to_divisor(df: DataFrame, k: int) -> DataFrame:
     return at.unionByName(extra)
 
 
+def pad_with(df: DataFrame, n: int, last: bool = False) -> DataFrame:
+    """The first, or last, row ``n`` more times; with ``rn`` and ``is_padding``."""
+    at = with_position(df).withColumn("is_padding", F.lit(False))
+    total = df.count()
+    one = at.where(F.col("rn") == (total - 1 if last else 0))
+    extra = one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else one.limit(0).withColumn("_k", F.lit(0))
+    return at.unionByName(extra.withColumn("rn", F.col("_k") + total - 1).withColumn("is_padding", F.lit(True)).drop("_k"))
+
+
+def pad_minimal(df: DataFrame, k: int, minimal: dict[str, Column], uid: str = "uid") -> DataFrame:
+    """Rows that do nothing, until k divides the count: columns as in ``minimal``, others null, each
+    with a uid of its own, and ``is_padding``."""
+    n = -df.count() % k
+    extra = df.sparkSession.range(n).withColumn("_u", F.concat(F.lit("padding-"), F.col("id").cast("string")))
+    kinds = dict(df.dtypes)
+    values = {uid: F.col("_u"), **minimal}
+    row = [values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns]
+    return df.withColumn("is_padding", F.lit(False)).unionByName(extra.select(*row).withColumn("is_padding", F.lit(True)))
+
+
+def block_sums(df: DataFrame, value: str, k: int) -> DataFrame:
+    """(block, total): sums of k consecutive rows."""
+    return with_position(df).groupBy(F.floor(F.col("rn") / k).alias("block")).agg(F.sum(value).alias("total"))
+
+
+def restored(df: DataFrame, place: str, columns: Sequence[str]) -> DataFrame:
+    """Rows that were put in another order, with ``original``, where each stood: the inverse of
+    ``place`` by a join, not by a global sort."""
+    return df.select(F.col("row_id"), F.col(place).alias("original"), *columns)
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; a shared key must have one value, else the query fails."""
+    clash = F.exists(F.map_keys(a), lambda k: F.array_contains(F.map_keys(b), k) & ~a[k].eqNullSafe(b[k]))
+    own = F.map_filter(b, lambda k, v: ~F.array_contains(F.map_keys(a), k))
+    return F.when(clash, F.raise_error(F.lit("values of a shared key differ")).cast("map<string,long>")).otherwise(F.map_concat(a, own))
+
+
 def unpad(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_padding"))
 
 
 def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int = 0) -> DataFrame:
     """(epoch, batch, slot): a seeded order for each epoch, deterministic by (seed, epoch, row_id)."""
-    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    rank = F.row_number().over(W.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "row_id"), "row_id")) - 1
-    return out.withColumn("rn", rank).withColumn("batch", F.floor(F.col("rn") / size)).withColumn("slot", F.col("rn") % size).drop("rn")
+    x = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    draw = md5_draw(F.lit(str(seed)), F.col("epoch").cast("string"), F.col("row_id").cast("string"))
+    x = shuffled(x, draw, ["row_id"], ["epoch"])
+    return x.withColumn("batch", F.floor(F.col("rn") / size)).withColumn("slot", F.col("rn") % size).drop("rn")
+
+
+def loader(df: DataFrame, size: int, drop_last: bool = True, seed: int | None = None) -> DataFrame:
+    """Add ``batch``, by seeded or given order; a short last one goes if ``drop_last``."""
+    x = with_position(df) if seed is None else shuffled(df, md5_draw(F.lit(str(seed)), F.col("row_id").cast("string")), ["row_id"])
+    x = x.withColumn("batch", F.floor(F.col("rn") / size))
+    full = df.count() // size
+    return (x.where(F.col("batch") < full) if drop_last else x).drop("rn")
+
+
+def feed(df: DataFrame, size: int, steps: int, seed: int = 0) -> DataFrame:
+    """(step, epoch, batch, slot, row_id) of ``steps`` batches in a row: epochs follow each other,
+    each in an order of its own, whole batches only."""
+    each = max(1, df.count() // size)
+    x = mini_batches(df, size, -(-steps // each), seed).where(F.col("batch") < each)
+    x = x.withColumn("step", F.col("epoch") * each + F.col("batch"))
+    return x.where(F.col("step") < steps)
+
+
+def traced(df: DataFrame, key: str, k: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``traced``: the row's sample is one of the k seeded ones (of each ``by``)."""
+    ids = df.select(*by, key).distinct().withColumn("_h", md5_draw(F.lit(str(seed)), F.col(key).cast("string")))
+    if by:
+        chosen = ids.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h", key))).where(F.col("_r") <= k)
+    else:
+        chosen = ids.orderBy("_h", key).limit(k)
+    chosen = chosen.select(*by, key, F.lit(True).alias("traced"))
+    return df.join(chosen, [*by, key], "left").withColumn("traced", F.coalesce("traced", F.lit(False)))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
@@ -137,11 +238,9 @@ def weighted_resample(df: DataFrame, weight: str, n: int, seed: int = 0, method:
         w = F.when(w == high, 0.4).otherwise(0.1)
     else:
         raise ValueError(f"unknown method {method!r}")
-    p = df.withColumn("_w", F.greatest(w, F.lit(1e-8)))
-    order = W.orderBy("row_id")
-    p = p.withColumn("_to", F.sum("_w").over(order)).withColumn("_from", F.col("_to") - F.col("_w"))
+    p = running_sum(df.withColumn("_w", F.greatest(w, F.lit(1e-8))), "_w", out="_to").withColumn("_from", F.col("_to") - F.col("_w"))
     total = p.agg(F.max("_to")).first()[0] or 0.0
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40) * total).alias("_u"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (md5_draw(F.lit(str(seed)), F.col("id").cast("string")) / float(1 << 32) * total).alias("_u"))
     step = total / max(1, n)
     draws = draws.withColumn("_b", F.floor(F.col("_u") / step))
     p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))

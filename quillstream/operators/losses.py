@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions.masked import EPS, kl
+from quillstream.operators.metrics import md5_draw
 from quillstream.registry import LOSSES
 
 
@@ -107,7 +108,7 @@ def clip_cov(df: DataFrame, share: float = 2e-4, low: float = 1.0, high: float =
     """Of tokens whose covariance is within (low, high), a seeded few give no loss."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.xxhash64(F.lit(seed), "row_id", "t")).limit(k).select("row_id", "t", F.lit(True).alias("_off"))
+    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(md5_draw(F.lit(str(seed)), F.col("row_id").cast("string"), F.col("t").cast("string")), "row_id", "t").limit(k).select("row_id", "t", F.lit(True).alias("_off"))
     out = df.join(inside, ["row_id", "t"], "left")
     worse = F.greatest(-adv() * ratio(), -adv() * clamp(ratio(), 1 - clip, 1 + clip))
     return out.withColumn("loss", F.when(F.col("_off"), 0.0).otherwise(worse)).drop("_off")

@@ -171,23 +171,6 @@ def stream_window(spark, sf):
     return Q.windowed_counts(e).select("event_type", F.col("window.start").alias("hour"), "n", r6("total", 4).alias("total"))
 
 
-@query()
-def rate_limiter(spark, sf):
-    e = read(spark, sf, "events").select(F.col("event_type").alias("limiter"), F.col("event_id").alias("request"), (F.unix_timestamp("ts") / 60.0).alias("arrival"), (F.col("event_id") % 7 + 1).alias("need"))
-    return Q.token_bucket(e, rate=0.5, capacity=5.0)
-
-
-@query()
-def mini_batches(spark, sf):
-    return B.mini_batches(_orders(spark, sf).select("row_id"), 256, epochs=2, seed=7)
-
-
-@query()
-def weighted_resample(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("w"))
-    return B.weighted_resample(c, "w", 500, seed=3)
-
-
 @query("WITH x AS (SELECT o_orderkey, CAST('0x' || substr(md5('7:' || o_orderkey), 1, 8) AS BIGINT) AS h FROM orders) SELECT o_orderkey FROM x ORDER BY h, o_orderkey LIMIT 100")
 def seeded_sample(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", X.md5_draw(F.lit("7"), F.col("o_orderkey").cast("string")).alias("h"))

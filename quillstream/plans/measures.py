@@ -98,13 +98,6 @@ def bootstrap_best(spark, sf):
     return X.bootstrap(e, ["uid"], 4, resamples=50).select("uid", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query()
-def validation_metrics(spark, sf):
-    e = read(spark, sf, "events").select(F.lit("events").alias("data_source"), F.col("user_id").cast("string").alias("uid"), F.lit("acc").alias("var_name"), F.col("event_id").alias("pos"), "value", F.col("event_type").alias("pred")).where("uid <> ''")
-    e = e.withColumn("pos", F.row_number().over(W.partitionBy("uid").orderBy("pos")) - 1).where("pos < 8")
-    return X.metric_section(X.validation_metrics(e, resamples=50)).select("name", "value")
-
-
 @query("SELECT event_type, user_id % 3 AS g, grouping(event_type) * 2 + grouping(user_id % 3) AS level, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 3)")
 def rollup_metrics(spark, sf):
     e = read(spark, sf, "events").withColumn("g", F.col("user_id") % 3)
@@ -197,13 +190,6 @@ def nearest_quota(spark, sf):
     return C.nearest_quota(x, "stratum", "n", 100).select("stratum", "quota")
 
 
-@query()
-def rerandomise(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("stratum"), "n_chars")
-    q = C.largest_remainder(d.groupBy("stratum").agg(F.count("*").alias("n")), "stratum", "n", 50)
-    return C.rerandomise(d, q, 20, ["n_chars"])
-
-
 @query("WITH v AS (SELECT DISTINCT o_totalprice AS v FROM orders), d AS (SELECT v, (SELECT 1) FROM v), a AS (SELECT o_totalprice AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS na, count(*) FILTER (WHERE o_orderstatus = 'O') AS nb FROM orders GROUP BY 1), c AS (SELECT abs(sum(na) OVER (ORDER BY v) / sum(na) OVER () - sum(nb) OVER (ORDER BY v) / sum(nb) OVER ()) AS d FROM a) SELECT round(max(d), 6) AS ks FROM c")
 def ks_statistic(spark, sf):
     o = read(spark, sf, "orders")
@@ -258,11 +244,6 @@ def script_ratios(spark, sf):
     return read(spark, sf, "documents").select("doc_id", r6(r["ascii"]).alias("ascii"), r6(r["cyrillic"]).alias("cyrillic"))
 
 
-@query()
-def loop_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", C.loops(F.col("text")).alias("loops"))
-
-
 @query()
 def pack_kk(spark, sf):
     o = read(spark, sf, "orders").withColumn("batch", F.floor(F.col("o_orderkey") / 512)).withColumn("w", P.workload((F.col("o_orderkey") % 997 + 1)))
@@ -270,19 +251,6 @@ def pack_kk(spark, sf):
     return P.balance(big, "batch", "o_orderkey", "w", 8)
 
 
-@query()
-def pack_greedy(spark, sf):
-    o = read(spark, sf, "orders").withColumn("batch", F.floor(F.col("o_orderkey") / 512)).withColumn("w", (F.col("o_orderkey") % 997).cast("double"))
-    big = o.withColumn("n", F.count("*").over(W.partitionBy("batch"))).where("n >= 8")
-    return P.imbalance(P.balance(big, "batch", "o_orderkey", "w", 8, "longest"))
-
-
-@query()
-def micro_batches(spark, sf):
-    o = read(spark, sf, "orders").withColumn("batch", F.floor(F.col("o_orderkey") / 512)).withColumn("len", F.col("o_orderkey") % 997 + 1)
-    return P.micro_batches(o, "batch", "o_orderkey", "len", 8192)
-
-
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, CAST(CASE WHEN r % 2 = 1 THEN (n - 1) // 2 + (r + 1) // 2 ELSE (n - 1) // 2 - (r + 1) // 2 END AS INTEGER) AS place FROM r")
 def centre_out(spark, sf):
     return P.centre_out(read(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "lang", "n_chars", "doc_id").select("doc_id", "place")

@@ -258,7 +258,11 @@ def kl_cov(spark, sf):
     return L.agg_loss(L.kl_cov(_loss_tokens(spark, sf), share=0.01)).select(r6("loss", 5).alias("loss"))
 
 
-@query()
+@query(
+    f"""WITH {TOK}, mu AS (SELECT sum(adv * m) / sum(m) AS a, sum(logp * m) / sum(m) AS l, CAST(floor(0.01 * sum(m)) AS BIGINT) AS k FROM tok), c AS (SELECT tok.*, k, m = 1 AND (adv - a) * (logp - l) > 1 AND (adv - a) * (logp - l) < 5 AS inside FROM tok, mu),
+  o AS (SELECT *, inside AND row_number() OVER (PARTITION BY inside ORDER BY CAST('0x' || substr(md5('0:' || row_id || ':' || t), 1, 8) AS BIGINT), row_id, t) <= k AS off FROM c)
+  SELECT round(sum(CASE WHEN off THEN 0 ELSE greatest(-adv * {RATIO}, -adv * greatest(0.8, least(1.2, {RATIO}))) * m END) / sum(m), 6) + 0.0 AS loss FROM o"""
+)
 def clip_cov(spark, sf):
     return _loss(spark, sf, L.clip_cov, share=0.01)
 

@@ -67,3 +67,35 @@ def constrained_instructions(df: DataFrame) -> DataFrame:
     extra = F.struct(F.col("row_id").cast("long").alias("index"), "key", "constraint", "constraint_type")
     bare = rewrite_user(F.col("messages"), lambda c: strip_constraints(c, F.col("constraint")))
     return df.select(*record("constrained_instructions", F.col("messages"), "instruction_following", F.col("ground_truth"), extra=extra), bare.alias("ppl_prompt"))
+
+
+def preferences_to_rl(df: DataFrame, split: str = "train") -> DataFrame:
+    """prompt, response, row_id: the answer is kept as truth, though a model scores."""
+    extra = F.struct(F.lit(split).alias("split"), F.col("row_id").cast("long").alias("index"))
+    return df.select(*record("preferences", messages(("user", F.col("prompt"))), "alignment", F.col("response"), "model", extra))
+
+
+def grade_school_turns(df: DataFrame, system: str, tool: str | None = None, agent: str | None = None, split: str = "train") -> DataFrame:
+    """Grade-school mathematics as a chat with a system message, and, for a tool or an agent, with
+    what they need beside the record."""
+    truth = F.regexp_replace(F.regexp_extract("answer", r"#### (-?[0-9.,]+)", 1), ",", "")
+    extra = [F.lit(split).alias("split"), F.col("row_id").cast("long").alias("index")]
+    if tool:
+        kwargs = F.create_map(F.lit(tool), F.struct(truth.alias("ground_truth")))
+        extra += [F.lit(True).alias("need_tools_kwargs"), kwargs.alias("tools_kwargs")]
+    out = record("grade_school_math", messages(("system", F.lit(system)), ("user", F.col("question"))), "math", truth, extra=F.struct(*extra))
+    return df.select(*out, *([F.lit(agent).alias("agent_name")] if agent else []))
+
+
+def grade_school_sft(df: DataFrame, system: str) -> DataFrame:
+    """The chat with its solution: messages."""
+    return df.select(messages(("system", F.lit(system)), ("user", F.col("question")), ("assistant", F.col("answer"))).alias("messages"))
+
+
+def write_split(df: DataFrame, out: str, key: str, val_size: int, seed: int = 1) -> None:
+    """train.parquet and val.parquet of a seeded split."""
+    from quillstream.sources.scans import train_val_split
+
+    train, val = train_val_split(df, key, val_size, seed)
+    train.write.mode("overwrite").parquet(f"{out}/train.parquet")
+    val.write.mode("overwrite").parquet(f"{out}/val.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream import schemas
+from quillstream.operators.metrics import md5_draw
 
 
 def scan(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def scan_sft(spark: SparkSession, *paths: str) -> DataFrame:
 
 def train_val_split(df: DataFrame, key: str, val_size: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, val): a seeded order by key decides; the first ``val_size`` rows are val."""
-    h = F.xxhash64(F.lit(seed), key)
+    h = md5_draw(F.lit(str(seed)), F.col(key).cast("string"))
     edge = df.select(h.alias("h"), key).orderBy("h", key).limit(val_size).agg(F.max(F.struct("h", key)).alias("e")).first()["e"] if val_size else None
     if edge is None:
         return df, df.limit(0)

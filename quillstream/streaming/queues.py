@@ -120,3 +120,52 @@ def token_bucket(df: DataFrame, rate: float, capacity: float, by: str = "limiter
 
     rows = df.select(F.col(by).cast("string").alias("limiter"), F.col("request").cast("long").alias("request"), F.col("arrival").cast("double").alias("arrival"), F.col("need").cast("double").alias("need"))
     return rows.groupBy("limiter").applyInPandas(run, "limiter string, request long, arrival double, need double, start double")
+
+
+def sample_feed(df: DataFrame, epochs: int, total: int, order: str = "row_id") -> DataFrame:
+    """(epoch, row, place): samples epoch by epoch until ``total`` of them, then an end marker,
+    whose row is null."""
+    from quillstream.operators.frame import with_position
+
+    n = df.count()
+    x = with_position(df.select(order), order).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    x = x.withColumn("place", F.col("epoch") * n + F.col("rn")).where(F.col("place") < total)
+    end = df.sparkSession.range(1).select(F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("long").alias("row"), F.lit(min(total, n * epochs)).cast("long").alias("place"))
+    return x.select("epoch", F.col(order).cast("long").alias("row"), "place").unionByName(end)
+
+
+def queue_stats(df: DataFrame, capacity: int, by: str = "queue", size: str | None = None) -> DataFrame:
+    """Per queue: produced, held, dropped, and the bytes that what is held takes, about."""
+    n = F.count("*")
+    held = F.least(n, F.lit(capacity))
+    out = df.groupBy(by).agg(n.alias("produced"), held.alias("held"), (n - held).alias("dropped"), *([F.avg(size).alias("_avg")] if size else []))
+    return out.withColumn("bytes", (F.col("held") * F.col("_avg")).cast("long")).drop("_avg") if size else out
+
+
+def is_valid_slot(sample: str, version: str, current: int, oldest: int) -> object:
+    """A message that is a sample, of a version that is neither too old nor to come."""
+    return F.col(sample).isNotNull() & (F.col(version) <= current) & (F.col(version) >= current - oldest)
+
+
+def consumed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What a replay buffer holds once consumed keys are removed."""
+    return df.join(done.select(key), key, "left_anti")
+
+
+def batch_of_samples(df: DataFrame, n: int, order: str, by: list[str] = ()) -> DataFrame:
+    """Full batches of samples and what assembling them tells: times, spans of versions, diversity."""
+    from quillstream.operators.metrics import assembly_stats
+
+    return assembly_stats(batches_of(df, n, order, by), "seconds", "first_version", "last_version", [*by, "batch"])
+
+
+def admitted(df: DataFrame, limit: int, order: str, seconds: str, by: str) -> DataFrame:
+    """Replay of a concurrency limit: which of ``limit`` lanes takes a request and when it begins,
+    if requests are dealt out in turn and a lane takes one at a time."""
+    w = W.partitionBy(by).orderBy(order)
+    x = df.withColumn("lane", ((F.row_number().over(w) - 1) % limit).cast("int"))
+    lane = W.partitionBy(by, "lane").orderBy(order)
+    # a request begins when it is there and the lane is free: the largest of arrival - work before it, plus that work
+    work = F.coalesce(F.sum(seconds).over(lane.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    x = x.withColumn("_w", work)
+    return x.withColumn("begin", F.max(F.col("arrival") - F.col("_w")).over(lane.rowsBetween(W.unboundedPreceding, 0)) + F.col("_w")).drop("_w")
