@@ -72,7 +72,7 @@ def drop_staged(df: DataFrame) -> None:
 
 #: A key with more than this part of all rows, and so many at least, is hot: there are fewer hot
 #: keys than HOT_PART.
-HOT_PART, HOT_ROWS = 2_000, 50_000
+HOT_PART, HOT_ROWS = 2_000, 1_000
 
 
 def hot_join(rows: DataFrame, answers: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:

@@ -28,7 +28,7 @@ SPACES = r"[\x20\x09-\x0D]"
 INDEX = "shard int, n long, bits binary, sizes binary, digests binary, keep_ids binary, nones binary, lengths binary, copies binary"
 FOUND = "digest binary, keep_len long, keep_id long, keep_none long, size long"
 #: Rows that a stage drops are told to all tasks up to this number, and joined by a shuffle beyond.
-TOLD_ROWS = 500_000
+TOLD_ROWS = 100_000
 
 
 def _words(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ WORDS, PERCENT = 3, 90
 BLOCK_BYTES, CACHED_WORDS = 4_000_000, 300_000
 #: Segment hashes sorted by one task, about; shingles joined by one task, about, and of a
 #: component that is joined as one piece, at most.
-TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 250_000, 400_000
+TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 250_000, 1_000_000
 #: Hashes that a small set is given, at most.
 VARIANTS = 128
 #: Sets with so many copies, at most so many of them, are told to all tasks, which then leave
@@ -395,16 +395,18 @@ def link_large(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between linked sets of components that are too large for one task, such that
     their components are those of all links.
 
-    Pieces of a component are joined on their own, then with the first set of each group found in
-    any piece.  Groups that this makes one need no comparing within; what is not in the largest
-    group of its component is compared with all.  A component of near copies thus takes two
-    passes over its sets, however large; only sets that have no link to its largest group cost a
-    pass over the component for each PIECE_SHINGLES shingles of them.
+    Pieces of a component are joined on their own, then the first sets of the groups found in all
+    pieces with each other.  Groups that this makes one need no comparing within; what is not in
+    the largest group of its component is compared with all.  A component of near copies thus
+    takes one pass over its sets, however large; only sets that are not in its largest group then
+    cost a pass over the component for each PIECE_SHINGLES shingles of them.
     """
     sets = staged(sets.withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")), "large")
     alone = staged(_joined(sets.withColumn("task", F.concat_ws(":", "component", "piece")), percent), "links")
-    first = sets.join(alone.select(F.col("v").alias("lead")).distinct(), "lead", "left_semi")
-    across = staged(_crossed(sets, first, percent), "links")
+    first = sets.join(alone.select(F.col("v").alias("lead")).distinct(), "lead", "left_semi").drop("pieces", "piece")
+    size = first.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("pieces"))
+    first = first.join(size, "component").withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int"))
+    across = staged(_crossed(first, first, percent), "links")
     links = alone.union(across)
     roots = connected_components(links).withColumnRenamed("u", "lead")
     grouped = staged(sets.select("component", "lead").join(roots, "lead", "left").select("component", "lead", F.coalesce("root", "lead").alias("root")), "groups")
