@@ -81,8 +81,8 @@ def tempered(logits: Column | str, temperature: float) -> Column:
 def probabilities(logits: Column | str) -> Column:
     z = F.transform(col(logits), lambda x: x.cast("double"))
     top = F.array_max(z)
-    total = array_sum(F.transform(z, lambda x: F.exp(x - top)))
-    return F.transform(z, lambda x: F.exp(x - top) / total)
+    shifted = F.transform(z, lambda x: F.exp(x - top))
+    return F.aggregate(F.array(shifted), F.array().cast("array<double>"), lambda _, e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(e, lambda v: v / s)))
 
 
 def response_log_probs(logits: Column | str, ids: Column | str, length: Column | str) -> Column:
@@ -107,12 +107,17 @@ def entropy_and_variance(p: Column) -> Column:
 def truncated(p: Column, top_k: int, top_p: float) -> Column:
     """The distribution of the ``top_k`` likeliest, of these those with less than ``top_p`` before
     them, with a sum of 1 again; likeliest first."""
-    best = F.slice(F.reverse(F.array_sort(p)), 1, top_k)
-    total = array_sum(best)
-    q = F.transform(best, lambda x: x / total)
-    kept = F.filter(F.transform(q, lambda x, i: F.struct(x.alias("x"), array_sum(F.slice(q, 1, i)).alias("before"))), lambda e: e["before"] < top_p)
-    rest = array_sum(F.transform(kept, lambda e: e["x"]))
-    return F.transform(kept, lambda e: e["x"] / rest)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("kept"))
+
+    def scale(a: Column) -> Column:
+        """Divided by its sum, which is made once."""
+        return F.aggregate(F.array(a), F.array().cast("array<double>"), lambda _, x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(x, lambda v: v / s)))
+
+    def step(acc, x):
+        return F.struct((acc["sum"] + x).alias("sum"), F.when(acc["sum"] < top_p, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    best = scale(F.slice(F.reverse(F.array_sort(p)), 1, top_k))
+    return scale(F.aggregate(best, start, step, lambda acc: acc["kept"]))
 
 
 def preference_rows(prompt: Column, chosen: Column, rejected: Column, end: int, width: int, pad: int = 0) -> Column:

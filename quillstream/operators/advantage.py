@@ -46,12 +46,14 @@ def group_mean_std(x: Column, eps: float = 0.0, w=None) -> tuple[Column, Column]
 def whiten(df: DataFrame, column: str, mask: str = "response_mask", shift_mean: bool = True) -> DataFrame:
     """(v - mean) / sqrt(var + 1e-8) over all masked tokens of the table, times the mask.
 
-    Three sums are taken in one aggregate, of one row, which joins back by broadcast."""
-    n, s, q = M.mask_count(mask), M.masked_sum(column, mask), M.array_sum(F.zip_with(M.col(column), M.col(mask), lambda v, k: F.when(k == 1, v * v).otherwise(0.0)))
-    sums = df.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(q).alias("q"))
-    mean = F.col("s") / (F.col("n") + M.EPS)
-    var = F.when(F.col("n") > 1, (F.col("q") - 2 * mean * F.col("s") + F.col("n") * mean * mean) / (F.col("n") + M.EPS) * F.col("n") / (F.col("n") - 1))
-    one = sums.select(mean.alias("_mean"), F.coalesce(var, F.lit(0.0)).alias("_var"))
+    Tokens are aggregated by the built-in variance, whose partial results merge without a
+    difference of large sums; its one row joins back by broadcast."""
+    valid = F.explode(F.filter(F.zip_with(M.col(column), M.col(mask), lambda v, k: F.when(k == 1, v)), lambda v: v.isNotNull()))
+    one = df.select(valid.alias("v")).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.var_pop("v").alias("var"))
+    n, mean = F.col("n"), F.col("s") / (F.col("n") + M.EPS)
+    gap = F.col("s") / n - mean  # the mean is over a count that is a little more
+    var = F.when(n > 1, (F.col("var") + gap * gap) * n / (n + M.EPS) * n / (n - 1))
+    one = one.select(F.coalesce(mean, F.lit(0.0)).alias("_mean"), F.coalesce(var, F.lit(0.0)).alias("_var"))
     out = F.zip_with(M.col(column), M.col(mask), lambda v, k: ((v - F.col("_mean")) / F.sqrt(F.col("_var") + M.EPS) + (F.lit(0.0) if shift_mean else F.col("_mean"))) * k)
     return df.join(F.broadcast(one)).withColumn(column, out).drop("_mean", "_var")
 
@@ -155,32 +157,39 @@ def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
     return whiten(df, "advantages")
 
 
-def _token_baseline(df: DataFrame, compact: bool) -> DataFrame:
-    """Long form: a baseline for each (uid, place), weighted by the cumulative weight of tokens.
+def token_baseline(tokens: DataFrame, rows: DataFrame, compact: bool = False) -> DataFrame:
+    """Long form: tokens (row_id, uid, t, r, m, old_logp, q) and rollouts (row_id, uid), some of
+    which may have no tokens, give (row_id, t, advantage, return).
 
-    The window runs over one row's tokens, and the group's sums over (uid, place), so neither
-    needs a whole prompt in one task's memory.
+    The baseline of a (uid, place) is weighted by the cumulative weight of tokens.  Windows run
+    over one row's tokens, and the group's sums over (uid, place), so neither needs a whole prompt
+    in one task's memory.
     """
-    tokens = df.select("row_id", "uid", F.posexplode(F.arrays_zip("token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")).alias("t", "x"))
-    tokens = tokens.select("row_id", "uid", "t", F.col("x.token_level_rewards").alias("r"), F.col("x.response_mask").alias("m"), F.exp("x.old_log_probs").alias("p"), F.col("x.sum_pi_squared").alias("q"))
     row = W.partitionBy("row_id").orderBy("t")
-    later = row.rowsBetween(0, W.unboundedFollowing)
-    tokens = tokens.withColumn("g", F.sum(F.col("r") * F.col("m")).over(later))
-    tokens = tokens.withColumn("w", F.sum((1 - 2 * F.col("p") + F.col("q")) * F.col("m")).over(row.rowsBetween(W.unboundedPreceding, 0)))
-    place = (F.sum("m").over(row.rowsBetween(W.unboundedPreceding, 0)) - 1) if compact else F.col("t")
-    tokens = tokens.withColumn("place", place)
-    if compact:
-        tokens = tokens.where("m = 1")
+    before, later = row.rowsBetween(W.unboundedPreceding, 0), row.rowsBetween(0, W.unboundedFollowing)
+    m = F.col("m")
+    x = tokens.select(
+        "row_id", "uid", "t", "m", F.sum(F.col("r") * m).over(later).alias("g"), F.sum((1 - 2 * F.exp("old_logp") + F.col("q")) * m).over(before).alias("w"),
+        (F.sum("m").over(before) - 1 if compact else F.col("t")).alias("place"),
+    )
+    x = x.where("m = 1") if compact else x
     at = W.partitionBy("uid", "place")
-    base = F.sum(F.col("g") * F.col("w") * F.col("m")).over(at) / (F.sum(F.col("w") * F.col("m")).over(at) + M.EPS)
-    lengths = df.select("uid", "row_id", M.mask_count("response_mask").alias("len")).where("len > 0" if compact else "true")
-    ranked = lengths.withColumn("k", F.row_number().over(W.partitionBy("uid").orderBy(F.desc("len"), "row_id")))
-    groups = ranked.groupBy("uid").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 2, F.col("len"))).alias("second"))
-    tokens = tokens.withColumn("base", base).join(groups, "uid")
+    base = F.sum(F.col("g") * F.col("w") * m).over(at) / (F.sum(F.col("w") * m).over(at) + M.EPS)
+    lengths = rows.select("row_id", "uid").join(tokens.groupBy("row_id").agg(F.sum("m").alias("len")), "row_id", "left")
+    lengths = lengths.select("uid", "row_id", F.coalesce("len", F.lit(0)).alias("len")).where("len > 0" if compact else "true")
+    top = F.sort_array(F.collect_list("len"), asc=False)  # a prompt's rollouts are few
+    groups = lengths.groupBy("uid").agg(F.count("*").alias("n"), F.try_element_at(top, F.lit(2)).alias("second"))
+    x = x.withColumn("base", base).join(groups, "uid")
     # a single row has no baseline; of the one longest row, what no other reaches has none
     alone = (F.col("n") < 2) | (F.col("place") >= F.col("second"))
-    adv = F.when(alone, 0.0).otherwise((F.col("g") - F.col("base")) * F.col("m"))
-    made = tokens.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct(adv.alias("a"), (F.col("g") * F.col("m")).alias("g"))))).alias("_at"))
+    return x.select("row_id", "t", F.when(alone, 0.0).otherwise((F.col("g") - F.col("base")) * m).alias("advantage"), (F.col("g") * m).alias("return"))
+
+
+def _token_baseline(df: DataFrame, compact: bool) -> DataFrame:
+    """The same on rows of arrays, scattered back to the places of the tokens."""
+    x = df.select("row_id", "uid", F.posexplode(F.arrays_zip("token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")).alias("t", "x"))
+    x = x.select("row_id", "uid", "t", F.col("x.token_level_rewards").alias("r"), F.col("x.response_mask").alias("m"), F.col("x.old_log_probs").alias("old_logp"), F.col("x.sum_pi_squared").alias("q"))
+    made = token_baseline(x, df, compact).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct(F.col("advantage").alias("a"), F.col("return").alias("g"))))).alias("_at"))
     out = df.join(made, "row_id", "left")
     pick = lambda f: F.transform("response_mask", lambda _, i: F.coalesce(F.try_element_at(F.col("_at"), i)[f], F.lit(0.0)))
     return out.withColumn("advantages", pick("a")).withColumn("returns", pick("g")).drop("_at")

@@ -83,8 +83,9 @@ SOFT = "list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transfo
 def logit_functions(spark, sf):
     """Entropy and variance on whole and truncated distributions, forward KL, log probabilities, temperature."""
     x = _rows(spark, sf, "values", "log_probs", "ref_log_prob")
-    p = J.probabilities("values")
-    x = x.withColumns({"whole": J.entropy_and_variance(p), "cut": J.entropy_and_variance(J.truncated(p, 3, 0.8))})
+    # a distribution is made once for all that is asked of it
+    x = x.withColumn("p", J.probabilities("values")).withColumn("c", J.truncated(F.col("p"), 3, 0.8))
+    x = x.withColumns({"whole": J.entropy_and_variance(F.col("p")), "cut": J.entropy_and_variance(F.col("c"))})
     n = F.size("values") - 1
     return x.select(
         "row_id", r6("whole.h", 5).alias("entropy"), r6("whole.v", 5).alias("variance"), r6("cut.h", 5).alias("cut_entropy"), r6("cut.v", 5).alias("cut_variance"),

@@ -37,11 +37,10 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where a scan has fewer partitions than there are cores: for work on each row
-    that costs more than moving it.  Large scans have enough partitions and aren't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Deal rows out to tasks, by a key if there is one: files that hold few row groups are read by
+    few tasks, and the work on their rows costs more than moving them."""
+    return df.repartition(*key) if key else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def r6(x: Column | str, places: int = 6) -> Column:
@@ -52,16 +51,25 @@ def r6(x: Column | str, places: int = 6) -> Column:
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """row_id, uid, t, r, m, v, logp, old_logp, rollout_logp, ref_logp, q, adv in long form."""
-    li, o = read(spark, sf, "lineitem"), read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    x = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    t = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    return x.select(
-        F.col("l_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"), t.cast("long").alias("t"), (F.col("l_quantity").cast("long") % 7).cast("double").alias("r"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("m"),
-        (part % 11 / 4.0).alias("v"), (-(part % 64) / 32.0).alias("logp"), (-(supp % 64) / 32.0).alias("old_logp"), (-((part + supp) % 64) / 32.0).alias("rollout_logp"), (-(part * 3 % 64) / 32.0).alias("ref_logp"), (part % 16 / 16.0).alias("q"), ((part + supp) % 9 / 4.0 - 1).alias("adv"),
-    )
+VALUES = {
+    "r": "CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE)", "m": "CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END", "v": "l_partkey % 11 / 4.0D", "logp": "-(l_partkey % 64) / 32.0D", "old_logp": "-(l_suppkey % 64) / 32.0D",
+    "rollout_logp": "-((l_partkey + l_suppkey) % 64) / 32.0D", "ref_logp": "-(l_partkey * 3 % 64) / 32.0D", "q": "l_partkey % 16 / 16.0D", "adv": "(l_partkey + l_suppkey) % 9 / 4.0D - 1",
+}
+
+
+def _items(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """row_id, the columns that order a rollout's tokens, and the named values; dealt out by row."""
+    li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), *ORDER, *[F.expr(VALUES[n]).alias(n) for n in names])
+    return spread(li, "row_id")
+
+
+def tokens(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """row_id, uid, t and the named values (all by default) in long form."""
+    names = tuple(n for n in names or VALUES if n in VALUES)
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"))
+    t = F.row_number().over(W.partitionBy("row_id").orderBy(*ORDER)) - 1
+    x = _items(spark, sf, *names).select("row_id", t.cast("long").alias("t"), *names)
+    return x.join(o, "row_id").select("row_id", "uid", "t", *names)
 
 
 TOK = """tok AS (SELECT l_orderkey AS row_id, o_custkey AS uid,
@@ -76,9 +84,11 @@ ARRAYS = {"token_level_rewards": "r", "response_mask": "m", "values": "v", "log_
 
 
 def rollouts(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    """row_id, uid and the named arrays, one row for each order; one exchange on the order key."""
+    """row_id, uid and the named arrays, one row for each order: one exchange on the order key, and
+    one sort of each row's tokens."""
     names = names or tuple(ARRAYS)
-    x = tokens(spark, sf).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("t", *{ARRAYS[n] for n in names}))).alias("_x"))
+    values = sorted({ARRAYS[n] for n in names})
+    x = _items(spark, sf, *values).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*ORDER, *values))).alias("_x"))
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"))
     out = o.join(x, "row_id", "left")
     return out.select("row_id", "uid", *[F.coalesce(F.transform("_x", lambda e: e[ARRAYS[n]]), F.array().cast("array<int>" if n == "response_mask" else "array<double>")).alias(n) for n in names])

@@ -145,10 +145,10 @@ def margin_curve(spark, sf):
     return S.margin_curve(x).select("c", r6("p").alias("p"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-@query("WITH x AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT user_id, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS s FROM x GROUP BY 1) SELECT user_id, round(mean, 5) AS mean, round(mean - 2.776 * s / sqrt(n), 4) AS low, round(mean + 2.776 * s / sqrt(n), 4) AS high FROM g WHERE n = 5")
+@query("WITH x AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT user_id, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS s FROM x GROUP BY 1) SELECT user_id, round(mean + 1e-9, 5) AS mean, round(mean - 2.776 * s / sqrt(n), 4) AS low, round(mean + 2.776 * s / sqrt(n), 4) AS high FROM g WHERE n = 5")
 def ci95(spark, sf):
     x = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
-    return S.confidence_bounds(x, ["user_id"], "v", 5).select("user_id", r6("mean", 5).alias("mean"), r6("low", 4).alias("low"), r6("high", 4).alias("high"))
+    return S.confidence_bounds(x, ["user_id"], "v", 5).select("user_id", r6(F.col("mean") + 1e-9, 5).alias("mean"), r6("low", 4).alias("low"), r6("high", 4).alias("high"))
 
 
 @query("SELECT turn, conv_id, CAST((CAST('0x' || substr(h, 1, 8) AS BIGINT) % 5 * (4294967296 % 5) + CAST('0x' || substr(h, 9, 8) AS BIGINT) % 5) % 5 AS BIGINT) AS endpoint FROM (SELECT conv_id, turn, sha256(role || chr(0) || text) AS h FROM conversations)")

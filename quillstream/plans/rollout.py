@@ -8,7 +8,7 @@ from quillstream.functions import masked as M
 from quillstream.operators import advantage as A
 from quillstream.operators import losses as L
 from quillstream.operators import offpolicy as O
-from quillstream.plans.base import ROWS, TOK, query, r6, rollouts, tokens
+from quillstream.plans.base import ROWS, TOK, query, r6, read, rollouts, tokens
 
 U = "OVER (PARTITION BY uid)"
 WHITE = "(SELECT sum(x * m) / (sum(m) + 1e-8) AS mu, sum(m) AS n, sum(x * m) AS sx, sum(x * x * m) AS sq FROM raw)"
@@ -131,14 +131,34 @@ def _baseline_sql(compact: bool) -> str:
   SELECT tok.row_id, tok.t, round(coalesce(CASE WHEN c < 2 OR p >= second THEN 0 ELSE (g - base) * b.m END, 0), 3) + 0.0 AS adv FROM tok LEFT JOIN (b JOIN u USING (uid)) ON tok.row_id = b.row_id AND tok.t = b.t"""
 
 
+def _baseline(spark, sf, compact):
+    t = tokens(spark, sf, "uid", "t", "r", "m", "old_logp", "q")
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"))
+    made = A.token_baseline(t, rows, compact).select("row_id", "t", "advantage")
+    if compact:  # masked tokens have 0
+        made = t.select("row_id", "t").join(made, ["row_id", "t"], "left")
+    return made.select("row_id", "t", r6(F.coalesce("advantage", F.lit(0.0)), 3).alias("adv"))
+
+
 @query(_baseline_sql(False))
 def otb(spark, sf):
-    return _long(A.optimal_token_baseline(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")), 3)
+    return _baseline(spark, sf, False)
 
 
 @query(_baseline_sql(True))
 def tir_otb(spark, sf):
-    return _long(A.tir_optimal_token_baseline(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")), 3)
+    return _baseline(spark, sf, True)
+
+
+@query(_baseline_sql(False))
+def otb_arrays(spark, sf):
+    """The same from rows of arrays."""
+    return _long(A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "optimal_token_baseline"), 3)
+
+
+@query(_baseline_sql(True))
+def tir_otb_arrays(spark, sf):
+    return _long(A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "tir_optimal_token_baseline"), 3)
 
 
 @query(

@@ -206,7 +206,7 @@ def throughput(spark, sf):
     return t.select("total_num_tokens", F.col("time_per_step").cast("double").alias("time_per_step"), r6("throughput").alias("throughput"))
 
 
-ASSEMBLE = "round(avg(value), 6) AS avg, max(value) AS max, min(value) AS min, round(quantile_cont(value, 0.5), 6) AS tp50, round(quantile_cont(value, 0.95), 6) AS tp95, round(quantile_cont(value, 0.99), 6) AS tp99, count(*) FILTER (WHERE event_id % 3 > 0) AS partial, round(avg(CASE WHEN event_id % 3 > 0 THEN 1.0 ELSE 0 END), 6) AS partial_ratio, max(event_id % 3) AS max_span, count(DISTINCT event_id // 100 + event_id % 3) AS versions"
+ASSEMBLE = "round(avg(value) + 1e-9, 6) AS avg, max(value) AS max, min(value) AS min, round(quantile_cont(value, 0.5), 6) AS tp50, round(quantile_cont(value, 0.95), 6) AS tp95, round(quantile_cont(value, 0.99), 6) AS tp99, count(*) FILTER (WHERE event_id % 3 > 0) AS partial, round(avg(CASE WHEN event_id % 3 > 0 THEN 1.0 ELSE 0 END), 6) AS partial_ratio, max(event_id % 3) AS max_span, count(DISTINCT event_id // 100 + event_id % 3) AS versions"
 
 
 def _samples(spark, sf):
@@ -215,7 +215,7 @@ def _samples(spark, sf):
 
 
 def _told(x, *keys):
-    return x.select(*keys, *[r6(c).alias(c) if c in ("avg", "tp50", "tp95", "tp99", "partial_ratio") else F.col(c) for c in x.columns if c not in keys])
+    return x.select(*keys, *[r6(F.col(c) + 1e-9 if c == "avg" else c).alias(c) if c in ("avg", "tp50", "tp95", "tp99", "partial_ratio") else F.col(c) for c in x.columns if c not in keys])
 
 
 @query(f"SELECT event_type, {ASSEMBLE} FROM events GROUP BY 1")
