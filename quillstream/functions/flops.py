@@ -29,6 +29,31 @@ class Model:
         return cls(2 * layers * weights, 4 * heads * head_dim, 2 * hidden * vocabulary, layers - sliding_layers, sliding_layers, window)
 
 
+def model_of(config: dict) -> Model:
+    """From a published configuration: names of dense and mixture models, a nested text part,
+    defaults for key-value heads and the head's width; experts count as often as a token uses them."""
+    raw = {**config, **config["text_config"]} if "hidden_size" not in config and isinstance(config.get("text_config"), dict) else dict(config)
+
+    def need(name: str) -> int:
+        value = raw.get(name)
+        if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
+            raise ValueError(f"{name} must be a positive integer, not {value!r}")
+        return value
+
+    hidden, layers, heads = need("hidden_size"), need("num_hidden_layers"), need("num_attention_heads")
+    if raw.get("head_dim") is None and hidden % heads:
+        raise ValueError("head_dim is not given and heads do not divide hidden_size")
+    width = raw.get("head_dim") or hidden // heads
+    experts = raw.get("num_experts") or raw.get("num_local_experts") or 0
+    used = raw.get("num_experts_per_tok") or raw.get("experts_per_token") or 0
+    if experts and not 0 < used <= experts:
+        raise ValueError("experts used by a token must be from 1 to all")
+    size = (raw.get("moe_intermediate_size") or need("intermediate_size")) * used if experts else need("intermediate_size")
+    kinds = raw.get("layer_types") or []
+    sliding = sum(k == "sliding_attention" for k in kinds)
+    return Model.of(layers, hidden, heads, raw.get("num_key_value_heads") or heads, width, size, need("vocab_size"), sliding, (raw.get("sliding_window") or 0) if sliding else 0)
+
+
 def big(x: Column) -> Column:
     return x.cast(BIG)
 

@@ -99,9 +99,10 @@ def md5_draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, seed: int = 42, reducer: str = "max", value: str = "value", pos: str = "pos") -> DataFrame:
+def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, seed: int = 42, reducer="max", value: str = "value", pos: str = "pos") -> DataFrame:
     """Mean and population deviation, over resamples, of a reducer of ``size`` values drawn with
-    replacement from each group; ``pos`` numbers a group's values from 0.
+    replacement from each group; ``pos`` numbers a group's values from 0.  A reducer is a name, or
+    a function of an array column.
 
     A group is gathered once as an array, resamples are rows, and draws are array lookups, so
     nothing is joined and a group's values are held once."""
@@ -110,7 +111,8 @@ def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, se
     n = F.size("_v")
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
     draws = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int")))
-    reduced = {"max": F.array_max(draws), "min": F.array_min(draws), "mean": M.array_sum(draws) / size}[reducer]
+    known = {"max": F.array_max, "min": F.array_min, "mean": lambda a: M.array_sum(a) / size}
+    reduced = (reducer if callable(reducer) else known[reducer])(draws)
     return rows.select(*by, reduced.alias("r")).groupBy(*by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"))
 
 

@@ -36,6 +36,38 @@ DISTILLATION_LOSSES = Registry("distillation loss")
 REWARDS = Registry("reward function")
 REWARD_MANAGERS = Registry("reward manager")
 TOOL_PARSERS = Registry("tool parser")
+DISPATCH = Registry("dispatch mode")
+DATASETS = Registry("dataset")
+
+
+@DISPATCH.register("one_to_all")
+def one_to_all(df, workers: int):
+    """Every task sees the table, which must be small: joins with it broadcast it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df)
+
+
+@DISPATCH.register("dp")
+def by_parts(df, workers: int):
+    """Equal parts in turn."""
+    return df.repartition(workers)
+
+
+@DISPATCH.register("by_key")
+def by_key(df, workers: int, *keys: str):
+    """Rows of one key in one part."""
+    return df.repartition(workers, *keys)
+
+
+def load_dataset(path: str, name: str, spark, *paths: str):
+    """A dataset made by a function of a Python file from (session, paths); it must be a DataFrame."""
+    from pyspark.sql import DataFrame
+
+    out = load_function(path, name)(spark, *paths)
+    if not isinstance(out, DataFrame):
+        raise TypeError(f"{name} of {path} gives no DataFrame")
+    return out
 
 
 def load_function(path: str, name: str, **bound) -> Callable:
