@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.operators.frame import running_sum, with_position
 from quillstream.operators.metrics import md5_draw
 
 #: Ranges of letters by script (fixed values of Unicode blocks).
@@ -102,15 +106,30 @@ def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFr
 
 
 def nearest_quota(counts: DataFrame, key: str, n: str, total: int, fixed: str | None = None) -> DataFrame:
-    """Quotas nearest the proportional ones in L2 with at least ``fixed`` and at most n each: seat
-    after seat to who is furthest below, as a rank over seats, without a loop."""
-    one = W.partitionBy(F.lit(0))
-    x = counts.withColumn("_e", F.col(n) * F.lit(total) / F.sum(n).over(one)).withColumn("_base", F.col(fixed) if fixed else F.lit(0))
-    seats = x.where(F.col(n) > F.col("_base")).withColumn("_s", F.explode(F.sequence(F.col("_base") + 1, F.col(n))))
-    seats = seats.withColumn("_k", F.row_number().over(one.orderBy(F.round(2 * (F.col("_s") - F.col("_e")) - 1, 9), key, "_s")))
-    left = x.agg((F.lit(total) - F.sum("_base")).alias("_left"))
-    won = seats.join(F.broadcast(left)).where("_k <= _left").groupBy(key).agg(F.count("*").alias("_w"))
-    return x.join(won, key, "left").withColumn("quota", (F.col("_base") + F.coalesce("_w", F.lit(0))).cast("long")).drop("_e", "_base", "_w")
+    """Quotas nearest the proportional ones in L2 with at least ``fixed`` and at most n each.
+
+    A seat goes to who is furthest below, so all stop at one level, which is found by bisection
+    over the strata (one row each), not seat by seat; of equals the smaller key gets the seat."""
+    rows = counts.withColumns({"_n": F.col(n).cast("long"), "_base": (F.col(fixed) if fixed else F.lit(0)).cast("long")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, base = pdf["_n"].to_numpy(), pdf["_base"].to_numpy()
+        ideal = size * total / max(1, size.sum())
+        left = max(0, total - int(base.sum()))
+        upto = lambda c: np.clip(np.floor(ideal + c), base, np.maximum(size, base)).astype(np.int64)
+        low, high = -float(total + 1), float(size.max() + 1)
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (upto(mid) - base).sum() <= left else (low, mid)
+        quota = upto(low - 1e-7)  # equals stay open
+        pdf["quota"] = quota
+        rest = left - int((quota - base).sum())
+        open_ = pdf[quota < size].assign(_m=np.round(2 * (quota + 1 - ideal) - 1, 9)[quota < size]).sort_values(["_m", key])
+        pdf.loc[open_.index[:rest], "quota"] += 1
+        return pdf.drop(columns=["_n", "_base"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in counts.dtypes) + ", quota long"
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda pdf: run(pdf.drop(columns="_one")), schema)
 
 
 def stratified_draw(df: DataFrame, quotas: DataFrame, seed: int, key: str = "stratum") -> DataFrame:
@@ -136,8 +155,6 @@ def rerandomise(df: DataFrame, quotas: DataFrame, draws: int, covariates: list[s
 def swap_polish(values: list[list[float]], stratum: list, chosen: list[bool], steps: int, seed: int = 0) -> tuple[list[bool], float]:
     """Hill climbing on the driver over one bounded subset: swap a chosen and a free row of one
     stratum where that brings the subset's means nearer the whole's.  Returns (chosen, distance)."""
-    import numpy as np
-
     x = np.asarray(values, float)
     x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
     s, on, rng = np.asarray(stratum), np.array(chosen, bool), np.random.default_rng(seed)
@@ -156,12 +173,13 @@ def swap_polish(values: list[list[float]], stratum: list, chosen: list[bool], st
 
 
 def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Largest gap between two empirical distribution functions.  Values are counted first, so the
-    ordered part has a row for each distinct value."""
-    x = a.groupBy(column).agg(F.count("*").alias("na")).join(b.groupBy(column).agg(F.count("*").alias("nb")), column, "full")
-    one = W.partitionBy(F.lit(0))
-    cum = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(one.orderBy(column)) / F.sum(F.coalesce(c, F.lit(0))).over(one)
-    return x.where(F.col(column).isNotNull()).select(F.abs(cum("na") - cum("nb")).alias("d")).agg(F.max("d").alias("ks"))
+    """Largest gap between two empirical distribution functions.  Values are counted first, and
+    counts run up in ranges of values, so that no task orders all of them."""
+    x = a.groupBy(column).agg(F.count("*").alias("na")).join(b.groupBy(column).agg(F.count("*").alias("nb")), column, "full").where(F.col(column).isNotNull())
+    x = x.select(column, F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    totals = x.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    x = running_sum(running_sum(x, "na", column, "ca"), "nb", column, "cb").join(F.broadcast(totals))
+    return x.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 
 
 def total_variation(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -179,15 +197,22 @@ def coverage(whole: DataFrame, subset: DataFrame, column: str, share: float) ->
     return x.agg(F.min(F.coalesce("k", F.lit(0)) / (F.col("n") * share)).alias("coverage"))
 
 
+def mean_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``, the mean rank of equal values: values are counted, and counts run up in ranges."""
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    ranks = running_sum(counts, "_n", "_v", "_to").select("_v", (F.col("_to") - F.col("_n") / 2 + 0.5).alias(out))
+    return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return x.select(rank_share(a).alias("a"), rank_share(b).alias("b")).agg(F.corr("a", "b").alias("spearman"))
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return mean_ranks(mean_ranks(x, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("spearman"))
 
 
 def panels(df: DataFrame, order: str, k: int = 4) -> DataFrame:
     """Add ``panel``: rows in order, k at a time, dealt forwards and backwards in turn."""
-    rn = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "row_id")) - 1
-    return df.withColumn("_r", rn).withColumn("panel", F.when(F.floor(F.col("_r") / k) % 2 == 0, F.col("_r") % k).otherwise(k - 1 - F.col("_r") % k).cast("int")).drop("_r")
+    x = with_position(df, order, "_r", ["row_id"])
+    return x.withColumn("panel", F.when(F.floor(F.col("_r") / k) % 2 == 0, F.col("_r") % k).otherwise(k - 1 - F.col("_r") % k).cast("int")).drop("_r")
 
 
 def acceptance(limits: dict[str, float]) -> Column:
@@ -199,8 +224,16 @@ def acceptance(limits: dict[str, float]) -> Column:
 
 
 def keyset_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the ids, ordered by number, each with a line feed after it."""
-    return df.agg(F.sha2(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda i: i.cast("string")), "\n"), F.lit("\n")).cast("binary"), 256).alias("sha256"))
+    """SHA-256 of the ids, ordered by number, each with a line feed after it.  A digest goes through
+    all ids one after the other: they are ordered in parallel, and one task streams them."""
+
+    def run(batches):
+        digest = hashlib.sha256()
+        for batch in batches:
+            digest.update("".join(f"{i}\n" for i in batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_pydict({"sha256": [digest.hexdigest()]})
+
+    return df.select(F.col(key).alias("k")).orderBy("k").coalesce(1).mapInArrow(run, "sha256 string")
 
 
 def override(base: DataFrame, over: DataFrame, key: str) -> DataFrame:

@@ -35,10 +35,10 @@ def _ahead(df: DataFrame, total: Column, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, "_range", (F.sum("_t").over(W.partitionBy(*by).orderBy("_range")) - F.col("_t")).alias("_before"))
 
 
-def with_position(df: DataFrame, order: str = "row_id", out: str = "rn") -> DataFrame:
-    """Add ``out``, the 0-based position by a numeric ``order``."""
+def with_position(df: DataFrame, order: str = "row_id", out: str = "rn", ties: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``, the 0-based position by a numeric ``order`` and, of equals, by ``ties``."""
     x = with_range(df, order)
-    x = x.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1)
+    x = x.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy(order, *ties)) - 1)
     return x.join(_ahead(x, F.count("*")), "_range").withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
 
 

@@ -39,26 +39,20 @@ def roll_up_steps(df: DataFrame, last: tuple[str, ...] = ()) -> DataFrame:
 def data_metrics(df: DataFrame, max_response: int) -> DataFrame:
     """One row of scalars over rows with arrays token_level_scores, token_level_rewards,
     advantages, returns, values and response_mask.  Rows without a response count in lengths, not
-    in scores and rewards."""
-    rows = df.select(
-        M.array_sum("token_level_scores").alias("score"), M.array_sum("token_level_rewards").alias("reward"), M.mask_count("response_mask").alias("n"),
-        *[x for c in ("advantages", "returns", "values") for x in (M.masked_sum(c, "response_mask").alias(f"{c}_sum"), F.array_max(_valid(c)).alias(f"{c}_max"), F.array_min(_valid(c)).alias(f"{c}_min"))],
-        M.array_sum(F.transform(_valid("returns"), lambda x: x * x)).alias("rr"), M.zip3("returns", "values", "response_mask", lambda r, v, m: F.when(m == 1, r - v)).alias("_e"),
-    )
-    error = F.filter("_e", lambda x: x.isNotNull())
-    rows = rows.withColumns({"e": M.array_sum(error), "ee": M.array_sum(F.transform(error, lambda x: x * x))})
-    some = F.col("n") > 0
-    out = []
+    in scores and rewards.  Variances are of tokens, by the built-in aggregate, whose partial
+    results merge without a difference of large sums."""
+    n = M.mask_count("response_mask")
+    whole = df.select(M.array_sum("token_level_scores").alias("score"), M.array_sum("token_level_rewards").alias("reward"), n.alias("n"))
+    some, out = F.col("n") > 0, []
     for c in ("score", "reward"):
-        out += [F.avg(F.when(some, F.col(c))).alias(f"{c}_mean"), F.max(F.when(some, F.col(c))).alias(f"{c}_max"), F.min(F.when(some, F.col(c))).alias(f"{c}_min")]
-    for c in ("advantages", "returns", "values"):
-        out += [(F.sum(f"{c}_sum") / F.sum("n")).alias(f"{c}_mean"), F.max(f"{c}_max").alias(f"{c}_max"), F.min(f"{c}_min").alias(f"{c}_min")]
-    n = F.sum("n")
-    var = lambda s, q: (F.sum(q) - F.sum(s) * F.sum(s) / n) / (n - 1)
-    out += [(1 - var("e", "ee") / (var("returns_sum", "rr") + 1e-5)).alias("explained_variance")]
+        out += [f(F.when(some, F.col(c))).alias(f"{c}_{k}") for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
     out += [F.avg("n").alias("length_mean"), F.max("n").alias("length_max"), F.min("n").alias("length_min"), F.avg((F.col("n") == max_response).cast("double")).alias("clip_ratio"), F.avg((F.col("n") == 0).cast("double")).alias("aborted_ratio")]
     out += [F.avg(F.when(some, F.col("n"))).alias("present_length_mean")]
-    return rows.agg(*out)
+    zipped = F.arrays_zip(*[F.col(c).alias(c) for c in ("advantages", "returns", "values")], F.col("response_mask").alias("m"))
+    t = df.select(F.explode(zipped).alias("x")).where("x.m = 1").select("x.*")
+    tokens = [f(c).alias(f"{c}_{k}") for c in ("advantages", "returns", "values") for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    tokens += [(1 - F.var_samp(F.col("returns") - F.col("values")) / (F.var_samp("returns") + 1e-5)).alias("explained_variance")]
+    return whole.agg(*out).join(F.broadcast(t.agg(*tokens)))  # one row each
 
 
 def _valid(c: str) -> Column:

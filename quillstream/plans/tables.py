@@ -573,3 +573,24 @@ LANES = """e AS (SELECT event_type, event_id, event_id * 0.25::DOUBLE AS arrival
 def concurrency_lanes(spark, sf):
     e = read(spark, sf, "events").select("event_type", "event_id", (F.col("event_id") * 0.25).alias("arrival"), (F.col("event_id") % 9 + 1).cast("double").alias("seconds"))
     return Q.admitted(e, 3, "event_id", "seconds", "event_type").select("event_id", "lane", "begin")
+
+
+@query("WITH v AS (SELECT ts, event_id AS version FROM events WHERE event_id % 40 = 0), r AS (SELECT ts, max(version) AS version FROM v GROUP BY 1) SELECT e.event_id, r.version FROM (SELECT * FROM events WHERE event_id % 40 > 0) e ASOF LEFT JOIN r ON e.ts >= r.ts")
+def version_as_of_all(spark, sf):
+    """As-of join without a key: versions are carried over ranges of time."""
+    e = read(spark, sf, "events").select("event_id", "ts")
+    v = e.where(F.col("event_id") % 40 == 0).groupBy("ts").agg(F.max("event_id").alias("version"))
+    return Q.version_as_of(e.where(F.col("event_id") % 40 > 0), v, "ts").select("event_id", "version")
+
+
+@query("WITH x AS (SELECT event_id, event_id // 100 AS version, event_id // 100 - event_id % 3 AS pv, count(*) OVER () AS n FROM events) SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch, CAST(sum(CASE WHEN version - pv >= 1 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS stale_so_far FROM x QUALIFY (row_number() OVER (ORDER BY event_id) - 1) // 64 < n // 64")
+def one_queue(spark, sf):
+    """Batches and staleness of a single queue, without a global order in one task."""
+    e = read(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("version"))
+    e = e.withColumn("param_version", F.col("version") - F.col("event_id") % 3)
+    return Q.batches_of(Q.staleness(e, "event_id"), 64, "event_id").select("event_id", "batch", F.col("stale_so_far").cast("long").alias("stale_so_far"))
+
+
+@query("SELECT event_id, greatest((SELECT count(*) FROM events) - 300, 0) AS dropped FROM events ORDER BY event_id DESC LIMIT 300")
+def one_queue_held(spark, sf):
+    return Q.drop_oldest(read(spark, sf, "events").select("event_id"), 300, "event_id")

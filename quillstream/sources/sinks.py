@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.operators.frame import with_range
+
 
 def canonical_json(df: DataFrame) -> Column:
     """A row as JSON with its fields in the order of names; NaN is null."""
@@ -19,7 +21,7 @@ def write_canonical(df: DataFrame, path: str, order: str) -> str:
     hashed where it lies, so the file is never gathered in one task."""
     lines = df.select(F.col(order).alias("_o"), canonical_json(df).alias("value"))
     lines.orderBy("_o").select("value").write.mode("overwrite").text(path)
-    parts = lines.withColumn("_r", F.floor(F.col("_o") / 65536)).groupBy("_r").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256).alias("h"))
+    parts = with_range(lines, "_o").withColumnRenamed("_range", "_r").groupBy("_r").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256).alias("h"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)).first()[0]
 
 

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.operators.frame import running_sum, with_position, with_range
+
 
 def drop_oldest(df: DataFrame, capacity: int, order: str, by: list[str] = ()) -> DataFrame:
     """What a queue of ``capacity`` holds after all arrivals: the last ones; with ``dropped``, how
-    many went."""
+    many went.  Without ``by`` there is one queue, whose last rows are found by a top-k."""
+    if not by:
+        return df.orderBy(F.desc(order)).limit(capacity).withColumn("dropped", F.lit(max(0, df.count() - capacity)).cast("long"))
     w = W.partitionBy(*by)
     rank = F.row_number().over(w.orderBy(F.desc(order)))
     n = F.count("*").over(w)
@@ -32,6 +36,9 @@ def should_pause(df: DataFrame, capacity: int, required: float) -> DataFrame:
 
 def batches_of(df: DataFrame, n: int, order: str, by: list[str] = ()) -> DataFrame:
     """Full groups of exactly n arrivals; what is left over waits."""
+    if not by:
+        full = df.count() // n
+        return with_position(df, order, "_rn").withColumn("batch", F.floor(F.col("_rn") / n)).where(F.col("batch") < full).drop("_rn")
     w = W.partitionBy(*by)
     rn = F.row_number().over(w.orderBy(order)) - 1
     return df.withColumn("_rn", rn).withColumn("_n", F.count("*").over(w)).withColumn("batch", F.floor(F.col("_rn") / n)).where(F.col("batch") < F.floor(F.col("_n") / n)).drop("_rn", "_n")
@@ -40,18 +47,31 @@ def batches_of(df: DataFrame, n: int, order: str, by: list[str] = ()) -> DataFra
 def staleness(df: DataFrame, order: str, by: list[str] = ()) -> DataFrame:
     """Rows version (of the trainer) and param_version (of the sample): add ``is_stale`` and how many
     there were so far."""
-    s = (F.col("version") - F.col("param_version") >= 1).cast("int")
-    return df.withColumn("is_stale", s).withColumn("stale_so_far", F.sum(s).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    x = df.withColumn("is_stale", (F.col("version") - F.col("param_version") >= 1).cast("int"))
+    if not by:
+        return running_sum(x, "is_stale", order, "stale_so_far")
+    return x.withColumn("stale_so_far", F.sum("is_stale").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def version_as_of(samples: DataFrame, versions: DataFrame, time: str, by: list[str] = ()) -> DataFrame:
-    """As-of join: the latest version at or before each sample, by a union and a running last value."""
+    """As-of join: the latest version at or before each sample, by a union and a running last value.
+
+    Without ``by`` time is cut into ranges: the last version of a range is carried to later ones,
+    of which there is one row each, and rows look back within their range only."""
     names = [*by, time]
     a = samples.withColumns({"_v": F.lit(None).cast("long"), "_s": F.lit(1)})
     b = versions.select(*names, F.col("version").cast("long").alias("_v"), F.lit(0).alias("_s"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*by).orderBy(time, "_s").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("version", F.last("_v", ignorenulls=True).over(w)).where("_s = 1").drop("_v", "_s")
+    if by:
+        w = W.partitionBy(*by).orderBy(time, "_s").rowsBetween(W.unboundedPreceding, 0)
+        return both.withColumn("version", F.last("_v", ignorenulls=True).over(w)).where("_s = 1").drop("_v", "_s")
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) if dict(both.dtypes)[time].startswith("timestamp") else F.col(time)
+    x = with_range(both.withColumn("_t", seconds.cast("double")), "_t")
+    own = F.last("_v", ignorenulls=True).over(W.partitionBy("_range").orderBy("_t", "_s").rowsBetween(W.unboundedPreceding, 0))
+    last = x.groupBy("_range").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_l"))
+    carried = last.select("_range", F.last("_l", ignorenulls=True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
+    x = x.withColumn("_own", own).join(carried, "_range")
+    return x.where("_s = 1").withColumn("version", F.coalesce("_own", "_c")).drop("_v", "_s", "_t", "_range", "_own", "_c")
 
 
 def ready_steps(df: DataFrame) -> DataFrame:
@@ -125,8 +145,6 @@ def token_bucket(df: DataFrame, rate: float, capacity: float, by: str = "limiter
 def sample_feed(df: DataFrame, epochs: int, total: int, order: str = "row_id") -> DataFrame:
     """(epoch, row, place): samples epoch by epoch until ``total`` of them, then an end marker,
     whose row is null."""
-    from quillstream.operators.frame import with_position
-
     n = df.count()
     x = with_position(df.select(order), order).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     x = x.withColumn("place", F.col("epoch") * n + F.col("rn")).where(F.col("place") < total)
