@@ -177,3 +177,10 @@ def ppo_composite(df: DataFrame, policy: str = "vanilla", entropy_coef: float =
     if kl_coef:
         total = total + kl_coef * kl(F.col("logp"), F.col("ref_logp"), kind)
     return agg_loss(out, total, mode)
+
+
+def value_composite(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", factor: float | None = None) -> DataFrame:
+    """The critic's loss in one row, with how often values are clipped and their mean."""
+    x = value_loss(df, clip)
+    told = x.agg((F.sum(F.col("clipped") * mask()) / F.sum(mask())).alias("clip_fraction"), (F.sum(F.col("vpred") * mask()) / F.sum(mask())).alias("value_mean"))
+    return agg_loss(x, mode=mode, factor=factor).join(F.broadcast(told))  # one row each

@@ -428,3 +428,12 @@ def topk_kl(spark, sf):
     (ti, tp), (si, sp) = seq(0, 7, 8), seq(4, 11, 5)
     e = read(spark, sf, "embeddings").select("vec_id", ti.alias("ti"), tp.alias("tp"), si.alias("si"), sp.alias("sp"))
     return e.select("vec_id", r6(M.topk_forward_kl("ti", "tp", "si", "sp")).alias("kl"))
+
+
+@query(
+    f"""WITH {TOK}, x AS (SELECT m, q AS vpred, greatest(v - 0.5, least(v + 0.5, q)) AS c, adv AS ret FROM tok)
+  SELECT round(sum(0.5 * greatest((vpred - ret) ** 2, (c - ret) ** 2) * m) / sum(m), 6) + 0.0 AS loss, round(sum(CASE WHEN (c - ret) ** 2 > (vpred - ret) ** 2 THEN m ELSE 0 END) / sum(m), 6) + 0.0 AS clip_fraction, round(sum(vpred * m) / sum(m), 6) + 0.0 AS value_mean FROM x"""
+)
+def value_composite(spark, sf):
+    df = _loss_tokens(spark, sf).withColumns({"vpred": F.col("q"), "value": F.col("v"), "ret": F.col("adv")})
+    return L.value_composite(df).select(*[r6(c).alias(c) for c in ("loss", "clip_fraction", "value_mean")])
