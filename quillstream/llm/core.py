@@ -60,6 +60,27 @@ def clear_staged() -> None:
             return
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with so many underscores before them that no column begins like them."""
+    start = "_"
+    while any(c.startswith(start) for c in df.columns):
+        start += "_"
+    return [start + n for n in names]
+
+
+def drop_staged_since(n: int, keep: DataFrame) -> None:
+    """Remove the tables staged after the first ``n`` of this process, but for what ``keep`` reads."""
+    files = keep.inputFiles()
+    for at in [x for x in _written[n:] if not any(x[1].split(":", 1)[-1] in f for f in files)]:
+        where = at[0].sparkContext._jvm.org.apache.hadoop.fs.Path(at[1])
+        where.getFileSystem(at[0].sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(at)
+
+
+def staged_so_far() -> int:
+    return len(_written)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the staged tables that ``df`` reads, before Python ends."""
     files = df.inputFiles()

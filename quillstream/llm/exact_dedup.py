@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import hot_join, mix64, staged, table
+from quillstream.llm.core import hot_join, mix64, staged, table, unused
 from quillstream.shipping import ship
 
 #: Digests in a shard of the index, about: 32 + 24 bytes each.
@@ -184,15 +184,17 @@ def stage_exact_dedup(spark, docs, sf_dir):
     id and its text, one stays; so does one of a group whose winner has no id.
 
     Documents are not shuffled: they are held against the (id, digest) pairs that go, or that
-    occur more than once, which are few; only if they aren't, both sides are shuffled.
+    occur more than once, which are few; only if they aren't, both sides are shuffled.  Null texts
+    are empty; an empty table stays empty; other columns, whatever their names, are kept.
     """
     names = docs.columns
-    pairs = exact_dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_stays"), F.count("*").alias("_n"))
-    pairs = staged(pairs.where("NOT _stays OR _n > 1").select("_id", "_k", "_stays"), "dropped")
+    of, sha, stays, n, own = unused(docs, "id", "sha", "stays", "n", "own")
+    pairs = exact_dedup(docs).groupBy(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha)).agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias(stays), F.count("*").alias(n))
+    pairs = staged(pairs.where(~F.col(stays) | (F.col(n) > 1)).select(of, sha, stays), "dropped")
     if pairs.count() <= TOLD_ROWS:
         pairs = F.broadcast(pairs)
     t = F.coalesce(F.col("text"), F.lit(""))
-    full = docs.withColumn("_h", F.sha2(F.regexp_replace(t, SPACES, "").cast("binary"), 256))
-    full = full.join(pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
-    again = full.where("_stays").dropDuplicates(["doc_id", "_h"])
-    return full.where("_stays IS NULL").unionByName(again).select(*names)
+    full = docs.withColumn(own, F.sha2(F.regexp_replace(t, SPACES, "").cast("binary"), 256))
+    full = full.join(pairs, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(sha)), "left")
+    again = full.where(stays).dropDuplicates(["doc_id", own])
+    return full.where(F.col(stays).isNull()).unionByName(again).select(*names)

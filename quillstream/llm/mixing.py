@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import WORD_RE, staged, table
+from quillstream.llm.core import WORD_RE, staged, table, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
@@ -131,10 +131,17 @@ def op3_mixing(spark, sf_dir):
 def stage_mixing(spark, docs, sf_dir):
     """Pipeline stage: each row as often as the mix takes it whole; of what is left over, a
     seeded draw with that chance takes the row once more, so a source's words keep near its
-    target.  Rows without words, of which a mix has nothing to take, stay once."""
+    target.  Rows without words, of which a mix has nothing to take, stay once.
+
+    A row counts by its id and text, so rows without an id, or that share one, are told apart;
+    rows that repeat both come equally often, each by its part; an empty table stays empty; other
+    columns, whatever their names, are kept.
+    """
     names = docs.columns
-    taken = mix(docs).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).withColumnRenamed("doc_id", "_id")
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 3), "_id"), F.lit(1_000_000)) / 1e6
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size") + draw)).cast("int")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_times", times)
-    return out.where("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    key, size, part, times = unused(docs, "key", "size", "part", "times")
+    x = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    taken = mix(x, key=key).groupBy("doc_id").agg(F.max("size").alias(size), (F.sum("taken") / F.count("*")).alias(part)).withColumnRenamed("doc_id", f"{key}_of")
+    draw = F.pmod(F.xxhash64(F.lit(SEED + 3), key), F.lit(1_000_000)) / 1e6
+    n = F.when(F.col(size) == 0, 1).otherwise(F.floor(F.col(part) / F.col(size) + draw)).cast("int")
+    out = x.join(taken, x[key] == taken[f"{key}_of"]).withColumn(times, n)
+    return out.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

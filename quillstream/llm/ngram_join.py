@@ -5,7 +5,8 @@ A document is the set of its word shingles; equal sets are one set from the star
 Candidates.  The hash space is cut into segments, and a set's segments are hashed.  Sets that
 link differ in D shingles at most, so a set with more than D filled segments has one that is
 equal in the other: equal segments give edges (each set to the least one with that segment, not
-pairs), and their components hold all links.  Small sets, which may not fill enough segments,
+pairs; a block of texts sends the least one of a segment only), and their components hold all
+links.  Small sets, which may not fill enough segments,
 are hashed without each choice of the few shingles that a linked set may lack.  As a segment has several shingles, documents that
 only share a passage, or frequent phrases, have no edge.
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, utf8
+from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, unused, utf8
 from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
@@ -193,26 +194,32 @@ def _segments(words: int, percent: int, buckets: int, hot):
                     nodes.append(np.full(len(h), node_of(sig)))
             if not keys:
                 continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node, edges = _lists(np.concatenate(keys), np.concatenate(nodes))
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edge))
-            part = lambda x: pa.array([x[order[edge[b] : edge[b + 1]]].tobytes() for b in some], pa.binary())
-            yield arrays(bucket=some.astype(np.int32), keys=part(key), nodes=part(node))
+            part = lambda x: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary())
+            # the block's own edges go along with its first bucket
+            own = pa.array([edges.astype("<i8").tobytes() if k == 0 else b"" for k in range(len(some))], pa.binary())
+            yield arrays(bucket=some.astype(np.int32), keys=part(key), nodes=part(node), edges=own)
 
     return run
 
 
-def _edges(data: pa.Table) -> pa.Table:
-    """Each set to the least one with the same segment."""
-    key = np.frombuffer(b"".join(data.column("keys").to_pylist()), "<u8")
-    node = np.frombuffer(b"".join(data.column("nodes").to_pylist()), "<i8")
+def _lists(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, the least node of each, edges of other nodes to it)"""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     lead = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-    e = np.unique(np.stack([node, lead], 1)[node != lead], axis=0)
+    return key[first], node[first], np.unique(np.stack([node, lead], 1)[node != lead], axis=0)
+
+
+def _edges(data: pa.Table) -> pa.Table:
+    """Each set to the least one with the same segment."""
+    joined = lambda c: b"".join(data.column(c).to_pylist())
+    _, _, e = _lists(np.frombuffer(joined("keys"), "<u8"), np.frombuffer(joined("nodes"), "<i8"))
+    e = np.concatenate([e, np.frombuffer(joined("edges"), "<i8").reshape(-1, 2)])
     return pa.table({"u": e[:, 0], "v": e[:, 1]})
 
 
@@ -436,7 +443,7 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     hot = spark.sparkContext.broadcast({bytes(r["sig"]): r["lead"] for r in hot})
     total, n_rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     buckets = 1 + int(total * 2.2 * Segments(percent).share) // TASK_SEGMENTS
-    edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
+    edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary, edges binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
     found = connected_components(edges)
     roots = found.select(F.col("u").alias("node"), F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
     members = sets.where("n > 0").select("sig", "lead", "n", "node").join(roots, "node").drop("node")
@@ -458,15 +465,39 @@ def op6_ngram_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: All pairs by a join on shingles, and what they reach: for tables that a test can hold.
+OP6_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w),
+sets AS (SELECT list_sort(s) AS s, min(doc_id) AS lead, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+e AS (SELECT lead, n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.lead AS a, b.lead AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.g = b.g AND a.lead < b.lead AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 90 * (na + nb - c) UNION ALL SELECT b, a FROM pairs WHERE 100 * c >= 90 * (na + nb - c)),
+reach AS (SELECT lead AS x, lead AS y FROM sets UNION SELECT reach.x, links.b FROM reach JOIN links ON reach.y = links.a),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id
+FROM s LEFT JOIN sets ON list_sort(s.s) = sets.s LEFT JOIN roots ON sets.lead = roots.x
+"""
+
+
 def stage_near_dedup(spark, docs, sf_dir):
     """Pipeline stage: of each component at five words and 0.8, the row of the smallest doc_id.
 
     A row without an id counts by a hash of its text, from 2^62 up, so that smaller ids come
-    before it and unlike rows stay apart; of equal texts without ids one row stays.
+    before it and unlike rows stay apart; of equal texts without ids one row stays.  Empty texts
+    stay; rows that repeat an id come as often as they do; an empty table stays empty; other
+    columns, whatever their names, are kept.
     """
     names = docs.columns
+    row, kept_row = unused(docs, "row", "kept")
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 2) + F.lit(1 << 62)
-    unnamed = docs.where("doc_id IS NULL").withColumn("_row", place).dropDuplicates(["_row"])
-    docs = docs.where("doc_id IS NOT NULL").withColumn("_row", F.col("doc_id").cast("long")).unionByName(unnamed)
-    kept = jaccard_components(docs, 5, 80, "_row").where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["_row"] == kept["_id"], "left_semi").select(*names)
+    unnamed = docs.where("doc_id IS NULL").withColumn(row, place).dropDuplicates([row])
+    docs = docs.where("doc_id IS NOT NULL").withColumn(row, F.col("doc_id").cast("long")).unionByName(unnamed)
+    kept = jaccard_components(docs, 5, 80, row).where("doc_id = component_id").select(F.col("doc_id").alias(kept_row)).distinct()
+    return docs.join(kept, docs[row] == kept[kept_row], "left_semi").select(*names)

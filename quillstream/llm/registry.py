@@ -14,4 +14,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_ngram_join": ngram_join.OP6_SQL}

@@ -4,6 +4,7 @@ import time
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +73,14 @@ def test_dedup_sql(spark):
     assert (ours[theirs.columns] == theirs).all().all()
 
 
+def test_join_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    theirs = con.sql(ngram_join.OP6_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    ours = ngram_join.op6_ngram_join(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (ours[theirs.columns] == theirs).all().all()
+
+
 def test_dedup_against_history(spark):
     old = spark.createDataFrame([(100, "the catsat on the mat  "), (101, "other")], "doc_id long, text string")
     past = exact_dedup.distinct_digests(exact_dedup.digest_rows(old))
@@ -464,6 +473,19 @@ def test_segments_share_a_key(percent):
                 assert np.isin(cut.keys(a), cut.keys(b)).any(), (n, removed, added)
 
 
+def test_lists_are_combined():
+    """What blocks send of their segments gives the least sets that all entries give."""
+    rng = np.random.default_rng(3)
+    key, node = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(-50, 50, 300)
+    least = {}
+    for block in np.array_split(np.arange(300), 7):
+        k, v, edges = ngram_join._lists(key[block], node[block])
+        assert (np.diff(k.astype(np.int64)) > 0).all() and (edges[:, 0] > edges[:, 1]).all()
+        for a, b in zip(k.tolist(), v.tolist()):
+            least[a] = min(least.get(a, b), b)
+    assert least == {k: int(node[key == k].min()) for k in set(key.tolist())}
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_small_sets_have_common_variants(percent):
     """Small sets need no key that unlike ones share, and every linked pair has one of its own."""
@@ -663,6 +685,72 @@ def test_additive_model_learns_an_interaction():
     assert ((quality.score_all(x[2000:], **m) > 0) == y[2000:]).mean() > 0.9
 
 
+def test_additive_scores_by_hand():
+    """Vectorised bin additions against a lookup for each feature and pair of each row."""
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 3))
+    m = quality.fit(x, ((x[:, 0] > 0.4) & (x[:, 1] > 0.3) | (x[:, 2] > 0.9)).astype(float))
+    bin_of = lambda edges, v: sum(v >= e for e in edges)
+    assert m["pairs"]
+    for row, got in zip(x[:60], quality.score_all(x[:60], **m)):
+        want = m["base"] + sum(t[bin_of(e, v)] for e, t, v in zip(m["edges"], m["tables"], row))
+        want += sum(t[bin_of(m["coarse"][i], row[i])][bin_of(m["coarse"][j], row[j])] for i, j, t in m["pairs"])
+        assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_trees_by_hand():
+    """The best split of ordered bins, found by trying all of them."""
+    rng = np.random.default_rng(2)
+    g, h, n = rng.normal(size=12), rng.random(12) + 0.5, np.full(12, 20)
+    got = quality.tree(g, h, n, leaves=2)
+    value = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1.0)
+    cut = max(range(1, 12), key=lambda k: value(0, k) + value(k, 12))
+    want = [g[a:b].sum() / (h[a:b].sum() + 1.0) for a, b in ((0, cut), (cut, 12)) for _ in range(a, b)]
+    assert np.allclose(got, want)
+
+
+def ngrams_by_hand(text):
+    """Counts of hashed 1- to 3-grams, one n-gram at a time."""
+    marks = [ord(c) if unicodedata.category(c)[0] == "L" else 32 for c in text.lower()]
+    marks = [32, *marks, 32]
+    marks = [c for i, c in enumerate(marks) if not (c == 32 and i and marks[i - 1] == 32)]
+    out = Counter()
+    for n in language_id.ORDERS:
+        for i in range(len(marks) - n + 1):
+            h = 0
+            for c in marks[i : i + n]:
+                h = (h * 0x01000193 ^ c * 0x9E3779B1) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+            out[h >> 18] += 1
+    return out
+
+
+def test_language_scores_by_hand():
+    rng = np.random.default_rng(4)
+    model = {"names": ["a", "b", "c"], "idf": rng.random(language_id.DIMS).astype(np.float32) + 1, "w": rng.normal(size=(language_id.DIMS, 3)).astype(np.float32), "b": rng.normal(size=3), "t": 0.7}
+    texts = ["The cat, the dog.", "été à la plage!! 42", "ß", "日本語 text", "  x  ", "1234", "", None]
+    names, scores = language_id.predict(texts, model)
+    for text, name, score in zip(texts, names, scores):
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        count = ngrams_by_hand(text)
+        assert {k: v for k, v in enumerate(language_id.counts(text).tolist()) if v} == dict(count)
+        v = {k: math.log1p(n) * float(model["idf"][k]) for k, n in count.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        logit = [(sum(x / norm * float(model["w"][k, y]) for k, x in v.items()) + model["b"][y]) / 0.7 for y in range(3)]
+        p = [math.exp(z - max(logit)) for z in logit]
+        assert name == "abc"[p.index(max(p))] and math.isclose(score, max(p) / sum(p), rel_tol=1e-4)
+
+
+def test_temperature_by_hand():
+    rng = np.random.default_rng(0)
+    logits, y = rng.normal(size=(200, 3)) * 5, rng.integers(0, 3, 200)
+    loss = lambda t: -np.mean([z[k] / t - math.log(sum(math.exp(x / t) for x in z)) for z, k in zip(logits, y)])
+    grid = np.geomspace(0.05, 20, 121)
+    assert math.isclose(language_id.temperature(logits, y), min(grid, key=loss), rel_tol=1e-9)
+
+
 def test_language_on_held_out_rows(spark):
     got = language_id.op10_language_id(spark, SF).toPandas().merge(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").df(), on="doc_id")
     out = got[got.held_out]

@@ -1,11 +1,16 @@
 """Stages keep the columns, apply their decisions, and take hard rows; SQL cannot express them."""
 
 import hashlib
+import math
+from collections import Counter
 
 import corpus_pipeline
-from quillstream.llm import exact_dedup
+import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, HARD, SF, empty, hard
-from tests.llm.test_operators import components_by_hand, dedup_by_hand
+from tests.llm.test_operators import check_packing, components_by_hand, dedup_by_hand
+
+from quillstream.llm import core, exact_dedup, mixing
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -70,3 +75,56 @@ def test_null_ids_in_history(spark):
     got = sorted((r["text_sha256"], r["doc_id"] or 0, r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(new, past).collect())
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted([(sha("ab"), 1, 1, 2), (sha("d"), 2, 2, 3), (sha("d"), 0, 2, 3), (sha("c"), 0, None, 2)])
+
+
+CLASHING = ("_id", "_h", "_k", "_n", "_stays", "_row", "_key", "_size", "_part", "_times", "__own", "size", "shard", "digest", "kept", "source_size", "taken", "component_id")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_clashing_columns_in_stages(spark, name):
+    plain = STAGES[name](spark, hard(spark), SF)
+    df = hard(spark)
+    for c in CLASHING:
+        df = df.withColumn(c, df["doc_id"] * 2)
+    got = STAGES[name](spark, df, SF)
+    assert got.columns == df.columns
+    key = lambda r: (r["doc_id"], r["text"] or "", r["lang"] or "")
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+    assert got.where(" OR ".join(f"{c} <> doc_id * 2" for c in CLASHING)).isEmpty()
+
+
+def test_mixing_stage_by_hand(spark):
+    """Rows come as often as the mix takes them whole, and once more by their draw; sources are near their targets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = STAGES["mixing"](spark, docs, SF)
+    times = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    mixed = mixing.mix(docs.withColumn("key", F.xxhash64("doc_id", "text")), key="key").toPandas().set_index("doc_id")
+    ids = {r["k"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    for k, r in mixed.iterrows():
+        low = int(r["taken"] // r["size"]) if r["size"] else 1
+        assert low <= times.get(ids[k], 0) <= low + (1 if r["size"] and r["taken"] % r["size"] else 0)
+    words = F.regexp_count("text", F.lit(core.WORD_RE))
+    got = {r["source"]: r["w"] for r in out.groupBy("source").agg(F.sum(words).alias("w")).collect()}
+    want = {r["source"]: r["target"] for r in mixing.source_targets(docs.groupBy("source").agg(F.sum(words).alias("source_size"))).collect()}
+    # a draw takes whole rows, each of which may miss its part by half its words or so
+    spread = {r["source"]: math.sqrt(r["q"]) for r in docs.groupBy("source").agg(F.sum(words * words).alias("q")).collect()}
+    assert all(abs(got[s] - want[s]) < 2 * spread[s] for s in want)
+
+
+def test_mixing_stage_tells_rows_apart(spark):
+    """Rows without an id, or that share one, are taken by their own sizes."""
+    rows = [(None, f"{'w ' * n}x{n}", "en", "a", 0) for n in (3, 50, 400)] + [(7, "short", "en", "a", 0), (7, "long " * 300, "en", "a", 0), (8, "same", "en", "b", 0), (8, "same", "en", "b", 0)]
+    got = Counter((r["doc_id"], len(r["text"])) for r in STAGES["mixing"](spark, spark.createDataFrame(rows, DOCS), SF).collect())
+    assert all(n <= 4 for n in got.values()) and len(got) >= 4
+
+
+def test_packing_stage(spark):
+    check_packing(STAGES["packing"](spark, hard(spark), SF).toPandas(), HARD)
+
+
+def test_scratch_tables_go(spark):
+    before = core.staged_so_far()
+    kept = core.staged(spark.range(3), "kept")
+    core.staged(spark.range(4), "gone")
+    core.drop_staged_since(before, kept)
+    assert core.staged_so_far() == before + 1 and kept.count() == 3
