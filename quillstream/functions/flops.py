@@ -23,7 +23,10 @@ class Model:
     window: int = 0
 
     @classmethod
-    def of(cls, layers: int, hidden: int, heads: int, kv_heads: int, head_dim: int, intermediate: int, vocabulary: int, sliding_layers: int = 0, window: int = 0) -> "Model":
+    def of(
+        cls, layers: int, hidden: int, heads: int, kv_heads: int, head_dim: int, intermediate: int, vocabulary: int, sliding_layers: int = 0,
+        window: int = 0
+    ) -> "Model":
         """Two operations for each weight used: projections and a gated feed-forward block."""
         weights = hidden * head_dim * (heads + 2 * kv_heads) + heads * head_dim * hidden + 3 * hidden * intermediate
         return cls(2 * layers * weights, 4 * heads * head_dim, 2 * hidden * vocabulary, layers - sliding_layers, sliding_layers, window)
@@ -51,7 +54,10 @@ def model_of(config: dict) -> Model:
     size = (raw.get("moe_intermediate_size") or need("intermediate_size")) * used if experts else need("intermediate_size")
     kinds = raw.get("layer_types") or []
     sliding = sum(k == "sliding_attention" for k in kinds)
-    return Model.of(layers, hidden, heads, raw.get("num_key_value_heads") or heads, width, size, need("vocab_size"), sliding, (raw.get("sliding_window") or 0) if sliding else 0)
+    return Model.of(
+        layers, hidden, heads, raw.get("num_key_value_heads") or heads, width, size, need("vocab_size"), sliding,
+        (raw.get("sliding_window") or 0) if sliding else 0
+    )
 
 
 def big(x: Column) -> Column:

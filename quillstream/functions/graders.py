@@ -76,7 +76,9 @@ def normal_math(x: Column) -> Column:
     steps = [
         (r"\n", ""), (r"\\!", ""), (r"\\\\", r"\\"), (r"\\[td]frac", r"\\frac"), (r"\\left|\\right", ""), (r"\^\{?\\circ\}?", ""), (r"\\\$", ""),
         (r"\\text\{ .*$", ""), (r"\\%|%", ""), (r" \.", " 0."), (r"\{\.", "{0."), (r"^\.", "0."), (r"^[a-zA-Z]{1,2}=", ""), (r"\\sqrt(\w)", r"\\sqrt{$1}"), (r" ", ""),
-        (r"\\frac(\d)(\d)", r"\\frac{$1}{$2}"), (r"\\frac(\d)\{", r"\\frac{$1}{"), (r"\\frac\{([^{}]*)\}(\d)", r"\\frac{$1}{$2}"), (r"^0\.5$", r"\\frac{1}{2}"), (r"^(-?\d+)/(\d+)$", r"\\frac{$1}{$2}"),
+        (r"\\frac(\d)(\d)", r"\\frac{$1}{$2}"), (r"\\frac(\d)\{", r"\\frac{$1}{"), (
+            r"\\frac\{([^{}]*)\}(\d)", r"\\frac{$1}{$2}"
+        ), (r"^0\.5$", r"\\frac{1}{2}"), (r"^(-?\d+)/(\d+)$", r"\\frac{$1}{$2}"),
     ]
     for a, b in steps:
         x = F.regexp_replace(x, a, b)
@@ -89,8 +91,15 @@ def grade_math(t: Column, truth: Column) -> Column:
 
 
 #: What is taken out of, or put in for, parts of a final answer (fixed values).
-SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
-REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots"]
+SUBSTITUTIONS = [
+    ("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","),
+    ("\\text{m}", "\\text{}")
+]
+REMOVED = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits",
+    "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}",
+    "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots"
+]
 
 
 def normal_final(x: Column) -> Column:
@@ -99,7 +108,10 @@ def normal_final(x: Column) -> Column:
         x = F.replace(x, F.lit(a), F.lit(b))
     for a in REMOVED:
         x = F.replace(x, F.lit(a), F.lit(""))
-    for a, b in [(r"^.*?\$(.*?)\$.*$", "$1"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"^.*\\boxed\{(.*)\}.*$", "$1"), (r"frac([^{])(.)", "frac{$1}{$2}"), (r"sqrt([^{])", "sqrt{$1}")]:
+    for a, b in [
+        (r"^.*?\$(.*?)\$.*$", "$1"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"),
+        (r"^.*\\boxed\{(.*)\}.*$", "$1"), (r"frac([^{])(.)", "frac{$1}{$2}"), (r"sqrt([^{])", "sqrt{$1}")
+    ]:
         x = F.regexp_replace(x, a, b)
     x = F.replace(x, F.lit("$"), F.lit(""))
     plain = F.replace(x, F.lit(","), F.lit(""))
@@ -132,7 +144,9 @@ def tagged_answer(t: Column) -> Column:
 def grade_question(t: Column, golden: Column, substring: bool = False, score: float = 1.0, format_score: float = 0.0) -> Column:
     """Match with any golden answer; a quarter of the score if more than ten answer tags are open or closed."""
     a = tagged_answer(t)
-    hit = F.exists(golden, (lambda g: F.contains(normal_question(a), normal_question(g))) if substring else (lambda g: normal_question(a) == normal_question(g)))
+    hit = F.exists(
+        golden, (lambda g: F.contains(normal_question(a), normal_question(g))) if substring else (lambda g: normal_question(a) == normal_question(g))
+    )
     tags = F.greatest(F.regexp_count(t, F.lit("<answer>")), F.regexp_count(t, F.lit("</answer>")))
     return F.when(a.isNull(), 0.0).when(hit, F.when(tags > 10, score / 4).otherwise(score)).otherwise(format_score)
 
@@ -242,7 +256,10 @@ def case_score(statuses: Column, continuous: bool = False, first: int = 10) -> C
     return F.when(n == 0, 0.0).otherwise(passed / n if continuous else (passed == n).cast("double"))
 
 
-GRADERS = {"hash": grade_hash, "math": grade_math, "answer_line": lambda t, g: grade_answer_line(t, g)["score"], "geometry": grade_geometry, "equal": grade_equal, "question": lambda t, g: grade_question(t, F.array(g))}
+GRADERS = {
+    "hash": grade_hash, "math": grade_math, "answer_line": lambda t, g: grade_answer_line(t, g)["score"], "geometry": grade_geometry,
+    "equal": grade_equal, "question": lambda t, g: grade_question(t, F.array(g))
+}
 
 
 def grade(source: Column, t: Column, truth: Column, rules: dict[str, str]) -> Column:
@@ -314,7 +331,9 @@ def mixed_number(x: Column) -> Column:
 
 
 #: Units that say nothing about an answer's value (fixed values).
-UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
+UNITS = (
+    "degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter"
+)
 
 
 def normal_expression(x: Column) -> Column:

@@ -32,7 +32,10 @@ def scatter(values: Column | str, mask: Column | str, pad: float) -> Column:
 def pad_left(values: Column | str, width: int, pad: float) -> Column:
     """The last ``width`` values, with ``pad`` before them."""
     v = col(values)
-    return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(0), width - F.size(v)).cast("int")), F.slice(v, F.greatest(F.size(v) - width, F.lit(0)) + 1, width))
+    return F.concat(
+        F.array_repeat(F.lit(pad), F.greatest(F.lit(0), width - F.size(v)).cast("int")),
+        F.slice(v, F.greatest(F.size(v) - width, F.lit(0)) + 1, width)
+    )
 
 
 def strip_left(ids: Column | str, mask: Column | str) -> Column:
@@ -82,7 +85,10 @@ def probabilities(logits: Column | str) -> Column:
     z = F.transform(col(logits), lambda x: x.cast("double"))
     top = F.array_max(z)
     shifted = F.transform(z, lambda x: F.exp(x - top))
-    return F.aggregate(F.array(shifted), F.array().cast("array<double>"), lambda _, e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(e, lambda v: v / s)))
+    return F.aggregate(
+        F.array(shifted), F.array().cast("array<double>"),
+        lambda _, e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(e, lambda v: v / s))
+    )
 
 
 def response_log_probs(logits: Column | str, ids: Column | str, length: Column | str) -> Column:
@@ -111,10 +117,15 @@ def truncated(p: Column, top_k: int, top_p: float) -> Column:
 
     def scale(a: Column) -> Column:
         """Divided by its sum, which is made once."""
-        return F.aggregate(F.array(a), F.array().cast("array<double>"), lambda _, x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(x, lambda v: v / s)))
+        return F.aggregate(
+            F.array(a), F.array().cast("array<double>"),
+            lambda _, x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v, lambda s: F.transform(x, lambda v: v / s))
+        )
 
     def step(acc, x):
-        return F.struct((acc["sum"] + x).alias("sum"), F.when(acc["sum"] < top_p, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(
+            (acc["sum"] + x).alias("sum"), F.when(acc["sum"] < top_p, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept")
+        )
 
     best = scale(F.slice(F.reverse(F.array_sort(p)), 1, top_k))
     return scale(F.aggregate(best, start, step, lambda acc: acc["kept"]))

@@ -50,7 +50,10 @@ def zip3(a, b, c, f) -> Column:
 def reverse_cumsum(a) -> Column:
     """Sum of each entry and all later ones."""
     empty = F.array().cast("array<double>")
-    done = F.aggregate(F.reverse(col(a)), F.struct(F.lit(0.0).alias("s"), empty.alias("o")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(F.array(acc["s"] + x), acc["o"]).alias("o")))
+    done = F.aggregate(
+        F.reverse(col(a)), F.struct(F.lit(0.0).alias("s"), empty.alias("o")),
+        lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(F.array(acc["s"] + x), acc["o"]).alias("o"))
+    )
     return done["o"]
 
 
@@ -116,7 +119,9 @@ def shift_left_by_one(a, response_length) -> Column:
 
 def place_at_last(score, length) -> Column:
     """An array of ``length`` zeros with the score at its last place."""
-    return F.when(length > 0, F.transform(F.sequence(F.lit(1), length), lambda i: F.when(i == length, score).otherwise(0.0))).otherwise(F.array().cast("array<double>"))
+    return F.when(
+        length > 0, F.transform(F.sequence(F.lit(1), length), lambda i: F.when(i == length, score).otherwise(0.0))
+    ).otherwise(F.array().cast("array<double>"))
 
 
 def entropy(logits) -> Column:

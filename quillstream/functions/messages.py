@@ -26,7 +26,12 @@ def strip_constraints(text: Column, constraint: Column) -> Column:
 
 def rewrite_user(messages: Column, f) -> Column:
     """Change the content of user messages only."""
-    return F.transform(messages, lambda m: F.when(m["role"] == "user", F.struct(m["role"].alias("role"), f(m["content"]).alias("content"))).otherwise(F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    return F.transform(
+        messages,
+        lambda m: F.when(
+            m["role"] == "user", F.struct(m["role"].alias("role"), f(m["content"]).alias("content"))
+        ).otherwise(F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    )
 
 
 def flatten_prompt(messages: Column) -> Column:
@@ -39,7 +44,15 @@ def content_parts(text: Column) -> Column:
     """Text with <image>, <video> or <audio> in it as typed parts, in order."""
     marks = F.regexp_extract_all(text, F.lit("<(image|video|audio)>"), F.lit(1))
     pieces = F.split(text, "<(?:image|video|audio)>")
-    both = F.flatten(F.transform(pieces, lambda p, i: F.array(F.struct(F.lit("text").alias("type"), p.alias("text")), F.struct(F.try_element_at(marks, i + 1).alias("type"), F.lit("").alias("text")))))
+    both = F.flatten(
+        F.transform(
+            pieces,
+            lambda p, i: F.array(
+                F.struct(F.lit("text").alias("type"), p.alias("text")),
+                F.struct(F.try_element_at(marks, i + 1).alias("type"), F.lit("").alias("text"))
+            )
+        )
+    )
     return F.filter(both, lambda x: x["type"].isNotNull() & ((x["type"] != "text") | (x["text"] != "")))
 
 
@@ -52,7 +65,13 @@ def strip_fence(text: Column) -> Column:
 
 
 def _calls(text: Column, pattern: str) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.when(F.try_parse_json(x).isNotNull(), F.struct(F.get_json_object(x, "$.name").alias("name"), F.get_json_object(x, "$.arguments").alias("arguments"))))
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
+        lambda x: F.when(
+            F.try_parse_json(x).isNotNull(),
+            F.struct(F.get_json_object(x, "$.name").alias("name"), F.get_json_object(x, "$.arguments").alias("arguments"))
+        )
+    )
     return F.struct(F.filter(found, lambda c: c["name"].isNotNull()).alias("calls"), F.trim(F.regexp_replace(text, pattern, "")).alias("content"))
 
 
@@ -78,7 +97,13 @@ def xml_calls(text: Column) -> Column:
     pattern = r"(?s)<function=(\w+)>(.*?)</function>"
     names, bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     inner = r"(?s)<parameter=(\w+)>\s*(.*?)\s*</parameter>"
-    calls = F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), F.map_from_arrays(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), F.regexp_extract_all(b, F.lit(inner), F.lit(2))).alias("arguments")))
+    calls = F.zip_with(
+        names, bodies,
+        lambda n, b: F.struct(
+            n.alias("name"),
+            F.map_from_arrays(F.regexp_extract_all(b, F.lit(inner), F.lit(1)), F.regexp_extract_all(b, F.lit(inner), F.lit(2))).alias("arguments")
+        )
+    )
     return F.struct(calls.alias("calls"), F.trim(F.regexp_replace(text, r"(?s)<tool_call>.*?</tool_call>|" + pattern[4:], "")).alias("content"))
 
 
@@ -182,7 +207,9 @@ def encoded(text: Column, width: int, size: int, pad: int = 0, side: str = "righ
 def sft_row(messages: Column, size: int) -> Column:
     """struct(input_ids, loss_mask, sane): turns written and encoded one by one, loss on what the
     assistant says, header left out; sane if they make up the chat encoded as a whole."""
-    turns = F.transform(messages, lambda m: F.struct((m["role"] == "assistant").alias("own"), word_ids(render_turn(m["role"], m["content"]), size).alias("ids")))
+    turns = F.transform(
+        messages, lambda m: F.struct((m["role"] == "assistant").alias("own"), word_ids(render_turn(m["role"], m["content"]), size).alias("ids"))
+    )
     ids = F.flatten(F.transform(turns, lambda t: t["ids"]))
     mask = F.flatten(F.transform(turns, lambda t: F.transform(t["ids"], lambda _, i: F.when(t["own"] & (i > 0), 1).otherwise(0))))
     return F.struct(ids.alias("input_ids"), mask.alias("loss_mask"), (ids == word_ids(render_chat(messages), size)).alias("sane"))
@@ -197,7 +224,9 @@ def skip_blank(ids: Column, texts: Column) -> Column:
 def usage(response: Column) -> Column:
     """struct(prompt, completion, cached) tokens of a service's JSON answer, 0 where not told."""
     get = lambda p: F.coalesce(F.get_json_object(response, f"$.usage.{p}").try_cast("long"), F.lit(0).cast("long"))
-    return F.struct(get("prompt_tokens").alias("prompt"), get("completion_tokens").alias("completion"), get("prompt_tokens_details.cached_tokens").alias("cached"))
+    return F.struct(
+        get("prompt_tokens").alias("prompt"), get("completion_tokens").alias("completion"), get("prompt_tokens_details.cached_tokens").alias("cached")
+    )
 
 
 def prompt_log_probs(response: Column) -> Column:

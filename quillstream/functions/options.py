@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
 #: Other names of the band's modes (fixed values).
-BAND_ALIASES = {"full": "both", "default": "both", "no_low_gate": "no_lower_zero", "no_lower_gate": "no_lower_zero", "upper_only": "no_lower_zero", "no_upper_bonus": "lower_zero_only", "zero_only": "lower_zero_only"}
+BAND_ALIASES = {
+    "full": "both", "default": "both", "no_low_gate": "no_lower_zero", "no_lower_gate": "no_lower_zero", "upper_only": "no_lower_zero",
+    "no_upper_bonus": "lower_zero_only", "zero_only": "lower_zero_only"
+}
 BAND_MODES = ("both", "no_lower_zero", "lower_zero_only")
 
 
@@ -81,7 +84,10 @@ def plain(value: object) -> object:
 
 
 #: Peak floating-point operations a second by device, dense 16-bit (fixed values of data sheets).
-PEAK = {"CPU": 448e9, "A100": 312e12, "A800": 312e12, "H100": 989e12, "H800": 989e12, "H200": 989e12, "B200": 2.25e15, "L40": 181.05e12, "L20": 119.5e12, "H20": 148e12, "910B": 354e12, "RTX 3070 Ti": 21.75e12}
+PEAK = {
+    "CPU": 448e9, "A100": 312e12, "A800": 312e12, "H100": 989e12, "H800": 989e12, "H200": 989e12, "B200": 2.25e15, "L40": 181.05e12, "L20": 119.5e12,
+    "H20": 148e12, "910B": 354e12, "RTX 3070 Ti": 21.75e12
+}
 SCALE = {"B": 1e9, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15}
 
 

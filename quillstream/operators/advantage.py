@@ -54,7 +54,10 @@ def whiten(df: DataFrame, column: str, mask: str = "response_mask", shift_mean:
     gap = F.col("s") / n - mean  # the mean is over a count that is a little more
     var = F.when(n > 1, (F.col("var") + gap * gap) * n / (n + M.EPS) * n / (n - 1))
     one = one.select(F.coalesce(mean, F.lit(0.0)).alias("_mean"), F.coalesce(var, F.lit(0.0)).alias("_var"))
-    out = F.zip_with(M.col(column), M.col(mask), lambda v, k: ((v - F.col("_mean")) / F.sqrt(F.col("_var") + M.EPS) + (F.lit(0.0) if shift_mean else F.col("_mean"))) * k)
+    out = F.zip_with(
+        M.col(column), M.col(mask),
+        lambda v, k: ((v - F.col("_mean")) / F.sqrt(F.col("_var") + M.EPS) + (F.lit(0.0) if shift_mean else F.col("_mean"))) * k
+    )
     return df.join(F.broadcast(one)).withColumn(column, out).drop("_mean", "_var")
 
 
@@ -169,7 +172,9 @@ def token_baseline(tokens: DataFrame, rows: DataFrame, compact: bool = False) ->
     before, later = row.rowsBetween(W.unboundedPreceding, 0), row.rowsBetween(0, W.unboundedFollowing)
     m = F.col("m")
     x = tokens.select(
-        "row_id", "uid", "t", "m", F.sum(F.col("r") * m).over(later).alias("g"), F.sum((1 - 2 * F.exp("old_logp") + F.col("q")) * m).over(before).alias("w"),
+        "row_id", "uid", "t", "m", F.sum(F.col("r") * m).over(later).alias("g"), F.sum(
+            (1 - 2 * F.exp("old_logp") + F.col("q")) * m
+        ).over(before).alias("w"),
         (F.sum("m").over(before) - 1 if compact else F.col("t")).alias("place"),
     )
     x = x.where("m = 1") if compact else x
@@ -182,14 +187,23 @@ def token_baseline(tokens: DataFrame, rows: DataFrame, compact: bool = False) ->
     x = x.withColumn("base", base).join(groups, "uid")
     # a single row has no baseline; of the one longest row, what no other reaches has none
     alone = (F.col("n") < 2) | (F.col("place") >= F.col("second"))
-    return x.select("row_id", "t", F.when(alone, 0.0).otherwise((F.col("g") - F.col("base")) * m).alias("advantage"), (F.col("g") * m).alias("return"))
+    return x.select(
+        "row_id", "t", F.when(alone, 0.0).otherwise((F.col("g") - F.col("base")) * m).alias("advantage"), (F.col("g") * m).alias("return")
+    )
 
 
 def _token_baseline(df: DataFrame, compact: bool) -> DataFrame:
     """The same on rows of arrays, scattered back to the places of the tokens."""
-    x = df.select("row_id", "uid", F.posexplode(F.arrays_zip("token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")).alias("t", "x"))
-    x = x.select("row_id", "uid", "t", F.col("x.token_level_rewards").alias("r"), F.col("x.response_mask").alias("m"), F.col("x.old_log_probs").alias("old_logp"), F.col("x.sum_pi_squared").alias("q"))
-    made = token_baseline(x, df, compact).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct(F.col("advantage").alias("a"), F.col("return").alias("g"))))).alias("_at"))
+    x = df.select(
+        "row_id", "uid", F.posexplode(F.arrays_zip("token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared")).alias("t", "x")
+    )
+    x = x.select(
+        "row_id", "uid", "t", F.col("x.token_level_rewards").alias("r"), F.col("x.response_mask").alias("m"),
+        F.col("x.old_log_probs").alias("old_logp"), F.col("x.sum_pi_squared").alias("q")
+    )
+    made = token_baseline(x, df, compact).groupBy("row_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("t", F.struct(F.col("advantage").alias("a"), F.col("return").alias("g"))))).alias("_at")
+    )
     out = df.join(made, "row_id", "left")
     pick = lambda f: F.transform("response_mask", lambda _, i: F.coalesce(F.try_element_at(F.col("_at"), i)[f], F.lit(0.0)))
     return out.withColumn("advantages", pick("a")).withColumn("returns", pick("g")).drop("_at")
@@ -222,7 +236,9 @@ def kl_in_reward(df: DataFrame, beta: float, kind: str = "kl") -> DataFrame:
     """Rewards less beta times the KL of each masked token, and the row's masked mean of it."""
     d = M.zip3("old_log_probs", "ref_log_prob", "response_mask", lambda a, b, m: M.kl(a, b, kind) * m)
     df = df.withColumn("kl", d)
-    return df.withColumn("token_level_rewards", F.zip_with("token_level_scores", "kl", lambda s, k: s - beta * k)).withColumn("mean_kl", M.masked_mean("kl", "response_mask"))
+    return df.withColumn(
+        "token_level_rewards", F.zip_with("token_level_scores", "kl", lambda s, k: s - beta * k)
+    ).withColumn("mean_kl", M.masked_mean("kl", "response_mask"))
 
 
 def compute(df: DataFrame, estimator: str, **options) -> DataFrame:

@@ -59,12 +59,19 @@ def fixed_width(df: DataFrame, prompt: str, response: str, prompt_width: int, wi
     mask = F.concat(J.pad_left(J.ones(kept), prompt_width, 0), M.pad_right(J.ones(F.size(r)), width, 0))
     x = df.withColumns({"input_ids": ids, "attention_mask": mask})
     last = F.size(r) - 1
-    return x.withColumns({"position_ids": position_ids(F.col("attention_mask")), "rm_scores": F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == last, F.col(score)).otherwise(0.0))})
+    return x.withColumns(
+        {
+            "position_ids": position_ids(F.col("attention_mask")),
+            "rm_scores": F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == last, F.col(score)).otherwise(0.0))
+        }
+    )
 
 
 def timings(df: DataFrame, key: str, metrics: str) -> DataFrame:
     """(key, name, position, value) of a row's list of named times."""
-    return df.select(key, F.posexplode(metrics).alias("position", "m")).select(key, F.col("m.name").alias("name"), "position", F.col("m.value").alias("value"))
+    return df.select(key, F.posexplode(metrics).alias("position", "m")).select(
+        key, F.col("m.name").alias("name"), "position", F.col("m.value").alias("value")
+    )
 
 
 def token_nll(log_probs: Column, labels: Column, ignore: int = -100) -> Column:
@@ -77,7 +84,9 @@ def token_nll(log_probs: Column, labels: Column, ignore: int = -100) -> Column:
 def rescored(items: DataFrame, prefixes: DataFrame, key: str = "index") -> DataFrame:
     """Cached items with the prefixes they are scored behind; an item without one is an error."""
     out = items.join(prefixes.withColumn("_there", F.lit(True)), key, "left")
-    return out.withColumn(key, F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.lit("an item has no prefix")).cast("long"))).drop("_there")
+    return out.withColumn(
+        key, F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.lit("an item has no prefix")).cast("long"))
+    ).drop("_there")
 
 
 def filled(cache: DataFrame, wanted: DataFrame, make, key: str = "index") -> DataFrame:

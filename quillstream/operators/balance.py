@@ -121,7 +121,10 @@ def share_prefixes(df: DataFrame) -> DataFrame:
     from quillstream.operators.frame import consecutive_runs
 
     runs = consecutive_runs(df, "uid")
-    return runs.groupBy("run", "uid").agg(F.min_by("prompt", "row_id").alias("prompt"), F.transform(F.sort_array(F.collect_list(F.struct("row_id", "response"))), lambda x: x["response"]).alias("responses"))
+    return runs.groupBy("run", "uid").agg(
+        F.min_by("prompt", "row_id").alias("prompt"),
+        F.transform(F.sort_array(F.collect_list(F.struct("row_id", "response"))), lambda x: x["response"]).alias("responses")
+    )
 
 
 def balance_groups(df: DataFrame, batch: str, group: str, item: str, weight: str, k: int) -> DataFrame:
@@ -129,7 +132,10 @@ def balance_groups(df: DataFrame, batch: str, group: str, item: str, weight: str
     and parts get equally many of them."""
     groups = df.groupBy(F.col(batch).alias("batch"), F.col(group).cast("long").alias("_g")).agg(F.sum(weight).alias("_w"))
     parts = balance(groups, "batch", "_g", "_w", k, "equal").select("batch", F.col("item").alias("_g"), "part")
-    rows = df.select(F.col(batch).alias("batch"), F.col(group).cast("long").alias("_g"), F.col(item).cast("long").alias("item"), F.col(weight).cast("double").alias("weight"))
+    rows = df.select(
+        F.col(batch).alias("batch"), F.col(group).cast("long").alias("_g"), F.col(item).cast("long").alias("item"),
+        F.col(weight).cast("double").alias("weight")
+    )
     return rows.join(parts, ["batch", "_g"]).withColumnRenamed("_g", "group")
 
 

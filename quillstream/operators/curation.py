@@ -102,7 +102,9 @@ def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFr
     exact = F.col(n) * F.lit(total) / F.sum(n).over(one)
     x = counts.withColumn("_f", F.floor(exact)).withColumn("_r", exact - F.floor(exact))
     x = x.withColumn("_k", F.row_number().over(one.orderBy(F.desc(F.round("_r", 9)), key)))
-    return x.withColumn("quota", (F.col("_f") + F.when(F.col("_k") <= F.lit(total) - F.sum("_f").over(one), 1).otherwise(0)).cast("long")).drop("_f", "_r", "_k")
+    return x.withColumn(
+        "quota", (F.col("_f") + F.when(F.col("_k") <= F.lit(total) - F.sum("_f").over(one), 1).otherwise(0)).cast("long")
+    ).drop("_f", "_r", "_k")
 
 
 def nearest_quota(counts: DataFrame, key: str, n: str, total: int, fixed: str | None = None) -> DataFrame:
@@ -175,7 +177,9 @@ def swap_polish(values: list[list[float]], stratum: list, chosen: list[bool], st
 def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Largest gap between two empirical distribution functions.  Values are counted first, and
     counts run up in ranges of values, so that no task orders all of them."""
-    x = a.groupBy(column).agg(F.count("*").alias("na")).join(b.groupBy(column).agg(F.count("*").alias("nb")), column, "full").where(F.col(column).isNotNull())
+    x = a.groupBy(column).agg(F.count("*").alias("na")).join(
+        b.groupBy(column).agg(F.count("*").alias("nb")), column, "full"
+    ).where(F.col(column).isNotNull())
     x = x.select(column, F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
     totals = x.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     x = running_sum(running_sum(x, "na", column, "ca"), "nb", column, "cb").join(F.broadcast(totals))
@@ -185,7 +189,9 @@ def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def total_variation(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Half the sum of differences between shares; 0 if either side is empty."""
     na, nb = a.agg(F.count("*").alias("ta")), b.agg(F.count("*").alias("tb"))
-    x = a.groupBy(column).agg(F.count("*").alias("na")).withColumnRenamed(column, "_k").join(b.groupBy(column).agg(F.count("*").alias("nb")), F.col("_k").eqNullSafe(F.col(column)), "full")
+    x = a.groupBy(column).agg(F.count("*").alias("na")).withColumnRenamed(column, "_k").join(
+        b.groupBy(column).agg(F.count("*").alias("nb")), F.col("_k").eqNullSafe(F.col(column)), "full"
+    )
     x = x.join(F.broadcast(na)).join(F.broadcast(nb))
     share = lambda n, t: F.coalesce(F.col(n), F.lit(0)) / F.col(t)
     return x.where("ta > 0 AND tb > 0").agg(F.coalesce(0.5 * F.sum(F.abs(share("na", "ta") - share("nb", "tb"))), F.lit(0.0)).alias("tv"))
@@ -275,7 +281,9 @@ def source_bucket(key: Column) -> Column:
     for prefix in ("personas_math_easy_", "personahub_", "oasst1_", "hard_coded_"):
         out = out.when(F.startswith(key, F.lit(prefix)), F.lit(prefix.rstrip("_")))
     first = F.nullif(F.regexp_extract(key, r"^([^_./]*)", 1), F.lit(""))
-    return out.when(F.startswith(key, F.lit("science.")), F.regexp_replace(key, r"\.[^.]*$", "")).when(key.rlike("^[a-z0-9]{5,12}$"), F.lit("opaque_short_id")).otherwise(F.coalesce(first, F.lit("unknown")))
+    return out.when(
+        F.startswith(key, F.lit("science.")), F.regexp_replace(key, r"\.[^.]*$", "")
+    ).when(key.rlike("^[a-z0-9]{5,12}$"), F.lit("opaque_short_id")).otherwise(F.coalesce(first, F.lit("unknown")))
 
 
 def over_runs(columns: list[str]) -> Column:
@@ -315,7 +323,12 @@ def audit(df: DataFrame, wanted: DataFrame, key: str, ready: Column, complete: C
     """(issue, n) of a generated run against its manifest: keys that are missing or too many, and
     why rows are not ready."""
     x = df.withColumn("_ready", ready)
-    bad = F.array_compact(F.array(F.when(F.size(y0) <= 0, "missing_y0"), F.when(F.size(y1) <= 0, "missing_y1"), F.when(~complete, "incomplete_score").otherwise("malformed_count_ppl_or_length")))
+    bad = F.array_compact(
+        F.array(
+            F.when(F.size(y0) <= 0, "missing_y0"), F.when(F.size(y1) <= 0, "missing_y1"),
+            F.when(~complete, "incomplete_score").otherwise("malformed_count_ppl_or_length")
+        )
+    )
     issues = x.where("NOT _ready").select(F.explode(bad).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
     counted = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
     missing, extra = wanted.join(df, key, "left_anti"), df.join(wanted, key, "left_anti")
@@ -336,6 +349,10 @@ def differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def aligned(tokens: Column, probs: Column, offsets: tuple[int, ...] = (0, 1, -1)) -> Column:
     """The slice of log probabilities that has one for each token, at the first offset that does."""
     n = F.size(tokens)
-    tries = [F.when(F.size(probs) >= n + o, F.slice(probs, 1 + o if o > 0 else 1, n)) if o >= 0 else F.concat(F.array(F.lit(None).cast("double")), F.slice(probs, 1, n - 1)) for o in offsets]
+    tries = [
+        F.when(
+            F.size(probs) >= n + o, F.slice(probs, 1 + o if o > 0 else 1, n)
+        ) if o >= 0 else F.concat(F.array(F.lit(None).cast("double")), F.slice(probs, 1, n - 1)) for o in offsets
+    ]
     whole = [F.when((F.size(t) == n) & ~F.exists(F.slice(t, 2, n), lambda x: x.isNull()), t) for t in tries]
     return F.coalesce(*whole)

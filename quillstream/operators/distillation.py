@@ -51,7 +51,10 @@ def overlap_metrics(df: DataFrame, k: int) -> DataFrame:
     rows are tokens in the mask: overlap_count, overlap_advantage, student_mass, teacher_mass."""
     some = F.col("overlap_count") > 0
     masses = [f(c).alias(f"{c}_{n}") for c in ("student_mass", "teacher_mass") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
-    return df.agg((F.avg("overlap_count") / k).alias("overlap_ratio"), F.coalesce(F.avg(F.when(some, F.col("overlap_advantage"))), F.lit(0.0)).alias("overlap_token_advantage"), *masses)
+    return df.agg(
+        (F.avg("overlap_count") / k).alias("overlap_ratio"),
+        F.coalesce(F.avg(F.when(some, F.col("overlap_advantage"))), F.lit(0.0)).alias("overlap_token_advantage"), *masses
+    )
 
 
 def distill(df: DataFrame, kind: str, mode: str = "token-mean", most: float | None = None, policy: str | None = None, width: int = 64) -> DataFrame:

@@ -26,7 +26,9 @@ def with_range(df: DataFrame, order: str) -> DataFrame:
     if low is None or low == high:
         return df.withColumn("_range", F.lit(0).cast("long"))
     step = (float(high) - float(low)) / ranges
-    return df.withColumn("_range", F.coalesce(F.least(F.floor((F.col(order).cast("double") - float(low)) / step), F.lit(ranges - 1)), F.lit(-1)).cast("long"))
+    return df.withColumn(
+        "_range", F.coalesce(F.least(F.floor((F.col(order).cast("double") - float(low)) / step), F.lit(ranges - 1)), F.lit(-1)).cast("long")
+    )
 
 
 def _ahead(df: DataFrame, total: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -55,7 +57,9 @@ def shuffled(df: DataFrame, draw: Column, ties: Sequence[str], by: Sequence[str]
     ranges = min(RANGES, 1 + df.count() // RANGE_ROWS)
     x = df.withColumn("_draw", draw).withColumn("_range", F.floor(F.col("_draw") * ranges / float(1 << 32)))
     x = x.withColumn("_in", F.row_number().over(W.partitionBy(*by, "_range").orderBy("_draw", *ties)) - 1)
-    return x.join(_ahead(x, F.count("*"), by), [*by, "_range"]).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_draw", "_range", "_in", "_before")
+    return x.join(_ahead(x, F.count("*"), by), [*by, "_range"]).withColumn(
+        out, (F.col("_in") + F.col("_before")).cast("long")
+    ).drop("_draw", "_range", "_in", "_before")
 
 
 def pop(df: DataFrame, names: Sequence[str], key: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -94,7 +98,9 @@ def repeat(df: DataFrame, n: int, interleave: bool = True) -> DataFrame:
 
 
 def repeat_each(df: DataFrame, times: str) -> DataFrame:
-    return df.withColumn("k", F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(0), (F.col(times) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
+    return df.withColumn(
+        "k", F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(0), (F.col(times) - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
+    )
 
 
 def unfold(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -240,7 +246,9 @@ def weighted_resample(df: DataFrame, weight: str, n: int, seed: int = 0, method:
         raise ValueError(f"unknown method {method!r}")
     p = running_sum(df.withColumn("_w", F.greatest(w, F.lit(1e-8))), "_w", out="_to").withColumn("_from", F.col("_to") - F.col("_w"))
     total = p.agg(F.max("_to")).first()[0] or 0.0
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (md5_draw(F.lit(str(seed)), F.col("id").cast("string")) / float(1 << 32) * total).alias("_u"))
+    draws = df.sparkSession.range(n).select(
+        F.col("id").alias("draw"), (md5_draw(F.lit(str(seed)), F.col("id").cast("string")) / float(1 << 32) * total).alias("_u")
+    )
     step = total / max(1, n)
     draws = draws.withColumn("_b", F.floor(F.col("_u") / step))
     p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))

@@ -59,7 +59,12 @@ def vanilla(df: DataFrame, low: float = 0.2, high: float = 0.2, dual: float = 3.
     plain, clipped = -adv() * ratio(), -adv() * clamp(ratio(), 1 - low, 1 + high)
     worse = F.greatest(plain, clipped)
     out = F.when(adv() < 0, F.least(-adv() * dual, worse)).otherwise(worse)
-    return df.withColumns({"loss": out, "clipped": (clipped > plain).cast("double"), "clipped_low": F.when((adv() < 0) & (worse > -adv() * dual), 1.0).otherwise(0.0), "kl": -logr()})
+    return df.withColumns(
+        {
+            "loss": out, "clipped": (clipped > plain).cast("double"),
+            "clipped_low": F.when((adv() < 0) & (worse > -adv() * dual), 1.0).otherwise(0.0), "kl": -logr()
+        }
+    )
 
 
 @LOSSES.register("dppo_tv")
@@ -81,7 +86,9 @@ def dppo_kl(df: DataFrame, bound: float = 0.05, cap: float = 20.0) -> DataFrame:
 @LOSSES.register("gspo")
 def gspo(df: DataFrame, low: float = 3e-4, high: float = 4e-4) -> DataFrame:
     """One ratio for a row: exp of its masked mean log ratio, whose log is at most 10."""
-    mean = F.sum((F.col("logp") - F.col("old_logp")) * mask()).over(W.partitionBy("row_id")) / F.greatest(F.sum(mask()).over(W.partitionBy("row_id")), F.lit(1))
+    mean = F.sum((F.col("logp") - F.col("old_logp")) * mask()).over(W.partitionBy("row_id")) / F.greatest(
+        F.sum(mask()).over(W.partitionBy("row_id")), F.lit(1)
+    )
     r = F.exp(F.least(mean, F.lit(10.0)))
     return df.withColumn("loss", F.greatest(-adv() * r, -adv() * clamp(r, 1 - low, 1 + high)))
 
@@ -108,7 +115,9 @@ def clip_cov(df: DataFrame, share: float = 2e-4, low: float = 1.0, high: float =
     """Of tokens whose covariance is within (low, high), a seeded few give no loss."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(md5_draw(F.lit(str(seed)), F.col("row_id").cast("string"), F.col("t").cast("string")), "row_id", "t").limit(k).select("row_id", "t", F.lit(True).alias("_off"))
+    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(
+        md5_draw(F.lit(str(seed)), F.col("row_id").cast("string"), F.col("t").cast("string")), "row_id", "t"
+    ).limit(k).select("row_id", "t", F.lit(True).alias("_off"))
     out = df.join(inside, ["row_id", "t"], "left")
     worse = F.greatest(-adv() * ratio(), -adv() * clamp(ratio(), 1 - clip, 1 + clip))
     return out.withColumn("loss", F.when(F.col("_off"), 0.0).otherwise(worse)).drop("_off")
@@ -168,7 +177,9 @@ def sft_loss(df: DataFrame, ranks: int = 1) -> DataFrame:
     return df.agg((-F.sum(F.col("logp") * mask()) / F.sum(mask()) * ranks).alias("loss"))
 
 
-def ppo_composite(df: DataFrame, policy: str = "vanilla", entropy_coef: float = 0.0, kl_coef: float = 0.0, kind: str = "low_var_kl", mode: str = "token-mean") -> DataFrame:
+def ppo_composite(
+    df: DataFrame, policy: str = "vanilla", entropy_coef: float = 0.0, kl_coef: float = 0.0, kind: str = "low_var_kl", mode: str = "token-mean"
+) -> DataFrame:
     """policy - entropy_coef * entropy + kl_coef * KL, each aggregated in the same mode."""
     out = LOSSES.get(policy)(df)
     total = F.col("loss")
@@ -182,5 +193,8 @@ def ppo_composite(df: DataFrame, policy: str = "vanilla", entropy_coef: float =
 def value_composite(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", factor: float | None = None) -> DataFrame:
     """The critic's loss in one row, with how often values are clipped and their mean."""
     x = value_loss(df, clip)
-    told = x.agg((F.sum(F.col("clipped") * mask()) / F.sum(mask())).alias("clip_fraction"), (F.sum(F.col("vpred") * mask()) / F.sum(mask())).alias("value_mean"))
+    told = x.agg(
+        (F.sum(F.col("clipped") * mask()) / F.sum(mask())).alias("clip_fraction"),
+        (F.sum(F.col("vpred") * mask()) / F.sum(mask())).alias("value_mean")
+    )
     return agg_loss(x, mode=mode, factor=factor).join(F.broadcast(told))  # one row each

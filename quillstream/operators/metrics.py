@@ -11,7 +11,11 @@ from quillstream.functions import masked as M
 
 def reduce_by_name(df: DataFrame) -> DataFrame:
     """(name, value): a name with ``max`` takes the maximum, else with ``min`` the minimum, else the mean."""
-    return df.groupBy("name").agg(F.when(F.contains(F.col("name"), F.lit("max")), F.max("value")).when(F.contains(F.col("name"), F.lit("min")), F.min("value")).otherwise(F.avg("value")).alias("value"))
+    return df.groupBy("name").agg(
+        F.when(
+            F.contains(F.col("name"), F.lit("max")), F.max("value")
+        ).when(F.contains(F.col("name"), F.lit("min")), F.min("value")).otherwise(F.avg("value")).alias("value")
+    )
 
 
 def reduce_tagged(df: DataFrame) -> DataFrame:
@@ -19,7 +23,9 @@ def reduce_tagged(df: DataFrame) -> DataFrame:
     minima and maxima are over all."""
     by_pos = df.groupBy("name", "aggregation", "pos").agg(F.avg("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     a = F.col("aggregation")
-    return by_pos.groupBy("name", "aggregation").agg(F.when(a == "sum", F.sum("v")).when(a == "mean", F.avg("v")).when(a == "min", F.min("lo")).otherwise(F.max("hi")).alias("value"))
+    return by_pos.groupBy("name", "aggregation").agg(
+        F.when(a == "sum", F.sum("v")).when(a == "mean", F.avg("v")).when(a == "min", F.min("lo")).otherwise(F.max("hi")).alias("value")
+    )
 
 
 def step_rule(name: Column) -> Column:
@@ -32,7 +38,9 @@ def roll_up_steps(df: DataFrame, last: tuple[str, ...] = ()) -> DataFrame:
     """(name, step, value) to (name, rule, value); names in ``last`` keep their last value."""
     rule = F.when(F.col("name").isin(*last), "last").otherwise(step_rule(F.col("name"))) if last else step_rule(F.col("name"))
     d = df.withColumn("rule", rule)
-    value = F.when(F.col("rule") == "sum", F.sum("value")).when(F.col("rule") == "max", F.max("value")).when(F.col("rule") == "min", F.min("value")).when(F.col("rule") == "last", F.max_by("value", "step")).otherwise(F.avg("value"))
+    value = F.when(F.col("rule") == "sum", F.sum("value")).when(F.col("rule") == "max", F.max("value")).when(F.col("rule") == "min", F.min("value")).when(
+        F.col("rule") == "last", F.max_by("value", "step")
+    ).otherwise(F.avg("value"))
     return d.groupBy("name", "rule").agg(value.alias("value"))
 
 
@@ -46,7 +54,10 @@ def data_metrics(df: DataFrame, max_response: int) -> DataFrame:
     some, out = F.col("n") > 0, []
     for c in ("score", "reward"):
         out += [f(F.when(some, F.col(c))).alias(f"{c}_{k}") for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
-    out += [F.avg("n").alias("length_mean"), F.max("n").alias("length_max"), F.min("n").alias("length_min"), F.avg((F.col("n") == max_response).cast("double")).alias("clip_ratio"), F.avg((F.col("n") == 0).cast("double")).alias("aborted_ratio")]
+    out += [
+        F.avg("n").alias("length_mean"), F.max("n").alias("length_max"), F.min("n").alias("length_min"),
+        F.avg((F.col("n") == max_response).cast("double")).alias("clip_ratio"), F.avg((F.col("n") == 0).cast("double")).alias("aborted_ratio")
+    ]
     out += [F.avg(F.when(some, F.col("n"))).alias("present_length_mean")]
     zipped = F.arrays_zip(*[F.col(c).alias(c) for c in ("advantages", "returns", "values")], F.col("response_mask").alias("m"))
     t = df.select(F.explode(zipped).alias("x")).where("x.m = 1").select("x.*")
@@ -61,7 +72,9 @@ def _valid(c: str) -> Column:
 
 def to_long(df: DataFrame) -> DataFrame:
     """One row of metrics as (name, value) rows."""
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("x")).select("x.name", "x.value")
+    return df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("x")
+    ).select("x.name", "x.value")
 
 
 def timing_metrics(df: DataFrame) -> DataFrame:
@@ -78,14 +91,19 @@ def variance_proxy(df: DataFrame) -> DataFrame:
     a = M.masked_sum("advantages", "response_mask") / F.greatest(M.mask_count("response_mask"), F.lit(1))
     rows = df.select(w.alias("w"), a.alias("a"))
     power, signal = F.avg(F.col("a") * F.col("a") * F.col("w")), F.pow(F.avg(F.col("a") * F.sqrt("w")), F.lit(2))
-    return rows.agg(power.alias("power"), F.avg("w").alias("mean_w"), F.greatest(F.lit(0.0), (power - signal) / F.greatest(F.count("*") - 1, F.lit(1))).alias("noise"))
+    return rows.agg(
+        power.alias("power"), F.avg("w").alias("mean_w"),
+        F.greatest(F.lit(0.0), (power - signal) / F.greatest(F.count("*") - 1, F.lit(1))).alias("noise")
+    )
 
 
 def majority(df: DataFrame, by: list[str], vote: str = "pred", value: str = "value", pos: str = "pos") -> DataFrame:
     """The most frequent vote of each group, the earliest seen of equals, with its first value."""
     votes = df.groupBy(*by, vote).agg(F.count("*").alias("n"), F.min(pos).alias("first"), F.min_by(value, pos).alias("v"))
     best = F.max_by(F.struct(F.col(vote).alias("vote"), F.col("v").alias("value"), F.col("n").alias("n")), F.struct(F.col("n"), -F.col("first")))
-    return votes.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.vote").alias("vote"), F.col("b.n").alias("votes"), F.col("b.value").alias("value"))
+    return votes.groupBy(*by).agg(best.alias("b")).select(
+        *by, F.col("b.vote").alias("vote"), F.col("b.n").alias("votes"), F.col("b.value").alias("value")
+    )
 
 
 def md5_draw(*parts: Column) -> Column:
@@ -93,7 +111,9 @@ def md5_draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, seed: int = 42, reducer="max", value: str = "value", pos: str = "pos") -> DataFrame:
+def bootstrap(
+    df: DataFrame, by: list[str], size: int, resamples: int = 1000, seed: int = 42, reducer="max", value: str = "value", pos: str = "pos"
+) -> DataFrame:
     """Mean and population deviation, over resamples, of a reducer of ``size`` values drawn with
     replacement from each group; ``pos`` numbers a group's values from 0.  A reducer is a name, or
     a function of an array column.
@@ -104,7 +124,10 @@ def bootstrap(df: DataFrame, by: list[str], size: int, resamples: int = 1000, se
     rows = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     n = F.size("_v")
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
-    draws = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int")))
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)),
+        lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int"))
+    )
     known = {"max": F.array_max, "min": F.array_min, "mean": lambda a: M.array_sum(a) / size}
     reduced = (reducer if callable(reducer) else known[reducer])(draws)
     return rows.select(*by, reduced.alias("r")).groupBy(*by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"))
@@ -125,17 +148,41 @@ def validation_metrics(df: DataFrame, resamples: int = 1000, seed: int = 42) ->
     values = F.transform("_v", lambda x: x["value"])
     base = groups.withColumns({"mean": M.array_sum(values) / n})
     base = base.withColumn("std", F.sqrt(M.array_sum(F.transform("_v", lambda x: (x["value"] - F.col("mean")) ** 2)) / n))
-    plain = base.select(*by, F.explode(F.array(F.struct(F.concat(F.lit("mean@"), n.cast("string")).alias("m"), F.col("mean").alias("v")), F.struct(F.concat(F.lit("std@"), n.cast("string")).alias("m"), F.col("std").alias("v")))).alias("x")).select(*by, "x.m", "x.v")
+    plain = base.select(
+        *by,
+        F.explode(
+            F.array(
+                F.struct(F.concat(F.lit("mean@"), n.cast("string")).alias("m"), F.col("mean").alias("v")),
+                F.struct(F.concat(F.lit("std@"), n.cast("string")).alias("m"), F.col("std").alias("v"))
+            )
+        ).alias("x")
+    ).select(*by, "x.m", "x.v")
     rows = groups.where(n > 1).withColumn("size", F.explode(sizes_ladder(n))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     key = F.concat_ws(":", *by)
-    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int")))
+    drawn = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("size") - 1),
+        lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int"))
+    )
     rows = rows.withColumn("_d", drawn)
     votes = F.transform("_d", lambda x: F.struct(F.size(F.filter("_d", lambda y: y["pred"].eqNullSafe(x["pred"]))).alias("n"), x["value"].alias("v")))
     top = F.array_max(F.transform(votes, lambda x: x["n"]))
     maj = F.element_at(F.filter(votes, lambda x: x["n"] == top), 1)["v"]
     values = F.transform("_d", lambda x: x["value"])
-    made = rows.select(*by, "size", F.array_max(values).alias("best"), F.array_min(values).alias("worst"), maj.alias("maj")).groupBy(*by, "size").agg(*[f(c).alias(f"{c}_{k}") for c in ("best", "worst", "maj") for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    boot = made.select(*by, F.explode(F.array(*[F.struct(F.concat(F.lit(f"{c}@"), F.col("size").cast("string"), F.lit(f"/{k}")).alias("m"), F.col(f"{c}_{k}").alias("v")) for c in ("best", "worst", "maj") for k in ("mean", "std")])).alias("x")).select(*by, "x.m", "x.v")
+    made = rows.select(*by, "size", F.array_max(values).alias("best"), F.array_min(values).alias("worst"), maj.alias("maj")).groupBy(*by, "size").agg(
+        *[f(c).alias(f"{c}_{k}") for c in ("best", "worst", "maj") for k, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    )
+    boot = made.select(
+        *by,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.concat(F.lit(f"{c}@"), F.col("size").cast("string"), F.lit(f"/{k}")).alias("m"), F.col(f"{c}_{k}").alias("v")
+                    ) for c in ("best", "worst", "maj") for k in ("mean", "std")
+                ]
+            )
+        ).alias("x")
+    ).select(*by, "x.m", "x.v")
     return plain.union(boot).groupBy("data_source", "var_name", F.col("m").alias("metric")).agg(F.avg("v").alias("value"))
 
 
@@ -144,20 +191,27 @@ def metric_section(df: DataFrame, core: str = "acc") -> DataFrame:
     w = W.partitionBy("data_source")
     core_var = F.when(F.max(F.col("var_name") == core).over(w), core).otherwise("reward")
     n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")
-    is_core = (F.col("var_name") == core_var) & F.col("metric").rlike("^(mean|best|maj)@") & ~F.contains(F.col("metric"), F.lit("std")) & (n == F.max(n).over(W.partitionBy("data_source", "var_name")))
+    is_core = (F.col("var_name") == core_var) & F.col("metric").rlike("^(mean|best|maj)@") & ~F.contains(F.col("metric"), F.lit("std")) & (
+        n == F.max(n).over(W.partitionBy("data_source", "var_name"))
+    )
     return df.withColumn("name", F.concat_ws("/", F.when(is_core, "val-core").otherwise("val-aux"), "data_source", "var_name", "metric"))
 
 
 def offline_eval(df: DataFrame, score: Column) -> DataFrame:
     """Mean score of a row's responses, then the mean over rows of a source."""
-    rows = df.select("row_id", "data_source", F.explode("responses").alias("response"), "ground_truth").groupBy("row_id", "data_source").agg(F.avg(score).alias("s"))
+    rows = df.select(
+        "row_id", "data_source", F.explode("responses").alias("response"), "ground_truth"
+    ).groupBy("row_id", "data_source").agg(F.avg(score).alias("s"))
     return rows.groupBy("data_source").agg(F.avg("s").alias("score"))
 
 
 def summary(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """Count, mean, interpolated p50 and p95, and maximum; zeros for nothing."""
     z = lambda x: F.coalesce(x, F.lit(0.0))
-    return df.groupBy(*by).agg(F.count(column).alias("n"), z(F.avg(column)).alias("mean"), z(F.percentile(column, 0.5)).alias("p50"), z(F.percentile(column, 0.95)).alias("p95"), z(F.max(column)).alias("max"))
+    return df.groupBy(*by).agg(
+        F.count(column).alias("n"), z(F.avg(column)).alias("mean"), z(F.percentile(column, 0.5)).alias("p50"),
+        z(F.percentile(column, 0.95)).alias("p95"), z(F.max(column)).alias("max")
+    )
 
 
 def shape_check(df: DataFrame) -> DataFrame:
@@ -167,7 +221,9 @@ def shape_check(df: DataFrame) -> DataFrame:
 
 def debug_probabilities(df: DataFrame) -> DataFrame:
     """Gap between two policies' probabilities over masked tokens: max, mean, deviation, correlation."""
-    t = df.select(F.explode(F.arrays_zip("old_log_probs", "rollout_log_probs", "response_mask")).alias("x")).where("x.response_mask = 1").select(F.exp("x.old_log_probs").alias("a"), F.exp("x.rollout_log_probs").alias("b"))
+    t = df.select(
+        F.explode(F.arrays_zip("old_log_probs", "rollout_log_probs", "response_mask")).alias("x")
+    ).where("x.response_mask = 1").select(F.exp("x.old_log_probs").alias("a"), F.exp("x.rollout_log_probs").alias("b"))
     d = F.abs(F.col("a") - F.col("b"))
     return t.agg(F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.corr("a", "b").alias("pearson"))
 
@@ -179,7 +235,11 @@ def kl_coefficient(beta: float, kl: float, target: float, steps: int, horizon: i
 
 def staleness_stats(df: DataFrame, version: int) -> DataFrame:
     """Of produced rows (param_version, seconds): how many are stale, span of versions, percentiles."""
-    return df.agg(F.count("*").alias("n"), F.count_if(F.lit(version) - F.col("param_version") >= 1).alias("stale"), (F.max("param_version") - F.min("param_version")).alias("span"), F.count_distinct("param_version").alias("versions"), *[F.percentile("seconds", p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(F.lit(version) - F.col("param_version") >= 1).alias("stale"),
+        (F.max("param_version") - F.min("param_version")).alias("span"), F.count_distinct("param_version").alias("versions"),
+        *[F.percentile("seconds", p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)]
+    )
 
 
 def token_differences(a: Column, b: Column, mask: Column) -> Column:
@@ -203,15 +263,23 @@ def assembly_stats(df: DataFrame, seconds: str, first: str, last: str, by: list[
     versions there are."""
     span = F.abs(F.col(last) - F.col(first))
     partial = F.count_if(span > 0)
-    times = [F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"), *[F.percentile(seconds, p / 100).alias(f"tp{p}") for p in (50, 95, 99)]]
-    return df.groupBy(*by).agg(*times, partial.alias("partial"), (partial / F.count("*")).alias("partial_ratio"), F.max(span).alias("max_span"), F.count_distinct(last).alias("versions"))
+    times = [
+        F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.min(seconds).alias("min"),
+        *[F.percentile(seconds, p / 100).alias(f"tp{p}") for p in (50, 95, 99)]
+    ]
+    return df.groupBy(*by).agg(
+        *times, partial.alias("partial"), (partial / F.count("*")).alias("partial_ratio"), F.max(span).alias("max_span"),
+        F.count_distinct(last).alias("versions")
+    )
 
 
 def row_issues(df: DataFrame, key: str, required: list[str], group: str, size: int) -> DataFrame:
     """(issue, n): repeated keys, missing fields, and groups that have not ``size`` rows."""
     repeated = df.groupBy(key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated").alias("issue"), "n")
     missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-    missing = missing.select(F.explode(F.array(*[F.struct(F.lit(f"missing {c}").alias("issue"), F.col(c).alias("n")) for c in required])).alias("x")).select("x.*")
+    missing = missing.select(
+        F.explode(F.array(*[F.struct(F.lit(f"missing {c}").alias("issue"), F.col(c).alias("n")) for c in required])).alias("x")
+    ).select("x.*")
     uneven = df.groupBy(group).count().where(F.col("count") != size).agg(F.count("*").alias("n")).select(F.lit("group size").alias("issue"), "n")
     return repeated.union(missing).union(uneven)
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quillstream.functions import masked as M
 
 BOUND = 20.0
-OPTIONS = tuple(["token_k1", "token_k2", "token_k3"] + [f"seq_{a}_{k}" for a in ("sum", "mean") for k in ("k1", "k2", "k3")] + ["seq_max_k2", "seq_max_k3"])
+OPTIONS = tuple(
+    ["token_k1", "token_k2", "token_k3"] + [f"seq_{a}_{k}" for a in ("sum", "mean") for k in ("k1", "k2", "k3")] + ["seq_max_k2", "seq_max_k3"]
+)
 
 
 def is_threshold(value: float | str) -> tuple[float | None, float]:
@@ -71,7 +73,9 @@ def importance_weights(df: DataFrame, level: str = "token", threshold: float | s
             mean = d.agg((F.sum(M.array_sum("is_weights")) / F.sum(M.mask_count("response_mask"))).alias("_mean"))
         else:
             mean = d.agg(F.avg(F.array_max("is_weights")).alias("_mean"))
-        d = d.join(F.broadcast(mean)).withColumn("is_weights", F.transform("is_weights", lambda x: x / F.greatest(F.col("_mean"), F.lit(1e-8)))).drop("_mean")
+        d = d.join(F.broadcast(mean)).withColumn(
+            "is_weights", F.transform("is_weights", lambda x: x / F.greatest(F.col("_mean"), F.lit(1e-8)))
+        ).drop("_mean")
     return d
 
 
@@ -116,7 +120,9 @@ def offpolicy_metrics(df: DataFrame) -> DataFrame:
     n = M.mask_count("response_mask")
     rows = df.withColumn("_d", log_ratio()).select(
         n.alias("n"), M.array_sum("_d").alias("d"), M.masked_sum("old_log_probs", "response_mask").alias("lo"), M.masked_sum("rollout_log_probs", "response_mask").alias("lr"),
-        M.masked_sum(F.transform("_d", lambda x: F.exp(_clamp(x)) - 1 - x), "response_mask").alias("k3"), M.masked_sum(F.transform("_d", lambda x: F.exp(2 * _clamp(x))), "response_mask").alias("w2"),
+        M.masked_sum(
+            F.transform("_d", lambda x: F.exp(_clamp(x)) - 1 - x), "response_mask"
+        ).alias("k3"), M.masked_sum(F.transform("_d", lambda x: F.exp(2 * _clamp(x))), "response_mask").alias("w2"),
     ).where("n > 0")
     mo, mr = F.col("lo") / F.col("n"), F.col("lr") / F.col("n")
     return rows.agg(
@@ -129,12 +135,20 @@ def offpolicy_metrics(df: DataFrame) -> DataFrame:
 
 def weight_metrics(df: DataFrame, threshold: float = 2.0) -> DataFrame:
     """One row: mean, extremes, shares above and below the bounds, and effective sample size."""
-    w = df.select(F.explode(F.arrays_zip("is_weights", "response_mask")).alias("x")).where("x.response_mask = 1").select(F.col("x.is_weights").alias("w"))
+    w = df.select(
+        F.explode(F.arrays_zip("is_weights", "response_mask")).alias("x")
+    ).where("x.response_mask = 1").select(F.col("x.is_weights").alias("w"))
     mean = F.avg("w")
-    return w.agg(mean.alias("mean"), F.max("w").alias("max"), F.min("w").alias("min"), F.stddev_pop("w").alias("std"), F.avg((F.col("w") > threshold).cast("double")).alias("share_high"), F.avg((F.col("w") < 1 / threshold).cast("double")).alias("share_low"), (mean * mean / F.avg(F.col("w") * F.col("w"))).alias("ess"))
+    return w.agg(
+        mean.alias("mean"), F.max("w").alias("max"), F.min("w").alias("min"), F.stddev_pop("w").alias("std"),
+        F.avg((F.col("w") > threshold).cast("double")).alias("share_high"), F.avg((F.col("w") < 1 / threshold).cast("double")).alias("share_low"),
+        (mean * mean / F.avg(F.col("w") * F.col("w"))).alias("ess")
+    )
 
 
-def correct(df: DataFrame, level: str = "token", threshold: float | str = 2.0, options: list[str] | None = None, rs_threshold: float | str | None = None) -> DataFrame:
+def correct(
+    df: DataFrame, level: str = "token", threshold: float | str = 2.0, options: list[str] | None = None, rs_threshold: float | str | None = None
+) -> DataFrame:
     """Weights and rejection mask as new columns."""
     out = importance_weights(df, level, threshold)
     return rejection_mask(out, options, rs_threshold if rs_threshold is not None else threshold) if options else out

@@ -103,7 +103,9 @@ def existing_or(df: DataFrame, manager: Callable[[DataFrame], DataFrame], column
         return manager(df)
     out = manager(df)
     kept = F.coalesce(F.col(column), F.col("reward_score"))
-    return out.withColumn("reward_score", kept).withColumn("token_level_scores", M.place_at_last(F.col("reward_score"), F.col("response_length").cast("int")))
+    return out.withColumn("reward_score", kept).withColumn(
+        "token_level_scores", M.place_at_last(F.col("reward_score"), F.col("response_length").cast("int"))
+    )
 
 
 @REWARD_MANAGERS.register("naive")

@@ -30,7 +30,9 @@ def complete_anchor(prefix: str = "") -> Column:
 
 
 def train_ready_anchor(limit: int = 32768) -> Column:
-    ok = (F.col("ref0_token_count") == F.size("y0")) & (F.col("ref1_token_count") == F.size("y1")) & (F.col("ref0_token_count") <= limit) & (F.col("ref1_token_count") <= limit)
+    ok = (
+        F.col("ref0_token_count") == F.size("y0")
+    ) & (F.col("ref1_token_count") == F.size("y1")) & (F.col("ref0_token_count") <= limit) & (F.col("ref1_token_count") <= limit)
     return complete_anchor() & F.coalesce(ok & finite(F.col("ref0_ppl")).isNotNull() & finite(F.col("ref1_ppl")).isNotNull(), F.lit(False))
 
 
@@ -63,7 +65,9 @@ def in_interval(m: Column, floor: Column, ceiling: Column, margin: float, mode:
     return F.coalesce(inside & (floor <= ceiling), F.lit(False))
 
 
-def anchor_band(df: DataFrame, coef: float = 0.1, margin: float = 0.0, mode: str = "band", below: str = "zero", inverted: str = "abstain", penalty: float = 0.1) -> DataFrame:
+def anchor_band(
+    df: DataFrame, coef: float = 0.1, margin: float = 0.0, mode: str = "band", below: str = "zero", inverted: str = "abstain", penalty: float = 0.1
+) -> DataFrame:
     """Rows with reward and policy, ref0 (floor) and ref1 (ceiling) NLLs and counts.
 
     A mean below the floor less the margin sets the reward to 0, or leaves it, or takes a
@@ -71,7 +75,12 @@ def anchor_band(df: DataFrame, coef: float = 0.1, margin: float = 0.0, mode: str
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    x = df.withColumns({"_m": mean_nll("policy_nll", "policy_token_count"), "_f": mean_nll("ref0_nll", "ref0_token_count"), "_c": mean_nll("ref1_nll", "ref1_token_count")})
+    x = df.withColumns(
+        {
+            "_m": mean_nll("policy_nll", "policy_token_count"), "_f": mean_nll("ref0_nll", "ref0_token_count"),
+            "_c": mean_nll("ref1_nll", "ref1_token_count")
+        }
+    )
     valid = F.col("_m").isNotNull() & F.col("_f").isNotNull() & F.col("_c").isNotNull()
     upside = F.col("_f") > F.col("_c")
     live = valid & ~upside if inverted == "abstain" else valid
@@ -112,7 +121,9 @@ def endpoint(prompt: Column, response: Column, n: int) -> Column:
 def margin_curve(df: DataFrame, target: float = 0.02, step: float = 0.05, steps: int = 41) -> DataFrame:
     """P(m1 < m0 - c) for c = 0, step, ...: one pass with a conditional mean for each c."""
     means = df.agg(*[F.avg((F.col("m1") < F.col("m0") - i * step).cast("double")).alias(f"p{i}") for i in range(steps)])
-    rows = means.select(F.explode(F.array(*[F.struct(F.lit(round(i * step, 6)).alias("c"), F.col(f"p{i}").alias("p")) for i in range(steps)])).alias("x")).select("x.c", "x.p")
+    rows = means.select(
+        F.explode(F.array(*[F.struct(F.lit(round(i * step, 6)).alias("c"), F.col(f"p{i}").alias("p")) for i in range(steps)])).alias("x")
+    ).select("x.c", "x.p")
     return rows.withColumn("chosen", F.col("c") == F.min(F.when(F.col("p") <= target, F.col("c"))).over(W.partitionBy(F.lit(0))))
 
 
@@ -143,7 +154,9 @@ def length_penalty(length: Column, limit: int, buffer: int, factor: float = 1.0)
 
 def is_non_stop(ids: Column, length: Column, limit: int, stops: list[int]) -> Column:
     """The whole budget is used and the last id does not stop; an empty answer is non-stop."""
-    return (length == 0) | (length >= limit) & ~F.coalesce(F.array_contains(F.array(*map(F.lit, stops)), F.try_element_at(ids, F.lit(-1))), F.lit(False))
+    return (length == 0) | (length >= limit) & ~F.coalesce(
+        F.array_contains(F.array(*map(F.lit, stops)), F.try_element_at(ids, F.lit(-1))), F.lit(False)
+    )
 
 
 CLIPPED_MODES = ("use", "zero", "drop")
@@ -181,7 +194,10 @@ def clipped_metrics(df: DataFrame, mode: str, limit: int, mask: str = "response_
     hit = is_clipped(mask, limit)
     n = F.count_if(hit)
     gone = n if _mode(mode) == "drop" else F.lit(0).cast("long")
-    return df.agg(n.alias("count"), (n / F.greatest(F.count("*"), F.lit(1))).alias("ratio"), gone.alias("dropped_count"), (F.count("*") - gone).alias("kept_count"))
+    return df.agg(
+        n.alias("count"), (n / F.greatest(F.count("*"), F.lit(1))).alias("ratio"), gone.alias("dropped_count"),
+        (F.count("*") - gone).alias("kept_count")
+    )
 
 
 def fallback_bonus(df: DataFrame, reward: str, mask: str, bonus: str, constraint: str) -> DataFrame:
@@ -210,7 +226,9 @@ def scoring_rows(df: DataFrame, prefix: str, continuation: str, most_prefix: int
     beginning."""
     p, c = F.col(prefix), F.col(continuation)
     x = df.where((F.size(p) > 0) & (F.size(c) > 0))
-    return x.withColumn(prefix, F.slice(p, F.greatest(F.size(p) - most_prefix, F.lit(0)) + 1, most_prefix)).withColumn(continuation, F.slice(c, 1, most))
+    return x.withColumn(
+        prefix, F.slice(p, F.greatest(F.size(p) - most_prefix, F.lit(0)) + 1, most_prefix)
+    ).withColumn(continuation, F.slice(c, 1, most))
 
 
 def scored_back(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -73,14 +73,19 @@ def tokens(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 
 TOK = """tok AS (SELECT l_orderkey AS row_id, o_custkey AS uid,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) - 1 AS t,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount,
+    l_tax) - 1 AS t,
   CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE) AS r, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m,
   CAST(l_partkey % 11 AS DOUBLE) / 4 AS v, CAST(-(l_partkey % 64) AS DOUBLE) / 32 AS logp, CAST(-(l_suppkey % 64) AS DOUBLE) / 32 AS old_logp,
-  CAST(-((l_partkey + l_suppkey) % 64) AS DOUBLE) / 32 AS rollout_logp, CAST(-(l_partkey * 3 % 64) AS DOUBLE) / 32 AS ref_logp, CAST(l_partkey % 16 AS DOUBLE) / 16 AS q,
+  CAST(-((l_partkey + l_suppkey) % 64) AS DOUBLE) / 32 AS rollout_logp, CAST(-(l_partkey * 3 % 64) AS DOUBLE) / 32 AS ref_logp,
+    CAST(l_partkey % 16 AS DOUBLE) / 16 AS q,
   CAST((l_partkey + l_suppkey) % 9 AS DOUBLE) / 4 - 1 AS adv
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-ARRAYS = {"token_level_rewards": "r", "response_mask": "m", "values": "v", "log_probs": "logp", "old_log_probs": "old_logp", "rollout_log_probs": "rollout_logp", "ref_log_prob": "ref_logp", "sum_pi_squared": "q", "advantages": "adv"}
+ARRAYS = {
+    "token_level_rewards": "r", "response_mask": "m", "values": "v", "log_probs": "logp", "old_log_probs": "old_logp",
+    "rollout_log_probs": "rollout_logp", "ref_log_prob": "ref_logp", "sum_pi_squared": "q", "advantages": "adv"
+}
 
 
 def rollouts(spark: SparkSession, sf: str, *names: str) -> DataFrame:
@@ -91,7 +96,14 @@ def rollouts(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     x = _items(spark, sf, *values).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*ORDER, *values))).alias("_x"))
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"))
     out = o.join(x, "row_id", "left")
-    return out.select("row_id", "uid", *[F.coalesce(F.transform("_x", lambda e: e[ARRAYS[n]]), F.array().cast("array<int>" if n == "response_mask" else "array<double>")).alias(n) for n in names])
+    return out.select(
+        "row_id", "uid",
+        *[
+            F.coalesce(
+                F.transform("_x", lambda e: e[ARRAYS[n]]), F.array().cast("array<int>" if n == "response_mask" else "array<double>")
+            ).alias(n) for n in names
+        ]
+    )
 
 
 ROWS = (

@@ -60,7 +60,8 @@ def opo(spark, sf):
 
 @query(
     f"""WITH {ROWS}, g AS (SELECT *, count(*) {U} AS k FROM rows), e AS (SELECT row_id, n,
-  CASE WHEN row_number() OVER w = 1 THEN (s - lead(s) OVER w) / (stddev_samp(s) {U} + 1e-6) ELSE 0 END AS a FROM g WHERE k > 1 WINDOW w AS (PARTITION BY uid ORDER BY s DESC, row_id))
+  CASE WHEN row_number() OVER w = 1 THEN (s - lead(s) OVER w) / (stddev_samp(s) {U} + 1e-6) ELSE 0 END AS a FROM g
+    WHERE k > 1 WINDOW w AS (PARTITION BY uid ORDER BY s DESC, row_id))
   SELECT row_id, round(a * n, 4) + 0.0 AS adv FROM e"""
 )
 def passk(spark, sf):
@@ -69,7 +70,8 @@ def passk(spark, sf):
 
 
 @query(
-    f"""WITH {ROWS}, a AS (SELECT greatest(1, count(*) FILTER (WHERE s <> 0)) AS z, count(*) AS c FROM rows), e AS (SELECT row_id, n, CAST(c AS DOUBLE) / z * (CASE WHEN count(*) {U} > 1 THEN s - avg(s) {U} ELSE s END) AS a FROM rows, a)
+    f"""WITH {ROWS}, a AS (SELECT greatest(1, count(*) FILTER (WHERE s <> 0)) AS z, count(*) AS c
+    FROM rows), e AS (SELECT row_id, n, CAST(c AS DOUBLE) / z * (CASE WHEN count(*) {U} > 1 THEN s - avg(s) {U} ELSE s END) AS a FROM rows, a)
   SELECT row_id, round(a * n, 4) + 0.0 AS adv FROM e"""
 )
 def gpg(spark, sf):
@@ -77,7 +79,8 @@ def gpg(spark, sf):
 
 
 @query(
-    f"""WITH {ROWS}, b AS (SELECT *, CASE WHEN count(*) {U} > 1 THEN s - avg(s) {U} ELSE s END AS a FROM rows), raw AS (SELECT b.row_id, t, a AS x, m FROM b JOIN tok USING (row_id)), w AS {WHITE}
+    f"""WITH {ROWS}, b AS (SELECT *, CASE WHEN count(*) {U} > 1 THEN s - avg(s) {U} ELSE s END AS a FROM rows), raw AS (SELECT b.row_id, t, a AS x, m FROM b
+    JOIN tok USING (row_id)), w AS {WHITE}
   SELECT row_id, t, round({WHITEN} * m, 5) + 0.0 AS adv FROM raw, w"""
 )
 def reinforce_baseline(spark, sf):
@@ -85,11 +88,14 @@ def reinforce_baseline(spark, sf):
 
 
 def _long(df, places: int = 5):
-    return df.select("row_id", F.posexplode("advantages").alias("t", "a")).select("row_id", F.col("t").cast("long").alias("t"), r6("a", places).alias("adv"))
+    return df.select("row_id", F.posexplode("advantages").alias("t", "a")).select(
+        "row_id", F.col("t").cast("long").alias("t"), r6("a", places).alias("adv")
+    )
 
 
 @query(
-    f"""WITH {TOK}, g AS (SELECT row_id, t, m, sum(r * m) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM tok)
+    f"""WITH {TOK}, g AS (SELECT row_id, t, m, sum(r * m) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x
+    FROM tok)
   SELECT row_id, t, x - (row_id % 5) * m AS adv FROM g"""
 )
 def remax(spark, sf):
@@ -110,8 +116,10 @@ def reinforce_pp(spark, sf):
 
 @query(
     f"""WITH RECURSIVE {TOK}, k AS (SELECT row_id, max(t) AS k FROM tok GROUP BY 1),
-  raw0 AS (SELECT tok.row_id, t, m, CASE WHEN m = 1 THEN r - v ELSE 0 END AS x, CASE WHEN m = 1 THEN v ELSE 0 END AS nv FROM tok JOIN k ON tok.row_id = k.row_id AND t = k.k
-   UNION ALL SELECT tok.row_id, tok.t, tok.m, CASE WHEN tok.m = 1 THEN tok.r + 0.5 * nv - tok.v + 0.25 * raw0.x ELSE raw0.x END, CASE WHEN tok.m = 1 THEN tok.v ELSE nv END FROM raw0 JOIN tok ON tok.row_id = raw0.row_id AND tok.t = raw0.t - 1),
+  raw0 AS (SELECT tok.row_id, t, m, CASE WHEN m = 1 THEN r - v ELSE 0 END AS x, CASE WHEN m = 1 THEN v ELSE 0 END AS nv FROM tok
+    JOIN k ON tok.row_id = k.row_id AND t = k.k
+   UNION ALL SELECT tok.row_id, tok.t, tok.m, CASE WHEN tok.m = 1 THEN tok.r + 0.5 * nv - tok.v + 0.25 * raw0.x ELSE raw0.x END,
+    CASE WHEN tok.m = 1 THEN tok.v ELSE nv END FROM raw0 JOIN tok ON tok.row_id = raw0.row_id AND tok.t = raw0.t - 1),
   raw AS (SELECT * FROM raw0), w AS {WHITE}
   SELECT row_id, t, round({WHITEN} * m, 5) + 0.0 AS adv FROM raw, w"""
 )
@@ -124,11 +132,13 @@ def _baseline_sql(compact: bool) -> str:
     only = "WHERE m = 1" if compact else ""
     some = "WHERE n > 0" if compact else ""
     return f"""WITH {ROWS}, a AS (SELECT row_id, uid, t, m, sum(r * m) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g,
-    sum((1 - 2 * exp(old_logp) + q) * m) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w, {place} AS p FROM tok),
+    sum((1 - 2 * exp(old_logp) + q) * m) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w, {place} AS p
+    FROM tok),
   b AS (SELECT *, sum(g * w * m) OVER (PARTITION BY uid, p) / (sum(w * m) OVER (PARTITION BY uid, p) + 1e-8) AS base FROM a {only}),
   k AS (SELECT uid, n, row_number() OVER (PARTITION BY uid ORDER BY n DESC, row_id) AS k FROM rows {some}),
   u AS (SELECT uid, count(*) AS c, max(n) FILTER (WHERE k = 2) AS second FROM k GROUP BY 1)
-  SELECT tok.row_id, tok.t, round(coalesce(CASE WHEN c < 2 OR p >= second THEN 0 ELSE (g - base) * b.m END, 0), 3) + 0.0 AS adv FROM tok LEFT JOIN (b JOIN u USING (uid)) ON tok.row_id = b.row_id AND tok.t = b.t"""
+  SELECT tok.row_id, tok.t, round(coalesce(CASE WHEN c < 2 OR p >= second THEN 0 ELSE (g - base) * b.m END, 0), 3) + 0.0 AS adv FROM tok LEFT JOIN (b
+    JOIN u USING (uid)) ON tok.row_id = b.row_id AND tok.t = b.t"""
 
 
 def _baseline(spark, sf, compact):
@@ -153,12 +163,16 @@ def tir_otb(spark, sf):
 @query(_baseline_sql(False))
 def otb_arrays(spark, sf):
     """The same from rows of arrays."""
-    return _long(A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "optimal_token_baseline"), 3)
+    return _long(
+        A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "optimal_token_baseline"), 3
+    )
 
 
 @query(_baseline_sql(True))
 def tir_otb_arrays(spark, sf):
-    return _long(A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "tir_optimal_token_baseline"), 3)
+    return _long(
+        A.compute(rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "sum_pi_squared"), "tir_optimal_token_baseline"), 3
+    )
 
 
 @query(
@@ -173,9 +187,11 @@ def gdpo(spark, sf):
 
 
 @query(
-    """WITH x AS (SELECT conv_id % 50 AS uid, conv_id AS session, turn, length(text) % 17 AS score, max(turn) OVER (PARTITION BY conv_id % 50, conv_id) AS last FROM conversations WHERE role <> 'system'),
+    """WITH x AS (SELECT conv_id % 50 AS uid, conv_id AS session, turn, length(text) % 17 AS score, max(turn) OVER (PARTITION BY conv_id % 50,
+    conv_id) AS last FROM conversations WHERE role <> 'system'),
   l AS (SELECT *, CASE WHEN turn = last THEN score END AS x FROM x),
-  g AS (SELECT *, (x - CASE WHEN count(x) OVER (PARTITION BY uid) > 1 THEN avg(x) OVER (PARTITION BY uid) ELSE 0 END) / (CASE WHEN count(x) OVER (PARTITION BY uid) > 1 THEN stddev_samp(x) OVER (PARTITION BY uid) ELSE 1 END + 1e-6) AS a FROM l)
+  g AS (SELECT *, (x - CASE WHEN count(x) OVER (PARTITION BY uid) > 1 THEN avg(x) OVER (PARTITION BY uid) ELSE 0 END) / (CASE
+    WHEN count(x) OVER (PARTITION BY uid) > 1 THEN stddev_samp(x) OVER (PARTITION BY uid) ELSE 1 END + 1e-6) AS a FROM l)
   SELECT session, turn, round(max(a) OVER (PARTITION BY uid, session), 5) + 0.0 AS adv FROM g"""
 )
 def last_turn_broadcast(spark, sf):
@@ -187,11 +203,15 @@ def last_turn_broadcast(spark, sf):
 
 
 @query(
-    f"""WITH {TOK}, k AS (SELECT row_id, sum(greatest(-10, least(10, exp(greatest(-20, least(20, ref_logp - old_logp))) - greatest(-20, least(20, ref_logp - old_logp)) - 1)) * m) AS k, sum(m) AS n, sum(r) AS r FROM tok GROUP BY 1)
-  SELECT o_orderkey AS row_id, round(coalesce(r - 0.5 * k, 0), 6) + 0.0 AS reward, round(coalesce(k, 0) / (coalesce(n, 0) + 1e-8), 6) + 0.0 AS kl FROM orders LEFT JOIN k ON row_id = o_orderkey"""
+    f"""WITH {TOK}, k AS (SELECT row_id, sum(greatest(-10, least(10, exp(greatest(-20, least(20, ref_logp - old_logp))) - greatest(-20, least(20,
+    ref_logp - old_logp)) - 1)) * m) AS k, sum(m) AS n, sum(r) AS r FROM tok GROUP BY 1)
+  SELECT o_orderkey AS row_id, round(coalesce(r - 0.5 * k, 0), 6) + 0.0 AS reward, round(coalesce(k, 0) / (coalesce(n, 0) + 1e-8), 6) + 0.0 AS kl
+    FROM orders LEFT JOIN k ON row_id = o_orderkey"""
 )
 def kl_reward(spark, sf):
-    df = rollouts(spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "ref_log_prob").withColumnRenamed("token_level_rewards", "token_level_scores")
+    df = rollouts(
+        spark, sf, "token_level_rewards", "response_mask", "old_log_probs", "ref_log_prob"
+    ).withColumnRenamed("token_level_rewards", "token_level_scores")
     return A.kl_in_reward(df, 0.5, "low_var_kl").select("row_id", r6(M.array_sum("token_level_rewards")).alias("reward"), r6("mean_kl").alias("kl"))
 
 
@@ -216,7 +236,11 @@ def ppo_clip(spark, sf):
     return _loss(spark, sf, L.vanilla)
 
 
-@query(_mean_sql("CASE WHEN CASE WHEN adv > 0 THEN exp(logp) - exp(old_logp) <= 0.2 ELSE exp(logp) - exp(old_logp) >= -0.2 END THEN -adv * least(" + RATIO + ", 20) ELSE 0 END"))
+@query(
+    _mean_sql(
+        "CASE WHEN CASE WHEN adv > 0 THEN exp(logp) - exp(old_logp) <= 0.2 ELSE exp(logp) - exp(old_logp) >= -0.2 END THEN -adv * least(" + RATIO + ", 20) ELSE 0 END"
+    )
+)
 def dppo_tv(spark, sf):
     return _loss(spark, sf, L.dppo_tv)
 
@@ -224,13 +248,18 @@ def dppo_tv(spark, sf):
 _KLD = "(exp(old_logp) * (old_logp - logp) + (1 - exp(old_logp)) * (ln(greatest(1 - exp(old_logp), 1e-12)) - ln(greatest(1 - exp(logp), 1e-12))))"
 
 
-@query(_mean_sql(f"CASE WHEN CASE WHEN adv > 0 THEN exp(logp) <= exp(old_logp) OR {_KLD} <= 0.05 ELSE exp(logp) >= exp(old_logp) OR {_KLD} <= 0.05 END THEN -adv * least({RATIO}, 20) ELSE 0 END"))
+@query(
+    _mean_sql(
+        f"CASE WHEN CASE WHEN adv > 0 THEN exp(logp) <= exp(old_logp) OR {_KLD} <= 0.05 ELSE exp(logp) >= exp(old_logp) OR {_KLD} <= 0.05 END THEN -adv * least({RATIO}, 20) ELSE 0 END"
+    )
+)
 def dppo_kl(spark, sf):
     return _loss(spark, sf, L.dppo_kl)
 
 
 @query(
-    f"""WITH {TOK}, g AS (SELECT *, exp(least(10, sum((logp - old_logp) * m) OVER (PARTITION BY row_id) / greatest(1, sum(m) OVER (PARTITION BY row_id)))) AS q1 FROM tok)
+    f"""WITH {TOK}, g AS (SELECT *, exp(least(10, sum((logp - old_logp) * m) OVER (PARTITION BY row_id) / greatest(1,
+    sum(m) OVER (PARTITION BY row_id)))) AS q1 FROM tok)
   SELECT round(sum(greatest(-adv * q1, -adv * greatest(0.9, least(1.1, q1))) * m) / sum(m), 6) + 0.0 AS loss FROM g"""
 )
 def gspo(spark, sf):
@@ -253,35 +282,46 @@ def cispo(spark, sf):
 
 
 @query(
-    f"""WITH {TOK}, g AS (SELECT row_id, sum(CASE WHEN sign(adv) > 0 THEN least(logp - old_logp, 0.4) ELSE greatest(logp - old_logp, -0.4) END * m) AS d, sum(adv * m) AS a, sum(m) AS n FROM tok GROUP BY 1)
+    f"""WITH {TOK}, g AS (SELECT row_id, sum(CASE WHEN sign(adv) > 0 THEN least(logp - old_logp, 0.4) ELSE greatest(logp - old_logp, -0.4) END * m) AS d,
+    sum(adv * m) AS a, sum(m) AS n FROM tok GROUP BY 1)
   SELECT round(avg(-exp(d / (n + 1e-8)) * a / (n + 1e-8)), 6) + 0.0 AS loss FROM g"""
 )
 def geo_mean(spark, sf):
     return _loss(spark, sf, L.geo_mean)
 
 
-@query(f"WITH {TOK}, g AS (SELECT sum(-adv * logp * m) AS s, sum(m) AS n FROM tok GROUP BY row_id) SELECT round(avg(s), 6) + 0.0 AS loss FROM g WHERE n > 0")
+@query(
+    f"""WITH {TOK}, g AS (SELECT sum(-adv * logp * m) AS s, sum(m) AS n FROM tok GROUP BY row_id) SELECT round(avg(s), 6) + 0.0 AS loss FROM g WHERE n > 0"""
+)
 def reinforce_loss(spark, sf):
     return _loss(spark, sf, L.reinforce, "seq-mean-token-sum")
 
 
-@query(f"WITH {TOK}, g AS (SELECT sum(-adv * logp * least(exp(greatest(-20, least(20, logp - rollout_logp))), 2) * m) AS s, sum(m) AS n FROM tok GROUP BY row_id) SELECT round(avg(s), 6) + 0.0 AS loss FROM g WHERE n > 0")
+@query(
+    f"""WITH {TOK}, g AS (SELECT sum(-adv * logp * least(exp(greatest(-20, least(20, logp - rollout_logp))), 2) * m) AS s, sum(m) AS n FROM tok
+    GROUP BY row_id) SELECT round(avg(s), 6) + 0.0 AS loss FROM g WHERE n > 0"""
+)
 def bypass_loss(spark, sf):
     return _loss(spark, sf, L.bypass_mode, "seq-mean-token-sum")
 
 
 @query(
-    f"""WITH {TOK}, mu AS (SELECT sum(adv * m) / sum(m) AS a, sum(logp * m) / sum(m) AS l, CAST(floor(0.01 * sum(m)) AS BIGINT) AS k FROM tok), c AS (SELECT tok.*, row_number() OVER (ORDER BY m DESC, (adv - a) * (logp - l) DESC, row_id, t) <= k AS top FROM tok, mu)
-  SELECT round(sum((-adv * {RATIO} + CASE WHEN top THEN abs(greatest(-20, least(20, logp - old_logp))) ELSE 0 END) * m) / sum(m), 5) + 0.0 AS loss FROM c"""
+    f"""WITH {TOK}, mu AS (SELECT sum(adv * m) / sum(m) AS a, sum(logp * m) / sum(m) AS l, CAST(floor(0.01 * sum(m)) AS BIGINT) AS k
+    FROM tok), c AS (SELECT tok.*, row_number() OVER (ORDER BY m DESC, (adv - a) * (logp - l) DESC, row_id, t) <= k AS top FROM tok, mu)
+  SELECT round(sum((-adv * {RATIO} + CASE WHEN top THEN abs(greatest(-20, least(20, logp - old_logp))) ELSE 0 END) * m) / sum(m), 5) + 0.0 AS loss
+    FROM c"""
 )
 def kl_cov(spark, sf):
     return L.agg_loss(L.kl_cov(_loss_tokens(spark, sf), share=0.01)).select(r6("loss", 5).alias("loss"))
 
 
 @query(
-    f"""WITH {TOK}, mu AS (SELECT sum(adv * m) / sum(m) AS a, sum(logp * m) / sum(m) AS l, CAST(floor(0.01 * sum(m)) AS BIGINT) AS k FROM tok), c AS (SELECT tok.*, k, m = 1 AND (adv - a) * (logp - l) > 1 AND (adv - a) * (logp - l) < 5 AS inside FROM tok, mu),
-  o AS (SELECT *, inside AND row_number() OVER (PARTITION BY inside ORDER BY CAST('0x' || substr(md5('0:' || row_id || ':' || t), 1, 8) AS BIGINT), row_id, t) <= k AS off FROM c)
-  SELECT round(sum(CASE WHEN off THEN 0 ELSE greatest(-adv * {RATIO}, -adv * greatest(0.8, least(1.2, {RATIO}))) * m END) / sum(m), 6) + 0.0 AS loss FROM o"""
+    f"""WITH {TOK}, mu AS (SELECT sum(adv * m) / sum(m) AS a, sum(logp * m) / sum(m) AS l, CAST(floor(0.01 * sum(m)) AS BIGINT) AS k
+    FROM tok), c AS (SELECT tok.*, k, m = 1 AND (adv - a) * (logp - l) > 1 AND (adv - a) * (logp - l) < 5 AS inside FROM tok, mu),
+  o AS (SELECT *, inside AND row_number() OVER (PARTITION BY inside ORDER BY CAST('0x' || substr(md5('0:' || row_id || ':' || t), 1, 8) AS BIGINT),
+    row_id, t) <= k AS off FROM c)
+  SELECT round(sum(CASE WHEN off THEN 0 ELSE greatest(-adv * {RATIO}, -adv * greatest(0.8, least(1.2, {RATIO}))) * m END) / sum(m), 6) + 0.0 AS loss
+    FROM o"""
 )
 def clip_cov(spark, sf):
     return _loss(spark, sf, L.clip_cov, share=0.01)
@@ -291,7 +331,10 @@ def _agg_sql(outer: str) -> str:
     return f"WITH {TOK}, g AS (SELECT sum(v * m) AS s, sum(m) AS n FROM tok GROUP BY row_id) SELECT round({outer}, 6) + 0.0 AS loss FROM g WHERE n > 0"
 
 
-for _name, _mode, _outer in (("agg_token_mean", "token-mean", "sum(s) / sum(n)"), ("agg_seq_sum", "seq-mean-token-sum", "avg(s)"), ("agg_seq_sum_norm", "seq-mean-token-sum-norm", "sum(s) / 64"), ("agg_seq_mean", "seq-mean-token-mean", "avg(s / (n + 1e-8))")):
+for _name, _mode, _outer in (
+    ("agg_token_mean", "token-mean", "sum(s) / sum(n)"), ("agg_seq_sum", "seq-mean-token-sum", "avg(s)"),
+    ("agg_seq_sum_norm", "seq-mean-token-sum-norm", "sum(s) / 64"), ("agg_seq_mean", "seq-mean-token-mean", "avg(s / (n + 1e-8))")
+):
 
     def _agg(spark, sf, mode=_mode):
         return L.agg_loss(_loss_tokens(spark, sf), "v", mode, 64).select(r6("loss").alias("loss"))
@@ -299,7 +342,9 @@ for _name, _mode, _outer in (("agg_token_mean", "token-mean", "sum(s) / sum(n)")
     query(_agg_sql(_outer), name=_name)(_agg)
 
 
-@query(f"WITH {TOK} SELECT round(sum(0.5 * greatest((q - v) ** 2, (greatest(v - 0.5, least(v + 0.5, q)) - adv) ** 2) * m) / sum(m), 6) + 0.0 AS loss FROM tok".replace("(q - v) ** 2", "(q - adv) ** 2"))
+@query(
+    f"WITH {TOK} SELECT round(sum(0.5 * greatest((q - v) ** 2, (greatest(v - 0.5, least(v + 0.5, q)) - adv) ** 2) * m) / sum(m), 6) + 0.0 AS loss FROM tok".replace("(q - v) ** 2", "(q - adv) ** 2")
+)
 def value_loss(spark, sf):
     df = _loss_tokens(spark, sf).withColumns({"vpred": F.col("q"), "value": F.col("v"), "ret": F.col("adv")})
     return L.agg_loss(L.value_loss(df)).select(r6("loss").alias("loss"))
@@ -325,7 +370,9 @@ _D = "(old_logp - rollout_logp) * m"
 
 
 def _weights(spark, sf, **k):
-    return O.importance_weights(rollouts(spark, sf, "old_log_probs", "rollout_log_probs", "response_mask"), **k).select("row_id", r6(M.array_sum("is_weights")).alias("w"))
+    return O.importance_weights(
+        rollouts(spark, sf, "old_log_probs", "rollout_log_probs", "response_mask"), **k
+    ).select("row_id", r6(M.array_sum("is_weights")).alias("w"))
 
 
 def _weight_sql(w: str) -> str:
@@ -376,18 +423,24 @@ def rs_combined(spark, sf):
 
 
 @query(
-    f"""WITH {TOK}, g AS (SELECT sum(m) AS n, sum({_D}) AS d, sum(old_logp * m) AS lo, sum(rollout_logp * m) AS lr, sum((exp({_D}) - 1 - {_D}) * m) AS k3, sum(exp(2 * {_D}) * m) AS w2 FROM tok GROUP BY row_id HAVING sum(m) > 0), h AS (SELECT *, lo / n AS mo, lr / n AS mr FROM g)
-  SELECT round(avg(exp(-mo)), 5) AS training_ppl, round(avg(exp(-mr)), 5) AS rollout_ppl, round(-sum(d) / sum(n), 6) + 0.0 AS kl, round(sum(k3) / sum(n), 6) + 0.0 AS k3_kl, round(avg(exp(mr - mo)), 5) AS ppl_ratio, round(max(mr - mo), 6) AS log_ppl_diff_max,
+    f"""WITH {TOK}, g AS (SELECT sum(m) AS n, sum({_D}) AS d, sum(old_logp * m) AS lo, sum(rollout_logp * m) AS lr, sum((exp({_D}) - 1 - {_D}) * m) AS k3,
+    sum(exp(2 * {_D}) * m) AS w2 FROM tok GROUP BY row_id HAVING sum(m) > 0), h AS (SELECT *, lo / n AS mo, lr / n AS mr FROM g)
+  SELECT round(avg(exp(-mo)), 5) AS training_ppl, round(avg(exp(-mr)), 5) AS rollout_ppl, round(-sum(d) / sum(n), 6) + 0.0 AS kl,
+    round(sum(k3) / sum(n), 6) + 0.0 AS k3_kl, round(avg(exp(mr - mo)), 5) AS ppl_ratio, round(max(mr - mo), 6) AS log_ppl_diff_max,
    round(sum(w2) / sum(n) - 1, 5) + 0.0 AS chi2_token FROM h"""
 )
 def offpolicy(spark, sf):
     m = O.offpolicy_metrics(rollouts(spark, sf, "old_log_probs", "rollout_log_probs", "response_mask"))
-    return m.select(r6("training_ppl", 5).alias("training_ppl"), r6("rollout_ppl", 5).alias("rollout_ppl"), r6("kl").alias("kl"), r6("k3_kl").alias("k3_kl"), r6("ppl_ratio", 5).alias("ppl_ratio"), r6("log_ppl_diff_max").alias("log_ppl_diff_max"), r6("chi2_token", 5).alias("chi2_token"))
+    return m.select(
+        r6("training_ppl", 5).alias("training_ppl"), r6("rollout_ppl", 5).alias("rollout_ppl"), r6("kl").alias("kl"), r6("k3_kl").alias("k3_kl"),
+        r6("ppl_ratio", 5).alias("ppl_ratio"), r6("log_ppl_diff_max").alias("log_ppl_diff_max"), r6("chi2_token", 5).alias("chi2_token")
+    )
 
 
 @query(
     f"""WITH {TOK}, w AS (SELECT least(2, exp({_D})) AS w FROM tok WHERE m = 1)
-  SELECT round(avg(w), 6) AS mean, round(max(w), 6) AS max, round(min(w), 6) AS min, round(avg(CASE WHEN w < 0.5 THEN 1.0 ELSE 0 END), 6) AS share_low, round(avg(w) * avg(w) / avg(w * w), 6) AS ess FROM w"""
+  SELECT round(avg(w), 6) AS mean, round(max(w), 6) AS max, round(min(w), 6) AS min, round(avg(CASE WHEN w < 0.5 THEN 1.0 ELSE 0 END),
+    6) AS share_low, round(avg(w) * avg(w) / avg(w * w), 6) AS ess FROM w"""
 )
 def is_metrics(spark, sf):
     df = O.importance_weights(rollouts(spark, sf, "old_log_probs", "rollout_log_probs", "response_mask"))
@@ -396,7 +449,8 @@ def is_metrics(spark, sf):
 
 @query(
     f"""WITH {TOK}, x AS (SELECT exp(old_logp) AS a, exp(rollout_logp) AS b FROM tok WHERE m = 1)
-  SELECT round(max(abs(a - b)), 6) AS max, round(avg(abs(a - b)), 6) AS mean, round(stddev_samp(abs(a - b)), 6) AS std, round(corr(a, b), 5) + 0.0 AS pearson FROM x"""
+  SELECT round(max(abs(a - b)), 6) AS max, round(avg(abs(a - b)), 6) AS mean, round(stddev_samp(abs(a - b)), 6) AS std, round(corr(a, b),
+    5) + 0.0 AS pearson FROM x"""
 )
 def debug_probs(spark, sf):
     from quillstream.operators.metrics import debug_probabilities
@@ -406,20 +460,28 @@ def debug_probs(spark, sf):
 
 
 @query(
-    """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), e AS (SELECT vec_id, z, list_max(z) AS mx FROM z),
-  p AS (SELECT vec_id, z, mx, list_sum(list_transform(z, lambda x: exp(x - mx))) AS s, list_sum(list_transform(z, lambda x: exp(x - mx) * x)) AS zx, list_sum(list_transform(z, lambda x: exp(2 * (x - mx)))) AS s2 FROM e)
-  SELECT vec_id, round(mx + ln(s) - zx / s, 5) AS entropy, round(s2 / (s * s), 5) AS sum_pi_squared, round(z[1] - mx - ln(s), 5) + 0.0 AS log_prob FROM p"""
+    """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), e AS (SELECT vec_id, z, list_max(z) AS mx
+    FROM z),
+  p AS (SELECT vec_id, z, mx, list_sum(list_transform(z, lambda x: exp(x - mx))) AS s, list_sum(list_transform(z, lambda x: exp(x - mx) * x)) AS zx,
+    list_sum(list_transform(z, lambda x: exp(2 * (x - mx)))) AS s2 FROM e)
+  SELECT vec_id, round(mx + ln(s) - zx / s, 5) AS entropy, round(s2 / (s * s), 5) AS sum_pi_squared, round(z[1] - mx - ln(s), 5) + 0.0 AS log_prob
+    FROM p"""
 )
 def logits_entropy(spark, sf):
     from quillstream.plans.base import read
 
     e = read(spark, sf, "embeddings").withColumn("label0", F.lit(0))
-    return e.select("vec_id", r6(M.entropy("embedding"), 5).alias("entropy"), r6(M.sum_pi_squared("embedding"), 5).alias("sum_pi_squared"), r6(M.log_prob("embedding", "label0"), 5).alias("log_prob"))
+    return e.select(
+        "vec_id", r6(M.entropy("embedding"), 5).alias("entropy"), r6(M.sum_pi_squared("embedding"), 5).alias("sum_pi_squared"),
+        r6(M.log_prob("embedding", "label0"), 5).alias("log_prob")
+    )
 
 
 @query(
-    """WITH x AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings), t AS (SELECT vec_id, i, -CAST(i % 8 AS DOUBLE) - 1 AS p FROM x WHERE i < 8), s AS (SELECT vec_id, i, -CAST(i % 5 AS DOUBLE) - 1 AS q FROM x WHERE i BETWEEN 4 AND 11),
-  j AS (SELECT t.vec_id, exp(p) * (p - coalesce(q, -5.0)) AS k FROM t LEFT JOIN s ON t.vec_id = s.vec_id AND t.i = s.i) SELECT vec_id, round(greatest(0, sum(k)), 6) AS kl FROM j GROUP BY 1"""
+    """WITH x AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings), t AS (SELECT vec_id, i, -CAST(i % 8 AS DOUBLE) - 1 AS p
+    FROM x WHERE i < 8), s AS (SELECT vec_id, i, -CAST(i % 5 AS DOUBLE) - 1 AS q FROM x WHERE i BETWEEN 4 AND 11),
+  j AS (SELECT t.vec_id, exp(p) * (p - coalesce(q, -5.0)) AS k FROM t LEFT JOIN s ON t.vec_id = s.vec_id AND t.i = s.i)
+    SELECT vec_id, round(greatest(0, sum(k)), 6) AS kl FROM j GROUP BY 1"""
 )
 def topk_kl(spark, sf):
     from quillstream.plans.base import read
@@ -432,7 +494,9 @@ def topk_kl(spark, sf):
 
 @query(
     f"""WITH {TOK}, x AS (SELECT m, q AS vpred, greatest(v - 0.5, least(v + 0.5, q)) AS c, adv AS ret FROM tok)
-  SELECT round(sum(0.5 * greatest((vpred - ret) ** 2, (c - ret) ** 2) * m) / sum(m), 6) + 0.0 AS loss, round(sum(CASE WHEN (c - ret) ** 2 > (vpred - ret) ** 2 THEN m ELSE 0 END) / sum(m), 6) + 0.0 AS clip_fraction, round(sum(vpred * m) / sum(m), 6) + 0.0 AS value_mean FROM x"""
+  SELECT round(sum(0.5 * greatest((vpred - ret) ** 2, (c - ret) ** 2) * m) / sum(m), 6) + 0.0 AS loss,
+    round(sum(CASE WHEN (c - ret) ** 2 > (vpred - ret) ** 2 THEN m ELSE 0 END) / sum(m), 6) + 0.0 AS clip_fraction, round(sum(vpred * m) / sum(m),
+    6) + 0.0 AS value_mean FROM x"""
 )
 def value_composite(spark, sf):
     df = _loss_tokens(spark, sf).withColumns({"vpred": F.col("q"), "value": F.col("v"), "ret": F.col("adv")})

@@ -43,7 +43,11 @@ def stream_windowed_counts(spark, sf):
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", r6("total", 4).alias("total"))
 
 
-@query("WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l) SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS events FROM g GROUP BY 1")
+@query(
+    """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s
+    FROM events), g AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l)
+    SELECT user_id, count(DISTINCT k) AS sessions, count(*) AS events FROM g GROUP BY 1"""
+)
 def stream_sessions(spark, sf):
     """Sessions of each user, ended by half an hour without events."""
     out = drained(Q.sessions(stream(spark, sf, "events")), "complete")

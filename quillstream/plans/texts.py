@@ -34,8 +34,12 @@ def frame(spark, rows: list[tuple], schema: str):
 
 #: text, truth -> math, equal, geometry
 BOXED = [
-    ("thus \\boxed{\\frac{1}{2}}", "\\frac12", 1.0, 1.0, 0.9), ("thus \\boxed{\\frac{1}{2}}", "0.5", 1.0, 1.0, 0.9), ("<think>a</think> \\boxed{7}", "7", 1.0, 1.0, 1.0), ("\\boxed{3} then \\boxed{4}", "4", 1.0, 1.0, 0.9),
-    ("\\boxed{\\sqrt3}", "\\sqrt{3}", 1.0, 0.0, 0.9), ("no box, the answer is 12", "12", 0.0, 1.0, 0.0), ("\\boxed{12", "12", 0.0, 0.0, 0.0), ("\\boxed{(1, 2)}", "(1,2)", 1.0, 1.0, 0.9), ("\\boxed{1,000}", "1000", 0.0, 1.0, 0.0),
+    (
+        "thus \\boxed{\\frac{1}{2}}", "\\frac12", 1.0, 1.0, 0.9
+    ), ("thus \\boxed{\\frac{1}{2}}", "0.5", 1.0, 1.0, 0.9), ("<think>a</think> \\boxed{7}", "7", 1.0, 1.0, 1.0), ("\\boxed{3} then \\boxed{4}", "4", 1.0, 1.0, 0.9),
+    ("\\boxed{\\sqrt3}", "\\sqrt{3}", 1.0, 0.0, 0.9), (
+        "no box, the answer is 12", "12", 0.0, 1.0, 0.0
+    ), ("\\boxed{12", "12", 0.0, 0.0, 0.0), ("\\boxed{(1, 2)}", "(1,2)", 1.0, 1.0, 0.9), ("\\boxed{1,000}", "1000", 0.0, 1.0, 0.0),
     ("\\boxed{50\\%}", "50", 1.0, 0.0, 0.9), ("\\boxed{x}", "y", 0.0, 0.0, 0.0), ("\\fbox{a}", "a", 1.0, 1.0, 0.9), ("\\boxed 5$", "5", 1.0, 1.0, 0.9), ("\\boxed{\\{1}", "x", 0.0, 0.0, 0.0), (None, "1", 0.0, 0.0, 0.0),
 ]
 
@@ -44,7 +48,10 @@ BOXED = [
 def grade_boxed(spark, sf):
     t, g = F.col("t"), F.col("g")
     x = frame(spark, [r[:2] for r in BOXED], "t string, g string")
-    return x.select(F.col("id").cast("int").alias("id"), G.grade_math(t, g).alias("math"), F.coalesce(G.grade_equal(t, g), F.lit(0.0)).alias("equal"), r6(F.coalesce(G.grade_geometry(t, g), F.lit(0.0))).alias("geometry"))
+    return x.select(
+        F.col("id").cast("int").alias("id"), G.grade_math(t, g).alias("math"), F.coalesce(G.grade_equal(t, g), F.lit(0.0)).alias("equal"),
+        r6(F.coalesce(G.grade_geometry(t, g), F.lit(0.0))).alias("geometry")
+    )
 
 
 def call(*calls: str) -> str:
@@ -55,7 +62,9 @@ A, B, A2 = '{"name": "f", "parameters": {"a": 1, "b": 2}}', '{"name": "g", "para
 #: answer, truth -> similarity, format, correctness
 TOOLS = [
     (call(A), call(A), 1.0, 1.0, 3.0), (call(A2), call(A), 0.75, 1.0, 1.5), (call(B), call(A), 0.0, 1.0, -3.0), (call(A, B), call(A), 0.875, 1.0, 2.25), (call(A), call(A, B), 0.7, 1.0, 1.2), ("nothing", call(A), 0.0, 0.0, -3.0),
-    ("<think>x</think>\n<response>hi</response>", "<response>ho</response>", 1.0, 1.0, 0.0), ("<response>hi</response>", "<response>ho</response>", 1.0, 0.0, 0.0), (call(A) + "\n<response>ok</response>", call(A) + "\n<response>y</response>", 1.0, 1.0, 3.0),
+    ("<think>x</think>\n<response>hi</response>", "<response>ho</response>", 1.0, 1.0, 0.0), ("<response>hi</response>", "<response>ho</response>", 1.0, 0.0, 0.0), (
+        call(A) + "\n<response>ok</response>", call(A) + "\n<response>y</response>", 1.0, 1.0, 3.0
+    ),
     ("<think>x</think>", "plain", 1.0, 1.0, 0.0), (call("not json"), call(A), 0.0, 1.0, -3.0),
 ]
 
@@ -64,15 +73,26 @@ TOOLS = [
 def tool_similarity(spark, sf):
     t, g = F.col("t"), F.col("g")
     total = G.tool_total(t, g)
-    return frame(spark, [r[:2] for r in TOOLS], "t string, g string").select(F.col("id").cast("int").alias("id"), r6(G.tool_score(t, g)).alias("similarity"), total["format"].alias("format"), r6(total["correctness"]).alias("correctness"), r6(total["score"]).alias("total"))
+    return frame(spark, [r[:2] for r in TOOLS], "t string, g string").select(
+        F.col("id").cast("int").alias("id"), r6(G.tool_score(t, g)).alias("similarity"), total["format"].alias("format"),
+        r6(total["correctness"]).alias("correctness"), r6(total["score"]).alias("total")
+    )
 
 
 #: text -> without commas, integer, mixed, normal, may be read, interval
 EXPRESSIONS = [
-    ("1,234,567", "1234567", 1234567, "1,234,567", "1234567", True, "1,234,567"), ("(1,2)", "(1,2)", None, "(1,2)", "(1,2)", True, "(1,2)"), ("7 3/4", "7 3/4", None, "7+3/4", "7+3/4", True, "7 3/4"), ("3.0", "3.0", 3, "3.0", "3", True, "3.0"),
-    ("\\text{Blue}", "\\text{Blue}", None, "\\text{Blue}", "blue", False, "\\text{Blue}"), ("5 meters", "5 meters", None, "5 meters", "5", False, "5 meters"), ("2^{3}", "2^{3}", None, "2^{3}", "2^{3}", False, "2^{3}"), ("x+y", "x+y", None, "x+y", "x+y", True, "x+y"),
-    ("Interval.open(1, 2)", "Interval.open(1, 2)", None, "Interval.open(1, 2)", "interval.open(1, 2)", False, "(1, 2)"), ("Interval(0, 1)", "Interval(0, 1)", None, "Interval(0, 1)", "interval(0, 1)", False, "[0, 1]"), ("50%", "50%", None, "50%", "50", True, "50%"),
-    ("Interval.Ropen(a, b)", "Interval.Ropen(a, b)", None, "Interval.Ropen(a, b)", "interval.ropen(a, b)", False, "[a, b)"), ("{8}", "{8}", None, "{8}", "8", True, "{8}"), ("3 million", "3 million", None, "3 million", "3 *10^6", False, "3 million"),
+    (
+        "1,234,567", "1234567", 1234567, "1,234,567", "1234567", True, "1,234,567"
+    ), ("(1,2)", "(1,2)", None, "(1,2)", "(1,2)", True, "(1,2)"), ("7 3/4", "7 3/4", None, "7+3/4", "7+3/4", True, "7 3/4"), ("3.0", "3.0", 3, "3.0", "3", True, "3.0"),
+    (
+        "\\text{Blue}", "\\text{Blue}", None, "\\text{Blue}", "blue", False, "\\text{Blue}"
+    ), ("5 meters", "5 meters", None, "5 meters", "5", False, "5 meters"), ("2^{3}", "2^{3}", None, "2^{3}", "2^{3}", False, "2^{3}"), ("x+y", "x+y", None, "x+y", "x+y", True, "x+y"),
+    (
+        "Interval.open(1, 2)", "Interval.open(1, 2)", None, "Interval.open(1, 2)", "interval.open(1, 2)", False, "(1, 2)"
+    ), ("Interval(0, 1)", "Interval(0, 1)", None, "Interval(0, 1)", "interval(0, 1)", False, "[0, 1]"), ("50%", "50%", None, "50%", "50", True, "50%"),
+    (
+        "Interval.Ropen(a, b)", "Interval.Ropen(a, b)", None, "Interval.Ropen(a, b)", "interval.ropen(a, b)", False, "[a, b)"
+    ), ("{8}", "{8}", None, "{8}", "8", True, "{8}"), ("3 million", "3 million", None, "3 million", "3 *10^6", False, "3 million"),
 ]
 
 
@@ -80,13 +100,20 @@ EXPRESSIONS = [
 def expressions(spark, sf):
     t = F.col("t")
     x = frame(spark, [r[:1] for r in EXPRESSIONS], "t string")
-    return x.select(F.col("id").cast("int").alias("id"), G.plain_commas(t).alias("commas"), G.whole_number(t).cast("int").alias("whole"), G.mixed_number(t).alias("mixed"), G.normal_expression(t).alias("normal"), G.may_be_read(t).alias("readable"), G.interval(t).alias("brackets"))
+    return x.select(
+        F.col("id").cast("int").alias("id"), G.plain_commas(t).alias("commas"), G.whole_number(t).cast("int").alias("whole"),
+        G.mixed_number(t).alias("mixed"), G.normal_expression(t).alias("normal"), G.may_be_read(t).alias("readable"), G.interval(t).alias("brackets")
+    )
 
 
 #: text -> matched, answer; score, accuracy and prediction of the answer line against 12
 STATED = [
-    ("So the answer is 12. Thanks", True, "12", -1.0, False, "[INVALID]"), ("x\nAnswer: 12", True, "12", 1.0, True, "12"), ("Answer: 13\nAnswer: $12$", True, "$12$", 1.0, True, "12"), ("we get 7", True, "7", -1.0, False, "[INVALID]"), ("nothing here", False, "nothing here", -1.0, False, "[INVALID]"),
-    ("12 is the answer", True, "12", -1.0, False, "[INVALID]"), ("\\boxed{9}", True, "\\boxed{9}", -1.0, False, "[INVALID]"), ("answer: 1,200 dollars", True, "1,200 dollars", -1.0, False, "1200"),
+    (
+        "So the answer is 12. Thanks", True, "12", -1.0, False, "[INVALID]"
+    ), ("x\nAnswer: 12", True, "12", 1.0, True, "12"), ("Answer: 13\nAnswer: $12$", True, "$12$", 1.0, True, "12"), ("we get 7", True, "7", -1.0, False, "[INVALID]"), ("nothing here", False, "nothing here", -1.0, False, "[INVALID]"),
+    ("12 is the answer", True, "12", -1.0, False, "[INVALID]"), ("\\boxed{9}", True, "\\boxed{9}", -1.0, False, "[INVALID]"), (
+        "answer: 1,200 dollars", True, "1,200 dollars", -1.0, False, "1200"
+    ),
 ]
 
 
@@ -94,7 +121,10 @@ STATED = [
 def stated_answers(spark, sf):
     t = F.col("t")
     s, line = G.stated_answer(t), G.grade_answer_line(t, F.lit("12"))
-    return frame(spark, [r[:1] for r in STATED], "t string").select(F.col("id").cast("int").alias("id"), s["matched"].alias("matched"), s["answer"].alias("answer"), line["score"].alias("score"), line["acc"].alias("acc"), line["pred"].alias("pred"))
+    return frame(spark, [r[:1] for r in STATED], "t string").select(
+        F.col("id").cast("int").alias("id"), s["matched"].alias("matched"), s["answer"].alias("answer"), line["score"].alias("score"),
+        line["acc"].alias("acc"), line["pred"].alias("pred")
+    )
 
 
 BRACES = 'hi <|tool_call>call:f{a:1,b:<|"|>x, y<|"|>,c:null}<tool_call|> bye'
@@ -102,22 +132,37 @@ BRACES = 'hi <|tool_call>call:f{a:1,b:<|"|>x, y<|"|>,c:null}<tool_call|> bye'
 
 @query(
     """SELECT conv_id, turn, 'hi ' AS content, 1::BIGINT AS calls, 'f' AS name, CAST(conv_id AS VARCHAR) AS a, role AS b, turn::VARCHAR || ' ' AS tail,
-    CASE WHEN turn % 2 = 0 THEN 'get' END AS channel, CASE WHEN turn % 2 = 0 THEN 'p' || conv_id END AS parameter, list_value(7, 8, 9)[conv_id % 3 + 1:]::VARCHAR AS after_blank, len(regexp_replace(text, '\\s+$', '')) = len(text) AS plain FROM conversations"""
+    CASE WHEN turn % 2 = 0 THEN 'get' END AS channel, CASE WHEN turn % 2 = 0 THEN 'p' || conv_id END AS parameter, list_value(7, 8,
+    9)[conv_id % 3 + 1:]::VARCHAR AS after_blank, len(regexp_replace(text, '\\s+$', '')) = len(text) AS plain FROM conversations"""
 )
 def call_formats(spark, sf):
     """Calls in braces, in channels and in XML, and ids from the first that is not blank."""
     c = read(spark, sf, "conversations")
-    text = F.concat(F.lit("hi <|tool_call>call:f{a:"), F.col("conv_id").cast("string"), F.lit(',b:<|"|>'), F.col("role"), F.lit('<|"|>,c:null}<tool_call|>'))
+    text = F.concat(
+        F.lit("hi <|tool_call>call:f{a:"), F.col("conv_id").cast("string"), F.lit(',b:<|"|>'), F.col("role"), F.lit('<|"|>,c:null}<tool_call|>')
+    )
     x = c.withColumn("x", Y.brace_calls(text))
     even = F.col("turn") % 2 == 0
-    channel = F.concat(F.lit("<|channel|>analysis<|message|>no<|end|><|channel|>commentary to=functions.get <|message|>"), F.when(even, F.lit('{"k": 1}')).otherwise("{bad"), F.lit("<|call|>"))
-    xml = F.concat(F.when(even, "<function=f><parameter=k>").otherwise("<function f>"), F.lit("p"), F.col("conv_id").cast("string"), F.lit("</parameter></function>"))
+    channel = F.concat(
+        F.lit("<|channel|>analysis<|message|>no<|end|><|channel|>commentary to=functions.get <|message|>"),
+        F.when(even, F.lit('{"k": 1}')).otherwise("{bad"), F.lit("<|call|>")
+    )
+    xml = F.concat(
+        F.when(even, "<function=f><parameter=k>").otherwise("<function f>"), F.lit("p"), F.col("conv_id").cast("string"),
+        F.lit("</parameter></function>")
+    )
     x = x.withColumns({"ch": Y.channel_calls(channel), "xm": Y.xml_calls(xml)})
     one = F.get("x.calls", 0)
-    ids = Y.skip_blank(F.array(*map(F.lit, (7, 8, 9))), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < F.col("conv_id") % 3, " ").otherwise("a")))
+    ids = Y.skip_blank(
+        F.array(*map(F.lit, (7, 8, 9))), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < F.col("conv_id") % 3, " ").otherwise("a"))
+    )
     return x.select(
-        "conv_id", "turn", F.col("x.content").alias("content"), F.size("x.calls").cast("long").alias("calls"), one["name"].alias("name"), one["arguments"]["a"].alias("a"), one["arguments"]["b"].alias("b"), F.concat(F.col("turn").cast("string"), F.lit(" ")).alias("tail"),
-        F.get("ch.calls", 0)["name"].alias("channel"), F.get("xm.calls", 0)["arguments"]["k"].alias("parameter"), F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("after_blank"), (F.length(F.regexp_replace("text", r"\s+$", "")) == F.length("text")).alias("plain"),
+        "conv_id", "turn", F.col("x.content").alias("content"), F.size("x.calls").cast("long").alias("calls"), one["name"].alias("name"), one["arguments"]["a"].alias("a"), one["arguments"]["b"].alias("b"), F.concat(
+            F.col("turn").cast("string"), F.lit(" ")
+        ).alias("tail"),
+        F.get("ch.calls", 0)["name"].alias("channel"), F.get("xm.calls", 0)["arguments"]["k"].alias("parameter"), F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("after_blank"), (
+            F.length(F.regexp_replace("text", r"\s+$", "")) == F.length("text")
+        ).alias("plain"),
     )
 
 
@@ -126,14 +171,20 @@ CHAT = "string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' ||
 
 
 def _chats(spark, sf):
-    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")
+    )
     return c.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, role, text, {WORD_IDS.format(t="'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)")} AS ids FROM conversations),
-    c AS (SELECT conv_id, {CHAT} AS chat, sum(len(ids)) AS n, sum(CASE WHEN role = 'assistant' THEN len(ids) - 1 ELSE 0 END) AS loss, flatten(list(ids ORDER BY turn)) AS ids, string_agg(CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS sys FROM t GROUP BY 1)
-    SELECT conv_id, CAST(n AS BIGINT) AS tokens, CAST(loss AS BIGINT) AS loss_tokens, CAST(list_sum(list_transform(ids, lambda x, i: x * i)) AS BIGINT) AS dot, true AS sane, md5(chat || '<|im_start|>assistant' || chr(10)) AS chat,
+    f"""WITH t AS (SELECT conv_id, turn, role, text, {WORD_IDS.format(t="'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)")} AS ids
+    FROM conversations),
+    c AS (SELECT conv_id, {CHAT} AS chat, sum(len(ids)) AS n, sum(CASE WHEN role = 'assistant' THEN len(ids) - 1 ELSE 0 END) AS loss, flatten(list(ids
+    ORDER BY turn)) AS ids, string_agg(CASE WHEN role = 'system' THEN '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, ''
+    ORDER BY turn) AS sys FROM t GROUP BY 1)
+    SELECT conv_id, CAST(n AS BIGINT) AS tokens, CAST(loss AS BIGINT) AS loss_tokens, CAST(list_sum(list_transform(ids, lambda x,
+    i: x * i)) AS BIGINT) AS dot, true AS sane, md5(chat || '<|im_start|>assistant' || chr(10)) AS chat,
       md5(chat || '<|im_start|>assistant' || chr(10) || 'ok<|im_end|>' || chr(10)) AS judged, md5(coalesce(sys, '')) AS prefix FROM c"""
 )
 def sft_rows(spark, sf):
@@ -141,15 +192,21 @@ def sft_rows(spark, sf):
     x = _chats(spark, sf).withColumn("r", Y.sft_row(F.col("messages"), 1000))
     dot = F.aggregate(F.transform("r.input_ids", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
     return x.select(
-        "conv_id", F.size("r.input_ids").cast("long").alias("tokens"), F.aggregate("r.loss_mask", F.lit(0).cast("long"), lambda s, v: s + v).alias("loss_tokens"), dot.alias("dot"), F.col("r.sane").alias("sane"), F.md5(Y.render_chat(F.col("messages"), True)).alias("chat"),
+        "conv_id", F.size("r.input_ids").cast("long").alias("tokens"), F.aggregate(
+            "r.loss_mask", F.lit(0).cast("long"), lambda s, v: s + v
+        ).alias("loss_tokens"), dot.alias("dot"), F.col("r.sane").alias("sane"), F.md5(Y.render_chat(F.col("messages"), True)).alias("chat"),
         F.md5(Y.render_chat(Y.with_answer(F.col("messages"), F.lit("ok")))).alias("judged"), F.md5(Y.system_prefix(F.col("messages"))).alias("prefix"),
     )
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {WORD_IDS.format(t="text")} AS ids FROM documents WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN len(ids) > 8 THEN ids[len(ids) - 7:] ELSE ids END AS c, list_concat(ids[1:2], ids[3:4], [1]) AS ch, list_concat(ids[1:2], ids[5:9], [1]) AS rj FROM d)
-    SELECT doc_id, CAST(list_sum(list_transform(list_concat(list_transform(range(greatest(0, 8 - len(c))), lambda x: 0), c), lambda x, i: x * i)) AS BIGINT) AS ids, len(c) AS attended,
-      CAST(list_sum(list_transform(ch[1:6], lambda x, i: x * i)) AS BIGINT) AS chosen, CAST(list_sum(list_transform(rj[1:6], lambda x, i: x * i)) AS BIGINT) AS rejected FROM k"""
+    f"""WITH d AS (SELECT doc_id, {WORD_IDS.format(t="text")} AS ids FROM documents
+    WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN len(ids) > 8 THEN ids[len(ids) - 7:] ELSE ids END AS c, list_concat(ids[1:2], ids[3:4],
+    [1]) AS ch, list_concat(ids[1:2], ids[5:9], [1]) AS rj FROM d)
+    SELECT doc_id, CAST(list_sum(list_transform(list_concat(list_transform(range(greatest(0, 8 - len(c))), lambda x: 0), c), lambda x,
+    i: x * i)) AS BIGINT) AS ids, len(c) AS attended,
+      CAST(list_sum(list_transform(ch[1:6], lambda x, i: x * i)) AS BIGINT) AS chosen, CAST(list_sum(list_transform(rj[1:6], lambda x,
+    i: x * i)) AS BIGINT) AS rejected FROM k"""
 )
 def encoded_rows(spark, sf):
     """Texts as ids of one width, cut on the left; preference pairs, cut or padded on the right."""
@@ -157,17 +214,24 @@ def encoded_rows(spark, sf):
     x = d.withColumn("e", Y.encoded(F.col("text"), 8, 1000, side="left")).withColumn("w", Y.word_ids(F.col("text"), 1000))
     x = x.withColumn("p", J.preference_rows(F.slice("w", 1, 2), F.slice("w", 3, 2), F.slice("w", 5, 5), 1, 6))
     dot = lambda a: F.aggregate(F.transform(a, lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
-    return x.select("doc_id", dot("e.input_ids").alias("ids"), M.mask_count("e.attention_mask").alias("attended"), dot(F.col("p")[0]).alias("chosen"), dot(F.col("p")[1]).alias("rejected"))
+    return x.select(
+        "doc_id", dot("e.input_ids").alias("ids"), M.mask_count("e.attention_mask").alias("attended"), dot(F.col("p")[0]).alias("chosen"),
+        dot(F.col("p")[1]).alias("rejected")
+    )
 
 
 @query(
     """WITH d AS (SELECT doc_id, lang, split_part(text, ' ', 1) AS w, split_part(text, ' ', 2) AS v FROM documents WHERE split_part(text, ' ', 2) <> '')
-    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 3 END AS parts, 1 AS images, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS videos, 'see ' || w || ' and ' || v AS plain, w || ' ' || v AS bare,
-      2 AS constraints, '{' || w || '}' AS unfenced, 'user:' || chr(10) || w || chr(10) || chr(10) || 'system:' || chr(10) || v AS flat, w || '!' AS rewritten, v AS kept, w AS answer, trim(v) AS final FROM d"""
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 3 END AS parts, 1 AS images, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS videos,
+    'see ' || w || ' and ' || v AS plain, w || ' ' || v AS bare,
+      2 AS constraints, '{' || w || '}' AS unfenced, 'user:' || chr(10) || w || chr(10) || chr(10) || 'system:' || chr(10) || v AS flat,
+    w || '!' AS rewritten, v AS kept, w AS answer, trim(v) AS final FROM d"""
 )
 def message_functions(spark, sf):
     """Placeholders as typed parts, constraints taken out, fences, rewritten and flattened messages, thinking removed."""
-    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"), F.split_part("text", F.lit(" "), F.lit(2)).alias("v")).where("v <> ''")
+    d = read(spark, sf, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"), F.split_part("text", F.lit(" "), F.lit(2)).alias("v")
+    ).where("v <> ''")
     w, v = F.col("w"), F.col("v")
     parts = Y.content_parts(F.concat(F.lit("see <image>"), w, F.lit(" and "), F.when(F.col("doc_id") % 2 == 0, "<video>").otherwise(""), v))
     chat = F.array(F.struct(F.lit("user").alias("role"), w.alias("content")), F.struct(F.lit("system").alias("role"), v.alias("content")))
@@ -175,14 +239,20 @@ def message_functions(spark, sf):
     bare = Y.strip_constraints(F.concat(w, F.lit(" "), v, F.lit(" Use no comma. Be brief.")), F.lit("Be brief.\tUse no comma.\t "))
     return d.select(
         "doc_id", F.size(parts).alias("parts"), F.size(Y.media(parts, "image")).alias("images"), F.size(Y.media(parts, "video")).alias("videos"), Y.content_text(parts).alias("plain"), bare.alias("bare"), F.size(Y.constraint_parts(F.lit("a\tb\t "))).alias("constraints"),
-        Y.strip_fence(F.concat(F.lit("```json\n{"), w, F.lit("}\n```"))).alias("unfenced"), Y.flatten_prompt(chat).alias("flat"), changed[0]["content"].alias("rewritten"), changed[1]["content"].alias("kept"),
-        V.final_answer(F.concat(F.lit("<think>a</think><answer>"), w, F.lit("</answer>"))).alias("answer"), V.final_answer(F.concat(F.lit("<|channel>thought\nhm<channel|> "), v)).alias("final"),
+        Y.strip_fence(
+            F.concat(F.lit("```json\n{"), w, F.lit("}\n```"))
+        ).alias("unfenced"), Y.flatten_prompt(chat).alias("flat"), changed[0]["content"].alias("rewritten"), changed[1]["content"].alias("kept"),
+        V.final_answer(
+            F.concat(F.lit("<think>a</think><answer>"), w, F.lit("</answer>"))
+        ).alias("answer"), V.final_answer(F.concat(F.lit("<|channel>thought\nhm<channel|> "), v)).alias("final"),
     )
 
 
 @query(
-    """SELECT event_id, event_type IN ('view', 'click') AS flag, CASE WHEN event_id % 3 = 0 THEN 'no_lower_zero' WHEN event_id % 3 = 1 THEN 'both' END AS mode, event_id AS step, (event_id + 7) // 8 * 8 AS rounded,
-    CASE WHEN event_id % 2 = 0 THEN 989.0 ELSE 'inf'::DOUBLE END AS peak, event_id % 5 <= 2 AND event_id % 2 = 0 AS dump, event_id AS prompt, 0 AS completion, event_id % 10 AS cached, round(-0.5 * event_id % 7, 6)::DOUBLE AS logp,
+    """SELECT event_id, event_type IN ('view', 'click') AS flag, CASE WHEN event_id % 3 = 0 THEN 'no_lower_zero' WHEN event_id % 3 = 1
+    THEN 'both' END AS mode, event_id AS step, (event_id + 7) // 8 * 8 AS rounded,
+    CASE WHEN event_id % 2 = 0 THEN 989.0 ELSE 'inf'::DOUBLE END AS peak, event_id % 5 <= 2 AND event_id % 2 = 0 AS dump, event_id AS prompt,
+    0 AS completion, event_id % 10 AS cached, round(-0.5 * event_id % 7, 6)::DOUBLE AS logp,
     CAST(CAST('0x' || substr(md5(event_type || chr(10) || event_id), 1, 8) AS BIGINT) % 4 AS INTEGER) AS worker FROM events"""
 )
 def settings(spark, sf):
@@ -191,17 +261,30 @@ def settings(spark, sf):
     i, s = F.col("event_id"), F.col("event_id").cast("string")
     word = F.when(F.col("event_type").isin("view", "click"), " Yes ").when(F.col("event_type") == "purchase", "off").otherwise("what")
     mode = F.when(i % 3 == 0, "Upper-Only").when(i % 3 == 1, "").otherwise("nothing")
-    body = F.concat(F.lit('{"usage": {"prompt_tokens": '), s, F.lit(', "prompt_tokens_details": {"cached_tokens": '), (i % 10).cast("string"), F.lit("}}}"))
-    probs = F.concat(F.when(i % 2 == 0, '{"prompt_logprobs": [').otherwise('{"choices": [{"prompt_logprobs": ['), (-0.5 * i % 7).cast("string"), F.when(i % 2 == 0, "]}").otherwise("]}]}"))
+    body = F.concat(
+        F.lit('{"usage": {"prompt_tokens": '), s, F.lit(', "prompt_tokens_details": {"cached_tokens": '), (i % 10).cast("string"), F.lit("}}}")
+    )
+    probs = F.concat(
+        F.when(i % 2 == 0, '{"prompt_logprobs": [').otherwise('{"choices": [{"prompt_logprobs": ['), (-0.5 * i % 7).cast("string"),
+        F.when(i % 2 == 0, "]}").otherwise("]}]}")
+    )
     u = Y.usage(body)
     return e.select(
-        "event_id", O.flag(word).alias("flag"), O.band_modes(mode).alias("mode"), O.step_of(F.concat(F.lit("/a/global_step_"), s, F.lit("/"))).alias("step"), O.round_up(i, 8).alias("rounded"), O.peak(F.when(i % 2 == 0, "an H100 card").otherwise("none")).alias("peak"),
+        "event_id", O.flag(word).alias("flag"), O.band_modes(mode).alias("mode"), O.step_of(F.concat(F.lit("/a/global_step_"), s, F.lit("/"))).alias("step"), O.round_up(i, 8).alias("rounded"), O.peak(
+            F.when(i % 2 == 0, "an H100 card").otherwise("none")
+        ).alias("peak"),
         O.may_dump(i % 2 == 0, i % 5, F.lit(2)).alias("dump"), u["prompt"].alias("prompt"), u["completion"].cast("int").alias("completion"), u["cached"].alias("cached"), r6(Y.prompt_log_probs(probs)[0]).alias("logp"), Y.routed(F.col("event_type"), s, 4).alias("worker"),
     )
 
 
-JUDGED = [("Score: 7", 7.0), ('{"score": 9}', 9.0), ("```json\n{\"score\": 3, \"why\": \"x\"}\n```", 3.0), ("<think>Score: 2</think> I say 8.", 8.0), ("score=11", None), ("nothing", None), ("10 of 10", 10.0)]
-QUESTIONS = [("<answer>The Cat!</answer>", "cat", 1.0, 1.0), ("<answer>a big cat</answer>", "cat", 0.0, 1.0), ("cat", "cat", 0.0, 0.0), ("<answer>x</answer><answer>Cat</answer>", "the cat", 1.0, 1.0), ("<answer>dog</answer>", "cat", 0.0, 0.0)]
+JUDGED = [
+    ("Score: 7", 7.0), ('{"score": 9}', 9.0), ("```json\n{\"score\": 3, \"why\": \"x\"}\n```", 3.0), ("<think>Score: 2</think> I say 8.", 8.0),
+    ("score=11", None), ("nothing", None), ("10 of 10", 10.0)
+]
+QUESTIONS = [
+    ("<answer>The Cat!</answer>", "cat", 1.0, 1.0), ("<answer>a big cat</answer>", "cat", 0.0, 1.0), ("cat", "cat", 0.0, 0.0),
+    ("<answer>x</answer><answer>Cat</answer>", "the cat", 1.0, 1.0), ("<answer>dog</answer>", "cat", 0.0, 0.0)
+]
 
 
 @query(table_sql([(i, v) for i, (_, v) in enumerate(JUDGED)], "id, score"))
@@ -218,20 +301,26 @@ def grade_substring(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT conv_id, list(CASE WHEN conv_id % 4 = 0 AND turn = 2 THEN -4 WHEN turn % 3 = 2 THEN 0 ELSE 1 END ORDER BY turn) AS s FROM conversations GROUP BY 1),
+    """WITH s AS (SELECT conv_id, list(CASE WHEN conv_id % 4 = 0 AND turn = 2 THEN -4 WHEN turn % 3 = 2 THEN 0 ELSE 1 END ORDER BY turn) AS s
+    FROM conversations GROUP BY 1),
     k AS (SELECT conv_id, list_transform(s, lambda x, i: CASE WHEN len(list_filter(s[1:i - 1], lambda y: y = -4)) > 0 THEN -4 ELSE x END) AS k FROM s)
-    SELECT conv_id, CASE WHEN len(list_filter(k, lambda x: x = 1)) = len(k) THEN 1.0::DOUBLE ELSE 0 END AS passed, round(len(list_filter(k[1:10], lambda x: x = 1)) / len(k[1:10]), 6) AS share, true AS same FROM k"""
+    SELECT conv_id, CASE WHEN len(list_filter(k, lambda x: x = 1)) = len(k) THEN 1.0::DOUBLE ELSE 0 END AS passed, round(len(list_filter(k[1:10],
+    lambda x: x = 1)) / len(k[1:10]), 6) AS share, true AS same FROM k"""
 )
 def case_scores(spark, sf):
     """Test results as a score: all passed, or their share; a compile error fails what follows."""
     c = read(spark, sf, "conversations")
     status = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 2), -4).when(F.col("turn") % 3 == 2, 0).otherwise(1)
     x = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", status.alias("s")))), lambda e: e["s"]).alias("s"))
-    return x.select("conv_id", G.case_score(F.col("s")).alias("passed"), r6(G.case_score(F.col("s"), True)).alias("share"), G.same_output(F.array(F.lit(" a"), F.lit("b \n")), F.lit("a\nb")).alias("same"))
+    return x.select(
+        "conv_id", G.case_score(F.col("s")).alias("passed"), r6(G.case_score(F.col("s"), True)).alias("share"),
+        G.same_output(F.array(F.lit(" a"), F.lit("b \n")), F.lit("a\nb")).alias("same")
+    )
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CASE WHEN conv_id % 7 = conv_id % 3 THEN 1.0::DOUBLE ELSE 0 END ELSE CASE WHEN conv_id % 5 = conv_id % 3 THEN 1.0::DOUBLE ELSE -1 END END AS score,
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CASE WHEN conv_id % 7 = conv_id % 3 THEN 1.0::DOUBLE ELSE 0 END ELSE CASE
+    WHEN conv_id % 5 = conv_id % 3 THEN 1.0::DOUBLE ELSE -1 END END AS score,
     CASE WHEN conv_id % 7 = conv_id % 3 THEN 1::BIGINT ELSE 0 END AS hits FROM conversations"""
 )
 def grade_by_source(spark, sf):

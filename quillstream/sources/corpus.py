@@ -34,18 +34,30 @@ def export(prompts: DataFrame, generated: DataFrame) -> DataFrame:
     x = x.withColumn("response_token_ids", valid_ids("responses", "response_mask", "attention_mask"))
     prefix, prefix_from = first_filled(("dumped", F.col("prompt_ids")), ("rebuilt", F.col("rebuilt_ids")))
     answer, answer_from = first_filled(("answer", F.col("answer_ids")), ("response", F.col("response_token_ids")))
-    x = x.withColumns({"ppl_prefix_token_ids": prefix, "ppl_prefix_source": prefix_from, "ppl_continuation_token_ids": answer, "ppl_continuation_source": answer_from})
+    x = x.withColumns(
+        {
+            "ppl_prefix_token_ids": prefix, "ppl_prefix_source": prefix_from, "ppl_continuation_token_ids": answer,
+            "ppl_continuation_source": answer_from
+        }
+    )
     reason = F.when(F.col("ppl_prefix_token_ids").isNull(), "no prefix").when(F.col("ppl_continuation_token_ids").isNull(), "no continuation")
     return x.select(
-        F.concat_ws("-", "uid", F.col("rollout_index").cast("string")).alias("id"), F.col("row_id").alias("row_index"), "uid", "rollout_index", "ground_truth", "response_token_ids", "response_text", F.size("response_token_ids").alias("response_token_count"), F.col("score").alias("constraint_score"),
-        reason.isNull().alias("ppl_eligible"), reason.alias("ppl_ineligible_reason"), "ppl_prefix_token_ids", "ppl_continuation_token_ids", F.coalesce(F.size("ppl_prefix_token_ids"), F.lit(0)).alias("ppl_prefix_token_count"), F.coalesce(F.size("ppl_continuation_token_ids"), F.lit(0)).alias("ppl_continuation_token_count"), "ppl_prefix_source", "ppl_continuation_source",
+        F.concat_ws(
+            "-", "uid", F.col("rollout_index").cast("string")
+        ).alias("id"), F.col("row_id").alias("row_index"), "uid", "rollout_index", "ground_truth", "response_token_ids", "response_text", F.size("response_token_ids").alias("response_token_count"), F.col("score").alias("constraint_score"),
+        reason.isNull().alias("ppl_eligible"), reason.alias("ppl_ineligible_reason"), "ppl_prefix_token_ids", "ppl_continuation_token_ids", F.coalesce(F.size("ppl_prefix_token_ids"), F.lit(0)).alias("ppl_prefix_token_count"), F.coalesce(
+            F.size("ppl_continuation_token_ids"), F.lit(0)
+        ).alias("ppl_continuation_token_count"), "ppl_prefix_source", "ppl_continuation_source",
     )
 
 
 def corpus_stats(df: DataFrame) -> DataFrame:
     """Counts, sums, least and largest lengths by the source of the prefix."""
     n = F.col("ppl_prefix_token_count")
-    return df.groupBy("ppl_prefix_source").agg(F.count("*").alias("rows"), F.count_if("ppl_eligible").alias("eligible"), F.sum(n).alias("prefix_tokens"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum("response_token_count").alias("response_tokens"))
+    return df.groupBy("ppl_prefix_source").agg(
+        F.count("*").alias("rows"), F.count_if("ppl_eligible").alias("eligible"), F.sum(n).alias("prefix_tokens"), F.min(n).alias("least"),
+        F.max(n).alias("most"), F.sum("response_token_count").alias("response_tokens")
+    )
 
 
 def turn_masks(df: DataFrame, system_ids: list[int], generation_ids: list[int]) -> DataFrame:
@@ -58,4 +70,6 @@ def turn_masks(df: DataFrame, system_ids: list[int], generation_ids: list[int])
     x = df.withColumn("_i", ids)
     mask = F.transform("_i", lambda _, i: F.when((F.col("role") == "assistant") & (i >= g), 1).otherwise(0))
     x = x.withColumn("_m", mask).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "_i", "_m"))).alias("_x"))
-    return x.select("conv", F.flatten(F.transform("_x", lambda e: e["_i"])).alias("input_ids"), F.flatten(F.transform("_x", lambda e: e["_m"])).alias("loss_mask"))
+    return x.select(
+        "conv", F.flatten(F.transform("_x", lambda e: e["_i"])).alias("input_ids"), F.flatten(F.transform("_x", lambda e: e["_m"])).alias("loss_mask")
+    )

@@ -15,19 +15,32 @@ def messages(*pairs: tuple[str, Column]) -> Column:
 
 def record(source: Column | str, prompt: Column, ability: str, truth: Column, style: str = "rule", extra: Column | None = None) -> list[Column]:
     source = F.lit(source) if isinstance(source, str) else source
-    return [source.alias("data_source"), prompt.alias("prompt"), F.lit(ability).alias("ability"), F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"), (extra if extra is not None else F.struct(F.lit(0).cast("long").alias("index"))).alias("extra_info")]
+    return [
+        source.alias("data_source"), prompt.alias("prompt"), F.lit(ability).alias("ability"),
+        F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"),
+        (extra if extra is not None else F.struct(F.lit(0).cast("long").alias("index"))).alias("extra_info")
+    ]
 
 
-def grade_school_math(df: DataFrame, instruction: str = 'Let\'s think step by step and output the final answer after "####".', split: str = "train") -> DataFrame:
+def grade_school_math(
+    df: DataFrame, instruction: str = 'Let\'s think step by step and output the final answer after "####".', split: str = "train"
+) -> DataFrame:
     """question, answer, row_id: the number after the hashes, without commas."""
     truth = F.regexp_replace(F.regexp_extract("answer", r"#### (-?[0-9.,]+)", 1), ",", "")
-    extra = F.struct(F.lit(split).alias("split"), F.col("row_id").cast("long").alias("index"), F.col("answer").alias("answer"), F.col("question").alias("question"))
+    extra = F.struct(
+        F.lit(split).alias("split"), F.col("row_id").cast("long").alias("index"), F.col("answer").alias("answer"), F.col("question").alias("question")
+    )
     return df.select(*record("grade_school_math", messages(("user", F.concat("question", F.lit(" " + instruction)))), "math", truth, extra=extra))
 
 
 def competition_math(df: DataFrame, instruction: str = "Let's think step by step and output the final answer within \\boxed{}.") -> DataFrame:
     """problem, solution, row_id: the content of the last box."""
-    return df.select(*record("competition_math", messages(("user", F.concat("problem", F.lit(" " + instruction)))), "math", boxed(F.col("solution")), extra=F.struct(F.col("row_id").cast("long").alias("index"))))
+    return df.select(
+        *record(
+            "competition_math", messages(("user", F.concat("problem", F.lit(" " + instruction)))), "math", boxed(F.col("solution")),
+            extra=F.struct(F.col("row_id").cast("long").alias("index"))
+        )
+    )
 
 
 def sentence_completion(df: DataFrame) -> DataFrame:
@@ -35,8 +48,14 @@ def sentence_completion(df: DataFrame) -> DataFrame:
     clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.replace(x, F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), "  ", " "))
     rows = df.where(F.length("label") > 0)
     prompt = clean(F.concat("activity_label", F.lit(": "), "ctx"))
-    model = F.struct(F.lit("model").alias("style"), F.lit("multiple_choice").alias("eval"), F.col("label").cast("int").alias("ground_truth"), F.transform("endings", clean).alias("choices"))
-    return rows.select(F.lit("sentence_completion").alias("data_source"), messages(("user", prompt)).alias("prompt"), F.lit("nlp").alias("ability"), model.alias("reward_model"))
+    model = F.struct(
+        F.lit("model").alias("style"), F.lit("multiple_choice").alias("eval"), F.col("label").cast("int").alias("ground_truth"),
+        F.transform("endings", clean).alias("choices")
+    )
+    return rows.select(
+        F.lit("sentence_completion").alias("data_source"), messages(("user", prompt)).alias("prompt"), F.lit("nlp").alias("ability"),
+        model.alias("reward_model")
+    )
 
 
 def preferences_to_sft(df: DataFrame) -> DataFrame:
@@ -57,8 +76,15 @@ def search_questions(df: DataFrame, prefix: str) -> DataFrame:
     """question, golden_answers and maybe reward_model.ground_truth: the truth is the first there is."""
     truth = F.coalesce("reward_model.ground_truth", "golden_answers") if "reward_model" in df.columns else F.col("golden_answers")
     kwargs = F.create_map(F.lit("question"), F.col("question"), F.lit("data_source"), F.col("data_source"))
-    extra = F.struct(F.col("row_id").cast("long").alias("index"), F.lit(True).alias("need_tools_kwargs"), F.col("question").alias("question"), kwargs.alias("tools_kwargs"))
-    return df.select(*record(F.concat(F.lit("search_"), "data_source"), messages(("user", F.concat(F.lit(prefix), "question"))), "fact-reasoning", truth, extra=extra))
+    extra = F.struct(
+        F.col("row_id").cast("long").alias("index"), F.lit(True).alias("need_tools_kwargs"), F.col("question").alias("question"),
+        kwargs.alias("tools_kwargs")
+    )
+    return df.select(
+        *record(
+            F.concat(F.lit("search_"), "data_source"), messages(("user", F.concat(F.lit(prefix), "question"))), "fact-reasoning", truth, extra=extra
+        )
+    )
 
 
 def constrained_instructions(df: DataFrame) -> DataFrame:
@@ -66,7 +92,9 @@ def constrained_instructions(df: DataFrame) -> DataFrame:
     one without its constraints for perplexities."""
     extra = F.struct(F.col("row_id").cast("long").alias("index"), "key", "constraint", "constraint_type")
     bare = rewrite_user(F.col("messages"), lambda c: strip_constraints(c, F.col("constraint")))
-    return df.select(*record("constrained_instructions", F.col("messages"), "instruction_following", F.col("ground_truth"), extra=extra), bare.alias("ppl_prompt"))
+    return df.select(
+        *record("constrained_instructions", F.col("messages"), "instruction_following", F.col("ground_truth"), extra=extra), bare.alias("ppl_prompt")
+    )
 
 
 def preferences_to_rl(df: DataFrame, split: str = "train") -> DataFrame:

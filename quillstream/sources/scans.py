@@ -62,7 +62,9 @@ def train_val_split(df: DataFrame, key: str, val_size: int, seed: int) -> tuple[
 def scan_anchor_cache(spark: SparkSession, path: str) -> DataFrame:
     """ANCHOR_ITEM rows of a JSON document {"metadata": ..., "items": {index: item}}."""
     item = T.StructType([f for f in schemas.ANCHOR_ITEM.fields if f.name != "index"])
-    kind = T.StructType([T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("items", T.MapType(T.StringType(), item))])
+    kind = T.StructType(
+        [T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("items", T.MapType(T.StringType(), item))]
+    )
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", kind, {"allowNonNumericNumbers": "true"}).alias("d"))
     return doc.select(F.explode("d.items").alias("k", "x")).select(F.col("k").cast("long").alias("index"), "x.*")
 
@@ -100,4 +102,6 @@ def numbered(df: DataFrame, by: str, order: str, out: str = "nth") -> DataFrame:
 def find_credentials(spark: SparkSession, path: str) -> DataFrame:
     """Text files with token-like strings: (path)."""
     pattern = r"(?:hf_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").where(F.col("value").rlike(pattern)).select("path")
+    return spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("path"), "value"
+    ).where(F.col("value").rlike(pattern)).select("path")

@@ -21,8 +21,14 @@ def write_canonical(df: DataFrame, path: str, order: str) -> str:
     hashed where it lies, so the file is never gathered in one task."""
     lines = df.select(F.col(order).alias("_o"), canonical_json(df).alias("value"))
     lines.orderBy("_o").select("value").write.mode("overwrite").text(path)
-    parts = with_range(lines, "_o").withColumnRenamed("_range", "_r").groupBy("_r").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)).first()[0]
+    parts = with_range(lines, "_o").withColumnRenamed("_range", "_r").groupBy("_r").agg(
+        F.sha2(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]), "\n").cast("binary"), 256
+        ).alias("h")
+    )
+    return parts.agg(
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    ).first()[0]
 
 
 def dump_rollouts(df: DataFrame, path: str, step: int) -> None:
@@ -60,7 +66,9 @@ def flatten_params(params: dict, prefix: str = "") -> dict[str, object]:
     out: dict[str, object] = {}
     for k, v in params.items():
         name = f"{prefix}/{k}" if prefix else str(k)
-        out |= flatten_params(v, name) if isinstance(v, dict) else {name: v if isinstance(v, (int, float, str, bool)) or v is None else json.dumps(v, default=str)}
+        out |= flatten_params(v, name) if isinstance(v, dict) else {
+            name: v if isinstance(v, (int, float, str, bool)) or v is None else json.dumps(v, default=str)
+        }
     return out
 
 

@@ -41,7 +41,9 @@ def batches_of(df: DataFrame, n: int, order: str, by: list[str] = ()) -> DataFra
         return with_position(df, order, "_rn").withColumn("batch", F.floor(F.col("_rn") / n)).where(F.col("batch") < full).drop("_rn")
     w = W.partitionBy(*by)
     rn = F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("_rn", rn).withColumn("_n", F.count("*").over(w)).withColumn("batch", F.floor(F.col("_rn") / n)).where(F.col("batch") < F.floor(F.col("_n") / n)).drop("_rn", "_n")
+    return df.withColumn("_rn", rn).withColumn("_n", F.count("*").over(w)).withColumn("batch", F.floor(F.col("_rn") / n)).where(
+        F.col("batch") < F.floor(F.col("_n") / n)
+    ).drop("_rn", "_n")
 
 
 def staleness(df: DataFrame, order: str, by: list[str] = ()) -> DataFrame:
@@ -105,7 +107,10 @@ def bounded_queue_stream(stream: DataFrame, capacity: int, key: str = "queue") -
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return stream.groupBy(key).applyInPandasWithState(run, "queue string, held array<string>, dropped long, produced long", "held array<string>, dropped long, produced long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(
+        run, "queue string, held array<string>, dropped long, produced long", "held array<string>, dropped long, produced long", "update",
+        GroupStateTimeout.NoTimeout
+    )
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -138,7 +143,10 @@ def token_bucket(df: DataFrame, rate: float, capacity: float, by: str = "limiter
             starts.append(now)
         return pdf.assign(start=starts)
 
-    rows = df.select(F.col(by).cast("string").alias("limiter"), F.col("request").cast("long").alias("request"), F.col("arrival").cast("double").alias("arrival"), F.col("need").cast("double").alias("need"))
+    rows = df.select(
+        F.col(by).cast("string").alias("limiter"), F.col("request").cast("long").alias("request"), F.col("arrival").cast("double").alias("arrival"),
+        F.col("need").cast("double").alias("need")
+    )
     return rows.groupBy("limiter").applyInPandas(run, "limiter string, request long, arrival double, need double, start double")
 
 
@@ -148,7 +156,9 @@ def sample_feed(df: DataFrame, epochs: int, total: int, order: str = "row_id") -
     n = df.count()
     x = with_position(df.select(order), order).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     x = x.withColumn("place", F.col("epoch") * n + F.col("rn")).where(F.col("place") < total)
-    end = df.sparkSession.range(1).select(F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("long").alias("row"), F.lit(min(total, n * epochs)).cast("long").alias("place"))
+    end = df.sparkSession.range(1).select(
+        F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("long").alias("row"), F.lit(min(total, n * epochs)).cast("long").alias("place")
+    )
     return x.select("epoch", F.col(order).cast("long").alias("row"), "place").unionByName(end)
 
 
