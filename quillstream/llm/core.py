@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -159,6 +160,16 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and two or more
+    share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        return
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of text each (one row at least), so
     that memory does not depend on Arrow's batch size.  Rows are neither cut nor reordered."""
@@ -171,6 +182,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def arrays(**columns) -> pa.RecordBatch:

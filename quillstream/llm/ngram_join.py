@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, unused, utf8
+from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, trim, unused, utf8
 from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
@@ -367,6 +367,8 @@ def _join(percent: int):
             np.minimum.at(least, root, leads)
             u.append(leads)
             v.append(least[root])
+        del shingles
+        trim()
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return run

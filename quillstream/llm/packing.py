@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; set before the library starts
 
@@ -31,12 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstream.llm.core import Interner, blocks, ranges, staged, table, utf8
+from quillstream.llm.core import Interner, blocks, ranges, staged, table, trim, utf8
 from quillstream.shipping import ship
 
 #: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
 LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 256
-BLOCK_BYTES, CACHED_WORDS = 2_500_000, 300_000
+BLOCK_BYTES, CACHED_WORDS = 2_000_000, 200_000
 #: Tokens packed by one task, about.  Offsets told to all tasks, and sources, at most: beyond that
 #: offsets are joined by a shuffle, and sources share queues by a hash of their name.
 GROUP_TOKENS, TOLD_OFFSETS, QUEUES = 1 << 20, 200_000, 50_000
@@ -68,10 +69,13 @@ class PlainIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
 
+    def reset(self) -> None:
+        return
+
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
 
 #: Words that the tokenizer's normaliser and splitter leave as they are: lower-case Latin letters.
@@ -130,27 +134,31 @@ class WordIds:
         words = [w.decode() for w in new]
         found: list = [None] * len(words)
         rest, merge, letters = [], self.tokenizer.model.tokenize, self.letters
-        for i, w in enumerate(words):
-            if PLAIN.fullmatch(w):
-                found[i] = [t.id for t in merge(w if w.isascii() else w.translate(letters))]
-            else:
-                rest.append(i)
+        for i, w in enumerate(words):  # bytes.lower() has left no ASCII capitals
+            if w.isascii():
+                if w.isalpha():
+                    found[i] = [t.id for t in merge(w)]
+                    continue
+            elif PLAIN.fullmatch(w):
+                found[i] = [t.id for t in merge(w.translate(letters))]
+                continue
+            rest.append(i)
         for k in range(0, len(rest), 1000):
             part = rest[k : k + 1000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
                 found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint16, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum()))])
 
 
 _encoders: dict = {}
 
 
-def _encode(path: str, end: int, queues: int):
+def _encode(path: str, end: int, queues: int, known: bool):
     def run(batches):
         if path not in _encoders:
-            _encoders[path] = WordIds(path) if is_known(path) and end < 1 << 16 else PlainIds(path)
+            _encoders[path] = WordIds(path) if known else PlainIds(path)
         encoder, pid, k, seen, seen_of_queue = _encoders[path], TaskContext.get().partitionId(), 0, Counter(), Counter()
         for batch in blocks(batches, "text", BLOCK_BYTES):
             ids, lengths = encoder(utf8(batch.column("text")), end)
@@ -167,6 +175,8 @@ def _encode(path: str, end: int, queues: int):
             }], schema=_schema(BLOCK))
             seen.update(dict(zip(sources, tokens)))
             k += 1
+        encoder.reset()
+        trim()
 
     return run
 
@@ -275,7 +285,7 @@ def _slice(schedule, queue_of):
     def run(batches):
         plan, number = schedule.value, queue_of.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one block at a time
                 doc_ids, lengths, of = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["source_of"], "<i4")
                 ids, first = _read_ids(row["ids"], int(lengths.sum())), np.cumsum(lengths) - lengths
                 ahead = {x["queue"]: x["ahead"] for x in row["ahead"]}
@@ -299,6 +309,7 @@ def _slice(schedule, queue_of):
                             "grp": g, "queue": s, "at": int(edges[i[0]]), "doc_ids": doc_ids[d].tobytes(), "starts": inside[i].astype("<i8").tobytes(), "lengths": size[i].astype("<i8").tobytes(),
                             "doc_tokens": lengths[d].astype("<i8").tobytes(), "ids": taken.tobytes(),
                         }], schema=_schema(SLICE))
+        trim()
 
     return run
 
@@ -382,7 +393,7 @@ def pack(
     ship(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES), BLOCK), "encoded")
+    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES, is_known(path) and end < 1 << 16), BLOCK), "encoded")
     counts = encoded.select("pid", F.explode(F.arrays_zip("sources", "tokens")).alias("x")).groupBy(F.col("x.sources").alias("source"), "pid").agg(F.sum("x.tokens").alias("n"))
     counts = staged(counts, "counts")
     named = counts.groupBy("source").agg(F.sum("n").alias("n"))
@@ -417,5 +428,7 @@ def op5_packing(spark, sf_dir):
 
 
 def stage_packing(spark, docs, sf_dir):
-    """Pipeline stage, the last: the pieces of all rows."""
+    """Pipeline stage, the last: the pieces of all rows.  Null and empty texts are their end token
+    alone, repeated rows are packed one by one, a null id counts as -1, an empty table gives no
+    pieces, and other columns are ignored."""
     return pack(docs)
