@@ -94,7 +94,7 @@ def drop_staged(df: DataFrame) -> None:
 
 #: A key with more than this part of all rows, and so many at least, is hot: there are fewer hot
 #: keys than HOT_PART.
-HOT_PART, HOT_ROWS = 2_000, 1_000
+HOT_PART, HOT_ROWS = 2_000, 5_000
 
 
 def hot_join(rows: DataFrame, answers: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
@@ -103,7 +103,7 @@ def hot_join(rows: DataFrame, answers: DataFrame, key: str, size: str, total: in
     one; the others meet by a shuffle."""
     hot_size = max(HOT_ROWS, total // HOT_PART)
     hot = answers.where(F.col(size) > hot_size)
-    if hot.isEmpty():
+    if total <= hot_size or hot.isEmpty():
         return rows.join(answers, key, how)
     names = [c for c in answers.columns if c != key]
     hot = F.broadcast(hot.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
