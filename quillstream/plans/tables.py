@@ -375,17 +375,17 @@ def validation_metrics(spark, sf):
 
 @query(
     """WITH k AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'ai2-adapt-dev/flan_' || doc_id WHEN 1 THEN 'personahub_' || doc_id WHEN 2
-    THEN 'science.a.b.' || doc_id WHEN 3 THEN 'abc12' WHEN 4 THEN 'oasst1_x' WHEN 5 THEN 'Tulu.x_y' WHEN 6 THEN '_x'
+    THEN 'science.a.b.' || doc_id WHEN 3 THEN 'abc12' WHEN 4 THEN 'oasst1_x' WHEN 5 THEN 'Other.x_y' WHEN 6 THEN '_x'
       WHEN 7 THEN 'ai2-adapt-dev/no_' || md5(CAST(doc_id AS VARCHAR)) ELSE 'hard_coded_' || doc_id END AS k FROM documents)
     SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'ai2/flan' WHEN 1 THEN 'personahub' WHEN 2 THEN 'science.a.b' WHEN 3 THEN 'opaque_short_id' WHEN 4
     THEN 'oasst1'
-      WHEN 5 THEN 'Tulu' WHEN 6 THEN 'unknown' WHEN 7 THEN 'ai2/no' ELSE 'hard_coded' END AS bucket FROM k"""
+      WHEN 5 THEN 'Other' WHEN 6 THEN 'unknown' WHEN 7 THEN 'ai2/no' ELSE 'hard_coded' END AS bucket FROM k"""
 )
 def source_buckets(spark, sf):
     i, s = F.col("doc_id") % 9, F.col("doc_id").cast("string")
     keys = [
         F.concat(F.lit("ai2-adapt-dev/flan_"), s), F.concat(F.lit("personahub_"), s), F.concat(F.lit("science.a.b."), s), F.lit("abc12"),
-        F.lit("oasst1_x"), F.lit("Tulu.x_y"), F.lit("_x"), F.concat(F.lit("ai2-adapt-dev/no_"), F.md5(s)), F.concat(F.lit("hard_coded_"), s)
+        F.lit("oasst1_x"), F.lit("Other.x_y"), F.lit("_x"), F.concat(F.lit("ai2-adapt-dev/no_"), F.md5(s)), F.concat(F.lit("hard_coded_"), s)
     ]
     return read(spark, sf, "documents").select("doc_id", C.source_bucket(F.element_at(F.array(*keys), (i + 1).cast("int"))).alias("bucket"))
 
