@@ -199,8 +199,8 @@ def _segments(words: int, percent: int, buckets: int, hot):
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edge))
             part = lambda x: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary())
-            # the block's own edges go along with its first bucket
-            own = pa.array([edges.astype("<i8").tobytes() if k == 0 else b"" for k in range(len(some))], pa.binary())
+            # the block's own edges go along, a part with each bucket
+            own = pa.array([x.astype("<i8").tobytes() for x in np.array_split(edges, len(some))], pa.binary())
             yield arrays(bucket=some.astype(np.int32), keys=part(key), nodes=part(node), edges=own)
 
     return run
