@@ -37,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a
     lost executor costs a re-read, not a re-computation.  Removed when Python ends."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

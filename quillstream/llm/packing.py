@@ -25,6 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core;
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,17 +33,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstream.llm.core import Interner, blocks, ranges, staged, table, trim, utf8
+from quillstream.llm.core import Interner, blocks, ranges, staged, table, trim
 from quillstream.shipping import ship
 
 #: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
 LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 256
-BLOCK_BYTES, CACHED_WORDS = 2_000_000, 200_000
+BLOCK_BYTES, CACHED_WORDS = 3_000_000, 350_000
 #: Tokens packed by one task, about.  Offsets told to all tasks, and sources, at most: beyond that
 #: offsets are joined by a shuffle, and sources share queues by a hash of their name.
 GROUP_TOKENS, TOLD_OFFSETS, QUEUES = 1 << 20, 200_000, 50_000
 #: Marks at the end of a word, which the tokenizer takes apart from its letters.
-MARKS = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \n]|$)")
+MARKS, APART = r"([a-z])([.,;:!?]+)([ \n]|$)", r"\1 \2\3"
 BLOCK = "pid int, block long, doc_ids binary, lengths binary, source_of binary, ids binary, sources array<string>, tokens array<long>, inner array<long>, shared array<long>"
 SLICE = "grp long, queue int, at long, doc_ids binary, starts binary, lengths binary, doc_tokens binary, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -72,8 +73,8 @@ class PlainIds:
     def reset(self) -> None:
         return
 
-    def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
@@ -105,17 +106,20 @@ class WordIds:
     def reset(self) -> None:
         self.known, self.flat, self.first = Interner(), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by ``end``; ids of each text)"""
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by ``end``; ids of each text).  Texts are cut into words
+        in Arrow; Python sees each distinct word of a block once."""
         if len(self.known) > CACHED_WORDS:
             self.reset()
-        word_of, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = self.known.ids(MARKS.sub(rb" \1", text.lower()).split())
-            counts[i] = len(words)
-            word_of.append(words)
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), MARKS, APART)
+        lists = pc.ascii_split_whitespace(plain)
+        words = lists.flatten()
+        some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        counts = np.bincount(of[some], minlength=len(texts))
+        coded = words.filter(pa.array(some)).dictionary_encode()
+        ids = self.known.ids(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         self._encode_new()
-        ids = np.concatenate(word_of) if word_of else np.zeros(0, np.int32)
         size = np.diff(self.first)[ids]
         ends = np.cumsum(counts)
         before = np.concatenate([[0], np.cumsum(size)])
@@ -131,10 +135,10 @@ class WordIds:
         new = self.known.words[len(self.first) - 1 :]
         if not new:
             return
-        words = [w.decode() for w in new]
+        words = new
         found: list = [None] * len(words)
         rest, merge, letters = [], self.tokenizer.model.tokenize, self.letters
-        for i, w in enumerate(words):  # bytes.lower() has left no ASCII capitals
+        for i, w in enumerate(words):  # ASCII capitals are gone
             if w.isascii():
                 if w.isalpha():
                     found[i] = [t.id for t in merge(w)]
@@ -145,8 +149,11 @@ class WordIds:
             rest.append(i)
         for k in range(0, len(rest), 1000):
             part = rest[k : k + 1000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                found[i] = e.ids
+            e = self.tokenizer.encode([words[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            at = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))).tolist()
+            ids = e.ids
+            for i, a, b in zip(part, [0, *at], at):
+                found[i] = ids[a:b]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum()))])
@@ -161,7 +168,7 @@ def _encode(path: str, end: int, queues: int, known: bool):
             _encoders[path] = WordIds(path) if known else PlainIds(path)
         encoder, pid, k, seen, seen_of_queue = _encoders[path], TaskContext.get().partitionId(), 0, Counter(), Counter()
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            ids, lengths = encoder(utf8(batch.column("text")), end)
+            ids, lengths = encoder(batch.column("text"), end)
             names = batch.column("source").dictionary_encode("encode")
             of = names.indices.to_numpy(zero_copy_only=False)
             tokens = np.bincount(of, lengths, len(names.dictionary)).astype(np.int64).tolist()
@@ -393,7 +400,7 @@ def pack(
     ship(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES, is_known(path) and end < 1 << 16), BLOCK), "encoded")
+    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES, is_known(path) and end < 1 << 16), BLOCK), "encoded", "snappy")  # ids hardly compress
     counts = encoded.select("pid", F.explode(F.arrays_zip("sources", "tokens")).alias("x")).groupBy(F.col("x.sources").alias("source"), "pid").agg(F.sum("x.tokens").alias("n"))
     counts = staged(counts, "counts")
     named = counts.groupBy("source").agg(F.sum("n").alias("n"))

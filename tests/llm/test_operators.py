@@ -410,9 +410,9 @@ def test_windows_follow_shares():
 def test_word_ids_are_the_tokenizers():
     path = public_tokenizers.path("word_bpe_49k.json")
     w, t = packing.WordIds(path), Tokenizer.from_file(path)
-    texts = ["é", "École straße ÷ naïve... it's don't I'M a.b,c!! 12,5 x² ß ſ ﬁ İ ÿ", "", "  \n", "foo-bar_baz <|endoftext|> café 日本語 🙂 a b\x1cc\x85d", "Ελλάς ΣΟΦΟΣ", "word.\tword,word. 'tis", "a" * 300]
-    ids, n = w([x.encode() for x in texts], 1)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    texts = ["é", "École straße ÷ naïve... it's don't I'M a.b,c!! 12,5 x² ß ſ ﬁ İ ÿ", "", "  \n", "foo-bar_baz <|endoftext|> café 日本語 🙂 a b\x1cc\x85d", "Ελλάς ΣΟΦΟΣ", "word.\tword,word. 'tis", "a" * 300, "a, b, c. d.. e), (f). g!", " x", "y\n", "A.\nB,\n C"]
+    ids, n = w(pa.array([*texts, None]), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids + [1] for x in [*texts, ""]]
 
 
 # --- n-gram join
