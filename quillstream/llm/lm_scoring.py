@@ -299,10 +299,22 @@ def log_stirling(d: float, most: int = STIRLING) -> np.ndarray:
     return s
 
 
+def mean_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
+    """Expected tables of c customers, but for a constant: sum_t S(c, t) a^t x^c / c! is
+    exp(a (1 - (1 - x)^d) / d), whose customers are c on average where a x (1 - x)^(d - 1) = c, and
+    whose tables are then a (1 - (1 - x)^d) / d.  y = 1 - x is found by bisection of its logarithm."""
+    low, high = np.full(len(c), -300.0), np.zeros(len(c))
+    for _ in range(60):
+        y = (low + high) / 2
+        above = np.log(a) + np.log1p(-np.exp(np.minimum(y, -1e-12))) + (d - 1) * y > np.log(c)
+        low, high = np.where(above, y, low), np.where(above, high, y)
+    return a * (1 - np.exp(d * (low + high) / 2)) / d
+
+
 def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of c customers each, from p(t) ~ S(c, t) a^t, exactly up to STIRLING customers.
-    Beyond, the draw for STIRLING of them goes on by binomial steps, each at most doubling the
-    customers: at 1,000 customers the mean is within 4 % of the exact one (a test says so)."""
+    Beyond, the draw for STIRLING of them is raised by a Poisson number with the difference of
+    the expected tables: at 1,000 customers the mean is within 4 % of the exact one (a test)."""
     t = np.minimum(c, 1).astype(np.int64)
     la = np.log(np.maximum(a, 1e-300))
     first = np.minimum(c, STIRLING)
@@ -315,14 +327,9 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rn
                 p = np.exp(p - p.max(1, keepdims=True)).cumsum(1)
                 t[at] = 1 + (p < rng.random(len(at))[:, None] * p[:, -1:]).sum(1)
     at = np.flatnonzero(c > STIRLING)
-    done = np.full(len(at), STIRLING)
-    while len(at):
-        more = np.minimum(done, c[at] - done)
-        p = a[at] / (a[at] + done - d * t[at])
-        t[at] += rng.binomial(more, np.clip(p, 0, 1))
-        done = done + more
-        left = done < c[at]
-        at, done = at[left], done[left]
+    if len(at):
+        more = mean_tables(c[at], a[at], d) - mean_tables(np.full(len(at), STIRLING), a[at], d)
+        t[at] = np.minimum(t[at] + rng.poisson(np.maximum(more, 0)), c[at])
     return t
 
 
