@@ -39,6 +39,8 @@ from quillstream.shipping import ship
 #: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
 LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 256
 BLOCK_BYTES, CACHED_WORDS = 3_000_000, 350_000
+#: The same in the pipeline, whose executors have less memory to spare after its other stages.
+STAGE_BYTES, STAGE_WORDS = 1_500_000, 150_000
 #: Tokens packed by one task, about.  Offsets told to all tasks, and sources, at most: beyond that
 #: offsets are joined by a shuffle, and sources share queues by a hash of their name.
 GROUP_TOKENS, TOLD_OFFSETS, QUEUES = 1 << 20, 200_000, 50_000
@@ -97,8 +99,8 @@ class WordIds:
     nothing across it, so a text's ids are its words' ids, and a word is encoded once.  It also
     lower-cases, and cuts letters from marks, so that this may be done before."""
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
+        self.cached, self.tokenizer = cached, Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
         self.letters = byte_letters()
         self.reset()
@@ -109,7 +111,7 @@ class WordIds:
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; ids of each text).  Texts are cut into words
         in Arrow; Python sees each distinct word of a block once."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.reset()
         plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), MARKS, APART)
         lists = pc.ascii_split_whitespace(plain)
@@ -162,12 +164,12 @@ class WordIds:
 _encoders: dict = {}
 
 
-def _encode(path: str, end: int, queues: int, known: bool):
+def _encode(path: str, end: int, queues: int, known: bool, cached: int = CACHED_WORDS, block_bytes: int = BLOCK_BYTES):
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = WordIds(path) if known else PlainIds(path)
-        encoder, pid, k, seen, seen_of_queue = _encoders[path], TaskContext.get().partitionId(), 0, Counter(), Counter()
-        for batch in blocks(batches, "text", BLOCK_BYTES):
+        if (path, cached) not in _encoders:
+            _encoders[path, cached] = WordIds(path, cached) if known else PlainIds(path)
+        encoder, pid, k, seen, seen_of_queue = _encoders[path, cached], TaskContext.get().partitionId(), 0, Counter(), Counter()
+        for batch in blocks(batches, "text", block_bytes):
             ids, lengths = encoder(batch.column("text"), end)
             names = batch.column("source").dictionary_encode("encode")
             of = names.indices.to_numpy(zero_copy_only=False)
@@ -383,13 +385,14 @@ def queue_name(source: str | None, queues: int) -> str:
 
 def pack(
     df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, window: int = WINDOW, end: int = END, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: dict[str | None, float] | None = None, quantum: int = QUANTUM,
+    weights: dict[str | None, float] | None = None, quantum: int = QUANTUM, cached_words: int = CACHED_WORDS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
     ``weights``: target proportions of tokens by source, all above 0; by default sources weigh
     what they hold, so that all end together.  ``window``: the sequences that are filled to the
-    proportions at a time; within a window a source's tokens are together.
+    proportions at a time; within a window a source's tokens are together.  ``cached_words`` and ``block_bytes`` bound
+    the memory of a task, and change nothing else.
 
     Null and empty texts are their end token alone; null is a source of its own; a null id counts
     as -1; repeated rows are packed one by one; an empty table gives no pieces; other columns are
@@ -400,7 +403,7 @@ def pack(
     ship(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES, is_known(path) and end < 1 << 16), BLOCK), "encoded", "snappy")  # ids hardly compress
+    encoded = staged(rows.mapInArrow(_encode(path, end, QUEUES, is_known(path) and end < 1 << 16, cached_words, block_bytes), BLOCK), "encoded", "snappy")  # ids hardly compress
     counts = encoded.select("pid", F.explode(F.arrays_zip("sources", "tokens")).alias("x")).groupBy(F.col("x.sources").alias("source"), "pid").agg(F.sum("x.tokens").alias("n"))
     counts = staged(counts, "counts")
     named = counts.groupBy("source").agg(F.sum("n").alias("n"))
@@ -438,4 +441,4 @@ def stage_packing(spark, docs, sf_dir):
     """Pipeline stage, the last: the pieces of all rows.  Null and empty texts are their end token
     alone, repeated rows are packed one by one, a null id counts as -1, an empty table gives no
     pieces, and other columns are ignored."""
-    return pack(docs)
+    return pack(docs, cached_words=STAGE_WORDS, block_bytes=STAGE_BYTES)
