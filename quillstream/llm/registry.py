@@ -1,6 +1,8 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from quillstream.llm import exact_dedup, fingerprints, html_extraction, language_id, lm_scoring, mixing, ngram_join, packing, quality, sharding
+from quillstream.llm import (
+    conversation_repair, exact_dedup, fingerprints, html_extraction, importance, language_id, lm_scoring, mixing, ngram_join, packing, pieces, quality, sharding,
+)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -13,5 +15,8 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_quality": quality.op9_quality,
     "op10_language_id": language_id.op10_language_id,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_importance": importance.op12_importance,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_ngram_join": ngram_join.OP6_SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op12_importance": importance.OP12_SQL, "op13_conversation_repair": conversation_repair.OP13_SQL}
