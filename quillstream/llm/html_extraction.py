@@ -7,10 +7,14 @@ are content; short or undecided ones are ambiguous.  Pass two gives each ambiguo
 of its nearest decided neighbours.
 
 Containers are evidence, not verdicts.  ``main`` and ``article`` rule out what is outside them
-only if they hold enough of the page's prose, and an uncertain class name, or a form, is
-boilerplate only if it holds less than half of it.  Stop words are listed for four languages; in
-a page of another one its own frequent words stand in for them, and sentence marks where words
-aren't separated.  A page whose rules leave nothing is read again with fewer of them.
+only if they hold enough of the page's prose.  The containers of one class name are judged
+together: they are boilerplate if they hold less than a part of the prose, which depends on how
+plainly the name says so; one that holds more is boilerplate only if its name is plain and enough
+prose is left without it, so that a wrapper named after a sidebar is not taken for one, and long
+comments are.  Only elements made for it, hidden ones among them, are final.  Stop words are
+listed for four languages; in a page of another one its own frequent words stand in for them, and
+sentence marks where words aren't separated.  A page whose rules leave nothing is read again with
+fewer of them.
 """
 
 from __future__ import annotations
@@ -29,9 +33,13 @@ from quillstream.shipping import ship
 
 BLOCK_BYTES = 4_000_000
 LONG, SHORT_LINKS, LINKS, STOPS = 70, 0.5, 0.33, 0.2
-#: Parts of a page's prose: main or articles that rule out the rest hold at least so much, and
-#: uncertain containers less than HALF.
-MAIN, HALF = 0.25, 0.5
+#: Parts of a page's prose: main or articles that rule out the rest hold at least so much;
+#: containers by name less than HALF, or MAIN if the name tells a state rather than a thing; or
+#: they leave REST to others.
+MAIN, HALF, REST = 0.25, 0.5, 0.15
+#: How plainly a name says that an element is boilerplate: a sure word that other words follow
+#: (menu-open), an uncertain word, a sure word.
+STATE, MAYBE, PLAIN = 1, 2, 3
 #: Listed stop words are so rare in languages that have no list.
 FOREIGN = 0.08
 
@@ -80,8 +88,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Block:
     text: str
     linked: int  # characters in links, without white space
-    bad: bool  # in a container that is boilerplate for sure
-    weak: int  # the innermost uncertain container, -1 if none
+    bad: bool  # in an element that is boilerplate for sure
+    weak: int  # the innermost container with a name of boilerplate, -1 if none
     article: bool
     main: bool
     heading: bool
@@ -93,7 +101,7 @@ class Tags:
 
     def __init__(self, page: str):
         self.page, self.missing = page, set()
-        self.lower = ""
+        self.lower, self.ahead = "", {}
 
     def find(self, what: str, at: int) -> int:
         """As str.find; what was once not found isn't looked for again."""
@@ -139,25 +147,30 @@ class Tags:
         key = "</" + name
         if key in self.missing:
             return -1
+        if self.ahead.get(key, -1) >= at:  # places are asked for in order
+            return self.ahead[key]
         if not self.lower:
             self.lower = self.page.lower()
             if len(self.lower) != len(self.page):  # letters that grow: ASCII ones are all we need
                 self.lower = re.sub("[A-Z]+", lambda m: m[0].lower(), self.page)
         while (k := self.lower.find(key, at)) >= 0:
             if self.lower[k + len(key) : k + len(key) + 1] in " \t\n\r\f/>":
+                self.ahead[key] = k
                 return k
             at = k + len(key)
         self.missing.add(key)
         return -1
 
 
-def marks(name: str, attributes: dict[str, str]) -> int:
-    """2 if the attributes say that an element is boilerplate, 1 if they may, else 0."""
-    if not attributes:
-        return 0
-    if "hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attributes.get("style", "")):
-        return 2
-    best = 0
+def hidden(attributes: dict[str, str]) -> bool:
+    return bool(
+        "hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attributes.get("style", ""))
+    )
+
+
+def marks(name: str, attributes: dict[str, str]) -> dict[str, int]:
+    """The class names, ids and roles that say that an element is boilerplate, and how plainly."""
+    found: dict[str, int] = {}
     for key in ("class", "id", "role"):
         for word in attributes.get(key, "").split():
             parts = [p for p in re.split(r"[_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)) if p]
@@ -165,21 +178,31 @@ def marks(name: str, attributes: dict[str, str]) -> int:
                 continue
             if name in ("article", "main", "body", "html"):
                 if name == "article" and parts[0].lower() in ("comment", "comments", "reply", "related", "promo", "sponsored", "ad"):
-                    return 2
+                    found[word] = PLAIN
                 continue
-            if any(SURE.fullmatch(p) for p in parts):
-                return 2
             tail = parts[-1].lower()
             for k, p in enumerate(parts):
-                if UNSURE.fullmatch(p) and (k == len(parts) - 1 or tail in ENDINGS or tail.isdigit()):
-                    best = 1
-    return best
+                says_what = k == len(parts) - 1 or tail in ENDINGS or tail.isdigit()
+                mark = (PLAIN if says_what else STATE) if SURE.fullmatch(p) else MAYBE if says_what and UNSURE.fullmatch(p) else 0
+                if mark:
+                    found[word] = max(mark, found.get(word, 0))
+    return found
 
 
-def cut(page: str) -> tuple[list[Block], list[int]]:
-    """The blocks in order, and the container that each uncertain container is in."""
+@dataclass(slots=True)
+class Named:
+    """A container with names of boilerplate."""
+
+    parent: int  # the named container it is in, -1 if none
+    names: dict[str, int]
+    first: list[str]  # those that no container around it has
+
+
+def cut(page: str) -> tuple[list[Block], list[Named]]:
+    """The blocks in order, and the containers with names of boilerplate."""
     out: list[Block] = []
-    parents: list[int] = []
+    named: list[Named] = []
+    around: Counter = Counter()  # names of the open containers
     tags, depth = Tags(page), Counter()
     # name, mute, bad, weak, article, main, heading, header
     top = ("", False, False, -1, False, False, False, False)
@@ -218,16 +241,20 @@ def cut(page: str) -> tuple[list[Block], list[int]]:
     def pop() -> None:
         if not stack[-1][1]:
             flush()
-        depth[stack.pop()[0]] -= 1
+        name, _, _, weak, *_ = stack.pop()
+        depth[name] -= 1
+        if weak != stack[-1][3]:
+            around.subtract(named[weak].names.keys())
 
-    def push(name: str, mute: bool, mark: int) -> None:
+    def push(name: str, mute: bool, final: bool, names: dict[str, int]) -> None:
         _, was_mute, bad, weak, article, main, heading, header = stack[-1]
-        if mark == 1:
-            parents.append(weak)
-            weak = len(parents) - 1
+        if names:
+            named.append(Named(weak, names, [x for x in names if not around[x]]))
+            around.update(names.keys())
+            weak = len(named) - 1
         inside = article or main
         stack.append((
-            name, mute or was_mute, bad or mark == 2, weak, article or name == "article", main or name == "main",
+            name, mute or was_mute, bad or final, weak, article or name == "article", main or name == "main",
             heading or name in HEADINGS, header or name == "header" and inside,
         ))
         depth[name] += 1
@@ -293,10 +320,10 @@ def cut(page: str) -> tuple[list[Block], list[int]]:
         elif name in MUTE:
             text.append(" ")
             if not (name in ("svg", "math") and page[at - 2] == "/") and tags.closes(name, at) >= 0:
-                push(name, True, 0)
+                push(name, True, False, {})
         elif stack[-1][1]:
             if name not in VOID and name not in INLINE and depth[name]:
-                push(name, True, 0)  # so that its end tag does not close one further out
+                push(name, True, False, {})  # so that its end tag does not close one further out
         elif name == "a":
             end_link(False)
             if "href" in attributes:
@@ -304,11 +331,12 @@ def cut(page: str) -> tuple[list[Block], list[int]]:
         elif name == "br":
             text.append(" ")
         elif name in INLINE:
-            if name == "span" and (depth["span"] or marks(name, attributes) == 2):
-                mark = marks(name, attributes)
-                if mark == 2:
-                    flush()
-                push(name, False, mark if mark == 2 else 0)
+            if name == "span":
+                names = {x: m for x, m in marks(name, attributes).items() if m == PLAIN}
+                if depth["span"] or names or hidden(attributes):
+                    if names or hidden(attributes):
+                        flush()
+                    push(name, False, hidden(attributes), names)
         else:
             flush()
             if name in ENDS_P and stack[-1][0] == "p":
@@ -317,20 +345,20 @@ def cut(page: str) -> tuple[list[Block], list[int]]:
                 pop()
             if name not in VOID:
                 inside = stack[-1][4] or stack[-1][5]
-                if name in BOILERPLATE or name == "header" and not inside:
-                    mark = 2
-                else:
-                    mark = max(marks(name, attributes), int(name == "form"))
-                    if name == "header":
-                        mark = 0 if mark == 1 else mark
-                push(name, False, mark)
+                final = name in BOILERPLATE or name == "header" and not inside or hidden(attributes)
+                names = {} if final else marks(name, attributes)
+                if name == "header":
+                    names = {x: m for x, m in names.items() if m == PLAIN}
+                elif name == "form" and not final:
+                    names["<form>"] = MAYBE
+                push(name, False, final, names)
     add(page[at:])
     flush()
     end_link(False)
     for k, chars in linked.items():
         if k < len(out):
             out[k].linked = chars
-    return out, parents
+    return out, named
 
 
 def width(text: str) -> int:
@@ -338,31 +366,61 @@ def width(text: str) -> int:
     return len(text) if text.isascii() else len(text) + len(WIDE.findall(text))
 
 
-def decide(found: list[Block], parents: list[int]) -> list[bool]:
+def decide(found: list[Block], named: list[Named]) -> list[bool]:
     """Which blocks are content, by the two passes; with fewer rules if these leave nothing."""
     for use_marks, use_words in ((True, True), (False, True), (False, False)):
-        keep = _decide(found, parents, use_marks, use_words)
+        keep = _decide(found, named, use_marks, use_words)
         if any(keep):
             return keep
     return keep
 
 
-def _decide(found: list[Block], parents: list[int], use_marks: bool, use_words: bool) -> list[bool]:
+def _held(found: list[Block], named: list[Named], prose: list[int]) -> Counter:
+    """The prose in the containers of each name."""
+    held = [0] * len(named)
+    for b, p in zip(found, prose):
+        if b.weak >= 0:
+            held[b.weak] += p
+    out: Counter = Counter()
+    for k in range(len(named) - 1, -1, -1):  # a container comes after the one it is in
+        if named[k].parent >= 0:
+            held[named[k].parent] += held[k]
+        for name in named[k].first:
+            out[name] += held[k]
+    return out
+
+
+def _boilerplate(found: list[Block], named: list[Named], prose: list[int]) -> list[bool]:
+    """Which named containers are boilerplate."""
+    plain: dict[str, int] = {}
+    for c in named:
+        for name, mark in c.names.items():
+            plain[name] = max(mark, plain.get(name, 0))
+
+    def inside(names: set[str]) -> list[bool]:
+        out: list[bool] = []
+        for c in named:
+            out.append(c.parent >= 0 and out[c.parent] or not names.isdisjoint(c.names))
+        return out
+
+    total = sum(prose)
+    part = _held(found, named, prose)
+    bad = {x for x, mark in plain.items() if part[x] < (MAIN if mark == STATE else HALF) * total or not total}
+    if large := [x for x, mark in plain.items() if mark == PLAIN and x not in bad]:
+        gone = inside(bad)
+        prose = [0 if b.weak >= 0 and gone[b.weak] else p for b, p in zip(found, prose)]
+        main = [p if b.main else 0 for b, p in zip(found, prose)]
+        total, part, in_main = sum(prose), _held(found, named, prose), _held(found, named, main)
+        bad |= {x for x in large if total - part[x] >= REST * total and total or sum(main) - in_main[x] > REST * REST * total}
+    return inside(bad)
+
+
+def _decide(found: list[Block], named: list[Named], use_marks: bool, use_words: bool) -> list[bool]:
     size = [len(b.text) - b.text.count(" ") for b in found]
     links = [min(1.0, b.linked / max(1, n)) for b, n in zip(found, size)]
     strong = [b.bad for b in found]
     prose = [0 if bad or x > LINKS else n for bad, x, n in zip(strong, links, size)]
-    total = max(1, sum(prose))
-    held = [0] * len(parents)
-    for b, p in zip(found, prose):
-        if b.weak >= 0:
-            held[b.weak] += p
-    for k in range(len(parents) - 1, -1, -1):  # a container comes after the one it is in
-        if parents[k] >= 0:
-            held[parents[k]] += held[k]
-    weak = [False] * len(parents)
-    for k, parent in enumerate(parents):
-        weak[k] = use_marks and held[k] < HALF * total or parent >= 0 and weak[parent]
+    weak = _boilerplate(found, named, prose) if use_marks else [False] * len(named)
     bad = [s or b.weak >= 0 and weak[b.weak] for s, b in zip(strong, found)]
     prose = [0 if x else p for x, p in zip(bad, prose)]
     total = max(1, sum(prose))
@@ -430,8 +488,8 @@ def neighbours(first: list[bool | None], bad: list[bool], region: list[bool]) ->
 
 
 def extract(page: str) -> str:
-    found, parents = cut(page)
-    return "\n".join(b.text for b, keep in zip(found, decide(found, parents)) if keep)
+    found, named = cut(page)
+    return "\n".join(b.text for b, keep in zip(found, decide(found, named)) if keep)
 
 
 def _extract(batches):
