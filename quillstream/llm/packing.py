@@ -17,7 +17,6 @@ import json
 import os
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from itertools import chain
 
@@ -36,8 +35,9 @@ from tokenizers import Tokenizer
 from quillstream.llm.core import Interner, blocks, ranges, staged, table, trim
 from quillstream.shipping import ship
 
-#: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens.
-LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 256
+#: WINDOW is in sequences; a queue is served when it is owed QUANTUM tokens, so that all with such a
+#: share of a window are served in each.
+LENGTH, END, WINDOW, QUANTUM = 2048, 1, 1, 8
 BLOCK_BYTES, CACHED_WORDS = 3_000_000, 350_000
 #: The same in the pipeline, whose executors have less memory to spare after its other stages.
 STAGE_BYTES, STAGE_WORDS = 1_500_000, 150_000
@@ -260,7 +260,12 @@ def fill_windows(left: np.ndarray, share: np.ndarray, deficit: np.ndarray, windo
         if over > 0:  # owed more than fits: each gives its part, the rest stays owed
             give = np.floor(give * (room / give.sum())).astype(np.int64)
             over = int(give.sum()) - room
-        # the rest: to who is owed most, of those served in this window first
+        # the rest, if it is what rounding left: one token each to those who are owed most of one
+        more = np.flatnonzero((give > 0) & (give < left))
+        if 0 < -over <= len(more):
+            give[more[np.argsort((give - deficit)[more], kind="stable")[:-over]]] += 1
+            over = 0
+        # else to who is owed most, of those served in this window first
         for s in np.lexsort((give - deficit, (give == 0) & (deficit < quantum))):
             if over >= 0:
                 break
@@ -323,46 +328,53 @@ def _slice(schedule, queue_of):
     return run
 
 
+def lay_out(bounds: np.ndarray, gives: np.ndarray, first: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the queues, place in the output, length) of each piece.
+
+    ``bounds``: where documents start, the queues lying end to end; ``gives``: what each queue (a
+    column) gives to each window (a row); ``first``: place of the first window; ``edges``: places
+    of the output at which sequences start.  Pieces begin where a queue's turn, a document or a
+    sequence does.
+    """
+    starts = np.cumsum(gives.sum(0)) - gives.sum(0)  # of the queues
+    from_queue = starts + np.cumsum(gives, 0) - gives
+    some = gives.ravel() > 0
+    size, source = gives.ravel()[some], from_queue.ravel()[some]
+    out = first + np.cumsum(size) - size
+    turn = np.argsort(source)  # turns in order of the queues
+    of = turn[np.searchsorted(source[turn], bounds, "right") - 1]
+    edges = edges[(edges >= first) & (edges < first + int(size.sum()))]
+    places = np.unique(np.concatenate([out, out[of] + bounds - source[of], edges]))
+    of = np.searchsorted(out, places, "right") - 1
+    return source[of] + places - out[of], places, np.diff(np.append(places, first + int(size.sum())))
+
+
 def _pack_group(schedule, length: int, window: int, quantum: int):
     def run(data: pa.Table) -> pa.Table:
-        plan, rows = schedule.value, sorted(data.to_pylist(), key=lambda r: (r["queue"], r["at"]))
-        g = rows[0]["grp"]
+        plan, data = schedule.value, data.combine_chunks()
+        data = data.take(pc.sort_indices(data, [("queue", "ascending"), ("at", "ascending")]))
+        g = data["grp"][0].as_py()
         place = int(plan.cut(slice(None), g).sum())
-        queues: dict[int, list] = {}
-        for r in rows:
-            doc_ids, starts, lengths, doc_tokens = (np.frombuffer(r[c], "<i8").tolist() for c in ("doc_ids", "starts", "lengths", "doc_tokens"))
-            ids = memoryview(_read_ids(r["ids"], sum(lengths)).astype("<u4").tobytes())
-            at = 0
-            queue = queues.setdefault(r["queue"], [])
-            for x in zip(doc_ids, starts, lengths, doc_tokens):
-                queue.append((*x, ids, at))
-                at += 4 * x[2]
-        names = sorted(queues)
-        left = np.array([sum(x[2] for x in queues[s]) for s in names], np.int64)
+        doc_ids, starts, lengths, doc_tokens = (np.frombuffer(b"".join(data[c].to_pylist()), "<i8") for c in ("doc_ids", "starts", "lengths", "doc_tokens"))
+        sizes = np.array([len(x) // 8 for x in data["lengths"].to_pylist()])
+        of = np.repeat(data["queue"].to_numpy(), sizes)
+        tokens = np.add.reduceat(lengths, np.cumsum(sizes) - sizes).tolist()
+        ids = memoryview(b"".join(_read_ids(x.as_py(), n).astype("<u4", copy=False).tobytes() for x, n in zip(data["ids"], tokens)))
+        names, turns = np.unique(of, return_inverse=True)
+        left = np.bincount(turns, lengths).astype(np.int64)
         share = plan.weights[names] / plan.weights[names].sum()
-        deficit = plan.owed(np.array(names), g) - plan.cut(np.array(names), g)
-        turn, done = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        deficit = plan.owed(names, g) - plan.cut(names, g)
+        gives = np.array(list(fill_windows(left, share, deficit, window, window - place % window, quantum)))
         whole = plan.total // length * length
-        tail = whole + np.cumsum([0, *sequence_sizes(plan.total - whole, length)])
-        out: list[tuple] = []
-        for give in fill_windows(left, share, deficit, window, window - place % window, quantum):
-            for k in np.flatnonzero(give).tolist():
-                s, want = names[k], int(give[k])
-                while want:
-                    if place < whole:
-                        sequence, begin, end = place // length, place - place % length, place - place % length + length
-                    else:
-                        j = bisect_right(tail, place) - 1
-                        sequence, begin, end = whole // length + j, int(tail[j]), int(tail[j + 1])
-                    doc, start, size, tokens, ids, at = queues[s][turn[s]]
-                    take = min(want, size - done[s], end - place)
-                    a = at + 4 * done[s]
-                    out.append((doc, start + done[s], take, zlib.crc32(ids[a : a + 4 * take]), tokens, sequence, place - begin))
-                    want, place, done[s] = want - take, place + take, done[s] + take
-                    if done[s] == size:
-                        turn[s], done[s] = turn[s] + 1, 0
-        schema = _schema(PIECES)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema) if out else schema.empty_table()
+        edges = np.concatenate([np.arange(place // length * length, min(whole, place + int(lengths.sum())), length), whole + np.cumsum([0, *sequence_sizes(plan.total - whole, length)])])
+        bounds = np.cumsum(lengths) - lengths
+        source, places, size = lay_out(bounds, gives, place, edges)
+        doc = np.searchsorted(bounds, source, "right") - 1
+        at = np.searchsorted(edges, places, "right") - 1
+        sequence = np.where(edges[at] < whole, edges[at] // length, whole // length + at - np.searchsorted(edges, whole))
+        crc = np.fromiter((zlib.crc32(ids[a:b]) for a, b in zip((4 * source).tolist(), (4 * (source + size)).tolist())), np.int64, len(source))
+        columns = (doc_ids[doc], starts[doc] + source - bounds[doc], size, crc, doc_tokens[doc], sequence, places - edges[at])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_schema(PIECES))
 
     return run
 
