@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.shipping import ship
@@ -112,6 +113,29 @@ def hot_join(rows: DataFrame, answers: DataFrame, key: str, size: str, total: in
     return met.unionByName(told.where("_key IS NOT NULL").select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in names]))
 
 
+#: Rows put in order by one task, about, and tasks at most.
+ORDER_ROWS, ORDER_TASKS = 50_000, 20_000
+
+
+def with_before(df: DataFrame, order: list, n: int, **values) -> DataFrame:
+    """``df`` with, for each name of ``values``, the sum of that column over all rows before in
+    ``order``, which must tell all rows apart.  ``n``: about how many rows there are.
+
+    Rows are dealt out by ranges of the order; sums within a range and over earlier ranges make
+    the whole, so that no task orders all rows.
+    """
+    tasks = min(ORDER_TASKS, 1 + n // ORDER_ROWS)
+    task, at, before = unused(df, "task", "at", "before")
+    x = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    x = staged(x.withColumn(task, F.shiftright(at, 33)), "ordered")  # a row's number holds its task's, and its place there
+    ahead = x.groupBy(task).agg(*(F.sum(v).alias(k) for k, v in values.items()))  # at most ORDER_TASKS rows
+    earlier = W.orderBy(task).rowsBetween(W.unboundedPreceding, -1)
+    ahead = ahead.select(F.col(task).alias(before), *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{before}_{k}") for k in values))
+    inner = W.partitionBy(task).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    x = x.join(F.broadcast(ahead), F.col(task) == F.col(before))
+    return x.withColumns({k: F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"{before}_{k}") for k, v in values.items()}).select(*df.columns, *values)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the driver collect what it no longer refers to, so that Spark removes the shuffle
     files of queries that have ended."""

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import WORD_RE, staged, table, unused
+from quillstream.llm.core import WORD_RE, hot_join, staged, table, unused, with_before
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 17
 SHARD_WORDS, MAX_BLOCK, MIN_BLOCKS = 100_000, 32, 512
+#: Sources told to all tasks, and dealt out by one, at most.
+TOLD_SOURCES = 50_000
 #: A prime above any block count of a shard: a multiple of it, modulo n, visits all n blocks.
 STEP = 2_654_435_761
 
@@ -50,64 +52,85 @@ def sainte_lague(df: DataFrame, group: list[str], key: str, weight: str, seats:
     return df.join(won, same, "left").select(*names, (F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).alias(out))
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
+def source_targets(sizes: DataFrame, n: int | None = None) -> DataFrame:
     """source, source_size, target, from one row for each source and its size.
 
     Sources by code point, null last, weigh 3, 1, 2, and so on; the mix has 150 % of all words;
     a target stops at twice its source's size and what is above is shared again by weight.
-    Sources are few (one row each), so they are ordered in one task.
+    Sources may be as many as they like: their ranks and running sums come by ranges.
     """
-    one = W.partitionBy(F.lit(0))
-    rank = F.row_number().over(one.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((rank - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = sizes.withColumn("weight", w.cast("double")).withColumn("_cap", CAP * F.col("source_size"))
-    s = s.withColumn("_all", SHARE * F.sum("source_size").over(one))
-    by = one.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(W.unboundedPreceding, -1)
+    n = sizes.count() if n is None else n
+    by_name = F.col("source").asc_nulls_last()
+    s = with_before(sizes.withColumn("_one", F.lit(1)), [by_name], n, _rank="_one").drop("_one")
+    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int"))
+    s = s.withColumn("weight", w.cast("double")).withColumn("_cap", CAP * F.col("source_size")).drop("_rank")
+    words, weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    s = with_before(s, [F.col("_cap") / F.col("weight"), by_name], n, _caps="_cap", _weights="weight")
     # the level if this and all later sources stay below their caps; it falls after the first for
     # which that holds, so the highest such level is the one
-    level = (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing))
-    s = s.withColumn("_level", level)
-    s = s.withColumn("_share", F.max(F.when(F.col("_cap") / F.col("weight") > F.col("_level"), F.col("_level"))).over(one))
-    target = F.when(F.col("_cap") <= F.coalesce(F.col("_share"), F.lit(float("inf"))) * F.col("weight"), F.col("_cap")).otherwise(F.col("_share") * F.col("weight"))
+    level = (F.lit(SHARE * words) - F.col("_caps")) / (F.lit(weights) - F.col("_weights"))
+    share = s.agg(F.max(F.when(F.col("_cap") / F.col("weight") > level, level))).first()[0]
+    share = F.lit(float("inf") if share is None else share)
+    target = F.when(F.col("_cap") <= share * F.col("weight"), F.col("_cap")).otherwise(share * F.col("weight"))
     return s.select("source", "source_size", target.alias("target"))
 
 
+def source_seats(targets: DataFrame, n: int) -> DataFrame:
+    """Add ``seats``: the mix's words dealt out to groups of sources, and a group's to its sources."""
+    all_seats = targets.agg(F.round(F.coalesce(F.sum("target"), F.lit(0.0))).cast("long")).first()[0]
+    targets = staged(targets.withColumn("_in", F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(1 + n // TOLD_SOURCES))), "targets")
+    groups = targets.groupBy("_in").agg(F.sum("target").alias("_of_group")).withColumn("_seats", F.lit(all_seats))
+    groups = sainte_lague(groups, [], "_in", "_of_group", "_seats", "_mine").select(F.col("_in").alias("_g"), "_mine")
+    targets = targets.join(F.broadcast(groups), F.col("_in") == F.col("_g")).drop("_g")
+    return sainte_lague(targets, ["_in"], "source", "target", "_mine", "seats").drop("_in", "_mine")
+
+
+def told(rows: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the facts of their source, one row for each of ``n`` sources.  Up to
+    TOLD_SOURCES of them are told to all tasks, more meet by a shuffle."""
+    facts = facts.withColumnRenamed("source", "_s")
+    facts = F.broadcast(facts) if n <= TOLD_SOURCES else facts
+    return rows.join(facts, rows["source"].eqNullSafe(facts["_s"])).drop("_s")
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row.
 
     ``taken`` is how many words the mix takes of the row, repeats counted; of a source it sums
     to its target but for a block in each shard at most, and of a row it is at most 2 * size.
     Null and empty texts have size 0 and give nothing; null is a source of its own, the last;
-    repeated rows are dealt with one by one; an empty table stays empty.
+    repeated rows are dealt with one by one; an empty table stays empty.  Rows of one id lie in
+    shards by their texts, so that one id may have many rows.
     """
     size = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(WORD_RE)))
-    rows = staged(df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size")), "sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))  # few: one row each
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), F.xxhash64(text).alias("_h"))
+    rows = staged(rows, "sizes")
+    sources = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "sources")
+    n, n_rows = sources.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     shards = F.floor(F.col("source_size") / SHARD_WORDS) + 1
-    block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("source_size") / MIN_BLOCKS))).cast("long")
-    cuts = F.broadcast(sources.select(F.col("source").alias("_s"), shards.alias("_shards"), block.alias("_block")))
-    rows = rows.join(cuts, rows["source"].eqNullSafe(cuts["_s"])).drop("_s")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")))
+    block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.least("source_size", "target") / MIN_BLOCKS))).cast("long")
+    targets = source_seats(source_targets(sources.drop("_rows"), n), n).withColumn("_block", block)
+    t = staged(targets.withColumn("blocks", F.round(F.col("seats") / F.col("_block")).cast("long")).drop("seats"), "seats")
+    cuts = t.join(sources.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "_rows", shards.alias("_shards"), "_block")
+    if n <= TOLD_SOURCES:
+        rows = told(rows, cuts.drop("_rows"), n)
+    else:  # a source with very many rows is told, the others meet by a shuffle
+        name = lambda x: x.withColumn("_name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        rows = hot_join(name(rows), name(cuts).drop("source"), "_name", "_rows", n_rows).drop("_name", "_rows")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_h"), F.col("_shards")))
     group = F.pmod("shard", F.ceil(F.sqrt(F.first("_shards")))).alias("grp")
     parts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("_block").alias("_block"), group)
     rows = rows.drop("_shards")
-    targets = source_targets(sources)
-    targets = targets.withColumn("_n", F.round(F.sum("target").over(W.partitionBy(F.lit(0)))).cast("long"))
-    targets = sainte_lague(targets, [], "source", "target", "_n", "seats")
-    targets = targets.withColumn("blocks", F.round(F.col("seats") / block).cast("long"))
-    t = staged(targets.select(F.col("source").alias("_s"), "source_size", "target", "blocks"), "targets")  # one row each
-    groups = parts.groupBy("source", "grp").agg(F.sum("words").alias("words"))
-    groups = groups.join(F.broadcast(t.select("_s", "blocks")), groups["source"].eqNullSafe(t["_s"])).drop("_s")
+    groups = told(parts.groupBy("source", "grp").agg(F.sum("words").alias("words")), t.select("source", "blocks"), n)
     groups = sainte_lague(groups, ["source"], "grp", "words", "blocks", "blocks_of")
     g = groups.select(F.col("source").alias("_s"), F.col("grp").alias("_g"), "blocks_of")
     parts = parts.join(g, parts["source"].eqNullSafe(g["_s"]) & (parts["grp"] == g["_g"])).drop("_s", "_g")
     parts = sainte_lague(parts, ["source", "grp"], "shard", "words", "blocks_of", "quota")
-    parts = parts.join(F.broadcast(t.drop("blocks")), parts["source"].eqNullSafe(t["_s"])).drop("_s")
-    n = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("_block"))).cast("long")
-    parts = parts.withColumn("_n", n).withColumn("quota", F.least(F.col("quota"), (CAP * F.col("_n")).cast("long")))
+    parts = told(parts, t.drop("blocks", "_block"), n)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("_block"))).cast("long")
+    parts = parts.withColumn("_n", blocks).withColumn("quota", F.least(F.col("quota"), (CAP * F.col("_n")).cast("long")))
     p = parts.select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "source_size", "target", "_n", "quota")
-    stream = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    stream = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_h"), "doc_id", "_h", "size")
     rows = rows.withColumn("_end", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.join(p, rows["source"].eqNullSafe(p["_s"]) & (rows["shard"] == p["_p"]))
     start = F.col("_end") - F.col("size")
