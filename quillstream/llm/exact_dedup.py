@@ -155,8 +155,8 @@ def exact_dedup(df: DataFrame, history: DataFrame | None = None, key: str = "doc
 def resolve(past: DataFrame, new: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of all digests of ``past``, through its index, and of those
     of ``new`` that it does not have; both are rows of ``distinct_digests``."""
-    past = staged(past, "history")
-    shards = 1 + past.count() // SHARD_DIGESTS
+    past, new = staged(past, "history"), staged(new, "incoming")
+    shards = 1 + max(past.count(), new.count()) // SHARD_DIGESTS
     found = with_shard(new, shards).groupBy("shard").cogroup(build_index(past, shards).groupBy("shard")).applyInPandas(_lookup_shard, FOUND)
     return found.select("digest", F.when(F.col("keep_none") == 0, F.col("keep_id")).alias("keep_id"), F.col("size").alias("group_size"))
 
