@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """The edges with ``m``, the least v of each u: minima are combined before the shuffle, and
     those of vertices with very many edges are told to all tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")  # read three times
     return hot_join(edges, least, "u", "n", total).drop("n")
 
 

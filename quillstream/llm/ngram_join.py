@@ -41,6 +41,8 @@ BLOCK_BYTES, CACHED_WORDS = 4_000_000, 300_000
 #: Segment hashes sorted by one task, about; shingles joined by one task, about, and of a
 #: component that is joined as one piece, at most.
 TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 250_000, 1_000_000
+#: A component with more than this part of all shingles is joined in pieces, too, if it has so many.
+PIECE_PART, LEAST_PIECE = 100, 20_000
 #: Hashes that a small set is given, at most.
 VARIANTS = 128
 #: Sets with so many copies, at most so many of them, are told to all tasks, which then leave
@@ -387,11 +389,11 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("task", "component", "lead", "shingles").groupBy("task").applyInArrow(_join(percent), "u long, v long")
 
 
-def _crossed(sets: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+def _crossed(sets: DataFrame, some: DataFrame, percent: int, piece: int) -> DataFrame:
     """Links of components between ``some`` of their sets and all: each chunk of these meets each
     piece of all."""
-    chunks = some.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("chunks"))
-    task = lambda piece, chunk: F.concat_ws(":", "component", piece, chunk)
+    chunks = some.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / piece).cast("int").alias("chunks"))
+    task = lambda part, chunk: F.concat_ws(":", "component", part, chunk)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = sets.join(chunks, "component").withColumn("_i", upto("chunks")).withColumn("task", task("piece", "_i"))
     part = some.join(chunks, "component").withColumn("_i", F.pmod(F.xxhash64(F.lit(1), "lead"), F.col("chunks")))
@@ -400,7 +402,7 @@ def _crossed(sets: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     return _joined(whole.select(*columns).union(part.select(*columns)), percent)
 
 
-def link_large(sets: DataFrame, percent: int) -> DataFrame:
+def link_large(sets: DataFrame, percent: int, piece: int) -> DataFrame:
     """Edges (u, v) between linked sets of components that are too large for one task, such that
     their components are those of all links.
 
@@ -408,21 +410,21 @@ def link_large(sets: DataFrame, percent: int) -> DataFrame:
     pieces with each other.  Groups that this makes one need no comparing within; what is not in
     the largest group of its component is compared with all.  A component of near copies thus
     takes one pass over its sets, however large; only sets that are not in its largest group then
-    cost a pass over the component for each PIECE_SHINGLES shingles of them.
+    cost a pass over the component for each ``piece`` shingles of them.
     """
     sets = staged(sets.withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")), "large")
     alone = staged(_joined(sets.withColumn("task", F.concat_ws(":", "component", "piece")), percent), "links")
     first = sets.join(alone.select(F.col("v").alias("lead")).distinct(), "lead", "left_semi").drop("pieces", "piece")
-    size = first.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("pieces"))
+    size = first.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / piece).cast("int").alias("pieces"))
     first = first.join(size, "component").withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int"))
-    across = staged(_crossed(first, first, percent), "links")
+    across = staged(_crossed(first, first, percent, piece), "links")
     links = alone.union(across)
     roots = connected_components(links).withColumnRenamed("u", "lead")
     grouped = staged(sets.select("component", "lead").join(roots, "lead", "left").select("component", "lead", F.coalesce("root", "lead").alias("root")), "groups")
     sizes = grouped.groupBy("component", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("component").agg(F.max(F.struct("n", "root")).alias("m")).select("component", F.col("m.root").alias("main"))
     other = grouped.join(main, "component").where("root <> main").select("lead")
-    return links.union(_crossed(sets, sets.join(other, "lead", "left_semi"), percent))
+    return links.union(_crossed(sets, sets.join(other, "lead", "left_semi"), percent, piece))
 
 
 def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,7 +436,8 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     null id counts as -1; an empty table stays empty; other columns are ignored.
 
     No list, component or copy is expanded into pairs.  A component of candidates beyond
-    PIECE_SHINGLES is joined in pieces (link_large), so memory is bounded and no link is lost.
+    PIECE_SHINGLES, or a hundredth of all, is joined in pieces (link_large), so memory and a task's
+    part of the work are bounded and no link is lost.
     """
     spark = df.sparkSession
     ship(spark)
@@ -446,17 +449,18 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     total, n_rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     buckets = 1 + int(total * 2.2 * Segments(percent).share) // TASK_SEGMENTS
     edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary, edges binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
+    piece = min(PIECE_SHINGLES, max(LEAST_PIECE, total // PIECE_PART))
     found = connected_components(edges)
     roots = found.select(F.col("u").alias("node"), F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
     members = sets.where("n > 0").select("sig", "lead", "n", "node").join(roots, "node").drop("node")
-    size = members.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).withColumn("pieces", F.ceil(F.col("size") / PIECE_SHINGLES).cast("int"))
+    size = members.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).withColumn("pieces", F.ceil(F.col("size") / piece).cast("int"))
     members = staged(hot_join(members, size, "component", "sets", n_rows), "members")
     total, most = members.where("pieces = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], members.agg(F.coalesce(F.max("pieces"), F.lit(0))).first()[0]
     task = F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string")
     links = _joined(_fetch(rows, members.where("pieces = 1"), words).withColumn("task", task), percent)
     links = links.where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
     if most > 1:
-        large = connected_components(link_large(_fetch(rows, members.where("pieces > 1"), words), percent))
+        large = connected_components(link_large(_fetch(rows, members.where("pieces > 1"), words), percent, piece))
         links = links.unionByName(large)
     ids = sets.join(links, sets["lead"] == links["u"], "left").select("sig", F.coalesce("root", "lead").alias("component"), "copies")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

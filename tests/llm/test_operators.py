@@ -336,6 +336,48 @@ def test_stirling_numbers_and_tables():
     assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 5000
 
 
+def test_a_hundred_thousand_sources(spark):
+    """Targets by water-filling on one list, and the mix of a table with as many sources."""
+    n = 100_000
+    sizes = spark.range(n).selectExpr("concat('s', lpad(id, 6, '0')) AS source", "1 + (id * 7919) % 97 AS source_size")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    size = {f"s{i:06}": 1 + (i * 7919) % 97 for i in range(n)}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(size))}
+    left, weights = 1.5 * sum(size.values()), sum(weight.values())
+    for s in sorted(size, key=lambda s: 2 * size[s] / weight[s]):
+        if 2 * size[s] / weight[s] > left / weights:
+            break
+        left, weights = left - 2 * size[s], weights - weight[s]
+    for s in size:
+        assert got[s] == pytest.approx(min(2 * size[s], left / weights * weight[s]))
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat('word ', 20) AS text", "concat('s', id) AS source").union(
+        spark.range(30_000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text", "'hot' AS source")
+    )
+    taken = mixing.mix(docs).groupBy(F.col("source") == "hot").agg(F.sum("taken"), F.sum("size"), F.max(F.col("taken") / F.col("size")), F.count("*"), F.max("target")).collect()
+    by = {r[0]: r for r in taken}
+    assert {r[4] for r in taken} == {n, 30_000} and max(r[3] for r in taken) <= 2
+    assert by[True][1] == pytest.approx(by[True][5], rel=0.01) and by[True][1] + by[False][1] == pytest.approx(1.5 * 20 * (n + 30_000), rel=0.02)
+
+
+def test_one_id_of_many_rows_lies_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    docs = spark.range(2000).selectExpr("CAST(NULL AS long) AS doc_id", "concat(repeat('word ', 20), id) AS text", "'a' AS source")
+    got = mixing.mix(docs).agg(F.sum("taken"), F.max("target"), F.count("*")).first()
+    assert got[0] == pytest.approx(got[1], rel=0.02) and got[2] == 2000
+
+
+def test_shards_follow_the_larger_side(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 100)
+    seen = []
+    build = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda past, shards: seen.append(shards) or build(past, shards))
+    rows = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    past = exact_dedup.distinct_digests(exact_dedup.digest_rows(rows.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") - 50)))
+    got = exact_dedup.exact_dedup(rows, past)
+    assert got.where("group_size = 2 AND keep_id < 0").count() == 10 and got.where("kept").count() == 1990
+    assert seen == [21]
+
+
 # --- packing
 
 
@@ -486,6 +528,7 @@ def test_ngram_join(spark, words, percent):
 @pytest.mark.parametrize("size", [60, 400])
 def test_ngram_join_in_pieces(spark, monkeypatch, size):
     monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", size)
+    monkeypatch.setattr(ngram_join, "LEAST_PIECE", size)
     monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 500)
     monkeypatch.setattr(core, "HOT_ROWS", 3)
     rows = [(i, t) for i, t in enumerate(near_copies(9))]
