@@ -1,7 +1,7 @@
 """Answer graders: (answer text, ground truth) to a score, as column expressions.
 
-Balanced braces, multiset matching of tool calls and expression equality need loops; those are
-Arrow-batched pandas functions.  Submitted code is never run and no text is evaluated.
+Balanced braces, multiset matching of tool calls and expression equality (``algebra``) need loops;
+those are Arrow-batched pandas functions.  Submitted code is never run and no text is evaluated.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.functions.algebra import same_with_pi
+
 NUMBER = r"(-?[$0-9.,]{2,}|-?[0-9]+)"
 
 
@@ -204,42 +205,9 @@ def tool_score(answer: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([tool_similarity(parse_calls(t), parse_calls(a)) for a, t in zip(answer, truth)], dtype="float64")
 
 
-def number(text: str) -> Fraction | None:
-    """The value of a plain number, percentage, fraction or mixed number."""
-    s = re.sub(r"[\s$]|\\!|\\left|\\right|(?<=\d),(?=\d{3}(\D|$))", "", text.replace("\\%", "%"))
-    s = re.sub(r"\\[dt]?frac(?:\{(-?[\d.]+)\}\{(-?[\d.]+)\}|(\d)(\d))", lambda m: f"{m[1] or m[3]}/{m[2] or m[4]}", s)
-    scale = Fraction(1)
-    if s.endswith("%"):
-        s, scale = s[:-1], Fraction(1, 100)
-    try:
-        if m := re.fullmatch(r"(-?[\d.]+)/(-?[\d.]+)", s):
-            return Fraction(m[1]) / Fraction(m[2]) * scale
-        return Fraction(s) * scale
-    except (ValueError, ZeroDivisionError):
-        return None
-
-
-def same_answer(a: str | None, b: str | None, tolerance: float = 1e-4) -> bool:
-    """Equal as text without spaces, as numbers, or part by part as tuples.  There is no symbolic
-    algebra here: expressions that need it compare as text."""
-    if a is None or b is None:
-        return False
-    a, b = a.strip(), b.strip()
-    strip = lambda s: re.sub(r"\s|\\!|\\,|\\left|\\right", "", s).rstrip(".").lower()
-    if strip(a) == strip(b):
-        return True
-    x, y = number(a), number(b)
-    if x is not None and y is not None:
-        return abs(x - y) <= tolerance * max(1, abs(y)) if x.denominator != 1 or y.denominator != 1 else x == y
-    if len(a) > 2 and len(b) > 2 and a[0] in "([" and b[0] == a[0] and a[-1] in ")]" and b[-1] == a[-1]:
-        p, q = a[1:-1].split(","), b[1:-1].split(",")
-        return len(p) == len(q) > 1 and all(same_answer(u, v, tolerance) for u, v in zip(p, q))
-    return False
-
-
 @F.pandas_udf(T.BooleanType())
 def equal_answers(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_answer(x, y) for x, y in zip(a, b)])
+    return pd.Series([same_with_pi(x, y) for x, y in zip(a, b)])
 
 
 def grade_equal(t: Column, truth: Column) -> Column:

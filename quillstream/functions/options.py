@@ -85,15 +85,17 @@ def plain(value: object) -> object:
 
 #: Peak floating-point operations a second by device, dense 16-bit (fixed values of data sheets).
 PEAK = {
-    "CPU": 448e9, "A100": 312e12, "A800": 312e12, "H100": 989e12, "H800": 989e12, "H200": 989e12, "B200": 2.25e15, "L40": 181.05e12, "L20": 119.5e12,
-    "H20": 148e12, "910B": 354e12, "RTX 3070 Ti": 21.75e12
-}
-SCALE = {"B": 1e9, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15}
+    "CPU": 448e9, "GB200": 2.5e15, "B200": 2.25e15, "MI300X": 1336e12, "H100": 989e12, "H800": 989e12, "H200": 989e12, "A100": 312e12, "A800": 312e12, "L40S": 362.05e12,
+    "L40": 181.05e12, "A40": 149.7e12, "L20": 119.5e12, "H20": 148e12, "910B": 354e12, "Ascend950DT": 432e12, "Ascend910": 354e12, "RTX 3070 Ti": 21.75e12,
+}
+#: B leaves a figure as it is (a fixed value, as all of these).
+SCALE = {"B": 1.0, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15}
 
 
 def peak(device: Column, unit: str = "T") -> Column:
-    """A device's peak in a unit, by the part of its name that is known; infinite otherwise."""
+    """A device's peak in a unit, by the part of its name that is known; infinite otherwise.  Names
+    are tried from the last in order of letters, so that longer ones come before their beginnings."""
     out = F.lit(float("inf"))
-    for name, value in PEAK.items():
-        out = F.when(F.contains(device, F.lit(name)), value / SCALE[unit]).otherwise(out)
+    for name in sorted(PEAK):  # the last one decides first
+        out = F.when(F.contains(device, F.lit(name)), PEAK[name] / SCALE[unit]).otherwise(out)
     return out

@@ -1,8 +1,9 @@
-"""Queries of graders, messages, chats and settings.  Where SQL can't parse what is graded, the
-SQL is a table of cases with the scores they must get, written by hand."""
+"""Queries of graders, messages, chats and settings.  What SQL can't parse is written from columns
+of the tables in forms whose scores follow from the same columns."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstream.functions import graders as G
@@ -14,119 +15,164 @@ from quillstream.functions import verifiers as V
 from quillstream.plans.base import query, r6, read
 
 
-def cell(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, float):
-        return f"{v!r}::DOUBLE"
-    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+#: A boxed answer in twelve forms, by two digits n and m: text, truth, and the scores as SQL of ``same``.
+BOXED = [
+    ("'thus \\boxed{\\frac{' || n || '}{7}}'", "'\\frac' || m || '7'", "same", "same", 0), ("'<think>a</think> \\boxed{' || n || '}'", "m", "same", "same", 1),
+    ("'\\boxed{0} then \\boxed{' || n || '}'", "m", "same", "same", 0), ("'no box, the answer is ' || n", "m", "0", "same", 0), ("'\\boxed{' || n", "n", "0", "0", 0),
+    ("'\\boxed{\\sqrt' || n || '}'", "'\\sqrt{' || m || '}'", "same", "same", 0), ("CAST(NULL AS STRING)", "m", "0", "0", 0), ("'\\boxed{' || n || ',000}'", "m || '000'", "0", "same", 0),
+    ("'\\boxed{' || n || '\\%}'", "m", "same", "same", 0), ("'\\boxed{(x+' || n || ')^2}'", "'x^2+' || (2 * m) || 'x+' || (m * m)", "0", "same", 0), ("'\\fbox{a' || n || '}'", "'a' || m", "same", "same", 0),
+    ("'\\boxed{[[' || n || ',1],[2,3]]}'", "'\\begin{pmatrix} ' || m || ' & 1 \\\\ 2 & 3 \\end{pmatrix}'", "0", "same", 0),
+]
 
 
-def table_sql(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
+def by_form(forms: list[str], form: str = "f") -> str:
+    """SQL: the expression of a row's form."""
+    return f"CASE {form} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(forms)) + " END"
 
 
-def frame(spark, rows: list[tuple], schema: str):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + schema)
+def spark_forms(forms: list[str], form: str = "f") -> Column:
+    """The same for Spark, whose literals read backslashes as escapes."""
+    return F.expr(by_form(forms, form).replace("\\", "\\\\"))
 
 
-#: text, truth -> math, equal, geometry
-BOXED = [
-    (
-        "thus \\boxed{\\frac{1}{2}}", "\\frac12", 1.0, 1.0, 0.9
-    ), ("thus \\boxed{\\frac{1}{2}}", "0.5", 1.0, 1.0, 0.9), ("<think>a</think> \\boxed{7}", "7", 1.0, 1.0, 1.0), ("\\boxed{3} then \\boxed{4}", "4", 1.0, 1.0, 0.9),
-    ("\\boxed{\\sqrt3}", "\\sqrt{3}", 1.0, 0.0, 0.9), (
-        "no box, the answer is 12", "12", 0.0, 1.0, 0.0
-    ), ("\\boxed{12", "12", 0.0, 0.0, 0.0), ("\\boxed{(1, 2)}", "(1,2)", 1.0, 1.0, 0.9), ("\\boxed{1,000}", "1000", 0.0, 1.0, 0.0),
-    ("\\boxed{50\\%}", "50", 1.0, 0.0, 0.9), ("\\boxed{x}", "y", 0.0, 0.0, 0.0), ("\\fbox{a}", "a", 1.0, 1.0, 0.9), ("\\boxed 5$", "5", 1.0, 1.0, 0.9), ("\\boxed{\\{1}", "x", 0.0, 0.0, 0.0), (None, "1", 0.0, 0.0, 0.0),
-]
+DIGITS = "conv_id, turn, (conv_id * 3 + turn) % 12 AS f, conv_id % 9 + 1 AS n, (conv_id + turn) % 9 + 1 AS m"
 
 
-@query(table_sql([(i, *r[2:]) for i, r in enumerate(BOXED)], "id, math, equal, geometry"))
+@query(
+    f"""WITH x AS (SELECT {DIGITS} FROM conversations), y AS (SELECT *, CASE WHEN n = m THEN 1.0::DOUBLE ELSE 0 END AS same FROM x),
+    z AS (SELECT conv_id, turn, ({by_form([b[2] for b in BOXED])})::DOUBLE AS math, ({by_form([b[3] for b in BOXED])})::DOUBLE AS equal,
+      ({by_form([str(b[4]) for b in BOXED])})::DOUBLE AS form FROM y)
+    SELECT conv_id, turn, math, equal, round(0.9 * math + 0.1 * form, 6) AS geometry FROM z"""
+)
 def grade_boxed(spark, sf):
+    """Boxed answers of every turn: as LaTeX text, as equal expressions, and with the form of geometry."""
+    x = read(spark, sf, "conversations").selectExpr(*DIGITS.split(", "))
+    x = x.withColumns({"t": spark_forms([b[0] for b in BOXED]), "g": spark_forms([f"CAST({b[1]} AS STRING)" for b in BOXED])})
     t, g = F.col("t"), F.col("g")
-    x = frame(spark, [r[:2] for r in BOXED], "t string, g string")
-    return x.select(
-        F.col("id").cast("int").alias("id"), G.grade_math(t, g).alias("math"), F.coalesce(G.grade_equal(t, g), F.lit(0.0)).alias("equal"),
-        r6(F.coalesce(G.grade_geometry(t, g), F.lit(0.0))).alias("geometry")
-    )
+    geometry = r6(F.coalesce(G.grade_geometry(t, g), F.lit(0.0)))
+    return x.select("conv_id", "turn", G.grade_math(t, g).alias("math"), G.grade_equal(t, g).alias("equal"), geometry.alias("geometry"))
 
 
-def call(*calls: str) -> str:
-    return "<think>x</think>\n<tool_call>\n" + "\n".join(calls) + "\n</tool_call>"
+#: Two expressions in a and b that are the same whenever the numbers n and m are.
+IDENTITIES = [
+    ("'(x+' || n || ')(x-' || n || ')'", "'x^2-' || (m * m)"), ("'\\sqrt{' || (n * n * 3) || '}'", "m || '\\sqrt3'"), ("'\\frac{x^2-' || (n * n) || '}{x-' || n || '}'", "'x+' || m"),
+    ("'\\sqrt{' || (1 + n) || '+2\\sqrt{' || n || '}}'", "'1+\\sqrt' || m"), ("n || '\\pi'", "(m * 2) || '\\pi/2'"), ("'\\sin^2(' || n || 'x)'", "'1-\\cos^2(' || m || 'x)'"), ("n || ' 1/2'", "'\\frac{' || (2 * m + 1) || '}{2}'"),
+    ("'[' || n || ', x+x)'", "'[' || m || ',2x)'"), ("'Interval.open(' || n || ', 20)'", "'(' || m || ',20)'"), ("'\\left(' || n || ', \\frac{1}{2}\\right)'", "'(' || m || ', 0.5)'"), ("'\\sqrt[3]{' || (n * n * n) || '}'", "m"),
+    ("'(y+' || n || ')^3'", "'y^3+' || (3 * m) || 'y^2+' || (3 * m * m) || 'y+' || (m * m * m)"), ("'\\frac{1}{x}+\\frac{1}{' || n || '}'", "'\\frac{x+' || m || '}{' || m || 'x}'"), ("'2^{' || n || '}'", "'2\\cdot 2^{' || (m - 1) || '}'"),
+]
 
 
-A, B, A2 = '{"name": "f", "parameters": {"a": 1, "b": 2}}', '{"name": "g", "parameters": {}}', '{"name": "f", "parameters": {"a": 1, "b": 3}}'
-#: answer, truth -> similarity, format, correctness
-TOOLS = [
-    (call(A), call(A), 1.0, 1.0, 3.0), (call(A2), call(A), 0.75, 1.0, 1.5), (call(B), call(A), 0.0, 1.0, -3.0), (call(A, B), call(A), 0.875, 1.0, 2.25), (call(A), call(A, B), 0.7, 1.0, 1.2), ("nothing", call(A), 0.0, 0.0, -3.0),
-    ("<think>x</think>\n<response>hi</response>", "<response>ho</response>", 1.0, 1.0, 0.0), ("<response>hi</response>", "<response>ho</response>", 1.0, 0.0, 0.0), (
-        call(A) + "\n<response>ok</response>", call(A) + "\n<response>y</response>", 1.0, 1.0, 3.0
-    ),
-    ("<think>x</think>", "plain", 1.0, 1.0, 0.0), (call("not json"), call(A), 0.0, 1.0, -3.0),
-]
+@query("SELECT doc_id, (doc_id % 9 + 1 = (doc_id + length(coalesce(text, '')) % 3) % 9 + 1) AS equal, false AS twisted FROM documents")
+def symbolic_equality(spark, sf):
+    """Identities of numbers that are the same where the numbers of a document are; and the same
+    two expressions with a term more, which are not."""
+    numbers = [f"doc_id % {len(IDENTITIES)} AS f", "doc_id % 9 + 1 AS n", "(doc_id + length(coalesce(text, '')) % 3) % 9 + 1 AS m"]
+    x = read(spark, sf, "documents").selectExpr("doc_id", *numbers)
+    a, b = (spark_forms([f"CAST({i[k]} AS STRING)" for i in IDENTITIES]) for k in (0, 1))
+    more = F.concat(F.lit("(z+1)^2+"), F.regexp_replace(a, r"^.*(\d).*$", "$1"))
+    return x.select("doc_id", G.equal_answers(a, b).alias("equal"), G.equal_answers(more, F.lit("z^2+1")).alias("twisted"))
 
 
-@query(table_sql([(i, r[2], r[3], r[4], r[3] + r[4]) for i, r in enumerate(TOOLS)], "id, similarity, format, correctness, total"))
+@query(
+    """WITH x AS (SELECT conv_id, turn, conv_id % 4 = 0 AS other, turn % 2 AS extra, conv_id % 3 = (conv_id + turn) % 3 AS same, turn % 5 = 4 AS broken FROM conversations),
+    y AS (SELECT *, CASE WHEN other THEN 0.0::DOUBLE ELSE (1.0 / (1 + extra) + 2 + CASE WHEN same THEN 1 ELSE 0 END) / 4 END AS s FROM x)
+    SELECT conv_id, turn, round(s, 6) AS similarity, CASE WHEN broken THEN 0.0::DOUBLE ELSE 1 END AS format, round(6 * s - 3, 6) AS correctness,
+      round(6 * s - 3 + CASE WHEN broken THEN 0 ELSE 1 END, 6) AS total FROM y"""
+)
 def tool_similarity(spark, sf):
+    """Each turn as a tool call, against one that has another name, value, form or a call beside it."""
+    c = read(spark, sf, "conversations")
+    one = lambda name, a: F.concat(F.lit('{"name": "'), name, F.lit('", "parameters": {"a": '), a.cast("string"), F.lit(', "b": '), (F.col("turn") % 4).cast("string"), F.lit("}}"))
+    wrap = lambda body, gap: F.concat(F.lit("<think>x</think>"), gap, F.lit("<tool_call>\n"), body, F.lit("\n</tool_call>"))
+    truth = wrap(one(F.lit("f"), F.col("conv_id") % 3), F.lit("\n"))
+    got = one(F.when(F.col("conv_id") % 4 == 0, "g").otherwise("f"), (F.col("conv_id") + F.col("turn")) % 3)
+    got = F.concat(got, F.when(F.col("turn") % 2 == 1, '\n{"name": "h", "parameters": {}}').otherwise(""))
+    x = c.select("conv_id", "turn", wrap(got, F.when(F.col("turn") % 5 == 4, "").otherwise("\n")).alias("t"), truth.alias("g"))
     t, g = F.col("t"), F.col("g")
     total = G.tool_total(t, g)
-    return frame(spark, [r[:2] for r in TOOLS], "t string, g string").select(
-        F.col("id").cast("int").alias("id"), r6(G.tool_score(t, g)).alias("similarity"), total["format"].alias("format"),
-        r6(total["correctness"]).alias("correctness"), r6(total["score"]).alias("total")
-    )
+    return x.select(
+        "conv_id", "turn", r6(G.tool_score(t, g)).alias("similarity"), total["format"].alias("format"), r6(total["correctness"]).alias("correctness"), r6(total["score"]).alias("total"),
+    )
 
 
-#: text -> without commas, integer, mixed, normal, may be read, interval
+#: An expression in eight forms of a number n: text, without commas, whole, mixed, normal, readable, brackets.
 EXPRESSIONS = [
-    (
-        "1,234,567", "1234567", 1234567, "1,234,567", "1234567", True, "1,234,567"
-    ), ("(1,2)", "(1,2)", None, "(1,2)", "(1,2)", True, "(1,2)"), ("7 3/4", "7 3/4", None, "7+3/4", "7+3/4", True, "7 3/4"), ("3.0", "3.0", 3, "3.0", "3", True, "3.0"),
-    (
-        "\\text{Blue}", "\\text{Blue}", None, "\\text{Blue}", "blue", False, "\\text{Blue}"
-    ), ("5 meters", "5 meters", None, "5 meters", "5", False, "5 meters"), ("2^{3}", "2^{3}", None, "2^{3}", "2^{3}", False, "2^{3}"), ("x+y", "x+y", None, "x+y", "x+y", True, "x+y"),
-    (
-        "Interval.open(1, 2)", "Interval.open(1, 2)", None, "Interval.open(1, 2)", "interval.open(1, 2)", False, "(1, 2)"
-    ), ("Interval(0, 1)", "Interval(0, 1)", None, "Interval(0, 1)", "interval(0, 1)", False, "[0, 1]"), ("50%", "50%", None, "50%", "50", True, "50%"),
-    (
-        "Interval.Ropen(a, b)", "Interval.Ropen(a, b)", None, "Interval.Ropen(a, b)", "interval.ropen(a, b)", False, "[a, b)"
-    ), ("{8}", "{8}", None, "{8}", "8", True, "{8}"), ("3 million", "3 million", None, "3 million", "3 *10^6", False, "3 million"),
+    ("grouped", "s", "n", "grouped", "s", "true", "grouped"), ("'(' || s || ', 2)'", "'(' || s || ', 2)'", "NULL", "'(' || s || ', 2)'", "'(' || s || ', 2)'", "true", "'(' || s || ', 2)'"),
+    ("s || ' 3/4'", "s || ' 3/4'", "NULL", "s || '+3/4'", "s || '+3/4'", "true", "s || ' 3/4'"), ("s || '.0'", "s || '.0'", "n", "s || '.0'", "s", "true", "s || '.0'"),
+    ("'\\text{Item ' || s || '}'", "'\\text{Item ' || s || '}'", "NULL", "'\\text{Item ' || s || '}'", "'item ' || s", "false", "'\\text{Item ' || s || '}'"),
+    ("s || ' meters'", "s || ' meters'", "NULL", "s || ' meters'", "s", "false", "s || ' meters'"),
+    ("'Interval.open(0, ' || s || ')'", "'Interval.open(0, ' || s || ')'", "NULL", "'Interval.open(0, ' || s || ')'", "'interval.open(0, ' || s || ')'", "false", "'(0, ' || s || ')'"),
+    ("s || '%'", "s || '%'", "NULL", "s || '%'", "s", "true", "s || '%'"),
 ]
+_EXPRESSION = ["commas", "whole", "mixed", "normal", "readable", "brackets"]
 
 
-@query(table_sql([(i, *r[1:]) for i, r in enumerate(EXPRESSIONS)], "id, commas, whole, mixed, normal, readable, brackets"))
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 8 AS f, doc_id * 7919 + 12 AS n, CAST(doc_id * 7919 + 12 AS VARCHAR) AS s, format('{{:,}}', doc_id * 7919 + 12) AS grouped FROM documents)
+    SELECT doc_id, {", ".join(f"{by_form([e[k] for e in EXPRESSIONS])} AS {c}" for k, c in enumerate(_EXPRESSION, 1))} FROM x"""
+)
 def expressions(spark, sf):
+    """Numbers of documents written in eight ways, in each normal form."""
+    n = F.col("doc_id") * 7919 + 12
+    x = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 8).alias("f"), n.alias("n"), n.cast("string").alias("s"), F.format_number(n, 0).alias("grouped"))
+    x = x.withColumn("t", spark_forms([e[0] for e in EXPRESSIONS]))
     t = F.col("t")
-    x = frame(spark, [r[:1] for r in EXPRESSIONS], "t string")
-    return x.select(
-        F.col("id").cast("int").alias("id"), G.plain_commas(t).alias("commas"), G.whole_number(t).cast("int").alias("whole"),
-        G.mixed_number(t).alias("mixed"), G.normal_expression(t).alias("normal"), G.may_be_read(t).alias("readable"), G.interval(t).alias("brackets")
-    )
+    made = (G.plain_commas(t), G.whole_number(t), G.mixed_number(t), G.normal_expression(t), G.may_be_read(t), G.interval(t))
+    return x.select("doc_id", *(c.alias(name) for c, name in zip(made, _EXPRESSION)))
 
 
-#: text -> matched, answer; score, accuracy and prediction of the answer line against 12
+#: A response in seven forms of a number n: text, matched, answer, prediction of the answer line.
 STATED = [
-    (
-        "So the answer is 12. Thanks", True, "12", -1.0, False, "[INVALID]"
-    ), ("x\nAnswer: 12", True, "12", 1.0, True, "12"), ("Answer: 13\nAnswer: $12$", True, "$12$", 1.0, True, "12"), ("we get 7", True, "7", -1.0, False, "[INVALID]"), ("nothing here", False, "nothing here", -1.0, False, "[INVALID]"),
-    ("12 is the answer", True, "12", -1.0, False, "[INVALID]"), ("\\boxed{9}", True, "\\boxed{9}", -1.0, False, "[INVALID]"), (
-        "answer: 1,200 dollars", True, "1,200 dollars", -1.0, False, "1200"
-    ),
+    ("'So the answer is ' || n || '. Thanks'", "true", "n", "'[INVALID]'"), ("'x' || lf || 'Answer: ' || n", "true", "n", "n"), ("'Answer: 99' || lf || 'Answer: $' || n || '$'", "true", "'$' || n || '$'", "n"),
+    ("'we get ' || n", "true", "n", "'[INVALID]'"), ("n || ' is the answer'", "true", "n", "'[INVALID]'"), ("'nothing here'", "false", "'nothing here'", "'[INVALID]'"), ("'answer: ' || n || ' dollars'", "true", "n || ' dollars'", "n"),
 ]
 
 
-@query(table_sql([(i, *r[1:]) for i, r in enumerate(STATED)], "id, matched, answer, score, acc, pred"))
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 7 AS f, CAST((doc_id + length(coalesce(text, ''))) % 30 AS VARCHAR) AS n FROM documents),
+    y AS (SELECT doc_id, n, {by_form([e[1] for e in STATED])} AS matched, {by_form([e[2] for e in STATED])} AS answer, {by_form([e[3] for e in STATED])} AS pred FROM x)
+    SELECT doc_id, matched, answer, CASE WHEN pred = '12' THEN 1.0::DOUBLE ELSE -1 END AS score, pred = '12' AS acc, pred FROM y"""
+)
 def stated_answers(spark, sf):
-    t = F.col("t")
-    s, line = G.stated_answer(t), G.grade_answer_line(t, F.lit("12"))
-    return frame(spark, [r[:1] for r in STATED], "t string").select(
-        F.col("id").cast("int").alias("id"), s["matched"].alias("matched"), s["answer"].alias("answer"), line["score"].alias("score"),
-        line["acc"].alias("acc"), line["pred"].alias("pred")
+    """What responses of documents' numbers say their answers are, and how they score against 12."""
+    n = ((F.col("doc_id") + F.length(F.coalesce("text", F.lit("")))) % 30).cast("string")
+    x = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).alias("f"), n.alias("n"), F.lit("\n").alias("lf"))
+    x = x.withColumn("t", spark_forms([e[0] for e in STATED]))
+    s, line = G.stated_answer(F.col("t")), G.grade_answer_line(F.col("t"), F.lit("12"))
+    return x.select(
+        "doc_id", s["matched"].alias("matched"), s["answer"].alias("answer"), line["score"].alias("score"), line["acc"].alias("acc"), line["pred"].alias("pred")
     )
 
 
+JUDGED = ["'Score: ' || s", "'{\"score\": ' || s || '}'", "'```json' || lf || '{\"score\": ' || s || ', \"why\": \"x\"}' || lf || '```'", "'<think>Score: 2</think> I say ' || s || '.'", "'score=' || s", "'nothing'"]
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 BETWEEN 1 AND 10 AND event_id % 6 < 5 THEN (event_id % 13)::DOUBLE END AS score FROM events")
+def judge_scores(spark, sf):
+    """Scores of judgements in JSON, in fences, in words, after thinking, or out of range."""
+    e = read(spark, sf, "events")
+    x = e.select("event_id", (F.col("event_id") % 6).alias("f"), (F.col("event_id") % 13).cast("string").alias("s"), F.lit("\n").alias("lf"))
+    return x.select("event_id", G.judge_score(spark_forms(JUDGED)).alias("score"))
+
+
+#: An answer in six forms of a source's name: text, exact, contained.
+QUESTIONS = [
+    ("'<answer>The ' || upper(source) || '!</answer>'", "1", "1"), ("'<answer>a big ' || source || '</answer>'", "0", "1"), ("source", "0", "0"), ("'<answer>x</answer><answer>' || source || '</answer>'", "1", "1"),
+    ("'<answer>qqq</answer>'", "0", "0"), ("repeat('<answer>x</answer>', 11) || '<answer>' || source || '</answer>'", "0.25", "0.25"),
+]
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, doc_id % 6 AS f FROM documents WHERE source IS NOT NULL)
+    SELECT doc_id, ({by_form([q[1] for q in QUESTIONS])})::DOUBLE AS exact, ({by_form([q[2] for q in QUESTIONS])})::DOUBLE AS contained FROM x"""
+)
+def grade_substring(spark, sf):
+    """Answers that are, or hold, the name of a document's source."""
+    d = read(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", "source", (F.col("doc_id") % 6).alias("f"))
+    t, g = spark_forms([q[0] for q in QUESTIONS]), F.array("source")
+    return d.select("doc_id", G.grade_question(t, g).alias("exact"), G.grade_question_substring(t, g).alias("contained"))
+
+
 BRACES = 'hi <|tool_call>call:f{a:1,b:<|"|>x, y<|"|>,c:null}<tool_call|> bye'
 
 
@@ -248,10 +294,14 @@ def message_functions(spark, sf):
     )
 
 
+DEVICES = "CPU,GB200,B200,MI300X,H100,H800,H200,A100,A800,L40S,L40,A40,L20,H20,910B,Ascend950DT,Ascend910,RTX 3070 Ti,none".split(",")
+
+
 @query(
     """SELECT event_id, event_type IN ('view', 'click') AS flag, CASE WHEN event_id % 3 = 0 THEN 'no_lower_zero' WHEN event_id % 3 = 1
     THEN 'both' END AS mode, event_id AS step, (event_id + 7) // 8 * 8 AS rounded,
-    CASE WHEN event_id % 2 = 0 THEN 989.0 ELSE 'inf'::DOUBLE END AS peak, event_id % 5 <= 2 AND event_id % 2 = 0 AS dump, event_id AS prompt,
+    [448e9, 2.5e15, 2.25e15, 1336e12, 989e12, 989e12, 989e12, 312e12, 312e12, 362.05e12, 181.05e12, 149.7e12, 119.5e12, 148e12, 354e12, 432e12, 354e12, 21.75e12,
+      'inf'::DOUBLE][event_id % 19 + 1] / 1e12 AS peak, event_id % 5 <= 2 AND event_id % 2 = 0 AS dump, event_id AS prompt,
     0 AS completion, event_id % 10 AS cached, round(-0.5 * event_id % 7, 6)::DOUBLE AS logp,
     CAST(CAST('0x' || substr(md5(event_type || chr(10) || event_id), 1, 8) AS BIGINT) % 4 AS INTEGER) AS worker FROM events"""
 )
@@ -270,36 +320,11 @@ def settings(spark, sf):
     )
     u = Y.usage(body)
     return e.select(
-        "event_id", O.flag(word).alias("flag"), O.band_modes(mode).alias("mode"), O.step_of(F.concat(F.lit("/a/global_step_"), s, F.lit("/"))).alias("step"), O.round_up(i, 8).alias("rounded"), O.peak(
-            F.when(i % 2 == 0, "an H100 card").otherwise("none")
-        ).alias("peak"),
+        "event_id", O.flag(word).alias("flag"), O.band_modes(mode).alias("mode"), O.step_of(F.concat(F.lit("/a/global_step_"), s, F.lit("/"))).alias("step"), O.round_up(i, 8).alias("rounded"), O.peak(F.concat(F.lit("a "), F.element_at(F.array(*map(F.lit, DEVICES)), (i % 19 + 1).cast("int")), F.lit(" card"))).alias("peak"),
         O.may_dump(i % 2 == 0, i % 5, F.lit(2)).alias("dump"), u["prompt"].alias("prompt"), u["completion"].cast("int").alias("completion"), u["cached"].alias("cached"), r6(Y.prompt_log_probs(probs)[0]).alias("logp"), Y.routed(F.col("event_type"), s, 4).alias("worker"),
     )
 
 
-JUDGED = [
-    ("Score: 7", 7.0), ('{"score": 9}', 9.0), ("```json\n{\"score\": 3, \"why\": \"x\"}\n```", 3.0), ("<think>Score: 2</think> I say 8.", 8.0),
-    ("score=11", None), ("nothing", None), ("10 of 10", 10.0)
-]
-QUESTIONS = [
-    ("<answer>The Cat!</answer>", "cat", 1.0, 1.0), ("<answer>a big cat</answer>", "cat", 0.0, 1.0), ("cat", "cat", 0.0, 0.0),
-    ("<answer>x</answer><answer>Cat</answer>", "the cat", 1.0, 1.0), ("<answer>dog</answer>", "cat", 0.0, 0.0)
-]
-
-
-@query(table_sql([(i, v) for i, (_, v) in enumerate(JUDGED)], "id, score"))
-def judge_scores(spark, sf):
-    x = frame(spark, [(t,) for t, _ in JUDGED], "t string")
-    return x.select(F.col("id").cast("int").alias("id"), G.judge_score(F.col("t")).alias("score"))
-
-
-@query(table_sql([(i, a, b) for i, (_, _, a, b) in enumerate(QUESTIONS)], "id, exact, contained"))
-def grade_substring(spark, sf):
-    x = frame(spark, [r[:2] for r in QUESTIONS], "t string, g string")
-    t, g = F.col("t"), F.array("g")
-    return x.select(F.col("id").cast("int").alias("id"), G.grade_question(t, g).alias("exact"), G.grade_question_substring(t, g).alias("contained"))
-
-
 @query(
     """WITH s AS (SELECT conv_id, list(CASE WHEN conv_id % 4 = 0 AND turn = 2 THEN -4 WHEN turn % 3 = 2 THEN 0 ELSE 1 END ORDER BY turn) AS s
     FROM conversations GROUP BY 1),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstream.functions import algebra
 from quillstream.functions import graders as G
 from quillstream.functions import masked as M
 from quillstream.functions import messages as Y
@@ -254,7 +255,7 @@ def test_hash_answers(spark):
 def test_boxes_and_equality():
     assert G.last_boxed("x \\boxed{1} y \\boxed{\\frac{1}{2}}") == "\\frac{1}{2}"
     assert G.last_boxed("\\boxed{1") is None and G.last_boxed("") is None
-    assert G.same_answer("1/2", "0.5") and G.same_answer("50\\%", "0.5") and G.same_answer("(1, 2)", "(1,2.0)") and not G.same_answer("1", "2")
+    assert algebra.same_answer("1/2", "0.5") and algebra.same_answer("50\\%", "0.5") and algebra.same_answer("(1, 2)", "(1,2.0)") and not algebra.same_answer("1", "2")
 
 
 def test_tool_similarity():
