@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quillstream.operators.frame import running_sum, with_position
 from quillstream.operators.metrics import md5_draw
+from quillstream.operators.subset import seeded_rows
 
 #: Ranges of letters by script (fixed values of Unicode blocks).
 SCRIPTS = {
@@ -144,36 +145,13 @@ def stratified_draw(df: DataFrame, quotas: DataFrame, seed: int, key: str = "str
 def rerandomise(df: DataFrame, quotas: DataFrame, draws: int, covariates: list[str], key: str = "stratum") -> DataFrame:
     """Of ``draws`` seeded stratified draws, the one whose covariate means are nearest the whole's
     (sum of squared standardised differences): (draw, score), best first."""
-    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    d = d.withColumn("_h", md5_draw(F.col("draw").cast("string"), F.col("row_id").cast("string")))
-    d = d.withColumn("_k", F.row_number().over(W.partitionBy("draw", key).orderBy("_h", "row_id")))
-    d = d.join(quotas.select(key, "quota"), key).where("_k <= quota")
+    d = seeded_rows(df.select("row_id", key, *covariates), quotas, draws, key)
     whole = df.agg(*[x for c in covariates for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     means = d.groupBy("draw").agg(*[F.avg(c).alias(c) for c in covariates]).join(F.broadcast(whole))
     score = sum((F.pow((F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1e-12)), F.lit(2)) for c in covariates), F.lit(0.0))
     return means.select("draw", score.alias("score")).orderBy("score", "draw")
 
 
-def swap_polish(values: list[list[float]], stratum: list, chosen: list[bool], steps: int, seed: int = 0) -> tuple[list[bool], float]:
-    """Hill climbing on the driver over one bounded subset: swap a chosen and a free row of one
-    stratum where that brings the subset's means nearer the whole's.  Returns (chosen, distance)."""
-    x = np.asarray(values, float)
-    x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-    s, on, rng = np.asarray(stratum), np.array(chosen, bool), np.random.default_rng(seed)
-    n, total = max(1, int(on.sum())), x[on].sum(0)
-    best = float(((total / n) ** 2).sum())
-    for _ in range(steps):
-        i = int(rng.choice(np.flatnonzero(on)))
-        free = np.flatnonzero(~on & (s == s[i]))
-        if not len(free):
-            continue
-        j = int(rng.choice(free))
-        now = total - x[i] + x[j]
-        if (d := float(((now / n) ** 2).sum())) < best:
-            on[i], on[j], total, best = False, True, now, d
-    return on.tolist(), best
-
-
 def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Largest gap between two empirical distribution functions.  Values are counted first, and
     counts run up in ranges of values, so that no task orders all of them."""

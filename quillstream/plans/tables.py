@@ -10,6 +10,7 @@ from quillstream.operators import curation as C
 from quillstream.operators import frame as B
 from quillstream.operators import metrics as X
 from quillstream.operators import shaping as S
+from quillstream.operators import subset as U
 from quillstream.plans.base import query, r6, read
 from quillstream.sources import corpus, prepare, scans, sinks
 from quillstream.streaming import queues as Q
@@ -482,6 +483,26 @@ def rerandomise(spark, sf):
     return C.rerandomise(d, q, 20, ["n_chars"]).select("draw", r6("score").alias("score"))
 
 
+@query(
+    """WITH q AS (SELECT lang AS stratum, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT stratum, n, n * 60.0::DOUBLE / sum(n) OVER () AS x FROM q),
+    f AS (SELECT stratum, n, floor(x) AS f, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, stratum) AS k, 60 - sum(floor(x)) OVER () AS rest FROM e)
+    SELECT stratum, n, CAST(f + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS chosen, true AS nearer, true AS accepted FROM f"""
+)
+def polished_subset(spark, sf):
+    """A subset of 60 documents by language: of 12 draws, all polished by swaps, the nearest.  It is
+    nearer the whole than the best draw was, and below the limits on each distance."""
+    d = read(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("lang").alias("stratum"), "n_chars", F.log1p("n_chars").alias("log_chars"), F.regexp_count("text", F.lit(r"\s")).alias("spaces"), "source", "lang"
+    )
+    q = C.largest_remainder(d.groupBy("stratum").agg(F.count("*").alias("n")), "stratum", "n", 60)
+    found = U.polished(d, q, 12, ["n_chars", "log_chars", "spaces"], {"source": 1.0, "lang": 0.5}, swaps=1500, spare=3.0).cache()
+    best = U.best_subset(found).crossJoin(F.broadcast(found.agg(F.min("before").alias("best_draw"))))  # one row
+    ok = C.acceptance({"ks": 0.2, "tv": 0.35, "after": 1.0})
+    rows = best.withColumns({"nearer": F.col("after") < F.col("best_draw"), "accepted": ok}).join(d.select("row_id", "stratum"), "row_id")
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("chosen"), F.every("nearer").alias("nearer"), F.every("accepted").alias("accepted"))
+    return q.select("stratum", "n").join(counts, "stratum").select("stratum", "n", "chosen", "nearer", "accepted")
+
+
 WORDS = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
 
 

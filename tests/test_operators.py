@@ -192,13 +192,6 @@ def test_loop_detector():
     assert not C.is_loop(" ".join(f"w{i}" for i in range(60)))
 
 
-def test_swap_polish_never_gets_worse():
-    x = [[float(i % 7)] for i in range(40)]
-    start = [i < 10 for i in range(40)]
-    chosen, d = C.swap_polish(x, ["s"] * 40, start, 200)
-    assert sum(chosen) == 10 and d <= C.swap_polish(x, ["s"] * 40, start, 0)[1]
-
-
 def check(spark, name, text, **k):
     return spark.createDataFrame([(text,)], "t string").select(V.verify(name, "t", **k).alias("x")).first()["x"]
 
