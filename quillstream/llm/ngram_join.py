@@ -37,10 +37,10 @@ from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, rang
 from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
-BLOCK_BYTES, CACHED_WORDS = 4_000_000, 300_000
+BLOCK_BYTES, CACHED_WORDS = 2_000_000, 150_000
 #: Segment hashes sorted by one task, about; shingles joined by one task, about, and of a
 #: component that is joined as one piece, at most.
-TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_500_000, 250_000, 1_000_000
+TASK_SEGMENTS, TASK_SHINGLES, PIECE_SHINGLES = 1_000_000, 200_000, 800_000
 #: A component with more than this part of all shingles is joined in pieces, too, if it has so many.
 PIECE_PART, LEAST_PIECE = 100, 20_000
 #: Hashes that a small set is given, at most.
