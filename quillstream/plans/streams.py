@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.plans.base import query, r6, read
+from quillstream.streaming import assembly as A
 from quillstream.streaming import queues as Q
 
 
@@ -59,3 +60,36 @@ def stream_staleness(spark, sf):
     """How many samples of a stream are behind the trainer's version."""
     s = stream(spark, sf, "events").withColumn("lag", F.col("event_id") % 3)
     return drained(s.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("lag") >= 1).alias("stale")), "complete")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS q, event_id AS id, event_id % 37 = 0 AS v, sum((event_id % 37 = 0)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS seg FROM events),
+    g AS (SELECT q, unnest(range(0, max(seg)::BIGINT + 1)) AS seg FROM e GROUP BY q),
+    s AS (SELECT g.q, g.seg, count(id) FILTER (NOT v) AS a FROM g LEFT JOIN e ON g.q = e.q AND g.seg = e.seg GROUP BY 1, 2),
+    r AS (
+      SELECT q, seg, least(a, 24)::BIGINT AS done, (a - least(a, 24))::BIGINT AS waiting FROM s WHERE seg = 0
+      UNION ALL SELECT r.q, s.seg, r.done + least(waiting + a, 24 - r.done % 8), waiting + a - least(waiting + a, 24 - r.done % 8) FROM r JOIN s ON r.q = s.q AND s.seg = r.seg + 1),
+    k AS (SELECT q, id, (row_number() OVER (PARTITION BY q ORDER BY id) - 1) // 8 AS b FROM e WHERE NOT v),
+    b AS (SELECT q, b, min(id) AS first, max(id) AS last, count(*) AS n FROM k GROUP BY 1, 2)
+    SELECT b.q AS queue, b.b::BIGINT AS batch, min(r.seg)::BIGINT AS version, first, last, b.n FROM b JOIN r ON b.q = r.q AND r.done >= (b.b + 1) * 8 GROUP BY ALL"""
+)
+def stream_batches(spark, sf):
+    """Batches of eight samples as state of a stream, which pauses at 24 stale ones till the next version."""
+    s = stream(spark, sf, "events").withColumns({"queue": F.col("event_type"), "id": F.col("event_id"), "seq": F.col("event_id"), "is_version": F.col("event_id") % 37 == 0})
+    with A.keyed_state(spark):
+        out = drained(A.assembled(s, 8, 24), "append")
+    return out.where("NOT drained").select("queue", "batch", "version", F.array_min("ids").alias("first"), F.array_max("ids").alias("last"), F.size("ids").cast("long").alias("n"))
+
+
+@query(
+    """SELECT s.event_id AS id, arg_max(v.event_id, v.ts) AS version FROM events s
+    LEFT JOIN events v ON v.event_type = s.event_type AND v.event_id % 10 = 0 AND v.ts <= s.ts AND v.ts > s.ts - INTERVAL 1 DAY
+    WHERE s.event_id % 10 <> 0 AND s.ts <= (SELECT max(ts) - INTERVAL 3 DAY FROM events) GROUP BY 1"""
+)
+def stream_versions(spark, sf):
+    """Samples of a stream joined with a stream of versions: the last one at or before each, of a day at most."""
+    samples = stream(spark, sf, "events").where("event_id % 10 <> 0").selectExpr("event_type AS queue", "event_id AS id", "ts")
+    versions = stream(spark, sf, "events").where("event_id % 10 = 0").selectExpr("event_type AS queue", "event_id AS version", "ts")
+    last = read(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    out = drained(A.with_versions(samples, versions, "1 DAY"), "append")
+    return out.join(F.broadcast(last), F.col("ts") <= F.col("last") - F.expr("INTERVAL 3 DAY")).select("id", "version")
