@@ -6,9 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions import masked as M
+from quillstream.functions import tables as T
 from quillstream.operators import agents as A
 from quillstream.operators import metrics as X
 from quillstream.plans.base import TOK, query, r6, read, tokens
+from quillstream.plans.streams import drained
+from quillstream.sources import dumps as D
 from quillstream.sources import files
 
 
@@ -21,6 +24,41 @@ def expanded_sessions(spark, sf):
     return A.expanded(d, 2, F.col("uid") % 3 + 1, agent="tool").select("session", "turn", "key", "agent_name")
 
 
+@query(
+    """SELECT CAST(s AS INTEGER) AS session, CAST(t AS INTEGER) AS turn, doc_id || '_' || s || '_' || t AS key
+    FROM documents, range(2) AS a(s), range(3) AS b(t) WHERE t <= doc_id % 3"""
+)
+def lateral_sessions(spark, sf):
+    """Sessions and turns by a table function in SQL, joined laterally."""
+    T.register(spark)
+    sql = "SELECT x.session, x.turn, x.key FROM {d} AS d, LATERAL session_turns(CAST(d.doc_id AS STRING), 2, CAST(d.doc_id % 3 + 1 AS INT)) AS x"
+    return spark.sql(sql, d=read(spark, sf, "documents").select("doc_id"))
+
+
+@query(
+    """WITH x AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, lag(role) OVER w AS follows
+      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    g AS (SELECT *, sum(CASE WHEN role = follows THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM x)
+    SELECT conv_id, turn, role, position::INT AS position, ahead::BIGINT AS ahead, follows, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn)::INT AS run FROM g"""
+)
+def turn_positions(spark, sf):
+    """What the order of turns tells, by a table function that takes and gives tables."""
+    T.register(spark)
+    sql = "SELECT conv_id, turn, role, position, ahead, follows, run FROM turn_positions(TABLE(SELECT * FROM {c}), 'conv_id', 'turn')"
+    return spark.sql(sql, c=read(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id % 5 AS step, count(*) AS n, sum(length(text))::BIGINT AS chars, count(*) FILTER (conv_id % 5 >= 3) AS later FROM conversations GROUP BY 1")
+def dumped_rollouts(spark, sf):
+    """Turns dumped by step through the data source, read back whole, by step, and as a stream."""
+    c = read(spark, sf, "conversations").select(F.col("text").alias("input"), F.col("role").alias("output"), F.lit("").alias("gts"), F.lit(0.0).alias("score"), (F.col("conv_id") % 5).alias("step"))
+    path = D.scratch(spark)
+    D.write_dump(c, path)
+    later = D.read_dump(spark, path).where("step >= 3").groupBy(F.col("step").alias("s")).agg(F.count("*").alias("later"))
+    streamed = drained(D.stream_dump(spark, path), "append").groupBy("step").agg(F.count("*").alias("n"), F.sum(F.length("input")).alias("chars"))
+    return streamed.join(later, F.col("step") == F.col("s"), "left").select("step", "n", "chars", F.coalesce("later", F.lit(0)).alias("later"))
+
+
 @query(
     """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'terminated' WHEN 1 THEN 'processing_tools' WHEN 2 THEN 'generating' WHEN 3 THEN 'pending'
     ELSE 'interacting' END AS state, 3 + doc_id % 4 AS tokens, 3::BIGINT AS trained,
