@@ -207,9 +207,19 @@ def acceptance(limits: dict[str, float]) -> Column:
     return ok
 
 
+def keyset_digest(df: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
+    """SHA-256 of the digests of ranges of ids, in order; a range's digest is that of its ids, ordered, one to
+    a line.  Ranges are ``width`` ids wide and hashed where they lie; one task sees a digest for each."""
+    ranges = df.groupBy(F.floor(F.col(key) / width).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda i: i.cast("string")), "\n").alias("ids"))
+    parts = ranges.select("r", F.sha2(F.col("ids").cast("binary"), 256).alias("h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), "\n")
+    return parts.agg(F.sha2(whole.cast("binary"), 256).alias("sha256"))
+
+
 def keyset_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the ids, ordered by number, each with a line feed after it.  A digest goes through
-    all ids one after the other: they are ordered in parallel, and one task streams them."""
+    """SHA-256 of the ids, ordered by number, each with a line feed after it: for manifests that are
+    compared with others' digests.  Such a digest goes through all ids one after the other, in one task;
+    large sets are told apart by ``keyset_digest``."""
 
     def run(batches):
         digest = hashlib.sha256()

@@ -283,14 +283,41 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return set(a.columns) == set(b.columns) and a.exceptAll(b.select(*a.columns)).isEmpty() and b.select(*a.columns).exceptAll(a).isEmpty()
 
 
+def _new_runs(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Add ``_range`` and ``_new``, 1 where a run begins: a range's first row looks at the last one of the
+    range before, of which there is one row each."""
+    x = with_range(df, order)
+    w = W.partitionBy("_range").orderBy(order)
+    ends = x.groupBy("_range").agg(F.max_by(F.struct(F.col(key).alias("k")), order).alias("_end"))
+    before = ends.select("_range", F.lag("_end").over(W.orderBy("_range")).alias("_before"))
+    x = x.withColumns({"_at": F.row_number().over(w), "_lag": F.lag(key).over(w)}).join(before, "_range")
+    same = F.when(F.col("_at") > 1, F.col("_lag").eqNullSafe(F.col(key))).otherwise(F.col("_before").isNotNull() & F.col("_before.k").eqNullSafe(F.col(key)))
+    return x.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_at", "_lag", "_before")
+
+
 def consecutive_runs(df: DataFrame, key: str, by: Sequence[str] = (), order: str = "row_id") -> DataFrame:
-    """Add ``run``: a number for each run of consecutive equal keys, within ``by``."""
+    """Add ``run``: a number for each run of consecutive equal keys, within ``by``.  Without ``by`` the
+    table is cut into ranges of its order, so that no task orders all of it."""
+    if not by:
+        x = _new_runs(df, key, order)
+        inner = F.sum("_new").over(W.partitionBy("_range").orderBy(order))
+        x = x.withColumn("_in", inner).join(_ahead(x, F.sum("_new")), "_range")
+        return x.withColumn("run", (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_new", "_in", "_before")
     w = W.partitionBy(*by).orderBy(order)
     new = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
 def trajectory_index(df: DataFrame, key: str, by: Sequence[str] = (), order: str = "row_id") -> DataFrame:
-    """Add ``trajectory``: the 0-based place within its run of consecutive equal keys."""
+    """Add ``trajectory``: the 0-based place within its run of consecutive equal keys.  Without ``by`` it is
+    the way from where the run began, in this range or an earlier one, so that a run may be long."""
+    if not by:
+        x = with_position(_new_runs(df, key, order).drop("_range"), order, "_rn")
+        x = with_range(x.withColumn("_start", F.when(F.col("_new") == 1, F.col("_rn"))), order)
+        last = x.groupBy("_range").agg(F.max("_start").alias("_s"))
+        before = last.select("_range", F.max("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+        own = F.max("_start").over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        x = x.withColumn("_own", own).join(before, "_range")
+        return x.withColumn("trajectory", F.col("_rn") - F.coalesce("_own", "_before")).drop("_range", "_new", "_rn", "_start", "_own", "_before")
     runs = consecutive_runs(df, key, by, order)
     return runs.withColumn("trajectory", F.row_number().over(W.partitionBy(*by, "run").orderBy(order)) - 1).drop("run")

@@ -124,6 +124,27 @@ def later_shard_wins(spark, sf):
     return C.later_wins([part(0), part(1)], "k").select("k", "v")
 
 
+@query(
+    """WITH r AS (SELECT doc_id // 64 AS r, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY r)) AS sha256 FROM r"""
+)
+def keyset_digest(spark, sf):
+    return C.keyset_digest(read(spark, sf, "documents"), "doc_id", 64)
+
+
+@query(
+    """WITH l AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS n FROM events),
+    k AS (SELECT *, sum(n) OVER (ORDER BY event_id)::BIGINT AS run FROM l)
+    SELECT event_id, run, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS trajectory FROM k"""
+)
+def runs_of_all(spark, sf):
+    """Runs of equal event types over the whole table, and places within them, by ranges."""
+    e = read(spark, sf, "events").select("event_id", "event_type")
+    runs = B.consecutive_runs(e, "event_type", order="event_id").select("event_id", "run")
+    places = B.trajectory_index(e, "event_type", order="event_id").select(F.col("event_id").alias("i"), "trajectory")
+    return runs.join(places, F.col("event_id") == F.col("i")).select("event_id", "run", "trajectory")
+
+
 @query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM labels")
 def keyset_fingerprint(spark, sf):
     return C.keyset_fingerprint(read(spark, sf, "labels"), "doc_id")

@@ -3,6 +3,7 @@ of the tables in forms whose scores follow from the same columns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from quillstream.functions import jagged as J
 from quillstream.functions import masked as M
 from quillstream.functions import messages as Y
 from quillstream.functions import options as O
+from quillstream.functions import tokenized as K
 from quillstream.functions import verifiers as V
-from quillstream.plans.base import query, r6, read
+from quillstream.plans.base import query, r6, read, spread
 
 
 #: A boxed answer in twelve forms, by two digits n and m: text, truth, and the scores as SQL of ``same``.
@@ -266,6 +268,30 @@ def encoded_rows(spark, sf):
     )
 
 
+@query(
+    """SELECT conv_id, true AS sane, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS chat,
+      md5(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text || '<|im_end|>' || chr(10) END, '' ORDER BY turn), '')) AS said FROM conversations GROUP BY 1"""
+)
+def tokenized_chats(spark, sf):
+    """Chats as ids of a tokenizer file: what all ids, and those that the loss is on, decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    x = _chats(spark, sf).repartition(spark.sparkContext.defaultParallelism).withColumn("r", K.chat_row(F.col("messages"), path))
+    text = lambda ids: F.md5(K.decoded(ids, path, K.SPECIALS).cast("binary"))
+    said = K.said(F.col("r.input_ids"), F.col("r.loss_mask"))
+    return x.select("conv_id", F.col("r.sane").alias("sane"), text(F.col("r.input_ids")).alias("chat"), text(said).alias("said"))
+
+
+@query("SELECT doc_id, md5(text) AS text, 32 AS width, starts_with(text, '') AS starts FROM documents WHERE text IS NOT NULL")
+def tokenized_texts(spark, sf):
+    """Texts as ids: decoded they are the texts; cut to one width, the first ids are how a text starts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = spread(read(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")).withColumn("ids", K.token_ids(F.col("text"), path))
+    d = d.withColumn("e", K.fitted(F.col("ids"), 32))
+    kept = F.slice("e.input_ids", 33 - M.mask_count("e.attention_mask").cast("int"), M.mask_count("e.attention_mask").cast("int"))
+    begins = F.regexp_replace(K.decoded(kept, path), "\ufffd+$", "")  # a letter may be cut in its bytes
+    return d.select("doc_id", F.md5(K.decoded(F.col("ids"), path).cast("binary")).alias("text"), F.size("e.input_ids").alias("width"), F.startswith("text", begins).alias("starts"))
+
+
 @query(
     """WITH d AS (SELECT doc_id, lang, split_part(text, ' ', 1) AS w, split_part(text, ' ', 2) AS v FROM documents WHERE split_part(text, ' ', 2) <> '')
     SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 3 END AS parts, 1 AS images, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS videos,
