@@ -12,6 +12,7 @@ from quillstream.functions import jagged as J
 from quillstream.functions import masked as M
 from quillstream.functions import messages as Y
 from quillstream.functions import options as O
+from quillstream.functions import templates as Z
 from quillstream.functions import tokenized as K
 from quillstream.functions import verifiers as V
 from quillstream.plans.base import query, r6, read, spread
@@ -268,6 +269,42 @@ def encoded_rows(spark, sf):
     )
 
 
+#: Three chat formats, as templates.
+TEMPLATES = {
+    "marked": """{% for message in messages %}
+{% if loop.first and message['role'] != 'system' %}
+{{ '<|im_start|>system\\nYou are helpful.<|im_end|>\\n' }}
+{%- endif %}
+{{ '<|im_start|>' + message['role'] + '\\n' + message['content'] | trim + '<|im_end|>\\n' }}
+{%- endfor %}
+{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}""",
+    "bracketed": """{% if messages[0].role == 'system' %}{% set system = '<<' ~ messages[0].content ~ '>>' %}{% set rest = messages[1:] %}{% else %}{% set system = '' %}{% set rest = messages %}{% endif %}
+{{ bos }}{% for m in rest %}{% if m.role == 'user' %}[INST] {% if loop.index0 == 0 and system %}{{ system }} {% endif %}{{ m.content }} [/INST]{% elif m.role == 'assistant' %} {{ m.content }}{{ eos }}{% else %}({{ m.role | upper }}){% endif %}{% endfor %}""",
+    "headed": """{%- for m in messages -%}
+    <{{ m.role }} {{ loop.index }}/{{ messages | length }}>
+    {{- m.content -}}
+    {% if not loop.last %}|{% endif %}
+{%- endfor -%}""",
+}
+
+
+@query(
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' AS led,
+      first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM conversations)
+    SELECT conv_id,
+      md5(string_agg(CASE WHEN i = 1 AND role <> 'system' THEN '<|im_start|>system' || chr(10) || 'You are helpful.<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>' || role || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '<|im_end|>' || chr(10), '' ORDER BY turn)
+        || CASE WHEN conv_id % 2 = 0 THEN '<|im_start|>assistant' || chr(10) ELSE '' END) AS marked,
+      md5('<s>' || coalesce(string_agg(CASE WHEN led AND i = 1 THEN '' WHEN role = 'user' THEN '[INST] ' || CASE WHEN led AND i = 2 THEN '<<' || head || '>> ' ELSE '' END || text || ' [/INST]'
+        WHEN role = 'assistant' THEN ' ' || text || '</s>' ELSE '(' || upper(role) || ')' END, '' ORDER BY turn), '')) AS bracketed,
+      md5(string_agg('<' || role || ' ' || i || '/' || n || '>' || text || CASE WHEN i < n THEN '|' ELSE '' END, '' ORDER BY turn)) AS headed
+    FROM x GROUP BY conv_id"""
+)
+def chat_templates(spark, sf):
+    """Every conversation written by three templates."""
+    written = {k: Z.Template(t).render(messages=F.col("messages"), add_generation_prompt=F.col("conv_id") % 2 == 0, bos="<s>", eos="</s>") for k, t in TEMPLATES.items()}
+    return _chats(spark, sf).select("conv_id", *[F.md5(c.cast("binary")).alias(k) for k, c in written.items()])
+
+
 @query(
     """SELECT conv_id, true AS sane, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS chat,
       md5(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text || '<|im_end|>' || chr(10) END, '' ORDER BY turn), '')) AS said FROM conversations GROUP BY 1"""
