@@ -164,7 +164,9 @@ def validation_metrics(df: DataFrame, resamples: int = 1000, seed: int = 42) ->
         lambda k: F.element_at("_v", (md5_draw(F.lit(str(seed)), key, F.col("b").cast("string"), k.cast("string")) % n + 1).cast("int"))
     )
     rows = rows.withColumn("_d", drawn)
-    votes = F.transform("_d", lambda x: F.struct(F.size(F.filter("_d", lambda y: y["pred"].eqNullSafe(x["pred"]))).alias("n"), x["value"].alias("v")))
+    # each answer once, in the order in which it was first drawn, with its votes and its first value
+    mine = lambda p: F.filter("_d", lambda y: y["pred"].eqNullSafe(p))
+    votes = F.transform(F.array_distinct(F.transform("_d", lambda x: x["pred"])), lambda p: F.struct(F.size(mine(p)).alias("n"), F.element_at(mine(p), 1)["value"].alias("v")))
     top = F.array_max(F.transform(votes, lambda x: x["n"]))
     maj = F.element_at(F.filter(votes, lambda x: x["n"] == top), 1)["v"]
     values = F.transform("_d", lambda x: x["value"])

@@ -337,15 +337,15 @@ def gathered_metrics(spark, sf):
     )
 
 
-VAL = """e AS (SELECT CAST(user_id % 12 AS VARCHAR) AS uid, value, event_type AS pred, row_number() OVER (PARTITION BY user_id % 12
-    ORDER BY event_id) - 1 AS pos FROM events), v AS (SELECT * FROM e WHERE pos < 8),
+VAL = """v AS (SELECT CAST(user_id AS VARCHAR) AS uid, value, event_type AS pred, row_number() OVER (PARTITION BY user_id
+    ORDER BY event_id) - 1 AS pos FROM events),
   g AS (SELECT uid, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM v
-    GROUP BY 1), z AS (SELECT uid, n, unnest(list_distinct(list_append(list_filter([2, 4, 8, 16], lambda p: p < n), n))) AS size FROM g WHERE n > 1),
+    GROUP BY 1), z AS (SELECT uid, n, unnest(list_distinct(list_append(list_filter(list_transform(range(1, 31), lambda i: pow(2, i)::BIGINT), lambda p: p < n), n))) AS size FROM g WHERE n > 1),
   d AS (SELECT z.uid, size, b, k, CAST('0x' || substr(md5('42:events:' || z.uid || ':acc:' || b || ':' || k), 1, 8) AS BIGINT) % n AS pos
-    FROM z, range(20) AS r(b), range(16) AS s(k) WHERE k < size),
+    FROM (SELECT *, unnest(range(size)) AS k FROM z) AS z, range(20) AS r(b)),
   j AS (SELECT d.*, v.value, v.pred FROM d JOIN v ON d.uid = v.uid AND d.pos = v.pos), c AS (SELECT uid, size, b, pred, count(*) AS votes,
     min(k) AS first, arg_min(value, k) AS val FROM j GROUP BY 1, 2, 3, 4),
-  m AS (SELECT uid, size, b, arg_max(val, votes * 100 - first) AS maj FROM c
+  m AS (SELECT uid, size, b, arg_max(val, votes * 1000000 - first) AS maj FROM c
     GROUP BY 1, 2, 3), x AS (SELECT uid, size, b, max(value) AS best, min(value) AS worst FROM j GROUP BY 1, 2, 3),
   a AS (SELECT uid, size, avg(best) AS bm, stddev_pop(best) AS bs, avg(worst) AS wm, stddev_pop(worst) AS ws, avg(maj) AS mm, stddev_pop(maj) AS ms
     FROM x JOIN m USING (uid, size, b) GROUP BY 1, 2),
@@ -358,17 +358,17 @@ VAL = """e AS (SELECT CAST(user_id % 12 AS VARCHAR) AS uid, value, event_type AS
 
 @query(
     f"""WITH {VAL} SELECT CASE WHEN regexp_matches(metric, '^(mean|best|maj)@') AND NOT contains(metric,
-    'std') AND n = max(n) OVER () THEN 'val-core' ELSE 'val-aux' END || '/events/acc/' || metric AS name, round(value, 6) + 0.0 AS value FROM f"""
+    'std') AND n = max(n) OVER () THEN 'val-core' ELSE 'val-aux' END || '/events/acc/' || metric AS name, round(value, 4) + 0.0 AS value FROM f"""
 )
 def validation_metrics(spark, sf):
     from pyspark.sql import Window as W
 
     e = read(spark, sf, "events").select(
-        F.lit("events").alias("data_source"), (F.col("user_id") % 12).cast("string").alias("uid"), F.lit("acc").alias("var_name"), "event_id",
+        F.lit("events").alias("data_source"), F.col("user_id").cast("string").alias("uid"), F.lit("acc").alias("var_name"), "event_id",
         "value", F.col("event_type").alias("pred")
     )
-    e = e.withColumn("pos", F.row_number().over(W.partitionBy("uid").orderBy("event_id")) - 1).where("pos < 8")
-    return X.metric_section(X.validation_metrics(e, resamples=20)).select("name", r6("value").alias("value"))
+    e = e.withColumn("pos", F.row_number().over(W.partitionBy("uid").orderBy("event_id")) - 1)
+    return X.metric_section(X.validation_metrics(e, resamples=20)).select("name", r6("value", 4).alias("value"))
 
 
 # --- curation
@@ -656,9 +656,11 @@ def prepared_math(spark, sf):
 
 @query(
     f"""WITH r AS ({ROWS}), n AS (SELECT CAST(floor(count(*) * 0.75) AS BIGINT) AS n FROM r), p AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS rn
-    FROM r)
+    FROM r),
+    k AS (SELECT count(*) AS completions, sum(row_id % 4)::BIGINT AS labels,
+      sum(length(trim(replace(regexp_replace(replace('a' || truth || ': b [title] c[d]  ' || text, ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '))))::BIGINT AS chars FROM r WHERE row_id % 3 > 0)
     SELECT row_id, md5(text) AS prompt, truth, 'model' AS style, rn < n AS first_part, 'search_nq' AS data_source, md5('Find: ' || text) AS question,
-    2::BIGINT AS sft_rows, 'a: b. c' AS completion, 1 AS label FROM p, n"""
+    (SELECT 2 * count(*) FROM r) AS sft_rows, completions, chars, labels FROM p, n, k"""
 )
 def prepared_preferences(spark, sf):
     """Preference pairs as chats to be scored, as answers to be learned and split; searches; completions."""
@@ -674,15 +676,14 @@ def prepared_preferences(spark, sf):
     s = prepare.search_questions(
         p.select("row_id", "question", F.array(F.lit("x")).alias("golden_answers"), F.lit("nq").alias("data_source")), "Find: "
     ).select(F.col("extra_info.index").alias("row_id"), "data_source", F.md5(F.col("prompt")[0]["content"]).alias("question"))
-    two = prepare.preferences_to_sft(
-        x.select("row_id", "prompt", F.col("response").alias("chosen"), F.lit("no").alias("rejected")).limit(1)
-    ).agg(F.count("*").alias("sft_rows"))
-    c = prepare.sentence_completion(
-        spark.createDataFrame(
-            [("a", "b [title] c", ["x"], "1"), ("a", "b", ["x"], "")], "activity_label string, ctx string, endings array<string>, label string"
-        )
-    )
-    c = c.select(F.col("prompt")[0]["content"].alias("completion"), F.col("reward_model.ground_truth").alias("label"))
+    pairs = x.select("prompt", F.col("response").alias("chosen"), F.lit("no").alias("rejected"))
+    two = prepare.preferences_to_sft(pairs).agg(F.count("*").alias("sft_rows"))  # one row
+    scenes = x.select(
+        F.concat(F.lit("a"), "response").alias("activity_label"), F.concat(F.lit("b [title] c[d]  "), "prompt").alias("ctx"), F.array("response").alias("endings"),
+        F.when(F.col("row_id") % 3 > 0, (F.col("row_id") % 4).cast("string")).otherwise("").alias("label"),
+    )
+    c = prepare.sentence_completion(scenes).select(F.length(F.col("prompt")[0]["content"]).alias("n"), F.col("reward_model.ground_truth").alias("label"))
+    c = c.agg(F.count("*").alias("completions"), F.sum("n").alias("chars"), F.sum("label").alias("labels"))  # one row
     return a.join(part, "row_id").join(s, "row_id").join(F.broadcast(two)).join(F.broadcast(c))
 
 
@@ -782,8 +783,8 @@ def queue_rules(spark, sf):
     )
 
 
-LIMIT = """e AS (SELECT event_type AS limiter, event_id AS request, event_id * 0.5::DOUBLE AS arrival, CAST(event_id % 7 + 1 AS DOUBLE) AS need,
-    row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id < 600),
+LIMIT = """e AS (SELECT CAST(user_id AS VARCHAR) AS limiter, event_id AS request, event_id * 0.02::DOUBLE AS arrival, CAST(event_id % 7 + 1 AS DOUBLE) AS need,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
   s AS (SELECT limiter, 0::BIGINT AS k, 5.0::DOUBLE AS tokens, NULL::DOUBLE AS at, NULL::DOUBLE AS begin FROM (SELECT DISTINCT limiter FROM e)
     UNION ALL
     SELECT q.limiter, q.k, CASE WHEN have < want THEN want ELSE have END - need, now + CASE WHEN have < want THEN (want - have) / 0.5 ELSE 0 END,
@@ -797,8 +798,9 @@ LIMIT = """e AS (SELECT event_type AS limiter, event_id AS request, event_id * 0
     f"""WITH RECURSIVE {LIMIT} SELECT e.limiter, request, arrival, need, round(begin, 6) AS start FROM s JOIN e ON e.limiter = s.limiter AND e.k = s.k"""
 )
 def rate_limiter(spark, sf):
-    e = read(spark, sf, "events").where("event_id < 600").select(
-        F.col("event_type").alias("limiter"), F.col("event_id").alias("request"), (F.col("event_id") * 0.5).alias("arrival"),
+    """When each request of a user may go, by a bucket of tokens for each user."""
+    e = read(spark, sf, "events").select(
+        F.col("user_id").alias("limiter"), F.col("event_id").alias("request"), (F.col("event_id") * 0.02).alias("arrival"),
         (F.col("event_id") % 7 + 1).alias("need")
     )
     return Q.token_bucket(e, rate=0.5, capacity=5.0).select("limiter", "request", "arrival", "need", r6("start").alias("start"))

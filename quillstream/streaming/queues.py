@@ -6,6 +6,8 @@ order; the stateful form runs the bounded queue inside a stream.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -94,14 +96,11 @@ def bounded_queue_stream(stream: DataFrame, capacity: int, key: str = "queue") -
 
     def run(k, frames, state):
         held, dropped, produced = state.get if state.exists else ([], 0, 0)
-        held = list(held)
+        held = deque(held, maxlen=capacity)  # a full one lets its oldest go
         for pdf in frames:
-            for sample in pdf["sample_id"]:
-                produced += 1
-                held.append(sample)
-                if len(held) > capacity:
-                    held.pop(0)
-                    dropped += 1
+            held.extend(pdf["sample_id"])
+            produced += len(pdf)
+        held, dropped = list(held), max(0, produced - capacity)
         state.update((held, dropped, produced))
         yield pd.DataFrame({"queue": [k[0]], "held": [held], "dropped": [dropped], "produced": [produced]})
 
