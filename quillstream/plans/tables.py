@@ -358,7 +358,7 @@ VAL = """v AS (SELECT CAST(user_id AS VARCHAR) AS uid, value, event_type AS pred
 
 @query(
     f"""WITH {VAL} SELECT CASE WHEN regexp_matches(metric, '^(mean|best|maj)@') AND NOT contains(metric,
-    'std') AND n = max(n) OVER () THEN 'val-core' ELSE 'val-aux' END || '/events/acc/' || metric AS name, round(value, 4) + 0.0 AS value FROM f"""
+    'std') AND n = max(n) OVER () THEN 'val-core' ELSE 'val-aux' END || '/events/acc/' || metric AS name, round(value, 8) + 0.0 AS value FROM f"""
 )
 def validation_metrics(spark, sf):
     from pyspark.sql import Window as W
@@ -368,7 +368,7 @@ def validation_metrics(spark, sf):
         "value", F.col("event_type").alias("pred")
     )
     e = e.withColumn("pos", F.row_number().over(W.partitionBy("uid").orderBy("event_id")) - 1)
-    return X.metric_section(X.validation_metrics(e, resamples=20)).select("name", r6("value", 4).alias("value"))
+    return X.metric_section(X.validation_metrics(e, resamples=20)).select("name", r6("value", 8).alias("value"))
 
 
 # --- curation
