@@ -31,7 +31,7 @@ from quillstream.llm.core import Interner, blocks, ranges, table, trim
 from quillstream.shipping import ship
 
 SPACE = "▁"
-BLOCK_BYTES, CACHED_SEGMENTS = 1_500_000, 200_000
+BLOCK_BYTES, CACHED_SEGMENTS, KNOWN_PAIRS = 1_500_000, 200_000, 1_000_000
 #: Put before what starts a segment, where texts don't hold it themselves.
 MARK = "\x01"
 
@@ -124,8 +124,11 @@ class PieceModel:
                 last[end], size[end] = piece, n
                 continue
             before = last[end - n]
-            if before < 0 or (fits[before << 32 | piece] if before << 32 | piece in fits else test(before, piece)):
-                last[end], size[end] = piece, n
+            if before >= 0:
+                fit = fits.get(before << 32 | piece)
+                if not (test(before, piece) if fit is None else fit):
+                    continue
+            last[end], size[end] = piece, n
         out, at = [], len(segment) - 1
         while at >= 0:
             if last[at] >= 0:
@@ -219,6 +222,8 @@ class Segments:
         if not new:
             return
         model, lead = self.model, self.model.ids[SPACE]
+        if len(model.fits) > KNOWN_PAIRS:
+            model.fits.clear()
         found = [model.encode(s) for s in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
@@ -253,8 +258,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
         for batch in blocks(batches, "_text", BLOCK_BYTES):
             ids, decoded = encoder(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids, decoded], names=[*keep, "ids", "decoded"])
-        encoder.reset()
-        trim()
+        trim()  # the worker's next task knows these segments, up to CACHED_SEGMENTS of them
 
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
