@@ -235,6 +235,27 @@ def kl_coefficient(beta: float, kl: float, target: float, steps: int, horizon: i
     return beta * (1 + max(-0.2, min(0.2, kl / target - 1)) * steps / horizon)
 
 
+def kl_controller(kind: str, coefficient: float, target: float = 6.0, horizon: int = 10_000):
+    """The coefficient at each step, as a function of a table of steps (``step``, ``kl``, ``n_steps``): it adds
+    ``coefficient``, as it is after the step.  A fixed one stays; an adaptive one grows by what the KL is
+    above its target, a fifth at most.  Steps run up in ranges, so a long history is no single task."""
+    if kind == "fixed":
+        return lambda df: df.withColumn("coefficient", F.lit(float(coefficient)))
+    if kind != "adaptive":
+        raise ValueError(f"unknown controller {kind!r}")
+    if horizon <= 0:
+        raise ValueError("the horizon must be above 0")
+
+    def run(df: DataFrame) -> DataFrame:
+        from quillstream.operators.frame import running_sum
+
+        error = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("kl") / target - 1))
+        x = running_sum(df.withColumn("_log", F.log(1 + error * F.col("n_steps") / horizon)), "_log", "step", "_sum")
+        return x.withColumn("coefficient", coefficient * F.exp("_sum")).drop("_log", "_sum")
+
+    return run
+
+
 def staleness_stats(df: DataFrame, version: int) -> DataFrame:
     """Of produced rows (param_version, seconds): how many are stale, span of versions, percentiles."""
     return df.agg(

@@ -329,3 +329,19 @@ def test_registry(tmp_path):
     (tmp_path / "f.py").write_text("def f(x, k=1):\n    return x + k\n")
     assert load_function(str(tmp_path / "f.py"), "f", k=5)(1) == 6
     assert len(ADVANTAGES.names()) == 14
+
+
+def test_controllers_of_the_kl_coefficient(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE_ROWS", 3)
+    steps = [(i, float(k), 10) for i, k in enumerate((6, 60, 0, 6.6, 5.9, 7, 8))]
+    df = spark.createDataFrame(steps, "step long, kl double, n_steps int")
+    assert {r["coefficient"] for r in X.kl_controller("fixed", 0.3)(df).collect()} == {0.3}
+    value, want = 0.2, []
+    for _, kl, n in steps:
+        value = X.kl_coefficient(value, kl, 6.0, n, 100)
+        want.append(value)
+    got = X.kl_controller("adaptive", 0.2, 6.0, 100)(df).orderBy("step").collect()
+    assert [r["coefficient"] for r in got] == pytest.approx(want)
+    for bad in (lambda: X.kl_controller("other", 1.0), lambda: X.kl_controller("adaptive", 1.0, 6.0, 0)):
+        with pytest.raises(ValueError):
+            bad()
