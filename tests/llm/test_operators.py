@@ -528,7 +528,6 @@ def test_ngram_join(spark, words, percent):
 @pytest.mark.parametrize("size", [60, 400])
 def test_ngram_join_in_pieces(spark, monkeypatch, size):
     monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", size)
-    monkeypatch.setattr(ngram_join, "LEAST_PIECE", size)
     monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 500)
     monkeypatch.setattr(core, "HOT_ROWS", 3)
     rows = [(i, t) for i, t in enumerate(near_copies(9))]
