@@ -281,10 +281,8 @@ def tool_total(t: Column, truth: Column) -> Column:
 
 
 def plain_commas(x: Column) -> Column:
-    """Without the commas between thousands; those of tuples stay."""
-    for _ in range(4):  # a number of up to 15 digits
-        x = F.regexp_replace(x, r"(\d),(\d\d\d)(?!\d)", "$1$2")
-    return x
+    """Without the commas between thousands, of numbers of any length; those of tuples stay."""
+    return F.regexp_replace(x, r"(?<=\d),(?=\d\d\d(?!\d))", "")
 
 
 def whole_number(x: Column) -> Column:

@@ -141,3 +141,11 @@ def test_every_device_has_its_peak(spark):
     df = spark.createDataFrame([(f"NVIDIA {n} 80GB",) for n in names], "d string")
     assert [r[0] for r in df.select(options.peak(F.col("d"))).collect()] == [pytest.approx(options.PEAK[n] / 1e12) for n in names]
     assert tuple(df.limit(1).select(options.peak(F.lit("A100"), "B"), options.peak(F.lit("A100"), "P"), options.peak(F.lit("x"))).first()) == (312e12, 0.312, float("inf"))
+
+
+def test_commas_of_long_numbers(spark):
+    """Four and more groups of thousands; tuples and groups of other sizes stay."""
+    cases = [("1,000,391,444", "1000391444"), ("12,345,678,901,234,567", "12345678901234567"), ("(1, 200)", "(1, 200)"), ("1,2345,678", "1,2345678"), ("1,000,39", "1000,39"), ("x,123", "x,123")]
+    df = spark.createDataFrame(cases, "t string, w string")
+    assert [r[0] for r in df.select(G.plain_commas(F.col("t"))).collect()] == [w for _, w in cases]
+    assert df.limit(1).select(G.whole_number(F.col("t"))).first()[0] == 1000391444
