@@ -143,3 +143,11 @@ def test_positions_of_sparse_keys(spark, monkeypatch, keys):
 
 def test_answers_without_a_marker():
     assert graders.find_answer(None) == (False, "") and graders.find_answer("The answer is 3. So") == (True, "3")
+
+
+def test_questions_of_letters_without_a_capital(spark, tmp_path):
+    """A sharp s stays itself in capitals, as in the SQL."""
+    from quillstream.plans.measures import grade_question
+
+    spark.createDataFrame([(1, "Erßie entech erein"), (2, "the cat sat"), (3, "one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in grade_question(spark, str(tmp_path)).collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
