@@ -345,3 +345,11 @@ def test_controllers_of_the_kl_coefficient(spark, monkeypatch):
     for bad in (lambda: X.kl_controller("other", 1.0), lambda: X.kl_controller("adaptive", 1.0, 6.0, 0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_json_is_the_whole_text(spark):
+    """What follows a first value makes a text none, also where it would close what it is put into."""
+    cases = {"8294846167456848 Inly onhe.": False, "{} x": False, "1, 2": False, "1],[2": False, '1,"b":2': False, "1},{": False, "": False, "[1": False, ' {"a": [1, "x"]} ': True, "7": True, '"a"': True}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["j"] for r in df.select("t", V.verify("detectable_format:json_format", "t").alias("j")).collect()}
+    assert got == cases
