@@ -62,7 +62,8 @@ def may_dump(active: Column, step: Column, last: Column) -> Column:
 
 
 def round_up(n: Column, k: int) -> Column:
-    return (F.ceil(n / k) * k).cast("long")
+    n = n.cast("long")  # a quotient would be a double, which leaves out digits from 2**53 on
+    return n + F.pmod(-n, F.lit(k))
 
 
 def common_multiple(sizes: list[int]) -> int:

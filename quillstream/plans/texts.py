@@ -378,7 +378,7 @@ def settings(spark, sf):
         F.lit('{"usage": {"prompt_tokens": '), s, F.lit(', "prompt_tokens_details": {"cached_tokens": '), (i % 10).cast("string"), F.lit("}}}")
     )
     probs = F.concat(
-        F.when(i % 2 == 0, '{"prompt_logprobs": [').otherwise('{"choices": [{"prompt_logprobs": ['), (-0.5 * i % 7).cast("string"),
+        F.when(i % 2 == 0, '{"prompt_logprobs": [').otherwise('{"choices": [{"prompt_logprobs": ['), (-0.5 * (i % 14)).cast("string"),
         F.when(i % 2 == 0, "]}").otherwise("]}]}")
     )
     u = Y.usage(body)

@@ -151,3 +151,18 @@ def test_questions_of_letters_without_a_capital(spark, tmp_path):
 
     spark.createDataFrame([(1, "Erßie entech erein"), (2, "the cat sat"), (3, "one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in grade_question(spark, str(tmp_path)).collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
+
+
+def test_multiples_beyond_doubles(spark):
+    cases = [(10**16 + 1, 10**16 + 8), (10**16, 10**16), (7, 8), (0, 0), (-9, -8), (2**62 - 3, 2**62)]
+    df = spark.createDataFrame(cases, "n long, w long")
+    assert [r[0] for r in df.select(options.round_up(F.col("n"), 8)).collect()] == [w for _, w in cases]
+
+
+def test_settings_of_large_ids(spark, tmp_path):
+    from quillstream.plans.texts import settings
+
+    n = 10**16 + 3
+    spark.createDataFrame([(n, "view")], "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    row = settings(spark, str(tmp_path)).first()
+    assert row["rounded"] == n + 5 and row["logp"] == -0.5 * (n % 14)
