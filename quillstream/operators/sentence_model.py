@@ -33,20 +33,44 @@ def word_type(core_: Column) -> Column:
     return F.when(bare.rlike(r"^-?[0-9][0-9.,]*$"), NUMBER).otherwise(bare)
 
 
-def word_pairs(df: DataFrame, text: str = "text") -> DataFrame:
-    """(core, type, next) of each word: how it is written, its type, and the type of the next one."""
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    both = df.where(F.col(text).isNotNull()).select(words.alias("_w")).select(F.explode(F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.struct(core(a).alias("a"), core(b).alias("b")))).alias("_p"))
-    return both.select(F.col("_p.a").alias("core"), word_type(F.col("_p.a")).alias("type"), word_type(F.col("_p.b")).alias("next"))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+#: A word with a mark, after which alone a sentence can end, and the next word.  Each position is tried once.
+MARKED = r"(?<!\S)([^\s.!?]*+[.!?]\S*+)(?=\s++(\S++))"
+
+
+def marked_pairs(text: Column) -> Column:
+    """array<struct<a, b>>: the words of a text with a mark in them, but for its last word, each with the next word."""
+    return F.zip_with(F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)), F.regexp_extract_all(text, F.lit(MARKED), F.lit(2)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(core, type, n): words are counted as they are written, so that each is looked into once."""
+    n = df.where(F.col(text).isNotNull()).select(F.explode(words_of(F.col(text))).alias("_a")).groupBy("_a").agg(F.count("*").alias("n"))
+    return n.select(core(F.col("_a")).alias("core"), "n").select("core", word_type(F.col("core")).alias("type"), "n")
+
+
+def word_pairs(df: DataFrame, text: str = "text", marked: bool = False) -> DataFrame:
+    """(core, type, next, n) of pairs of words: how the first is written, its type, that of the next one (null after
+    the last), and how often they come; if ``marked``, of words with a mark that another one follows."""
+    words = words_of(F.col(text))
+    every = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = df.where(F.col(text).isNotNull()).select(F.explode(marked_pairs(F.col(text)) if marked else every).alias("_p"))
+    n = pairs.groupBy(F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b")).agg(F.count("*").alias("n"))
+    cores = n.select(core(F.col("_a")).alias("core"), core(F.col("_b")).alias("_b"), "n")
+    return cores.select("core", word_type(F.col("core")).alias("type"), word_type(F.col("_b")).alias("next"), "n")
 
 
 def has_period(core_: Column) -> Column:
     return core_.rlike(r"[^.]\.$")
 
 
-def type_counts(pairs: DataFrame) -> DataFrame:
-    """(type, with_period, n)."""
-    return pairs.where("type <> ''").groupBy("type").agg(F.count_if(has_period(F.col("core"))).alias("with_period"), F.count("*").alias("n"))
+def type_counts(words: DataFrame) -> DataFrame:
+    """(type, with_period, n) of words or pairs with their counts."""
+    period = F.when(has_period(F.col("core")), F.col("n")).otherwise(0)
+    return words.where("type <> ''").groupBy("type").agg(F.sum(period).alias("with_period"), F.sum("n").alias("n"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -82,20 +106,21 @@ def is_initial(core_: Column) -> Column:
 
 def train(df: DataFrame, text: str = "text") -> DataFrame:
     """(kind, word, next, score) of what was learned: ``abbreviation``, ``collocation`` (word and next)
-    and ``starter``.  Null and empty texts teach nothing; without periods nothing is learned."""
-    pairs = word_pairs(df, text)
-    counts = type_counts(pairs)
+    and ``starter``.  Null and empty texts teach nothing; without periods nothing is learned.
+
+    Texts are read twice: what is counted is kept by the executors, and has a row for each type, or pair."""
+    counts = type_counts(word_counts(df, text)).cache()
     short = abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).orderBy(F.desc("score"), "type").limit(MOST).select("type", "score")
     n = counts.agg(F.sum("n").alias("_t"))
-    ends = pairs.where(F.col("core").rlike(r"[.!?]$") & F.col("next").isNotNull() & (F.col("next") != ""))
+    ends = word_pairs(df, text, marked=True).where(F.col("core").rlike(r"[.!?]$") & (F.col("next") != "")).cache()
     loose = (F.col("type") == NUMBER) | is_initial(F.col("core"))
-    joined = ends.where(loose & has_period(F.col("core"))).groupBy("type", "next").agg(F.count("*").alias("ab")).where("ab > 1")
+    joined = ends.where(loose & has_period(F.col("core"))).groupBy("type", "next").agg(F.sum("n").alias("ab")).where("ab > 1")
     first, second = (counts.select(F.col("type").alias(k), F.col("n").alias(v)) for k, v in (("type", "a"), ("_b", "b")))
     joined = joined.join(first, "type").join(second, F.col("next") == F.col("_b")).crossJoin(F.broadcast(n))
     joined = joined.withColumn("score", likelihood(F.col("a"), F.col("b"), F.col("ab"), F.col("_t"))).where(F.col("score") >= COLLOCATION)
     breaks = ends.where(~loose).join(F.broadcast(short.select(F.col("type").alias("_s"))), F.col("type") == F.col("_s"), "left_anti")
-    whole = breaks.agg(F.count("*").alias("_breaks"))
-    starts = breaks.where(F.col("next").rlike(r"^\p{L}+$")).groupBy("next").agg(F.count("*").alias("ab")).join(second, F.col("next") == F.col("_b"))
+    whole = breaks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_breaks"))
+    starts = breaks.where(F.col("next").rlike(r"^\p{L}+$")).groupBy("next").agg(F.sum("n").alias("ab")).join(second, F.col("next") == F.col("_b"))
     starts = starts.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(n))
     starts = starts.withColumn("score", likelihood(F.col("_breaks"), F.col("b"), F.col("ab"), F.col("_t"))).where(F.col("score") >= STARTER)
     best = lambda x, *by: x.orderBy(F.desc("score"), *by).limit(MOST)
@@ -139,32 +164,36 @@ class SentenceModel:
         return run(cores, F.transform(cores, word_type))
 
     def ends(self, cores: list[str], types: list[str]) -> list[bool]:
-        out = []
-        for i, (word, kind) in enumerate(zip(cores, types)):
-            if i + 1 == len(cores):
-                out.append(True)
-                continue
-            after, capital = types[i + 1], cores[i + 1][:1].isupper()
-            if word[-1:] in ("!", "?"):
-                out.append(True)
-            elif word[-1:] != ".":
-                out.append(False)
-            elif word.endswith(".."):
-                out.append(capital)
-            elif (kind, after) in self.collocations or len(word) == 2 and word[0].isupper():
-                out.append(False)
-            elif kind in self.abbreviations:
-                out.append(capital and after in self.starters)
-            else:
-                out.append(capital or kind != NUMBER)
-        return out
+        return [self.breaks(*x) for x in zip(cores, types, cores[1:], types[1:])] + [True] * bool(cores)
+
+    def breaks(self, word: str, kind: str, next_word: str, after: str) -> bool:
+        capital = next_word[:1].isupper()
+        if word[-1:] in ("!", "?"):
+            return True
+        if word[-1:] != ".":
+            return False
+        if word.endswith(".."):
+            return capital
+        if (kind, after) in self.collocations or len(word) == 2 and word[0].isupper():
+            return False
+        if kind in self.abbreviations:
+            return capital and after in self.starters
+        return capital or kind != NUMBER
 
     def split(self, text: Column) -> Column:
         """Sentences of a text, their words set apart by single spaces; null for null."""
-        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        words = words_of(text)
         closed = F.transform(F.arrays_zip(words.alias("w"), self.flags(words).alias("e")), lambda x: F.concat(x["w"], F.when(x["e"], "\0").otherwise(" ")))
         return F.filter(F.split(F.array_join(closed, ""), "\0"), lambda s: s != "")
 
     def count(self, text: Column) -> Column:
-        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-        return F.size(F.filter(self.flags(words), lambda e: e))
+        """How many sentences ``split`` makes: only words with a mark are looked into."""
+        told = self
+
+        @F.pandas_udf("int")
+        def run(pairs: pd.Series) -> pd.Series:
+            return pd.Series([0 if p is None else sum(told.breaks(*p[i : i + 4]) for i in range(0, len(p), 4)) for p in pairs], dtype="int32")
+
+        cores = F.transform(marked_pairs(text), lambda x: F.struct(core(x["a"]).alias("a"), core(x["b"]).alias("b")))
+        pairs = F.flatten(F.transform(cores, lambda x: F.array(x["a"], word_type(x["a"]), x["b"], word_type(x["b"]))))
+        return F.when(text.isNotNull(), run(pairs) + F.when(text.rlike(r"\S"), 1).otherwise(0))

@@ -63,3 +63,13 @@ def test_counts_of_a_small_corpus(spark):
     got = {r["type"]: (r["with_period"], r["n"]) for r in N.type_counts(N.word_pairs(df)).collect()}
     assert got == {"a": (0, 2), "b": (2, 3), "##number##": (1, 2), "c": (0, 1)}
     assert Counter(r["kind"] for r in N.train(df.where("text = ''")).collect()) == {}
+
+
+def test_words_are_counted_as_written(spark, model):
+    """Each spelling is looked into once, and only words with a mark before another word are paired."""
+    df = spark.createDataFrame([("a b. A b. A\n(b.) \t 3. 4 c... b!",), ("b. A " + "x" * 300_000,), (None,), (" ",)], "text string")
+    assert {(r["core"], r["type"], r["n"]) for r in N.word_counts(df.where("length(text) < 99")).collect()} >= {("b.", "b", 2), ("A", "a", 2), ("b.", "b", 1)}
+    marked = {(r["core"], r["type"], r["next"]): r["n"] for r in N.word_pairs(df, marked=True).collect()}
+    assert marked == {("b.", "b", "a"): 3, ("b.", "b", "##number##"): 1, ("3.", "##number##", "##number##"): 1, ("c...", "c", "b"): 1}
+    both = df.select(model.count(F.col("text")), F.size(model.split(F.col("text")))).collect()
+    assert [r[0] for r in both] == [4, 2, None, 0] and [r[1] for r in both] == [4, 2, None, 0]
