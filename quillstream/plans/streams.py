@@ -3,12 +3,11 @@ sink holds once all that is there has been taken."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.plans.base import query, r6, read
+from quillstream.sources import dumps as D
 from quillstream.streaming import assembly as A
 from quillstream.streaming import queues as Q
 
@@ -21,11 +20,18 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream until nothing is left to read; its result, which is small, from memory."""
-    name = f"sink_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream until nothing is left to read; its result, from files that the tasks write: a
+    folder for each micro-batch, of which the last one holds all that ``complete`` gives."""
+    at, done = D.scratch(df.sparkSession), []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/{n}")
+        done.append(f"{at}/{n}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(*(done[-1:] if mode == "complete" else dict.fromkeys(done)))
 
 
 @query("SELECT event_type AS queue, count(*) AS produced, greatest(count(*) - 50, 0) AS dropped, least(count(*), 50) AS held FROM events GROUP BY 1")

@@ -107,3 +107,18 @@ def test_late_rows_are_left_out_and_counted(spark, tmp_path):
     assert A.late_rows(running) == 1
     assert spark.conf.get(A.PROVIDER, "").endswith("RocksDBStateStoreProvider") is False
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_results_of_streams_come_from_files(spark, tmp_path):
+    """No sink gathers them in the driver; ``complete`` gives what the last batch left, other modes what all did."""
+    from pyspark.sql import functions as F
+
+    from quillstream.plans.streams import drained
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    every = drained(source.where("id % 2 = 0"), "append")
+    assert sorted(r[0] for r in every.collect()) == list(range(0, 30, 2)) and every.inputFiles()
+    counts = drained(source.groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n")), "complete")
+    assert {tuple(r) for r in counts.collect()} == {(0, 10), (1, 10), (2, 10)} and counts.inputFiles()
