@@ -353,3 +353,25 @@ def test_json_is_the_whole_text(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     got = {r["t"]: r["j"] for r in df.select("t", V.verify("detectable_format:json_format", "t").alias("j")).collect()}
     assert got == cases
+
+
+def test_votes_of_many_answers_are_rows(spark):
+    """Draws are rows that are counted once, not arrays that each answer goes through again."""
+    import hashlib
+    import statistics
+    from collections import Counter
+
+    n, rows = 40, [("s", "u", "acc", i, i * 0.5, None if i % 9 == 0 else f"p{i % 9}") for i in range(40)]
+    df = spark.createDataFrame(rows, "data_source string, uid string, var_name string, pos int, value double, pred string")
+    out = X.validation_metrics(df, resamples=5)
+    assert "array_distinct(transform" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["metric"]: r["value"] for r in out.collect()}
+    for size in (2, 4, 8, 16, 32, 40):
+        made = []
+        for b in range(5):
+            drawn = [rows[int(hashlib.md5(f"42:s:u:acc:{b}:{k}".encode()).hexdigest()[:8], 16) % n] for k in range(size)]
+            votes = Counter(d[5] for d in drawn)  # in the order first drawn
+            top = max(votes, key=votes.get)
+            made.append((max(d[4] for d in drawn), min(d[4] for d in drawn), next(d[4] for d in drawn if d[5] == top)))
+        for name, values in zip(("best", "worst", "maj"), zip(*made)):
+            assert math.isclose(got[f"{name}@{size}/mean"], statistics.fmean(values)) and math.isclose(got[f"{name}@{size}/std"], statistics.pstdev(values), abs_tol=1e-12)
