@@ -166,3 +166,17 @@ def test_settings_of_large_ids(spark, tmp_path):
     spark.createDataFrame([(n, "view")], "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     row = settings(spark, str(tmp_path)).first()
     assert row["rounded"] == n + 5 and row["logp"] == -0.5 * (n % 14)
+
+
+def test_few_word_rules_are_enough_for_plain_sentences(spark):
+    import random
+
+    from pyspark.sql import types as T
+
+    assert len(V.PLAIN_RULES) == 4
+    rng = random.Random(7)
+    bits = ["a", "B", "cannot", "Gonna", "it's", "x,y", "1,000", "3.5", ":", ", ", ". ", "?", "!", "--", "-", "..", '"', "``", "'", "(", "]", "»", "\n", "\t", "\u00a0", "\r\n", "ß", " ", " ", " ", "."]
+    texts = ["", " ", ".", "a.", "a. \n", "a,", "a:\n", "x.\u2028"] + ["".join(rng.choice(bits[:1] * 4 + bits) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], T.StructType([T.StructField("t", T.StringType())]))
+    whole = F.filter(F.split(V.apply_rules(F.col("t"), V.WORD_RULES), " "), lambda w: w != "")
+    assert df.where(~V.treebank(F.col("t")).eqNullSafe(whole)).select("t").take(5) == []
