@@ -29,11 +29,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.core import Interner, arrays, blocks, hot_join, mix64, ranges, staged, table, trim, unused, utf8
+from quillstream.llm.core import Interner, arrays, blocks, free_shuffles, hot_join, mix64, ranges, staged, table, trim, unused, utf8
 from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
@@ -279,7 +280,8 @@ def _unpack_sets(words: int):
             sets = shingler.sets([unpack.decompress(x) for x in batch.column("packed").to_pylist()])
             same = [signature(s) == x for s, x in zip(sets, batch.column("sig").to_pylist())]
             keep = pa.array(same, pa.bool_())
-            yield arrays(pieces=batch.column("pieces").filter(keep), component=batch.column("component").filter(keep), lead=batch.column("lead").filter(keep), shingles=pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary()))
+            nodes = pa.array(map(node_of, batch.column("sig").filter(keep).to_pylist()), pa.int64())
+            yield arrays(pieces=batch.column("pieces").filter(keep), component=batch.column("component").filter(keep), lead=batch.column("lead").filter(keep), node=nodes, shingles=pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary()))
 
     return run
 
@@ -375,22 +377,71 @@ def _join(percent: int):
 
 
 def _fetch(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(pieces, component, lead, shingles) of ``members``: the texts of other rows stay where
+    """(pieces, component, lead, node, shingles) of ``members``: the texts of other rows stay where
     they are, but for those that a bounded filter lets pass."""
     spread = rows.sparkSession.sparkContext.broadcast(id_filter(members.select("lead"), members.count()))
     texts = rows.mapInArrow(_pack_texts(spread), "doc_id long, packed binary")
     fetched = texts.join(members.select("sig", "lead", "component", "pieces").hint("merge"), texts["doc_id"] == F.col("lead"))
-    return fetched.select("pieces", "component", "lead", "sig", "packed").mapInArrow(_unpack_sets(words), "pieces int, component long, lead long, shingles binary")
+    return fetched.select("pieces", "component", "lead", "sig", "packed").mapInArrow(_unpack_sets(words), "pieces int, component long, lead long, node long, shingles binary")
 
 
 def _joined(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("task", "component", "lead", "shingles").groupBy("task").applyInArrow(_join(percent), "u long, v long")
 
 
+def _pieces(shingles: Column) -> Column:
+    return F.ceil(shingles / PIECE_SHINGLES).cast("int")
+
+
+def _by_component(sets: DataFrame, total: int) -> DataFrame:
+    """Tasks of whole components, with TASK_SHINGLES of ``total`` shingles each, about."""
+    return sets.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string"))
+
+
+def _listed(step: int):
+    """(node, n, shingle) of the shingles whose hashes are multiples of ``step``."""
+
+    def run(batches):
+        for batch in blocks(batches, "shingles", BLOCK_BYTES):
+            sets = [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
+            some = [s[s % np.uint64(step) == 0] for s in sets]
+            size = [len(s) for s in some]
+            node, n = (np.repeat(x, size) for x in (batch.column("node").to_numpy(), np.array([len(s) for s in sets], np.int32)))
+            yield arrays(node=node, n=n, shingle=np.concatenate([*some, np.zeros(0, np.uint64)]).view(np.int64))
+
+    return lambda sets: sets.select("node", "shingles").mapInArrow(run, "node long, n int, shingle long")
+
+
+def refined(sets: DataFrame, percent: int) -> DataFrame:
+    """(pieces, component, lead, node, shingles) of the sets that may link, in components of a
+    stricter candidate edge: what links segments of a few shingles grows together as a corpus grows.
+
+    A set with more shingles of its own than a linked one may lack links with nothing; half of the
+    hash space shows most of these.  Of the others, two that link share one of the rarest shingles,
+    as many as may be lacking and one, since all sets order shingles alike: by their number of sets
+    here, then by hash.  Shingles of one set alone are among these, but need no list.
+    """
+    lacking = F.expr(f"n * {100 - percent} div 100")
+    alone = _listed(2)(sets).groupBy("shingle").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.count("*").alias("in")).where("in = 1")
+    alone = alone.groupBy("node", "n").agg(F.count("*").alias("own")).where(F.col("own") > lacking).select("node")
+    few = staged(sets.join(alone, "node", "left_anti"), "few")
+    listed = _listed(1)(few).withColumn("in", F.count("*").over(W.partitionBy("shingle"))).where("in > 1")
+    shared = listed.groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("in", "shingle"))).alias("shared"))
+    rarest = F.greatest(lacking + 1 - F.col("n") + F.size("shared"), F.lit(0)).cast("int")
+    keys = shared.select("node", F.explode(F.slice("shared", F.lit(1), rarest)).alias("x")).select("node", "x.shingle")
+    edges = keys.select(F.col("node").alias("u"), F.min("node").over(W.partitionBy("shingle")).alias("v"))
+    found = connected_components(edges)
+    roots = staged(found.select(F.col("u").alias("node"), "root").union(found.select("root", "root").distinct()), "roots")
+    fine = few.drop("component", "pieces").join(roots, "node").withColumnRenamed("root", "component")
+    n = F.octet_length("shingles") / 8
+    size = roots.join(few.select("node", n.alias("n")), "node").groupBy(F.col("root").alias("component")).agg(_pieces(F.sum("n")).alias("pieces"))
+    return staged(fine.join(size, "component").select("pieces", "component", "lead", "node", "shingles"), "fine")
+
+
 def _crossed(sets: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     """Links of components between ``some`` of their sets and all: each chunk of these meets each
     piece of all."""
-    chunks = some.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("chunks"))
+    chunks = some.groupBy("component").agg(_pieces(F.sum(F.octet_length("shingles") / 8)).alias("chunks"))
     task = lambda part, chunk: F.concat_ws(":", "component", part, chunk)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = sets.join(chunks, "component").withColumn("_i", upto("chunks")).withColumn("task", task("piece", "_i"))
@@ -413,7 +464,7 @@ def link_large(sets: DataFrame, percent: int) -> DataFrame:
     sets = staged(sets.withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int")), "large")
     alone = staged(_joined(sets.withColumn("task", F.concat_ws(":", "component", "piece")), percent), "links")
     first = sets.join(alone.select(F.col("v").alias("lead")).distinct(), "lead", "left_semi").drop("pieces", "piece")
-    size = first.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles") / 8) / PIECE_SHINGLES).cast("int").alias("pieces"))
+    size = first.groupBy("component").agg(_pieces(F.sum(F.octet_length("shingles") / 8)).alias("pieces"))
     first = first.join(size, "component").withColumn("piece", F.pmod(F.xxhash64("lead"), F.col("pieces")).cast("int"))
     across = staged(_crossed(first, first, percent), "links")
     links = alone.union(across)
@@ -447,17 +498,26 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     buckets = 1 + int(total * 2.2 * Segments(percent).share) // TASK_SEGMENTS
     edges = rows.mapInArrow(_segments(words, percent, buckets, hot), "bucket int, keys binary, nodes binary, edges binary").groupBy("bucket").applyInArrow(_edges, "u long, v long")
     found = connected_components(edges)
+    free_shuffles(spark)
     roots = found.select(F.col("u").alias("node"), F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
     members = sets.where("n > 0").select("sig", "lead", "n", "node").join(roots, "node").drop("node")
-    size = members.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).withColumn("pieces", F.ceil(F.col("size") / PIECE_SHINGLES).cast("int"))
+    size = members.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).withColumn("pieces", _pieces(F.col("size")))
     members = staged(hot_join(members, size, "component", "sets", n_rows), "members")
     total, most = members.where("pieces = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], members.agg(F.coalesce(F.max("pieces"), F.lit(0))).first()[0]
-    task = F.pmod(F.xxhash64("component"), F.lit(1 + total // TASK_SHINGLES)).cast("string")
-    links = _joined(_fetch(rows, members.where("pieces = 1"), words).withColumn("task", task), percent)
-    links = links.where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
+    free_shuffles(spark)
+    links = _joined(_by_component(_fetch(rows, members.where("pieces = 1"), words), total), percent)
+    links = staged(links.where("u <> v").groupBy("u").agg(F.min("v").alias("root")), "links")
+    free_shuffles(spark)
     if most > 1:
-        large = connected_components(link_large(_fetch(rows, members.where("pieces > 1"), words), percent))
-        links = links.unionByName(large)
+        fine = refined(staged(_fetch(rows, members.where("pieces > 1"), words), "wide"), percent)
+        free_shuffles(spark)
+        small = fine.where("pieces = 1")
+        total = small.agg(F.coalesce(F.sum(F.octet_length("shingles") / 8), F.lit(0)).cast("long")).first()[0]
+        small = _joined(_by_component(small, total), percent).where("u <> v").groupBy("u").agg(F.min("v").alias("root"))
+        links = links.unionByName(staged(small, "links"))
+        if not (large := fine.where("pieces > 1")).isEmpty():
+            links = links.unionByName(connected_components(link_large(large, percent)))
+        free_shuffles(spark)
     ids = sets.join(links, sets["lead"] == links["u"], "left").select("sig", F.coalesce("root", "lead").alias("component"), "copies")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return hot_join(signed, staged(ids, "ids"), "sig", "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -535,6 +535,22 @@ def test_ngram_join_in_pieces(spark, monkeypatch, size):
     assert sorted(map(tuple, got)) == components_by_hand(rows, 3, 90)
 
 
+def test_shared_passages_do_not_grow_a_component(spark, monkeypatch):
+    """Documents that share passages only are one component of candidates, which is taken apart
+    before sets meet in pieces; copies within it stay together, rows that repeat an id too."""
+    rng = random.Random(4)
+    passages = [[f"p{k}x{rng.randrange(10**6)}" for _ in range(60)] for k in range(41)]
+    rows = [(k, " ".join(passages[k] + passages[k + 1] + [f"d{k}x{i}" for i in range(60)])) for k in range(40)]
+    rows += [(100 + k, rows[k][1].replace(f"d{k}x7 ", "other ")) for k in range(0, 40, 4)] + [rows[3]]
+    pieces = []
+    joined = ngram_join.link_large
+    monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", 2000)
+    monkeypatch.setattr(ngram_join, "link_large", lambda sets, percent: [pieces.append(sets.count()), joined(sets, percent)][1])
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(map(tuple, got)) == components_by_hand(rows, 5, 80)
+    assert not pieces
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
 def test_segments_share_a_key(percent):
     """Sets at the very edge of the threshold have an equal key, whatever their sizes."""
