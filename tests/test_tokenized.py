@@ -74,3 +74,19 @@ def test_digest_of_a_set_of_ids(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = sha("\n".join(sha("\n".join(map(str, part))) for part in ([-5], [3], [70, 71], [200])))
     assert C.keyset_digest(df, "i", 64).first()[0] == want
+
+
+def test_few_texts_are_encoded_and_decoded_at_once(spark, monkeypatch):
+    """The library is called with bounded parts of a batch, and rows stay in order."""
+    own, sizes = K.load(PATH), []
+
+    class Told:
+        def encode_batch(self, texts, **kw):
+            sizes.append(sum(map(len, texts)))
+            return own.encode_batch(texts, **kw)
+
+    monkeypatch.setitem(K._loaded, (PATH, ()), Told())
+    texts = ["two words " * (k % 7) for k in range(20_000)] + ["long " * 100_000]
+    assert [list(x) for x in K.encode(texts, PATH)[:9]] == [own.encode(t, add_special_tokens=False).ids for t in texts[:9]]
+    assert sum(sizes) == sum(map(len, texts)) and sorted(sizes)[-2] <= 200_000
+    assert [len(x) for x in K.chunks([[0] * 150_000, [], [0] * 60_000], len)] == [2, 1]
