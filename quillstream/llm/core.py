@@ -62,6 +62,18 @@ def clear_staged() -> None:
             return
 
 
+#: Bytes of texts that an executor and its Python worker hand over at once in the pipeline, about: for each task
+#: both hold a batch, and the executor twice the room for it while it grows.
+BATCH_BYTES = 6_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, for what a stage returns is run by its caller.  A smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names with so many underscores before them that no column begins like them."""
     start = "_"

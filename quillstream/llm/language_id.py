@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.core import arrays, blocks, crc_mod, table
+from quillstream.llm.core import arrays, blocks, crc_mod, small_batches, table
 from quillstream.shipping import ship
 
 DIMS, ORDERS = 1 << 14, (1, 2, 3)
@@ -209,5 +209,6 @@ def op10_language_id(spark, sf_dir):
 def stage_language_id(spark, docs, sf_dir):
     """Pipeline stage: rows whose language can't be told (no letter, or a score of half or
     less) go; the others keep their columns."""
+    small_batches(spark)
     model = fit_rows(training_rows(docs, "doc_id", "text", "lang"))
     return docs.mapInArrow(_keep(model, "text", 0.5), docs.schema)

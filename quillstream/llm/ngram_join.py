@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.core import Interner, arrays, blocks, free_shuffles, hot_join, mix64, ranges, staged, table, trim, unused, utf8
+from quillstream.llm.core import Interner, arrays, blocks, free_shuffles, hot_join, mix64, ranges, small_batches, staged, table, trim, unused, utf8
 from quillstream.shipping import ship
 
 WORDS, PERCENT = 3, 90
@@ -556,6 +556,7 @@ def stage_near_dedup(spark, docs, sf_dir):
     stay; rows that repeat an id come as often as they do; an empty table stays empty; other
     columns, whatever their names, are kept.
     """
+    small_batches(spark)
     names = docs.columns
     row, kept_row = unused(docs, "row", "kept")
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 2) + F.lit(1 << 62)

@@ -5,12 +5,14 @@ import math
 from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, HARD, SF, empty, hard
 from tests.llm.test_operators import check_packing, components_by_hand, dedup_by_hand
 
-from quillstream.llm import core, exact_dedup, mixing
+from quillstream.llm import core, exact_dedup, mixing, packing
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -128,3 +130,35 @@ def test_scratch_tables_go(spark):
     core.staged(spark.range(4), "gone")
     core.drop_staged_since(before, kept)
     assert core.staged_so_far() == before + 1 and kept.count() == 3
+
+
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "packing"])
+def test_stages_take_small_batches(spark, name):
+    """What a Python worker gets at once is bounded in bytes, whatever the rows hold."""
+    spark.conf.unset(BATCHES)
+    STAGES[name](spark, empty(spark), SF)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))  # 30 MB in one task
+    got = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in got) < 1.5 * core.BATCH_BYTES and sum(r["n"] for r in got) > 30_000_000
+    spark.conf.set(BATCHES, "1m")
+    STAGES[name](spark, empty(spark), SF)
+    assert spark.conf.get(BATCHES) in ("1m", "1048576b")
+    spark.conf.unset(BATCHES)
+
+
+def test_packing_stage_starts_no_other_workers(spark):
+    """The numbers of queues come as a local table, not from workers that read pickled rows."""
+    plan = STAGES["packing"](spark, hard(spark), SF)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_packing_stage_frees_its_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "source": ["a"], "text": ["some words"]})
+    for held in (False, True):
+        assert len(list(packing._encode(public_tokenizers.path("word_bpe_49k.json"), 1, 10, True, held=held)(iter([rows])))) == 1
+        assert len(packing._encoders) == held
