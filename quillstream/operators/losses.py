@@ -110,17 +110,74 @@ def covariance(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(means)).withColumn("cov", (adv() - F.col("_a")) * (F.col("logp") - F.col("_l"))).drop("_a", "_l")
 
 
+#: Spans that counts of values are summed up in at once, in the search for a cut.
+SPANS = 4096
+
+
+def kth(counts: DataFrame, k: int) -> tuple:
+    """(the k-th smallest of the values ``v``, which occur ``n`` times each; rows below it; rows of it).
+
+    Values are summed up in equal spans, then those of the span with the k-th in spans of their own, until one
+    value is left: the driver sees SPANS rows at a time, and no task orders the values."""
+    low, high = counts.agg(F.min("v"), F.max("v")).first()
+    below = 0
+    while True:
+        span = F.lit(0) if low == high else F.floor((F.col("v") - F.lit(low)) / (F.lit(high) - F.lit(low)) * SPANS)
+        sums = counts.where(F.col("v").between(low, high)).groupBy(span.alias("s")).agg(F.sum("n"), F.min("v"), F.max("v")).collect()
+        for _, n, least, most in sorted(sums, key=lambda r: r[0]):
+            if below + n >= k:
+                break
+            below += n
+        if least == most:
+            return least, below, n
+        low, high = least, most
+
+
+def first_rows(df: DataFrame, keys: list[Column], k: int) -> Column:
+    """Whether a row is of the first k by numeric keys, none null, which tell rows apart: a condition on values that
+    are found by counts, key by key, so that no task has the k rows.  All rows are, if there are no more."""
+    out, same = F.lit(False), F.lit(True)
+    for key in keys:
+        counts = df.where(same).groupBy(key.alias("v")).agg(F.count("*").alias("n")).persist()
+        try:
+            total = counts.agg(F.sum("n")).first()[0] or 0
+            if total <= k:
+                return out | same
+            v, below, n = kth(counts, k)
+        finally:
+            counts.unpersist()
+        out, same, k = out | (same & (key < F.lit(v))), same & (key == F.lit(v)), k - below
+        if n == k:
+            break
+    return out | same
+
+
+def numbers_of(df: DataFrame, name: str) -> list[Column]:
+    """Numbers that order a column as it is: its own, or those of seven bytes of text each, and the length."""
+    if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
+        return [F.col(name).cast("long")]
+    text = F.col(name).cast("string").cast("binary")
+    most = df.agg(F.max(F.octet_length(text))).first()[0] or 0
+    part = lambda i: F.conv(F.rpad(F.hex(F.substring(text, i, 7)), 14, "0"), 16, 10).cast("long")
+    return [*map(part, range(1, most + 1, 7)), F.octet_length(text).cast("long")]
+
+
+def first_tokens(df: DataFrame, among: Column, key: Column, k: int) -> Column:
+    """Whether a token is of the first k among some by a numeric key, row_id and t."""
+    df = df.where(among)
+    return among & first_rows(df, [key, *numbers_of(df, "row_id"), *numbers_of(df, "t")], k)
+
+
 @LOSSES.register("clip_cov")
 def clip_cov(df: DataFrame, share: float = 2e-4, low: float = 1.0, high: float = 5.0, seed: int = 0, clip: float = 0.2) -> DataFrame:
     """Of tokens whose covariance is within (low, high), a seeded few give no loss."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    inside = df.where((mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(
-        md5_draw(F.lit(str(seed)), F.col("row_id").cast("string"), F.col("t").cast("string")), "row_id", "t"
-    ).limit(k).select("row_id", "t", F.lit(True).alias("_off"))
-    out = df.join(inside, ["row_id", "t"], "left")
+    inside = (mask() == 1) & (F.col("cov") > low) & (F.col("cov") < high)
+    draw = md5_draw(F.lit(str(seed)), F.col("row_id").cast("string"), F.col("t").cast("string"))
+    off = first_tokens(df, inside, draw, k)
     worse = F.greatest(-adv() * ratio(), -adv() * clamp(ratio(), 1 - clip, 1 + clip))
-    return out.withColumn("loss", F.when(F.col("_off"), 0.0).otherwise(worse)).drop("_off")
+    return df.withColumn("loss", F.when(off, 0.0).otherwise(worse))
 
 
 @LOSSES.register("kl_cov")
@@ -128,9 +185,10 @@ def kl_cov(df: DataFrame, share: float = 2e-4, beta: float = 1.0) -> DataFrame:
     """The tokens of the largest covariance pay beta times the absolute KL."""
     df = covariance(df)
     k = max(1, int(share * df.where("mask = 1").count()))
-    top = df.where(mask() == 1).orderBy(F.desc("cov"), "row_id", "t").limit(k).select("row_id", "t", F.lit(True).alias("_top"))
-    out = df.join(top, ["row_id", "t"], "left")
-    return out.withColumn("loss", -adv() * ratio() + F.when(F.col("_top"), beta * F.abs(logr())).otherwise(0.0)).drop("_top")
+    # largest first, as an order by the covariance has it: what is no number, then the infinite
+    largest = -F.when(F.isnan("cov"), 8e307).otherwise(clamp(F.coalesce("cov", F.lit(-8e307)), -4e307, 4e307))
+    top = first_tokens(df, mask() == 1, largest, k)
+    return df.withColumn("loss", -adv() * ratio() + F.when(top, beta * F.abs(logr())).otherwise(0.0))
 
 
 @LOSSES.register("geo_mean")

@@ -375,3 +375,29 @@ def test_votes_of_many_answers_are_rows(spark):
             made.append((max(d[4] for d in drawn), min(d[4] for d in drawn), next(d[4] for d in drawn if d[5] == top)))
         for name, values in zip(("best", "worst", "maj"), zip(*made)):
             assert math.isclose(got[f"{name}@{size}/mean"], statistics.fmean(values)) and math.isclose(got[f"{name}@{size}/std"], statistics.pstdev(values), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["kl_cov", "clip_cov"])
+def test_covariance_losses_choose_exactly_without_a_limit(spark, name):
+    """As a sort has it, with ties over rows and tokens; no plan brings the chosen to one task."""
+    rng = np.random.default_rng(7)
+    rows = [(2**60 + i // 9, i % 9, int(rng.random() < 0.8), -float(rng.integers(0, 5)), -float(rng.integers(0, 5)) / 2, float(rng.integers(-3, 4))) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, t int, mask int, logp double, old_logp double, adv double")
+    out = LOSSES.get(name)(df, share=0.1)
+    assert "Limit" not in out._jdf.queryExecution().toString() and "TakeOrdered" not in out._jdf.queryExecution().toString()
+    named = LOSSES.get(name)(df.withColumn("row_id", F.concat(F.lit("a long name "), F.col("row_id").cast("string"))), share=0.1)
+    if name == "kl_cov":  # the draws of clip_cov follow the name
+        assert named.agg(F.sum("loss")).first()[0] == pytest.approx(out.agg(F.sum("loss")).first()[0])
+    x = L.covariance(df).toPandas()
+    n, inside = int(0.1 * x["mask"].sum()), x[(x["mask"] == 1) & ((name == "kl_cov") | (x["cov"] > 1) & (x["cov"] < 5))].copy()
+    draw = [r[0] for r in spark.createDataFrame(inside[["row_id", "t"]]).select(X.md5_draw(F.lit("0"), F.col("row_id").cast("string"), F.col("t").cast("string"))).collect()]
+    inside["key"] = -inside["cov"] if name == "kl_cov" else draw
+    chosen = set(map(tuple, inside.sort_values(["key", "row_id", "t"])[["row_id", "t"]].to_numpy()[:n].tolist()))
+    got = {(r["row_id"], r["t"]): r["loss"] for r in out.collect()}
+    assert len(chosen) == n and len(got) == 900
+    for i, t, _, a, b, v in rows:
+        r = math.exp(a - b)
+        extra = abs(a - b) if (i, t) in chosen else 0.0
+        worse = max(-v * r, -v * min(max(r, 0.8), 1.2))
+        want = -v * r + extra if name == "kl_cov" else 0.0 if (i, t) in chosen else worse
+        assert got[i, t] == pytest.approx(want)
