@@ -401,3 +401,15 @@ def test_covariance_losses_choose_exactly_without_a_limit(spark, name):
         worse = max(-v * r, -v * min(max(r, 0.8), 1.2))
         want = -v * r + extra if name == "kl_cov" else 0.0 if (i, t) in chosen else worse
         assert got[i, t] == pytest.approx(want)
+
+
+def test_scalar_times_tokens_is_rounded_as_in_sql(spark):
+    """The sum of n copies is another double than n times one, and near ties rounding shows it."""
+    import duckdb
+
+    from quillstream.plans.rollout import _times
+
+    rows = [(i, [s * (2.0 - k / m)] * n + [0.0], [1] * n + [0]) for i, (m, k, n, s) in enumerate(product((160, 32, 224), range(1, 400, 7), (3, 5, 7), (1, -1)))]
+    got = {r["row_id"]: r["adv"] for r in _times(spark.createDataFrame(rows, "row_id long, advantages array<double>, response_mask array<int>")).collect()}
+    want = duckdb.connect().execute("SELECT round(x, 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [[a[0] * sum(m) for _, a, m in rows]]).fetchall()
+    assert [got[i] for i, *_ in rows] == [x + 0.0 for x, in want]
