@@ -75,10 +75,13 @@ def timings(df: DataFrame, key: str, metrics: str) -> DataFrame:
 
 
 def token_nll(log_probs: Column, labels: Column, ignore: int = -100) -> Column:
-    """struct(nll, count, ppl) over the labels that are not to be ignored; infinite without any."""
+    """struct(nll, count, ppl) over the labels that are not to be ignored; infinite without any. A null log probability
+    counts and adds nothing, as in SQL; where all are null, so is ppl."""
     kept = F.filter(F.arrays_zip(log_probs.alias("p"), labels.alias("y")), lambda x: x["y"] != ignore)
-    n, nll = F.size(kept), -M.array_sum(F.transform(kept, lambda x: x["p"]))
-    return F.struct(nll.alias("nll"), n.cast("long").alias("count"), F.when(n > 0, F.exp(nll / n)).otherwise(float("inf")).alias("ppl"))
+    known = F.filter(F.transform(kept, lambda x: x["p"]), F.isnotnull)
+    n, nll = F.size(kept), -M.array_sum(known)
+    ppl = F.when(n == 0, float("inf")).when(F.size(known) > 0, F.exp(nll / n))
+    return F.struct(nll.alias("nll"), n.cast("long").alias("count"), ppl.alias("ppl"))
 
 
 def rescored(items: DataFrame, prefixes: DataFrame, key: str = "index") -> DataFrame:

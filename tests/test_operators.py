@@ -413,3 +413,22 @@ def test_scalar_times_tokens_is_rounded_as_in_sql(spark):
     got = {r["row_id"]: r["adv"] for r in _times(spark.createDataFrame(rows, "row_id long, advantages array<double>, response_mask array<int>")).collect()}
     want = duckdb.connect().execute("SELECT round(x, 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [[a[0] * sum(m) for _, a, m in rows]]).fetchall()
     assert [got[i] for i, *_ in rows] == [x + 0.0 for x, in want]
+
+
+def test_batch_nll_without_part_keys_is_as_in_sql(spark, tmp_path):
+    """Without a part key a token has no log probability: it counts, adds nothing, and alone gives no perplexity."""
+    import duckdb
+
+    from quillstream.plans.queries import ORACLES, QUERIES
+
+    items = [(1, 40, "N"), (1, None, "N"), (1, 7, "R"), (2, None, "A"), (2, None, "R"), (3, 5, "R"), (3, None, "R"), (4, -9, "N"), (4, 64, None)]
+    x = spark.createDataFrame([(*i, k) for k, i in enumerate(items)], "l_orderkey long, l_partkey long, l_returnflag string, l_linenumber int")
+    x = x.withColumns({c: F.lit(1.0) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")} | {"l_suppkey": F.lit(1).cast("long")})
+    x.withColumn("l_shipdate", F.lit("2000-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i) for i in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["batch_nll"]).fetchall())
+    assert [w[1:3] for w in want] == [(1.25, 2), (0.0, 1), (0.0, 0), (-0.28125, 2)] and want[1][3] is None
+    assert sorted(tuple(r) for r in QUERIES["batch_nll"](spark, str(tmp_path)).collect()) == want
