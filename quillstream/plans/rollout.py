@@ -20,12 +20,12 @@ def _scalar(df):
     return df.select("row_id", r6(M.array_sum("advantages"), 4).alias("adv"))
 
 
-def _times(df, places: int = 4):
-    """A row's scalar times its tokens, rounded as the SQL does it: the sum of as many copies of the scalar is another
-    double, and near ties of the last place a round of the shortest decimal is another one."""
+def _times(df, known, places: int = 4):
+    """A row's scalar times its tokens, null where the scalar is not ``known``, rounded as the SQL does it: the sum of as many
+    copies of the scalar is another double, and near ties of the last place a round of the shortest decimal is another one."""
     high, low = F.array_max("advantages"), F.array_min("advantages")
     x = F.coalesce(F.when(high > 0, high).otherwise(low) * M.mask_count("response_mask"), F.lit(0.0))
-    return df.select("row_id", (F.signum(x) * F.floor(F.abs(x) * 10.0**places + 0.5) / 10.0**places + F.lit(0.0)).alias("adv"))
+    return df.select("row_id", F.when(known, F.signum(x) * F.floor(F.abs(x) * 10.0**places + 0.5) / 10.0**places + F.lit(0.0)).alias("adv"))
 
 
 def _rows(expr: str) -> str:
@@ -63,7 +63,10 @@ def rloo_vec(spark, sf):
 
 @query(_rows(f"CASE WHEN count(*) {U} > 1 THEN s - sum(n * s) {U} / nullif(sum(n) {U}, 0) ELSE s END"))
 def opo(spark, sf):
-    return _times(A.opo(_basic(spark, sf)))
+    # rows of a group without any tokens have no mean weighted by lengths
+    weights, rows = F.sum(M.mask_count("response_mask")).over(A.group()), F.count(F.lit(1)).over(A.group())
+    df = _basic(spark, sf).withColumn("known", (rows == 1) | (weights > 0))
+    return _times(A.opo(df), F.col("known"))
 
 
 @query(
