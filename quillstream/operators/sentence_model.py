@@ -4,20 +4,23 @@ them without a break, and which words start sentences.
 Words are counted once over all texts, and log-likelihood ratios of the counts decide, after Kiss and
 Strunk's unsupervised method: an abbreviation nearly always has its period, is short, and may have
 periods inside; a collocation goes on over the period of a number or an initial; a starter follows
-the ends of sentences more often than chance.  What is learned is a few words: each list is bounded,
-its best members stay, and it is told to all tasks.
+the ends of sentences more often than chance.  All that reaches its score is learned: few words are told
+to all tasks, many meet the words of texts by joins.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least log-likelihood scores (fixed values of the published method), and members of a list at most.
-ABBREVIATION, COLLOCATION, STARTER, MOST = 0.3, 7.88, 30.0, 50_000
+#: Least log-likelihood scores (fixed values of the published method).
+ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
+#: Learned words and pairs that are told to all tasks, at most; more are joined.
+TOLD = 50_000
 NUMBER = "##number##"
 OPENERS, CLOSERS = "[\"'(\\[{«“‘]", "[\"')\\]}»”’]"
 
@@ -110,7 +113,7 @@ def train(df: DataFrame, text: str = "text") -> DataFrame:
 
     Texts are read twice: what is counted is kept by the executors, and has a row for each type, or pair."""
     counts = type_counts(word_counts(df, text)).cache()
-    short = abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).orderBy(F.desc("score"), "type").limit(MOST).select("type", "score")
+    short = abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).select("type", "score")
     n = counts.agg(F.sum("n").alias("_t"))
     ends = word_pairs(df, text, marked=True).where(F.col("core").rlike(r"[.!?]$") & (F.col("next") != "")).cache()
     loose = (F.col("type") == NUMBER) | is_initial(F.col("core"))
@@ -118,17 +121,16 @@ def train(df: DataFrame, text: str = "text") -> DataFrame:
     first, second = (counts.select(F.col("type").alias(k), F.col("n").alias(v)) for k, v in (("type", "a"), ("_b", "b")))
     joined = joined.join(first, "type").join(second, F.col("next") == F.col("_b")).crossJoin(F.broadcast(n))
     joined = joined.withColumn("score", likelihood(F.col("a"), F.col("b"), F.col("ab"), F.col("_t"))).where(F.col("score") >= COLLOCATION)
-    breaks = ends.where(~loose).join(F.broadcast(short.select(F.col("type").alias("_s"))), F.col("type") == F.col("_s"), "left_anti")
+    breaks = ends.where(~loose).join(short.select(F.col("type").alias("_s")), F.col("type") == F.col("_s"), "left_anti")
     whole = breaks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_breaks"))
     starts = breaks.where(F.col("next").rlike(r"^\p{L}+$")).groupBy("next").agg(F.sum("n").alias("ab")).join(second, F.col("next") == F.col("_b"))
     starts = starts.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(n))
     starts = starts.withColumn("score", likelihood(F.col("_breaks"), F.col("b"), F.col("ab"), F.col("_t"))).where(F.col("score") >= STARTER)
-    best = lambda x, *by: x.orderBy(F.desc("score"), *by).limit(MOST)
     none = F.lit(None).cast("string")
     return (
         short.select(F.lit("abbreviation").alias("kind"), F.col("type").alias("word"), none.alias("next"), "score")
-        .unionByName(best(joined, "type", "next").select(F.lit("collocation").alias("kind"), F.col("type").alias("word"), "next", "score"))
-        .unionByName(best(starts, "next").select(F.lit("starter").alias("kind"), F.col("next").alias("word"), none.alias("next"), "score"))
+        .unionByName(joined.select(F.lit("collocation").alias("kind"), F.col("type").alias("word"), "next", "score"))
+        .unionByName(starts.select(F.lit("starter").alias("kind"), F.col("next").alias("word"), none.alias("next"), "score"))
     )
 
 
@@ -142,7 +144,7 @@ class SentenceModel:
 
     @staticmethod
     def of(learned: DataFrame) -> SentenceModel:
-        rows = learned.collect()  # three bounded lists
+        rows = learned.collect()  # for few members: ``counting`` takes any number
         return SentenceModel(
             frozenset(r["word"] for r in rows if r["kind"] == "abbreviation"), frozenset((r["word"], r["next"]) for r in rows if r["kind"] == "collocation"),
             frozenset(r["word"] for r in rows if r["kind"] == "starter"),
@@ -167,14 +169,14 @@ class SentenceModel:
         return [self.breaks(*x) for x in zip(cores, types, cores[1:], types[1:])] + [True] * bool(cores)
 
     def breaks(self, word: str, kind: str, next_word: str, after: str) -> bool:
-        capital = next_word[:1].isupper()
+        capital = unicodedata.category(next_word[:1] or " ") == "Lu"
         if word[-1:] in ("!", "?"):
             return True
         if word[-1:] != ".":
             return False
         if word.endswith(".."):
             return capital
-        if (kind, after) in self.collocations or len(word) == 2 and word[0].isupper():
+        if (kind, after) in self.collocations or len(word) == 2 and unicodedata.category(word[0]) == "Lu":
             return False
         if kind in self.abbreviations:
             return capital and after in self.starters
@@ -197,3 +199,46 @@ class SentenceModel:
         cores = F.transform(marked_pairs(text), lambda x: F.struct(core(x["a"]).alias("a"), core(x["b"]).alias("b")))
         pairs = F.flatten(F.transform(cores, lambda x: F.array(x["a"], word_type(x["a"]), x["b"], word_type(x["b"]))))
         return F.when(text.isNotNull(), run(pairs) + F.when(text.rlike(r"\S"), 1).otherwise(0))
+
+
+@dataclass(frozen=True)
+class Counted:
+    """A model whose sentences have been counted: it stands in ``column``."""
+
+    column: str
+
+    def count(self, text: Column) -> Column:
+        return F.col(self.column)
+
+
+def counting(df: DataFrame, learned: DataFrame, text: str = "text") -> tuple[DataFrame, SentenceModel | Counted]:
+    """The table, and a model that counts the sentences of ``text`` in it: of few members a model told to
+    all tasks, of more one whose counts have been joined to the rows."""
+    learned = learned.cache()  # for the executors
+    if learned.count() <= TOLD:
+        return df, SentenceModel.of(learned)
+    return with_counts(df, learned, text, "_sentences"), Counted("_sentences")
+
+
+def with_counts(df: DataFrame, learned: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``, what ``SentenceModel.count`` gives, by joins of pairs of words with what was learned.
+
+    Equal texts have equal counts, so their pairs are summed together, and shared by the number of copies."""
+    known = df.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("_h"), text)
+    pairs = known.select("_h", F.explode(marked_pairs(F.col(text))).alias("_p")).groupBy("_h", F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b")).agg(F.count("*").alias("_n"))
+    x = pairs.select("_h", "_n", core(F.col("_a")).alias("_a"), core(F.col("_b")).alias("_b"))
+    x = x.select("*", word_type(F.col("_a")).alias("_type"), word_type(F.col("_b")).alias("_next")).where(F.col("_a").rlike(r"[.!?]$"))
+    of = lambda kind, *names: learned.where(F.col("kind") == kind).select(*[F.col(c).alias(f"{kind}_{c}") for c in names])
+    x = x.join(of("abbreviation", "word"), F.col("_type") == F.col("abbreviation_word"), "left").join(of("starter", "word"), F.col("_next") == F.col("starter_word"), "left")
+    x = x.join(of("collocation", "word", "next"), (F.col("_type") == F.col("collocation_word")) & (F.col("_next") == F.col("collocation_next")), "left")
+    capital = F.col("_b").rlike(r"^\p{Lu}")
+    ends = (
+        F.when(F.col("_a").rlike(r"[!?]$"), True).when(F.endswith("_a", F.lit("..")), capital)
+        .when(F.col("collocation_word").isNotNull() | F.col("_a").rlike(r"^\p{Lu}.$"), False)
+        .when(F.col("abbreviation_word").isNotNull(), capital & F.col("starter_word").isNotNull()).otherwise(capital | (F.col("_type") != NUMBER))
+    )
+    inner = x.where(ends).groupBy("_h").agg(F.sum("_n").alias("_ends"))
+    inner = inner.join(known.groupBy("_h").agg(F.count("*").alias("_copies")), "_h").select(F.col("_h").alias("_of"), F.expr("_ends div _copies").alias("_ends"))
+    last = F.when(F.col(text).rlike(r"\S"), 1).otherwise(0)
+    counts = F.when(F.col(text).isNotNull(), (F.coalesce("_ends", F.lit(0)) + last).cast("int"))
+    return df.join(inner, F.sha2(text, 256) == F.col("_of"), "left").withColumn(out, counts).drop("_of", "_ends")

@@ -73,3 +73,20 @@ def test_words_are_counted_as_written(spark, model):
     assert marked == {("b.", "b", "a"): 3, ("b.", "b", "##number##"): 1, ("3.", "##number##", "##number##"): 1, ("c...", "c", "b"): 1}
     both = df.select(model.count(F.col("text")), F.size(model.split(F.col("text")))).collect()
     assert [r[0] for r in both] == [4, 2, None, 0] and [r[1] for r in both] == [4, 2, None, 0]
+
+
+def test_nothing_learned_is_dropped(spark, model, monkeypatch):
+    """However few members are told to tasks, all that is learned counts: the rest meets texts by joins."""
+    monkeypatch.setattr(N, "MOST", 1, raising=False)
+    monkeypatch.setattr(N, "TOLD", 1, raising=False)
+    rng = random.Random(0)
+    learned = N.train(spark.createDataFrame([(" ".join(rng.sample(SENTENCES, len(SENTENCES))),) for _ in range(60)], "text string"))
+    assert learned.count() > 3 and N.SentenceModel.of(learned) == model
+    odd = ["It is approx. 300. They left.", "It is approx. 300. They left.", "J. Smith... came? He (left.) On 3. June. 'So", "Wait... what? Yes.", "\n", "", None, "3. is Ⓐ. Ⓐ so", "approx. The. the. Ⓐ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*SENTENCES, " ".join(SENTENCES), *odd])], "i int, text string")
+    joined, counted = N.counting(df, learned)
+    assert isinstance(counted, N.Counted) and joined.columns[:2] == df.columns
+    eight = V.verify("length_constraints:number_sentences", "text", num_sentences=8, relation="at least", model=counted)
+    ours = {r[0]: r[1:] for r in joined.select("i", counted.count(F.col("text")), eight).collect()}
+    told = {r[0]: r[1] for r in df.select("i", model.count(F.col("text"))).collect()}
+    assert {i: n for i, (n, _) in ours.items()} == told and ours[len(SENTENCES)] == (len(SENTENCES), True)
