@@ -432,3 +432,27 @@ def test_batch_nll_without_part_keys_is_as_in_sql(spark, tmp_path):
     want = sorted(con.execute(ORACLES["batch_nll"]).fetchall())
     assert [w[1:3] for w in want] == [(1.25, 2), (0.0, 1), (0.0, 0), (-0.28125, 2)] and want[1][3] is None
     assert sorted(tuple(r) for r in QUERIES["batch_nll"](spark, str(tmp_path)).collect()) == want
+
+
+def test_validation_metrics_draw_a_thousand_times(spark, tmp_path):
+    """The query makes as many resamples as the metric is defined with; ties, null votes and null values as SQL has them."""
+    import duckdb
+
+    from quillstream.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, i % 3 AS user_id, ['a', 'b', NULL][1 + i % 7 % 3] AS event_type, (i * 37 % 11)::DOUBLE AS value FROM range(20) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    assert "range(1000) AS r(b)" in ORACLES["validation_metrics"]
+    theirs = {name: value for name, value in con.execute(ORACLES["validation_metrics"]).fetchall()}
+    ours = {r["name"]: r["value"] for r in QUERIES["validation_metrics"](spark, str(tmp_path)).collect()}
+    assert ours == theirs
+
+
+def test_resamples_in_blocks(spark, monkeypatch):
+    """A group's resamples in blocks are those of one block; null values are left out of best and worst."""
+    df = spark.createDataFrame([("s", "u", "acc", i, None if i == 2 else float(i % 4), "ab"[i % 2]) for i in range(9)], "data_source string, uid string, var_name string, pos int, value double, pred string")
+    whole = sorted(map(tuple, X.validation_metrics(df, resamples=30).where("metric not like 'mean@%' and metric not like 'std@%'").collect()))
+    monkeypatch.setattr(X, "DRAWS", 20)
+    assert sorted(map(tuple, X.validation_metrics(df, resamples=30).where("metric not like 'mean@%' and metric not like 'std@%'").collect())) == whole
+    assert not any(math.isinf(r[3]) or math.isnan(r[3]) for r in whole)
