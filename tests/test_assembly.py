@@ -122,3 +122,24 @@ def test_results_of_streams_come_from_files(spark, tmp_path):
     assert sorted(r[0] for r in every.collect()) == list(range(0, 30, 2)) and every.inputFiles()
     counts = drained(source.groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n")), "complete")
     assert {tuple(r) for r in counts.collect()} == {(0, 10), (1, 10), (2, 10)} and counts.inputFiles()
+
+
+def test_versions_meet_samples_without_pairs(spark, tmp_path):
+    """Spans end where days do: the last version counts at the sample's time, not a day before it, also of the span before;
+    no join of samples with versions is planned."""
+    for name in ("s", "v"):
+        (tmp_path / name).mkdir()
+    at = lambda hours: START.replace(hour=0, minute=0, second=0, microsecond=0) + dt.timedelta(hours=hours)
+    s, v = "queue string, id long, ts timestamp", "queue string, version long, ts timestamp"
+    samples = [("ab"[i % 2], i, at(i * 1.5)) for i in range(80)] + [(None, 900, at(30)), ("c", 901, at(24)), ("c", 902, at(23.999)), ("c", 903, at(49)), ("c", 904, at(48))]
+    versions = [("ab"[i % 3 % 2], 1000 + i, at(i * 3 % 31 * 4)) for i in range(40)] + [(None, 1900, at(30)), ("c", 1901, at(24)), ("c", 1902, at(24)), ("c", 1903, at(0))]
+    write(spark, samples, tmp_path / "s", "f0", s)
+    write(spark, versions, tmp_path / "v", "f0", v)
+    write(spark, [("z", 999, at(9999))], tmp_path / "s", "f1", s)
+    write(spark, [("z", 1999, at(9999))], tmp_path / "v", "f1", v)
+    df = A.with_versions(stream(spark, tmp_path / "s", s), stream(spark, tmp_path / "v", v), "1 DAY")
+    assert "Join" not in df._jdf.queryExecution().analyzed().toString()
+    run(spark, df, tmp_path / "out", tmp_path / "state")
+    got = {r["id"]: r["version"] for r in spark.read.parquet(str(tmp_path / "out")).where("queue IS NULL OR queue <> 'z'").collect()}
+    near = lambda q, t: [(w, k) for p, k, w in versions if p is not None and p == q and t - dt.timedelta(days=1) < w <= t]
+    assert got == {i: max(near(q, t), default=(None, None))[1] for q, i, t in samples} and got[901] == 1902 and got[904] is None
