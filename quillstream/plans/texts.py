@@ -321,6 +321,7 @@ def tokenized_chats(spark, sf):
 @query("SELECT doc_id, md5(text) AS text, 32 AS width, starts_with(text, '') AS starts FROM documents WHERE text IS NOT NULL")
 def tokenized_texts(spark, sf):
     """Texts as ids: decoded they are the texts; cut to one width, the first ids are how a text starts."""
+    K.small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     d = spread(read(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")).withColumn("ids", K.token_ids(F.col("text"), path))
     d = d.withColumn("e", K.fitted(F.col("ids"), 32))

@@ -90,3 +90,25 @@ def test_few_texts_are_encoded_and_decoded_at_once(spark, monkeypatch):
     assert [list(x) for x in K.encode(texts, PATH)[:9]] == [own.encode(t, add_special_tokens=False).ids for t in texts[:9]]
     assert sum(sizes) == sum(map(len, texts)) and sorted(sizes)[-2] <= 200_000
     assert [len(x) for x in K.chunks([[0] * 150_000, [], [0] * 60_000], len)] == [2, 1]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long rows come to a worker in small batches, however many rows a batch may have."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quillstream.plans.queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256MB")
+        QUERIES["tokenized_texts"](spark, "/root/testdata/sf0.001")
+
+        def held(t: pd.Series) -> pd.Series:
+            return pd.Series([int(t.str.len().sum())] * len(t))
+
+        rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("t"))
+        assert rows.select(F.pandas_udf(held, "long")("t").alias("n")).agg(F.max("n")).first()[0] < 10_000_000
+    finally:
+        spark.conf.set(name, before)
